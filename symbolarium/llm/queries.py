@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symbolarium.llm.lz_fingerprint import lz_fingerprints
 from symbolarium.llm.ngram_join import ngram_jaccard_components
 
 
@@ -17,7 +18,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprints(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
