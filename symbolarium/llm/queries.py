@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symbolarium.llm.language_id import language_id
 from symbolarium.llm.lz_fingerprint import lz_fingerprints
 from symbolarium.llm.ngram_join import ngram_jaccard_components
+from symbolarium.llm.toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +20,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }

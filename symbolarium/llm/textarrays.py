@@ -24,6 +24,21 @@ _CHAR_LOWER = _CHAR.copy()
 _CHAR_LOWER[65:91] = _CHAR[97:123]
 CHUNK_BYTES = 4 << 20
 
+
+
+def letters_only() -> np.ndarray:
+    """Separators that leave ASCII letters and all non-ASCII bytes."""
+    out = np.ones(256, bool)
+    out[65:91] = out[97:123] = out[128:] = False
+    return out
+
+
+def lowered() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91] += 32
+    return out
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -80,12 +95,12 @@ class Words:
     hashes: np.ndarray
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
+def words(texts: pa.Array, lower: bool = False, separators: np.ndarray = _SPACE) -> Words:
     data, bounds = text_bytes(texts)
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
-    space = _SPACE[data]
+    space = separators[data]
     before = np.empty(n, bool)
     after = np.empty(n, bool)
     if n:
