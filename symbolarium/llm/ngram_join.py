@@ -111,28 +111,35 @@ def _repeated(table: pa.Table) -> pa.Table:
     key, batch, h, gid = [], [], [], []
     several = [np.zeros(0, np.uint64)]
     base = 0
-    for row in table.to_pylist():
-        if row["held"] is None:
-            ids, keys = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["keys"], np.int64)
-            out.append(_facts(0, ids, keys, np.frombuffer(row["counts"], np.int64), size=len(ids)))
-            names = np.frombuffer(row["single"], np.int64)
-            out.append(_facts(1, key=names, batch=np.full(len(names), row["batch"]), c=np.frombuffer(row["several"], np.int64), size=len(names)))
-            continue
-        names, count = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.int32)
-        key.append(names)
-        batch.append(np.full(len(names), row["batch"]))
-        gid.append(np.repeat(np.arange(base, base + len(names)), count))
-        base += len(names)
-        h.append(np.frombuffer(row["single"], np.uint64))
-        several.append(np.frombuffer(row["several"], np.uint64))
+    view = lambda row, name, kind: np.frombuffer(row[name].as_buffer(), kind)
+    for part in table.to_batches():
+        for row in (dict(zip(part.schema.names, cells, strict=True)) for cells in zip(*part.columns, strict=True)):
+            if not row["held"].is_valid:
+                ids = view(row, "ids", np.int64)
+                out.append(_facts(0, ids, view(row, "keys", np.int64), view(row, "counts", np.int64), size=len(ids)))
+                names = view(row, "single", np.int64)
+                out.append(_facts(1, key=names, batch=np.full(len(names), row["batch"].as_py()), c=view(row, "several", np.int64), size=len(names)))
+                continue
+            names = view(row, "keys", np.int64)
+            key.append(names)
+            batch.append(np.full(len(names), row["batch"].as_py()))
+            gid.append(np.repeat(np.arange(base, base + len(names), dtype=np.int32), view(row, "counts", np.int32)))
+            base += len(names)
+            h.append(view(row, "single", np.uint64))
+            several.append(view(row, "several", np.uint64))
     if base:
-        key, batch, h, gid = map(np.concatenate, (key, batch, h, gid))
-        order = np.argsort(h, kind="stable")
-        h, gid = h[order], gid[order]
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        key, batch, gid = np.concatenate(key), np.concatenate(batch), np.concatenate(gid)
+        h = np.concatenate(h)
         if len(h):
+            order = np.argsort(h)
+            h, gid = h[order], gid[order]
+            del order
+            first = np.ones(len(h), bool)
+            first[1:] = h[1:] != h[:-1]
+            at = np.flatnonzero(first)
             own = key[gid]
             hit = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
+            del own, first
             hit |= np.isin(h[at], np.concatenate(several))
             gid = gid[np.repeat(hit, np.diff(np.r_[at, len(h)]))]
             which, count = np.unique(gid, return_counts=True)

@@ -36,8 +36,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(who), (np.concatenate(what) >> np.uint64(11)).astype(np.int64) % BUCKETS
 
 
-def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """``(buckets, weights, intercept)`` of the nonzero weights; each row holds distinct buckets."""
+def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 8, alpha: float = 0.6, beta: float = 1.0, l1: float | None = None, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """``(buckets, weights, intercept)`` of the nonzero weights; each row holds distinct buckets.
+
+    The L1 penalty grows with the sample, as the noise that gradients gather does.
+    """
+    l1 = float(np.clip(len(rows) / 800, 1, 10)) if l1 is None else l1
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3) if len(labels) else 0.5
     bias, bias_n = float(np.log(rate / (1 - rate))), 1.0
