@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from symbolarium.llm.bpe import bpe_digests
 from symbolarium.llm.language_id import language_id
 from symbolarium.llm.lz_fingerprint import lz_fingerprints
 from symbolarium.llm.ngram_join import ngram_jaccard_components
+from symbolarium.llm.packing import pack
 from symbolarium.llm.toxicity import toxicity
 
 
@@ -24,6 +27,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_digests(_documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -34,6 +46,8 @@ def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
+    "op4_byte_bpe": op4_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
