@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from symbolarium.llm.bpe import bpe_digests
 from symbolarium.llm.language_id import language_id
 from symbolarium.llm.lz_fingerprint import lz_fingerprints
 from symbolarium.llm.ngram_join import ngram_jaccard_components
 from symbolarium.llm.packing import pack
+from symbolarium.llm.quality import quality_verdicts
 from symbolarium.llm.toxicity import toxicity
 
 
@@ -31,6 +33,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_documents(spark, sf_dir).select("doc_id", "text", F.col("source").alias("host")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_digests(_documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN)
@@ -47,10 +53,53 @@ def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op3_line_frequency": op3_line_frequency,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LINE_FREQUENCY_SQL = r"""
+WITH base AS (
+  SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+  SELECT doc_id, source, i, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM base WHERE text IS NOT NULL)
+), worded AS (
+  SELECT doc_id, source, i, line, len(lw) AS size, array_to_string(lw, ' ') AS norm FROM lines WHERE len(lw) > 0
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM base)
+), twice AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
+), longest AS (
+  SELECT doc_id, norm AS document FROM worded QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, i) = 1
+), held AS (
+  SELECT w.source, norm, count(DISTINCT document) AS held FROM worded w JOIN longest USING (doc_id) GROUP BY w.source, norm
+), hosts AS (
+  SELECT b.source, count(DISTINCT document) AS documents FROM base b JOIN longest USING (doc_id) GROUP BY b.source
+), frequent AS (
+  SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held > 20 AND held * 100 > 2 * documents
+), taken AS (
+  SELECT w.doc_id, sum(size) AS taken FROM worded w JOIN frequent f ON w.norm = f.norm AND w.source IS NOT DISTINCT FROM f.source GROUP BY w.doc_id
+), stats AS (
+  SELECT base.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(taken, 0) AS taken
+  FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN taken USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * taken <= 70 * n_words AS kept,
+       CAST(taken AS BIGINT) AS n_removed_words
+FROM stats
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_frequency": _LINE_FREQUENCY_SQL,
+}

@@ -135,3 +135,39 @@ def shingle_sets(w: Words, size: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+@dataclass
+class Lines:
+    owner: np.ndarray  # text of each line with a word, in order
+    place: np.ndarray  # its number among all lines of its text
+    size: np.ndarray  # words
+    words: np.ndarray  # hash of its words, whatever stands between them
+    exact: np.ndarray  # hash of its bytes
+
+
+def line_hashes(w: Words) -> Lines:
+    """The newline-split lines that hold a word; ``exact`` follows the bytes as given."""
+    n = len(w.data)
+    breaks = np.flatnonzero(w.data == 10)
+    # A line starts at a text's start and after each newline inside the text.
+    starts = np.unique(np.r_[w.bounds[:-1], breaks + 1])
+    starts = starts[starts < n]
+    ends = np.r_[starts[1:], n]
+    closed = np.zeros(n + 1, bool)
+    closed[breaks + 1] = True
+    ends = ends - closed[ends]  # without the newline itself
+    owner = np.searchsorted(w.bounds, starts, side="right") - 1
+    first, last = np.searchsorted(w.starts, starts), np.searchsorted(w.starts, ends)
+    some = last > first
+    count = np.r_[0, np.cumsum(w.data == 10)]
+    place = count[starts] - count[w.bounds[owner]]
+    power, inverse = _grown(max(n, len(w.hashes)) + 1)
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(_CHAR[w.data] * power[:n], out=run[1:])
+    exact = (run[ends] - run[starts]) * inverse[np.minimum(starts, n)]
+    run = np.zeros(len(w.hashes) + 1, np.uint64)
+    np.cumsum(w.hashes * power[: len(w.hashes)], out=run[1:])
+    own = (run[last] - run[first]) * inverse[first]
+    size = last - first
+    return Lines(owner[some], place[some], size[some], mix64(own + size.astype(np.uint64))[some], mix64(exact + (ends - starts).astype(np.uint64))[some])
