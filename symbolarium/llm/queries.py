@@ -15,6 +15,7 @@ from symbolarium.llm.ngram_join import ngram_jaccard_components
 from symbolarium.llm.packing import pack
 from symbolarium.llm.quality import quality_verdicts
 from symbolarium.llm.toxicity import toxicity
+from symbolarium.llm.url_cascade import judge_urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN)
 
 
+URL_RULES = [
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"),
+    ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+]
+
+
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -55,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_line_frequency": op3_line_frequency,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_url_cascade": op7_url_cascade,
     "op8_toxicity": op8_toxicity,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -100,6 +112,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM stats
 """
 
+_URL_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM cut
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fit AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fit USING (page_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_url_cascade": _URL_SQL,
     "op3_line_frequency": _LINE_FREQUENCY_SQL,
 }
