@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolarium.llm.bpe import bpe_digests
+from symbolarium.llm.kneser_ney import ngram_scores
 from symbolarium.llm.language_id import language_id
 from symbolarium.llm.lz_fingerprint import lz_fingerprints
 from symbolarium.llm.ngram_join import ngram_jaccard_components
 from symbolarium.llm.packing import pack
 from symbolarium.llm.quality import quality_verdicts
+from symbolarium.llm.sharding import compacted_documents
 from symbolarium.llm.toxicity import toxicity
 from symbolarium.llm.url_cascade import judge_urls
 
@@ -43,6 +45,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN)
 
 
+def op5_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compacted_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_scores(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 URL_RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"),
     ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
@@ -66,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_line_frequency": op3_line_frequency,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_size_tiered_sharding": op5_size_tiered_sharding,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_url_cascade": op7_url_cascade,
     "op8_toxicity": op8_toxicity,
     "op9_lz_fingerprint": op9_lz_fingerprint,
