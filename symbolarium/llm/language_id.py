@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from symbolarium.llm.samples import fold, sampled
 from symbolarium.llm.textarrays import chunks, letters_only, lowered, text_bytes
+from symbolarium.llm.workspace import spare_name
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 #: Labelled rows that the fit reads at most.
@@ -134,33 +135,33 @@ def train_language_model(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> L
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` plus ``_lang_pred``, ``_lang_score`` and ``_lang_rejected``.
+    """All columns of ``docs`` plus, last, the predicted language, its probability, and
+    whether it is rejected (``_lang_pred``, ``_lang_score``, ``_lang_rejected``, with more
+    underscores where ``docs`` has such names).
 
     A null text, one without a letter, and every text of a model without classes is
     ``und`` with score 0, and rejected. So is, with its best class kept, a text whose
     probability is under the calibrated bound. Repeated rows are judged alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    judged = docs.withColumns({"_letters": F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))})
+    letters, *added = (spare_name(docs, n) for n in ("_letters", "_lang_pred", "_lang_score", "_lang_rejected"))
+    judged = docs.withColumn(letters, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.labels, UNDETERMINED], object)
         for chunk in chunks(batches):
-            ok = chunk.column("_letters").to_numpy(zero_copy_only=False)
+            ok = chunk.column(letters).to_numpy(zero_copy_only=False)
             best, score = np.full(len(ok), len(model.labels)), np.zeros(len(ok))
             if model.labels:
                 p = model.probabilities(chunk.column("text"))
                 best[ok], score[ok] = p.argmax(1)[ok], p.max(1)[ok]
-            out = chunk.drop_columns(["_letters"])
+            out = chunk.drop_columns([letters])
             arrays = [*out.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(~ok | (score < model.least) | (best == len(model.labels)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*out.schema.names, "_lang_pred", "_lang_score", "_lang_rejected"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*out.schema.names, *added])
 
-    return judged.mapInArrow(run, _schema_with(docs, "_lang_pred string, _lang_score double, _lang_rejected boolean"))
-
-
-def _schema_with(docs: DataFrame, more: str):
-    return StructType([*docs.schema.fields, *StructType.fromDDL(more).fields])
+    kinds = zip(added, (StringType(), DoubleType(), BooleanType()), strict=True)
+    return judged.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, t) for n, t in kinds)]))
 
 
 def language_id(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbolarium.llm.textarrays import chunks, line_hashes, mix64, words
-from symbolarium.llm.workspace import stored
+from symbolarium.llm.workspace import spare_name, stored
 
 #: Up to this many flagged lines (a host's hash and a line's, 16 bytes) are broadcast.
 BROADCAST_LINES = 200_000
@@ -140,17 +140,18 @@ def quality_verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> Data
 def without_boilerplate(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that the rules keep, all columns, their boilerplate lines taken out of
     ``text`` and ``n_chars`` (if there) counted anew. Texts without such lines stay as they are."""
+    mark, removed_lines = spare_name(docs, "_mark"), spare_name(docs, "_removed")
     named = docs.select("doc_id", "text", F.col(host).alias("host"))
     profiles, taken = _judged(named, limits, base_rules())
-    keep = profiles.join(taken, "row", "left").where(_kept(limits)).select(F.col("mark").alias("_mark"), F.coalesce("removed", F.array().cast("array<long>")).alias("_removed")).dropDuplicates(["_mark"])
-    rows = docs.withColumn("_mark", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(host)))
+    keep = profiles.join(taken, "row", "left").where(_kept(limits)).select(F.col("mark").alias(mark), F.coalesce("removed", F.array().cast("array<long>")).alias(removed_lines)).dropDuplicates([mark])
+    rows = docs.withColumn(mark, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(host)))
     names = docs.columns
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             texts = chunk.column("text").to_pylist()
-            removed = chunk.column("_removed").to_pylist()
+            removed = chunk.column(removed_lines).to_pylist()
             some = [k for k, lines in enumerate(removed) if lines]
             for k in some:
                 parts = texts[k].split("\n")
@@ -166,4 +167,4 @@ def without_boilerplate(docs: DataFrame, host: str = "source", limits: LineLimit
                 columns[names.index("n_chars")] = pa.array(n, chunk.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.join(keep, "_mark").mapInArrow(run, schema)
+    return rows.join(keep, mark).mapInArrow(run, schema)

@@ -130,12 +130,12 @@ class ShardStore:
             self._fs.delete(self._paths.Path(f"{self.root}/manifests/{v:010d}"), True)
         return len(gone)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``shard``, the name of the file each is in."""
+    def read(self, schema, version: int | None = None) -> DataFrame:
+        """The rows of a version by their ``schema``, with ``shard``, the name of the file each is in."""
         paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
         if not paths:
-            raise FileNotFoundError("no shard is live in this version")
-        return self.spark.read.parquet(*paths).withColumn("shard", F.col("_metadata.file_name"))
+            return self.spark.createDataFrame([], schema).withColumn("shard", F.lit(""))
+        return self.spark.read.schema(schema).parquet(*paths).withColumn("shard", F.col("_metadata.file_name"))
 
 
 def compacted_documents(docs: DataFrame, arrivals: int = 8, target_bytes: int = 32 * MIB) -> DataFrame:
@@ -143,7 +143,7 @@ def compacted_documents(docs: DataFrame, arrivals: int = 8, target_bytes: int =
 
     ``(doc_id, text_sha256, n_chars, arrival, shard, shard_rows, shard_bytes, version)``, a
     row for each row of ``docs(doc_id, text, ...)``; arrival ``k`` is twice as large as
-    ``k + 1``. Null texts stay null; a null doc_id and repeated rows are kept as they are.
+    ``k + 1``. An empty table gives an empty result. Null texts stay null; a null doc_id and repeated rows are kept as they are.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, fresh_path(spark, "shards"), target_bytes)
@@ -155,7 +155,7 @@ def compacted_documents(docs: DataFrame, arrivals: int = 8, target_bytes: int =
     store.expire()
     version = store.version()
     names = store.manifest().select(F.element_at(F.split("path", "/"), -1).alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-    return store.read().join(names, "shard").select(
+    return store.read(rows.drop("arrival").schema).join(names, "shard").select(
         "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), F.col("came").alias("arrival"),
         "shard", "shard_rows", "shard_bytes", F.lit(version).alias("version"),
     )

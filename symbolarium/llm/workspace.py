@@ -76,3 +76,11 @@ def mapped_files(paths: list[str]) -> Iterator[list[str]]:
         yield local
     finally:
         shutil.rmtree(folder, ignore_errors=True)
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
