@@ -79,7 +79,7 @@ def source_files(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:
     relative = F.regexp_replace("path", r"^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     parts = F.split(relative, "/")
     return files.where((F.size(parts) <= depth + 1) & ~F.arrays_overlap(parts, F.lit(SKIPPED))).select(
-        "path", relative.alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.validate_utf8(F.make_valid_utf8(F.col("content").cast("string"))).alias("content")
+        "path", relative.alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")
     )
 
 
