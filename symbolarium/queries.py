@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symbolarium.functions import hashing, ident, text
-from symbolarium.operators import graph, lookup, resolve, search, store
+from symbolarium.functions import hashing, ident, markup, text
+from symbolarium.operators import declarations, graph, lookup, resolve, search, store
 from symbolarium.plans import build_plan
-from symbolarium.sources import catalog
+from symbolarium.sources import catalog, packages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -667,3 +667,75 @@ SELECT doc_id, count(*) AS n FROM g WHERE section = 1 GROUP BY 1""")
 def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return build_plan.sections(rows, "doc_id", F.col("line").startswith("T")).where("section = 1").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+# -- markup, declarations and package sources -----------------------------------------------
+
+
+@query("div_slice", "SELECT page_id, '<div>' || url || '</div>' AS inside FROM pages")
+def div_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.concat(F.lit('<p><div class="x"></div><div id="main"><div>'), "url", F.lit("</div></div><div>after</div>"))
+    return catalog.table(spark, sf_dir, "pages").select("page_id", markup.div_slice(page, "main").alias("inside"))
+
+
+@query("header_fields", """SELECT doc_id, source AS maintainer, 'MIT' AS license, 'spdx' AS license_form, lang || chr(10) || 'more' AS note, 'Some prose.' AS prose FROM documents""")
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.lit("Maintainer : "), "source", F.lit("\nLicense : BSD\nSPDX-License-Identifier : MIT\nX-Note : "), "lang", F.lit("\n    more\n\nSome prose."))
+    rows = catalog.table(spark, sf_dir, "documents").select("doc_id", markup.header_fields(head).alias("h"))
+    return rows.select("doc_id", "h.maintainer", "h.license", "h.license_form", F.col("h.extra")[0]["value"].alias("note"), "h.prose")
+
+
+@query("comment_association", """WITH g AS (SELECT *, coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM conversations)
+SELECT conv_id AS module, max(CASE WHEN role = 'assistant' THEN turn END) AS pos, md5(max(CASE WHEN role = 'assistant' THEN text END)) AS name,
+       md5(string_agg(CASE WHEN role <> 'assistant' THEN text END, chr(10) ORDER BY turn)) AS doc
+FROM g GROUP BY conv_id, grp HAVING bool_or(role = 'assistant')""")
+def comment_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = catalog.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("module"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "decl").otherwise("doc_next").alias("kind"), "text", F.lit(True).alias("top")
+    )
+    return declarations.documented(items).select("module", "pos", F.md5("name").alias("name"), F.md5("doc").alias("doc"))
+
+
+@query("offline_answers", """WITH latest AS (SELECT user_id AS key, arg_max(props, event_id) AS body, max(event_id) AS stored_at FROM events GROUP BY 1)
+SELECT c_custkey AS key, body, stored_at, CASE WHEN stored_at IS NULL THEN 'OFFLINE' END AS error FROM customer LEFT JOIN latest ON key = c_custkey""")
+def offline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = catalog.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("props").alias("body"), F.col("event_id").alias("stored_at"))
+    return packages.offline_answers(catalog.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), cache)
+
+
+@query("remote_hits", """SELECT event_id AS key, CASE WHEN user_id % 5 > 0 THEN 0 END AS pos, CASE WHEN user_id % 5 > 0 THEN event_type ELSE '' END AS pkg, '' AS mod,
+CASE WHEN user_id % 5 > 0 THEN 'f' ELSE '' END AS item, '' AS docs, CASE WHEN user_id % 5 = 0 THEN 'CORRUPT' END AS error FROM events""")
+def remote_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.when(F.col("user_id") % 5 > 0, F.concat(F.lit('[{"package":{"name":"'), "event_type", F.lit('"},"item":"f"}]'))).otherwise("{oops")
+    return packages.decoded_hits(catalog.table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), body.alias("body")))
+
+
+@query("installed_packages", "SELECT DISTINCT replace(p_name, ' ', '-') AS name, '1.' || p_size AS version FROM part WHERE p_partkey % 2 = 0")
+def installed_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-1."), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "-0123456789abcdef").otherwise(""))
+    return packages.installed_packages(catalog.table(spark, sf_dir, "part").select(entry.alias("entry")))
+
+
+@query("macro_headers", """SELECT n_regionkey AS component, string_agg('#define VERSION_' || n_name || ' "2.' || n_nationkey || '"' || chr(10) || '#define MIN_VERSION_' || n_name || '(a,b,c) ((a) < 2 || (a) == 2 && (b) < '
+|| n_nationkey || ' || (a) == 2 && (b) == ' || n_nationkey || ' && (c) <= 0)', chr(10) ORDER BY n_name) AS header FROM nation GROUP BY 1""")
+def macro_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = catalog.table(spark, sf_dir, "nation")
+    return packages.macro_headers(nation.select(F.col("n_regionkey").alias("component"), F.col("n_name").alias("name"), F.concat(F.lit("2."), F.col("n_nationkey").cast("string")).alias("version")))
+
+
+@query("page_entries", f"""WITH {_NAMED}, n AS (SELECT DISTINCT module, name FROM named), a AS (SELECT module, name, min(p_type) AS s FROM named WHERE p_size < 20 GROUP BY ALL),
+b AS (SELECT module, name, min(component) AS s FROM named WHERE p_size > 30 GROUP BY ALL)
+SELECT module, name, coalesce(a.s, b.s) AS signature, CASE WHEN a.s IS NOT NULL THEN 'index' WHEN b.s IS NOT NULL THEN 'import' ELSE 'placeholder' END AS origin
+FROM n LEFT JOIN a USING (module, name) LEFT JOIN b USING (module, name)""")
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog._named(spark, sf_dir)
+    return declarations.entries(
+        rows.select("module", "name").distinct(), rows.where("p_size < 20").select("module", "name", F.col("p_type").alias("signature")), rows.where("p_size > 30").select("module", "name", F.col("component").alias("signature"))
+    )
+
+
+@query("import_plausibility", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'explicit' END WHEN 2 THEN CASE WHEN p_size % 2 = 1 THEN 'open' END END AS how FROM part""")
+def import_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    names = F.when(k > 0, F.when(k == 3, F.array().cast("array<string>")).when(F.col("p_size") % 2 == 0, F.array(F.lit("f"))).otherwise(F.array(F.lit("g"))))
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", declarations.could_import(names, F.when(k > 0, k == 2), F.lit("f")).alias("how"))
