@@ -148,6 +148,7 @@ class BacktrackingBpe:
 
 
 _codecs: dict[tuple[str, str], BacktrackingBpe] = {}
+_caches: dict[tuple[str, str], PieceCache] = {}
 
 
 def codec(path: str, pattern: str) -> BacktrackingBpe:
@@ -157,6 +158,17 @@ def codec(path: str, pattern: str) -> BacktrackingBpe:
     return _codecs[path, pattern]
 
 
+def _encoded(chunk: pa.RecordBatch, path: str, pattern: str) -> Iterator[list[int]]:
+    """Ids of each text of a chunk; the cache of pieces serves all tasks of the process."""
+    if (path, pattern) not in _caches:
+        bpe = codec(path, pattern)
+        _caches[path, pattern] = PieceCache(lambda missing: map(bpe.encode, missing))
+    texts = [cut(t or "") for t in chunk.column("text").to_pylist()]
+    ids_of = _caches[path, pattern].table(chain.from_iterable(texts)).__getitem__
+    for pieces in texts:
+        yield list(chain.from_iterable(map(ids_of, pieces)))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``(doc_id, ids array<int>)``; null or empty text: no ids.
 
@@ -165,11 +177,9 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
-        cache = PieceCache(lambda missing: map(bpe.encode, missing))
         for chunk in chunks(batches):
-            ids = [list(chain.from_iterable(cache.encoded(cut(t or "")))) for t in chunk.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids = pa.array(_encoded(chunk, path, pattern), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -195,12 +205,10 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        cache = PieceCache(lambda missing: map(bpe.encode, missing))
         names = {rank: str(rank) for rank in bpe.bytes_of}
         for chunk in chunks(batches):
             rows = []
-            for text in chunk.column("text").to_pylist():
-                ids = list(chain.from_iterable(cache.encoded(cut(text or ""))))
+            for ids in _encoded(chunk, path, pattern):
                 said = ",".join(map(names.__getitem__, ids)).encode()
                 rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]

@@ -15,6 +15,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,15 +26,17 @@ from symbolarium.llm.pieces import PieceCache, cut
 from symbolarium.llm.textarrays import chunks
 from symbolarium.llm.workspace import partitions, stored
 
-_tokenizers: dict[str, Tokenizer] = {}
+_encoders: dict[str, PieceCache] = {}
 
 
-def _tokenizer(path: str) -> Tokenizer:
-    if path not in _tokenizers:
+def _encoder(path: str) -> PieceCache:
+    """One tokenizer and cache a worker process; a piece's encoding is its ids' bytes."""
+    if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True  # in a text they are ordinary text
-    return _tokenizers[path]
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True  # in a text they are ordinary text
+        _encoders[path] = PieceCache(lambda missing: (array("I", e.ids).tobytes() for e in tok.encode_batch_fast(missing, add_special_tokens=False)))
+    return _encoders[path]
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -44,13 +47,14 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer)
-        cache = PieceCache(lambda missing: (array("I", e.ids).tobytes() for e in tok.encode_batch(missing, add_special_tokens=False)))
+        cache = _encoder(tokenizer)
         end = array("I", [end_id]).tobytes()
         for chunk in chunks(batches):
             rows = []
-            for doc_id, text in zip(chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist(), strict=True):
-                data = b"".join(cache.encoded(cut(text or ""))) + end
+            texts = [cut(t or "") for t in chunk.column("text").to_pylist()]
+            ids_of = cache.table(chain.from_iterable(texts)).__getitem__
+            for doc_id, pieces in zip(chunk.column("doc_id").to_pylist(), texts, strict=True):
+                data = b"".join(map(ids_of, pieces)) + end
                 for at in range(0, len(data), 4 * capacity):
                     own = data[at : at + 4 * capacity]
                     rows.append((doc_id, at // 4, len(own) // 4, zlib.crc32(own), len(data) // 4, *([array("I", own).tolist()] if keep_ids else [])))

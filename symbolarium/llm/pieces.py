@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterable
 
 _ADJACENT_SPACES = re.compile(r"\s\s")
@@ -22,19 +23,57 @@ def cut(text: str) -> list[str]:
     return parts if first else parts[1:]
 
 
-class PieceCache(dict):
-    """Piece to its encoding; at ``limit`` entries it starts anew, so memory is bounded."""
+class PieceCache:
+    """Encodings of pieces over many chunks of text, in bounded memory.
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable], limit: int = 150_000) -> None:
-        super().__init__()
-        self.encode_many, self.limit = encode_many, limit
+    New pieces are kept apart from those met in a second chunk, so the many that never come
+    again do not push out the ones that do; each of the two groups starts anew at its limit.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], Iterable], fresh: int = 250_000, proven: int = 300_000) -> None:
+        self.encode_many, self.limits = encode_many, (fresh, proven)
+        self.fresh: dict = {}
+        self.proven: dict = {}
+
+    def table(self, pieces: Iterable[str]) -> dict:
+        """Every distinct piece of a chunk to its encoding (a sequence that ``+`` joins).
+
+        A new piece that ends in punctuation after a letter or digit is put together from
+        its two parts, between which there always is a bound of pre-tokens.
+        """
+        out = dict.fromkeys(pieces)
+        if len(self.proven) > self.limits[1]:
+            self.proven.clear()
+        missing, joined = [], []
+        for piece in list(out):
+            found = out[piece] = self._known(piece)
+            if found is None:
+                stem = piece.rstrip(string.punctuation)
+                if stem and stem != piece and stem[-1].isalnum():
+                    joined.append((piece, stem, piece[len(stem) :]))
+                else:
+                    missing.append(piece)
+        for _, *parts in joined:
+            for part in parts:
+                if part not in out:
+                    found = out[part] = self._known(part)
+                    if found is None:
+                        missing.append(part)
+        if len(self.fresh) + len(missing) > self.limits[0]:
+            self.fresh.clear()
+        for at in range(0, len(missing), 10_000):
+            some = missing[at : at + 10_000]
+            out.update(zip(some, self.encode_many(some), strict=True))
+        for piece in missing[: self.limits[0]]:
+            self.fresh[piece] = out[piece]
+        for piece, stem, tail in joined:
+            out[piece] = out[stem] + out[tail]
+        return out
 
-    def encoded(self, pieces: list[str]) -> list:
-        """The encodings of all pieces, in order."""
-        missing = [p for p in dict.fromkeys(pieces) if p not in self]
-        if len(self) + len(missing) > self.limit:
-            self.clear()
-            missing = list(dict.fromkeys(pieces))
-        if missing:
-            self.update(zip(missing, self.encode_many(missing), strict=True))
-        return [self[p] for p in pieces]
+    def _known(self, piece: str):
+        found = self.proven.get(piece)
+        if found is None:
+            found = self.fresh.pop(piece, None)
+            if found is not None:
+                self.proven[piece] = found
+        return found
