@@ -129,3 +129,31 @@ def envelope(result: Column, outside_plan: Column, overrides: Column | None = No
 def error_envelope(code: Column, message: Column, exit_code: Column, actions: Column) -> Column:
     error = F.struct(code.alias("code"), message.alias("message"), exit_code.alias("exit_code"))
     return F.to_json(F.struct(error.alias("error"), F.when(F.size(actions) > 0, actions).alias("actions")))
+
+
+def action_hints(actions: Column, most: int = 5) -> Column:
+    """The first ``most`` of an ordered ``array<struct<label, command>>`` as a map."""
+    return F.map_from_entries(F.slice(actions, 1, most))
+
+
+def component_listing(units: DataFrame, components: DataFrame) -> DataFrame:
+    """``(pkg, component, origin)`` of all components; a unit without any lists its library."""
+    listed = units.select("pkg", "origin").join(components.select("pkg", "component"), "pkg", "left")
+    return listed.select("pkg", F.coalesce("component", "pkg").alias("component"), "origin")
+
+
+def source_directories(components: DataFrame, planned: DataFrame, guessed: DataFrame) -> DataFrame:
+    """Source directories of ``components(component, kind)``: the plan's, else for a main library
+    what the conventional layout suggests, else null."""
+    plan, guess = planned.withColumnRenamed("dirs", "_plan"), guessed.withColumnRenamed("dirs", "_guess")
+    return components.join(plan, "component", "left").join(guess, "component", "left").select("component", F.coalesce("_plan", F.when(F.col("kind") == "lib", F.col("_guess"))).alias("dirs"))
+
+
+def plan_counts(units: DataFrame) -> DataFrame:
+    """One row: local units, dependencies, all."""
+    return units.agg(F.count_if("is_local").alias("project"), F.count_if(~F.col("is_local")).alias("dependencies"), F.count("*").alias("total"))
+
+
+def generation_guarded(rows: DataFrame, generation: int) -> DataFrame:
+    """Rows of the current index format only; any other is as if never written."""
+    return rows.where(F.coalesce(F.col("generation") == generation, F.lit(False)))

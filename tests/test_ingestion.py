@@ -157,3 +157,18 @@ def test_facades_resolve_across_packages(spark):
     assert left == [("top", "T", "lost")]
     project, whole = index_build.routed(rows.withColumnRenamed("component", "pkg"), spark.createDataFrame([("top", True), ("dep", False)], "pkg string, is_local boolean"), True)
     assert project.count() == 1 and whole.count() == 2
+
+
+def test_plan_shapes(spark):
+    units = spark.createDataFrame([("p", "local", True), ("q", "hackage", False), ("r", "hackage", False)], "pkg string, origin string, is_local boolean")
+    assert tuple(build_plan.plan_counts(units).first()) == (1, 2, 3)
+    listing = build_plan.component_listing(units, spark.createDataFrame([("p", "p"), ("p", "p:exe:x")], "pkg string, component string"))
+    assert sorted((r["pkg"], r["component"]) for r in listing.collect()) == [("p", "p"), ("p", "p:exe:x"), ("q", "q"), ("r", "r")]
+    parts = spark.createDataFrame([("a", "lib"), ("b", "lib"), ("c", "exe")], "component string, kind string")
+    dirs = "component string, dirs array<string>"
+    got = build_plan.source_directories(parts, spark.createDataFrame([("a", ["x"])], dirs), spark.createDataFrame([("a", ["src"]), ("b", ["src"]), ("c", ["src"])], dirs))
+    assert {r["component"]: r["dirs"] for r in got.collect()} == {"a": ["x"], "b": ["src"], "c": None}
+    hints = spark.range(1).select(build_plan.action_hints(F.array(*(F.struct(F.lit(x).alias("label"), F.lit(x).alias("command")) for x in "abcdefg"))).alias("m")).first()["m"]
+    assert list(hints) == list("abcde")
+    old = spark.createDataFrame([("x", 7), ("y", 6), ("z", None)], "n string, generation int")
+    assert [r["n"] for r in build_plan.generation_guarded(old, 7).collect()] == ["x"]
