@@ -30,7 +30,7 @@ class PieceCache:
     again do not push out the ones that do; each of the two groups starts anew at its limit.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable], fresh: int = 250_000, proven: int = 300_000) -> None:
+    def __init__(self, encode_many: Callable[[list[str]], Iterable], fresh: int = 400_000, proven: int = 600_000) -> None:
         self.encode_many, self.limits = encode_many, (fresh, proven)
         self.fresh: dict = {}
         self.proven: dict = {}
