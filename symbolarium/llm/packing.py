@@ -10,32 +10,73 @@ among the pieces of equal length.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from array import array
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from symbolarium.llm.pieces import PieceCache, cut
 from symbolarium.llm.textarrays import chunks
 from symbolarium.llm.workspace import partitions, stored
 
-_encoders: dict[str, PieceCache] = {}
+#: One text to its ids, as unsigned 32-bit integers.
+Encoder = Callable[[str], np.ndarray]
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> PieceCache:
-    """One tokenizer and cache a worker process; a piece's encoding is its ids' bytes."""
+def _byte_of_character() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves, others from U+0100 on."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
+def _ranked_bytes(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary as bytes to id if it is plain byte-level BPE whose ids follow its merges."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (
+        model.get("type") == "BPE" and before.get("type") == "ByteLevel"
+        and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and all(token.get("special") for token in spec.get("added_tokens", []))
+    )
+    if not plain:
+        return None
+    byte_of = _byte_of_character()
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    tokens = [*byte_of, *merged]
+    ids = [model["vocab"].get(token) for token in tokens]
+    if None in ids or len(set(tokens)) < len(tokens) or (np.diff(ids[256:]) <= 0).any() or max(ids[:256]) > min(ids[256:], default=256):
+        return None
+    return {bytes(byte_of[c] for c in token): i for token, i in zip(tokens, ids, strict=True)}
+
+
+def _encoder(path: str) -> Encoder:
+    """The tokenizer at ``path``, once a worker process; special tokens are ordinary text.
+
+    Of a byte-level vocabulary the ids follow from its ranks alone, so that tiktoken finds
+    the same ones in a fifth of the time; any other vocabulary is left to its own library.
+    """
     if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # in a text they are ordinary text
-        _encoders[path] = PieceCache(lambda missing: (array("I", e.ids).tobytes() for e in tok.encode_batch_fast(missing, add_special_tokens=False)))
+        with open(path, encoding="utf-8") as file:
+            ranks = _ranked_bytes(json.load(file))
+        if ranks is not None:
+            fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _encoders[path] = lambda text: fast.encode_to_numpy(text, disallowed_special=())
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+            own = Tokenizer.from_file(path)
+            own.encode_special_tokens = True
+            _encoders[path] = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
     return _encoders[path]
 
 
@@ -47,17 +88,14 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _encoder(tokenizer)
-        end = array("I", [end_id]).tobytes()
+        encode = _encoder(tokenizer)
         for chunk in chunks(batches):
             rows = []
-            texts = [cut(t or "") for t in chunk.column("text").to_pylist()]
-            ids_of = cache.table(chain.from_iterable(texts)).__getitem__
-            for doc_id, pieces in zip(chunk.column("doc_id").to_pylist(), texts, strict=True):
-                data = b"".join(map(ids_of, pieces)) + end
-                for at in range(0, len(data), 4 * capacity):
-                    own = data[at : at + 4 * capacity]
-                    rows.append((doc_id, at // 4, len(own) // 4, zlib.crc32(own), len(data) // 4, *([array("I", own).tolist()] if keep_ids else [])))
+            for doc_id, text in zip(chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist(), strict=True):
+                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
+                for at in range(0, len(ids), capacity):
+                    own = ids[at : at + capacity]
+                    rows.append((doc_id, at, len(own), zlib.crc32(own), len(ids), *([own.tolist()] if keep_ids else [])))
             kinds = [*[pa.int64()] * 5, *([pa.list_(pa.int32())] if keep_ids else [])]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(kinds)])

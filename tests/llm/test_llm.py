@@ -118,6 +118,27 @@ def test_packing_keeps_every_id_once(docs):
     assert sum(map(len, ids.values())) / (1024 * len(sequences)) > 0.95
 
 
+def test_packing_encoder_gives_the_ids_of_the_tokenizer(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    characters = [chr(c) for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}a 1{c}1 .{c}. {c}{c} {c}" for c in characters]
+    texts += ["", "<|endoftext|> x", "a" * 20_000, " " * 20_000 + "b", "\n \t" * 5_000, "it's  we'LL\u00a0x"]
+    texts += [r.text or "" for r in docs.collect()]
+    encode = packing._encoder(path)
+    for text, own in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == own.ids, text[:50]
+
+
+def test_packing_leaves_other_vocabularies_to_their_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    text = "Word ends, lower case."
+    assert packing._encoder(path)(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_odd_rows(odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(odd, path, keep_ids=True).collect()
