@@ -4,8 +4,11 @@ Lines are normalised (A-Z lower-cased, white space between words collapsed) and
 line is boilerplate of a host when more of the host's distinct documents hold it than the
 limit allows; boilerplate lines are removed, and documents left with too little go.
 
-Documents of one host that share their longest line (the first of equals) count as one, so
-a text's own exact and near copies do not make all of its lines boilerplate.
+Near-duplicates count as one document, so a text's own copies do not make all of its lines
+boilerplate: texts with the same set of lines, and texts that agree on a whole band of their
+3-word windows' minimum hashes. A band has ``ROWS`` hashes, so texts that share a part ``s`` of
+their windows meet in one of ``BANDS`` bands with probability ``1 - (1 - s**ROWS)**BANDS``: over
+0.99 at 0.95, under 0.25 at 0.75, under 0.02 at 0.6. A shared line alone makes no class.
 """
 
 from __future__ import annotations
@@ -19,11 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolarium.llm.textarrays import chunks, line_hashes, mix64, words
+from symbolarium.llm.components import components
+from symbolarium.llm.textarrays import Words, chunks, line_hashes, mix64, words
 from symbolarium.llm.workspace import spare_name, stored
 
 #: Up to this many flagged lines (a host's hash and a line's, 16 bytes) are broadcast.
 BROADCAST_LINES = 200_000
+BANDS, ROWS = 8, 12
+_MULTIPLIERS = np.random.default_rng(20240602).integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -40,7 +46,7 @@ class LineLimits:
 
 _PROFILE = (
     "row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "document long, lines array<long>, line_words array<int>"
+    "document long, bands array<long>, lines array<long>, line_words array<int>"
 )
 
 
@@ -49,6 +55,36 @@ def _per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return run[at[1:]] - run[at[:-1]]
 
 
+def _line_sets(lines: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit name of each text's set of lines, whatever their order and repetition."""
+    _, once = np.unique(mix64(lines + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    once = np.sort(once)
+    run = np.zeros(len(once) + 1, np.uint64)
+    np.cumsum(mix64(lines[once]), out=run[1:])
+    at = np.searchsorted(owner[once], np.arange(n + 1))
+    return mix64(run[at[1:]] - run[at[:-1]] + np.diff(at).astype(np.uint64))
+
+
+def _bands(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of each text that has a window, in a row, and each text's bounds in them."""
+    n = len(w.first) - 1
+    count = np.maximum(np.diff(w.first) - 2, 0)
+    some = count > 0
+    bounds = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
+    out = np.zeros((int(some.sum()), BANDS), np.uint64)
+    if len(out):
+        owner = np.repeat(np.arange(n), np.diff(w.first))
+        win = mix64(w.hashes[:-2] * np.uint64(3) + mix64(w.hashes[1:-1] * np.uint64(5) + mix64(w.hashes[2:])))
+        win = win[owner[:-2] == owner[2:]]
+        at = np.r_[0, np.cumsum(count[some])[:-1]]
+        for band, row in enumerate(_MULTIPLIERS):
+            name = np.full(len(out), band, np.uint64)
+            for k in row:
+                name = mix64(name * np.uint64(3) + np.minimum.reduceat(win * k, at))
+            out[:, band] = name
+    return out.ravel(), bounds
+
+
 def _profiles(carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 40
@@ -70,30 +106,38 @@ def _profiles(carried: list[str]):
                 for k in range(3):
                     repeat[twice + k] = True
             visible = np.r_[0, np.cumsum((w.data & 0xC0) != 0x80)]
-            raw, norm = line_hashes(w), line_hashes(words(texts, lower=True))
+            low = words(texts, lower=True)
+            raw, norm = line_hashes(w), line_hashes(low)
             held = mix64(raw.exact + raw.owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             _, once = np.unique(held, return_index=True)
-            longest = np.zeros(n, np.uint64)
-            order = np.lexsort((-np.arange(len(norm.owner)), norm.size, norm.owner))
-            last = np.r_[norm.owner[order][1:] != norm.owner[order][:-1], True] if len(order) else np.zeros(0, bool)
-            longest[norm.owner[order][last]] = norm.words[order][last]
+            bands, band_bounds = _bands(low)
             bounds = np.searchsorted(norm.owner, np.arange(n + 1)).astype(np.int32)
             columns = {
                 "row": serial + np.arange(n), "n_words": np.diff(w.first),
                 "word_chars": np.bincount(owner, weights=visible[w.ends] - visible[w.starts], minlength=n).astype(np.int64),
                 "n_symbols": _per_text(_SYMBOL[w.data], w.bounds),
                 "n_dup_lines": np.bincount(raw.owner, minlength=n) - np.bincount(raw.owner[once], minlength=n),
-                "n_repeat_words": _per_text(repeat, w.first), "document": longest.view(np.int64),
+                "n_repeat_words": _per_text(repeat, w.first), "document": _line_sets(norm.words, norm.owner, n).view(np.int64),
             }
             serial += n
             arrays = [pa.array(v.astype(np.int64)) for v in columns.values()]
+            arrays.append(pa.ListArray.from_arrays(pa.array(band_bounds), pa.array(bands.view(np.int64))))
             arrays += [pa.ListArray.from_arrays(pa.array(bounds), pa.array(v)) for v in (norm.words.view(np.int64), norm.size.astype(np.int32))]
             kept = [chunk.column(c) for c in carried]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*carried, *columns, "lines", "line_words"])
+            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*carried, *columns, "bands", "lines", "line_words"])
 
     return run
 
 
+def _classes(lined: DataFrame) -> DataFrame:
+    """``(document, class)`` of the documents that are near-duplicates of others."""
+    bands = lined.select("document", F.explode("bands").alias("band")).distinct()
+    shared = stored(bands.groupBy("band").agg(F.min("document").alias("b"), F.max("document").alias("top")).where("b <> top").select("band", "b"), "shared-bands")
+    if shared.count() <= BROADCAST_LINES:
+        shared = F.broadcast(shared)
+    return components(bands.join(shared, "band").select(F.col("document").alias("a"), "b"), "copies").select(F.col("node").alias("document"), F.col("component").alias("class"))
+
+
 def _judged(docs: DataFrame, limits: LineLimits, base_failed: Column) -> tuple[DataFrame, DataFrame]:
     """Profiles of ``docs(doc_id, text, host)`` and, by ``row``, the words that boilerplate takes
     and its lines' hashes."""
@@ -102,9 +146,14 @@ def _judged(docs: DataFrame, limits: LineLimits, base_failed: Column) -> tuple[D
     profiles = stored(rows.mapInArrow(_profiles(carried), "doc_id long, host long, mark long, " + _PROFILE), "profiles")
     profiles = profiles.withColumn("base_failed", base_failed)
 
-    # Each (document, line) once, then counts: both aggregate before they shuffle.
-    holding = profiles.where("size(lines) > 0").select("host", "document", F.explode(F.array_distinct("lines")).alias("line")).distinct()
-    per_host = profiles.where("size(lines) > 0").select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    # Each (class, line) once, then counts: both aggregate before they shuffle.
+    lined = profiles.where("size(lines) > 0")
+    classes = _classes(lined)
+    few = classes.count() <= BROADCAST_LINES
+    named = lambda rows: rows.join(F.broadcast(classes) if few else classes, "document", "left").withColumn("document", F.coalesce("class", "document")).drop("class").distinct()
+    holding = lined.select("host", "document", F.explode(F.array_distinct("lines")).alias("line"))
+    holding = named(holding if few else holding.distinct())
+    per_host = named(lined.select("host", "document").distinct()).groupBy("host").agg(F.count("*").alias("documents"))
     frequent = holding.groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") > limits.least)
     frequent = stored(frequent.join(per_host, "host").where(F.col("held") * 100 > limits.share_percent * F.col("documents")).select("host", "line"), "frequent-lines")
     if frequent.count() <= BROADCAST_LINES:
@@ -127,7 +176,7 @@ def quality_verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> Data
     ``base_failed``, ``kept`` and ``n_removed_words``.
 
     Null or wordless text: zeros, base_failed. A null host is a host of its own. Repeated
-    rows are judged each; for line counts they are one document. Other columns are ignored;
+    rows are judged each; for line counts they and near-duplicates are one document. Other columns are ignored;
     an empty table gives an empty result.
     """
     profiles, taken = _judged(docs, limits, base_rules())

@@ -185,6 +185,22 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert out[101]["text"] == copies[1][1]
 
 
+def test_shared_longest_lines_count_every_document(spark):
+    rng = random.Random(7)
+    passage, footer = " ".join(f"p{k}" for k in range(60)), "kept by the house of shared words"
+    own = [(k, "\n".join([" ".join(f"a{k}b{j}" for j in range(40)), passage, footer, " ".join(f"c{k}d{j}" for j in range(45))]), "h") for k in range(100)]
+    base = [f"v{j}" for j in range(240)]
+    copies = []
+    for k in range(100, 200):
+        w = list(base)
+        w[rng.randrange(240)] = f"e{k}"
+        copies.append((k, "\n".join(" ".join(w[j : j + 30]) for j in range(0, 240, 30)), "h"))
+    docs = spark.createDataFrame(own + copies, "doc_id long, text string, host string")
+    out = {r["doc_id"]: r for r in quality.quality_verdicts(docs).collect()}
+    assert all(out[k]["n_removed_words"] == 67 and out[k]["kept"] for k in range(100))
+    assert all(out[k]["n_removed_words"] == 0 and out[k]["kept"] for k in range(100, 200))
+
+
 def test_quality_odd_rows(odd, none):
     rows = quality.quality_verdicts(odd.withColumn("host", F.col("source"))).collect()
     assert len(rows) == odd.count()
