@@ -37,11 +37,13 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 @dataclass(frozen=True)
 class LineLimits:
     """A line is boilerplate above ``least`` documents of its host and above ``share_percent``
-    of them; a document is depleted when boilerplate is over ``depleted_percent`` of its words."""
+    of them, or above ``enough`` documents whatever the host's size; a document is depleted
+    when boilerplate is over ``depleted_percent`` of its words."""
 
     least: int = 20
     share_percent: int = 2
     depleted_percent: int = 70
+    enough: int = 1000
 
 
 _PROFILE = (
@@ -155,7 +157,7 @@ def _judged(docs: DataFrame, limits: LineLimits, base_failed: Column) -> tuple[D
     holding = named(holding if few else holding.distinct())
     per_host = named(lined.select("host", "document").distinct()).groupBy("host").agg(F.count("*").alias("documents"))
     frequent = holding.groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") > limits.least)
-    frequent = stored(frequent.join(per_host, "host").where(F.col("held") * 100 > limits.share_percent * F.col("documents")).select("host", "line"), "frequent-lines")
+    frequent = stored(frequent.join(per_host, "host").where((F.col("held") * 100 > limits.share_percent * F.col("documents")) | (F.col("held") > limits.enough)).select("host", "line"), "frequent-lines")
     if frequent.count() <= BROADCAST_LINES:
         frequent = F.broadcast(frequent)
     lines = profiles.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("size"))

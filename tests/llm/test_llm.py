@@ -201,6 +201,14 @@ def test_shared_longest_lines_count_every_document(spark):
     assert all(out[k]["n_removed_words"] == 0 and out[k]["kept"] for k in range(100, 200))
 
 
+def test_widely_repeated_lines_go_from_a_large_host(spark):
+    words = F.concat_ws(" ", *(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"w{j}"))) for j in range(4)))
+    line = F.when(F.col("id") < 1001, "a passage in few of many").when(F.col("id") < 2001, "a passage in fewer of many")
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat_ws("\n", words, line).alias("text"), F.lit("h").alias("host"))
+    out = quality.quality_verdicts(docs).where("n_removed_words > 0").agg(F.count("*"), F.max("doc_id"), F.max("n_removed_words")).first()
+    assert tuple(out) == (1001, 1000, 6)
+
+
 def test_quality_odd_rows(odd, none):
     rows = quality.quality_verdicts(odd.withColumn("host", F.col("source"))).collect()
     assert len(rows) == odd.count()
