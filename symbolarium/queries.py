@@ -440,6 +440,13 @@ def bounded_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("module", F.col("name").cast("long").alias("name"), "hop")
 
 
+@query("bounded_chain_all", ORACLE_SQL["bounded_chain"].replace(" WHERE module % 10 = 6", ""))
+def bounded_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exported = catalog.exported(spark, sf_dir)
+    out = resolve.followed_chain(exported, catalog.declarations(spark, sf_dir), exported, catalog.imports(spark, sf_dir))
+    return out.select("module", F.col("name").cast("long").alias("name"), "hop")
+
+
 @query("oracle_repair", f"""{_PROBE}, missing AS (SELECT asker, module, name FROM asks ANTI JOIN probed USING (asker, module, name)),
 origins(pos, origin) AS (VALUES (0, 'Cat.Large'), (1, 'Cat.Medium')),
 fixes AS (SELECT m.asker, m.module, m.name, o.origin, o.pos FROM missing m, origins o WHERE EXISTS (
@@ -669,6 +676,14 @@ def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_plan.sections(rows, "doc_id", F.col("line").startswith("T")).where("section = 1").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query("section_lines_all", r"""WITH l AS (SELECT doc_id, i, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+g AS (SELECT *, sum(CASE WHEN starts_with(s, 'T') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l)
+SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n FROM g GROUP BY 1, 2""")
+def section_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return build_plan.sections(rows, "doc_id", F.col("line").startswith("T")).groupBy("doc_id", F.col("section").cast("long").alias("section")).agg(F.count("*").alias("n"))
+
+
 # -- markup, declarations and package sources -----------------------------------------------
 
 

@@ -35,6 +35,13 @@ def test_query_matches_its_sql(spark, duck, name):
     assert sorted(str([r[c] for c in names]) for r in rows) == sorted(str([r[at[c]] for c in names]) for r in cur.fetchall())
 
 
+def test_chains_and_sections_are_followed_everywhere(spark):
+    asked = queries.catalog.exported(spark, SF).select("module").distinct().count()
+    assert queries.QUERIES["bounded_chain_all"](spark, SF).select("module").distinct().count() == asked
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").where("text IS NOT NULL").collect()]
+    assert queries.QUERIES["section_lines_all"](spark, SF).agg(F.sum("n")).first()[0] == sum(t.count("\n") + 1 for t in texts)
+
+
 SYMBOLS = "component string, module string, name string, signature string, def_component string, def_module string, visibility string"
 
 
