@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from symbolarium.llm.samples import fold
 from symbolarium.llm.textarrays import chunks, mix64, words
-from symbolarium.llm.workspace import fresh_path, mapped_files, partitions, write_shared
+from symbolarium.llm.workspace import fresh_path, mapped_files, text_buckets, write_shared
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 #: Distinct entries a task gathers before it sends them on.
@@ -106,8 +106,11 @@ def _tokens(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
-    for b in np.unique(shard).tolist():
-        k, c = keys[shard == b], counts[shard == b]
+    order = np.argsort(shard, kind="stable")
+    shard, keys, counts = shard[order], keys[order], counts[order]
+    found, at = np.unique(shard, return_index=True)
+    for b, lo, hi in zip(found.tolist(), at, [*at[1:], len(shard)], strict=True):
+        k, c = keys[lo:hi], counts[lo:hi]
         yield {"bucket": b, "ones": _planes(k[c == 1]), "many": _planes(k[c > 1]), "times": _planes(c[c > 1].astype(np.int64)), "note": None}
 
 
@@ -161,7 +164,7 @@ def train_ngram_model(docs: DataFrame) -> NgramModel:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string"))
-    shards = partitions(spark)
+    shards = text_buckets(texts)
     model = NgramModel(fresh_path(spark, "ngrams"), shards)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from symbolarium.llm.components import components
 from symbolarium.llm.textarrays import chunks, mix64, shingle_sets, words
-from symbolarium.llm.workspace import partitions, stored
+from symbolarium.llm.workspace import stored, text_buckets
 
 #: Up to this many document ids (8 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -84,10 +84,11 @@ def _shingle_blocks(buckets: int, size: int):
             order = np.lexsort((s_doc, _bucket(s_h, buckets)))
             s_h, s_doc = s_h[order], s_doc[order]
             cut = np.searchsorted(_bucket(s_h, buckets), np.arange(buckets + 1))
-            v_bucket = _bucket(several, buckets)
+            several = several[np.argsort(_bucket(several, buckets), kind="stable")]
+            v_cut = np.searchsorted(_bucket(several, buckets), np.arange(buckets + 1))
             for b in range(buckets):
                 d = s_doc[cut[b] : cut[b + 1]]
-                v = several[v_bucket == b]
+                v = several[v_cut[b] : v_cut[b + 1]]
                 if len(d) or len(v):
                     held, count = np.unique(d, return_counts=True)
                     rows.append((b, batch, None, count.astype(np.int32).tobytes(), names[held].tobytes(), b"", s_h[cut[b] : cut[b + 1]].tobytes(), v.tobytes()))
@@ -259,9 +260,8 @@ def ngram_jaccard_components(docs: DataFrame, threshold: int = 75, size: int = 5
     are one node and give a row each. A null doc_id cannot name a component: such a row is left out. Other
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    buckets = text_buckets(docs)
     facts = stored(
         docs.mapInArrow(_shingle_blocks(buckets, size), _POSTINGS).groupBy("bucket").applyInArrow(_repeated, _FACTS),
         "facts",

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+#: Text whose words or shingles one Python worker holds at a time: some 6 million entries.
+BUCKET_BYTES = 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,6 +47,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_buckets(texts: DataFrame) -> int:
+    """How many buckets the words of ``texts(text)`` are dealt over: as many as keep each near
+    ``BUCKET_BYTES`` of text, and at least one for each shuffle partition."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(texts.sparkSession), -(-int(total) // BUCKET_BYTES))
+
+
 def write_shared(path: str, payload) -> None:
     """Write one model file; safe under task retries, as it appears only when whole."""
     fs, inner = _filesystem(path)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from symbolarium.llm import bpe, kneser_ney, language_id, lz_fingerprint, ngram_join, packing, quality, queries, sharding, toxicity, url_cascade
+from symbolarium.llm import bpe, kneser_ney, language_id, lz_fingerprint, ngram_join, packing, quality, queries, sharding, toxicity, url_cascade, workspace
 from symbolarium.llm.components import components
 from symbolarium.llm.pieces import cut
 from symbolarium.llm.textarrays import shingle_sets, words
@@ -471,6 +471,20 @@ def test_components_by_brute_force(spark, monkeypatch, block):
     assert sorted(tuple(r) for r in got) == components_by_loop(rows)
 
 
+def test_buckets_follow_the_size_of_the_text(spark, docs, monkeypatch):
+    whole = {r["doc_id"]: r["score"] for r in kneser_ney.ngram_scores(docs).collect()}
+    size = sum(len((r["text"] or "").encode()) for r in docs.collect())
+    monkeypatch.setattr(workspace, "BUCKET_BYTES", 20_000)
+    model = kneser_ney.train_ngram_model(docs)
+    assert model.shards == -(-size // 20_000) > 4
+    parts = {r["doc_id"]: r["score"] for r in kneser_ney.ngram_scores(docs).collect()}
+    assert parts.keys() == whole.keys() and all(math.isclose(parts[k], whole[k], rel_tol=1e-9) for k in whole)
+    monkeypatch.setattr(workspace, "BUCKET_BYTES", 2_000)
+    rows = near_copies(spark)
+    got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(tuple(r) for r in got) == components_by_loop(rows)
+
+
 def test_join_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
     assert sorted(tuple(r) for r in ngram_join.ngram_jaccard_components(odd).collect()) == components_by_loop(rows)
