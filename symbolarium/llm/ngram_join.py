@@ -1,23 +1,27 @@
 """N-gram Jaccard self-join with several global token orders.
 
 If the Jaccard similarity of two shingle sets is at least ``t``, then under *any* global
-order of the shingles the first ``n - ceil(t*n) + 1`` ones of both sets share a member.
-One order is by rarity over all documents: it decides which documents can have a partner
-at all, and which may be compared. Hash orders must agree before a pair is verified.
+order of the shingles the first ``n - ceil(t*n) + 1`` ones of both sets share a member, and
+of the first ``n - ceil(t*n) + l`` ones they share ``l``. Three orders are used, and a pair is
+verified only where all of them agree: one by hash, one by rarity, one by another hash.
 
 Steps, each a Spark job over partitioned rows:
 
-1. shingle every text; per shingle bucket find the shingles that two different texts hold.
-   A batch tells a shingle that several of its own texts hold only once, so a passage in a
-   third of all documents makes one posting a batch.
-2. a text can have a partner only if a share ``t`` of its set is held elsewhere; most
-   texts end here. Equal sets become one class.
-3. among the rest, rarity-order prefixes give clusters: texts chained by shared prefix
-   shingles. Every link lies within one cluster.
-4. clusters are cut into cells by set size (only neighbouring sizes can be similar) and
-   into bounded blocks by hash; each pair of blocks is one group. There, pairs must share
-   prefix members under all orders; what is left is verified exactly, and a spanning
-   forest of the links is kept, so a group of copies is never expanded into pairs.
+1. every text posts the prefix of its set under the hash order, longer by ``l``. In buckets
+   of shingles it is counted how many of them another text of similar size posts as well.
+   A text with too few can have no partner; most texts end here. A batch tells a shingle
+   that many of its own texts post only once, so a passage in a third of all documents
+   makes one posting a batch. Equal sets are one class, under one node.
+2. what is left posts its prefix under the rarity order, rarest members first. The nodes
+   that post one shingle are a list; every link lies within a list.
+3. rounds of pivots: each list takes one node, which is compared with the others, and is
+   done with it. A list whose remaining nodes are already connected is finished, so a large
+   group of near copies costs one comparison a node. Pairs must share prefix members
+   under the two hash orders as well before their whole sets are compared.
+4. lists that are open after ``ROUNDS`` rounds hold nodes that are alike in part only. They
+   are chained to clusters, cut into cells by set size (only neighbouring sizes can be
+   similar) and bounded blocks; each pair of blocks is compared under all orders, nodes
+   already connected left out, and gives a spanning forest.
 """
 
 from __future__ import annotations
@@ -34,134 +38,166 @@ from pyspark.sql import functions as F
 
 from symbolarium.llm.components import components
 from symbolarium.llm.textarrays import chunks, mix64, shingle_sets, words
-from symbolarium.llm.workspace import stored, text_buckets
+from symbolarium.llm.workspace import spare_name, stored, text_buckets
 
 #: Up to this many document ids (8 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_500_000
+#: Rounds of pivots before lists go to blocks.
+ROUNDS = 3
+#: How much longer than needed the first prefix is, as a share of the set.
+EXTRA = 0.25
+#: A batch posts a shingle for each text up to so many texts, and once for all beyond.
+FEW = 8
+#: Text whose postings one bucket holds: half of each set, some 7 million at most.
+BUCKET_BYTES = 96 << 20
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def _keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit name of each set, whatever the order: the finalised sum of its members' hashes."""
-    size = np.array([len(s) for s in sets], np.uint64)
-    total = np.array([mix64(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-    return mix64(total + size * np.uint64(0x9E3779B97F4A7C15))
+    """A 128-bit name of each set, whatever the order: two sums of its members' hashes."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    out = np.zeros((len(sets), 2), np.uint64)
+    some = size > 0
+    at = np.r_[0, np.cumsum(size[some])[:-1]].astype(np.int64)
+    for k, salt in enumerate((np.uint64(0), np.uint64(0xA0761D6478BD642F))):
+        if len(flat):
+            out[some, k] = np.add.reduceat(mix64(flat ^ salt), at)
+        out[:, k] = mix64(out[:, k] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out.view(np.int64)
+
+
+def _need(n, threshold: int):
+    return -(-threshold * n // 100)
+
+
+def _extra(n: np.ndarray, threshold: int) -> np.ndarray:
+    """By how much the first prefix of a set of ``n`` is longer than one that shares a member."""
+    return np.minimum(np.maximum(np.ceil(EXTRA * n), 1), _need(n, threshold)).astype(np.int64)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-_POSTINGS = "bucket int, batch long, ids binary, counts binary, keys binary, held binary, single binary, several binary"
-_FACTS = "kind int, doc_id long, key long, n long, batch long, c long"
+_POSTINGS = "bucket int, ids binary, marks binary, key binary, n binary, node binary, counts binary, single binary, several binary"
+_FACTS = "kind int, doc_id long, mark long, key long, key2 long, n long, node long, c long"
+_BINARY = _POSTINGS.replace(" binary", "").split(", ")[1:]
 
 
-def _shingle_blocks(buckets: int, size: int):
+def _prefix_blocks(buckets: int, size: int, threshold: int):
     """Per chunk of texts: one row of facts, and a row of postings for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for seq, chunk in enumerate(chunks(batches)):
-            batch = (part << 32) + seq
             sets = shingle_sets(words(chunk.column("text"), lower=True), size)
             keys = _keys(sets)
             n = np.array([len(s) for s in sets], np.int64)
-            _, reps = np.unique(keys, return_index=True)
-            reps = reps[n[reps] > 0]
-            h = np.concatenate([sets[i] for i in reps] or [np.zeros(0, np.uint64)])
-            doc = np.repeat(np.arange(len(reps)), n[reps])
+            _, reps, own = np.unique(keys.view("V16").ravel(), return_index=True, return_inverse=True)
+            node = (part << 43 | seq << 21) + reps[own]
+            reps = np.sort(reps[n[reps] > 0])
+            length = n[reps] - _need(n[reps], threshold) + _extra(n[reps], threshold)
+            h = np.concatenate([sets[i][:k] for i, k in zip(reps, length, strict=True)] or [np.zeros(0, np.uint64)])
+            doc = np.repeat(np.arange(len(reps)), length)
             order = np.argsort(h, kind="stable")
             h, doc = h[order], doc[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = h[1:] != h[:-1]
-            run_of = np.cumsum(fresh) - 1
-            many = np.bincount(run_of, minlength=1)[run_of] > 1 if len(h) else np.zeros(0, bool)
+            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            many = np.repeat(np.diff(np.r_[at, len(h)]) > FEW, np.diff(np.r_[at, len(h)]))
             local = np.bincount(doc[many], minlength=len(reps))
-            names = keys[reps].view(np.int64)
-            rows = [(int(batch % buckets), batch, chunk.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), n.tobytes(), keys.view(np.int64).tobytes(), None, names.tobytes(), local.astype(np.int64).tobytes())]
-            several = h[many & fresh]
-            s_h, s_doc = h[~many], doc[~many]
-            order = np.lexsort((s_doc, _bucket(s_h, buckets)))
-            s_h, s_doc = s_h[order], s_doc[order]
-            cut = np.searchsorted(_bucket(s_h, buckets), np.arange(buckets + 1))
+            several = np.unique(h[many])
+            h, doc = h[~many], doc[~many]
+            order = np.lexsort((doc, _bucket(h, buckets)))
+            h, doc = h[order], doc[order]
+            cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
             several = several[np.argsort(_bucket(several, buckets), kind="stable")]
             v_cut = np.searchsorted(_bucket(several, buckets), np.arange(buckets + 1))
+            known = chunk.column("doc_id").is_valid()
+            ids = pc.fill_null(chunk.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = np.r_[ids, known.to_numpy(zero_copy_only=False).astype(np.int64)]
+            marks = chunk.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = [((part + seq) % buckets, ids, marks, keys, n, node, np.c_[node[reps], local], None, None)]
             for b in range(buckets):
-                d = s_doc[cut[b] : cut[b + 1]]
-                v = several[v_cut[b] : v_cut[b + 1]]
+                d, v = doc[cut[b] : cut[b + 1]], several[v_cut[b] : v_cut[b + 1]]
                 if len(d) or len(v):
                     held, count = np.unique(d, return_counts=True)
-                    rows.append((b, batch, None, count.astype(np.int32).tobytes(), names[held].tobytes(), b"", s_h[cut[b] : cut[b + 1]].tobytes(), v.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 6], strict=True)],
-                names=["bucket", "batch", "ids", "counts", "keys", "held", "single", "several"],
-            )
+                    own = reps[held]
+                    rows.append((b, None, None, keys[own], n[own], node[own], count, h[cut[b] : cut[b + 1]], v))
+            columns = [pa.array([r[0] for r in rows], pa.int32())]
+            columns += [pa.array([None if r[k] is None else r[k].tobytes() for r in rows], pa.binary()) for k in range(1, 9)]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", *_BINARY])
 
     return run
 
 
-def _facts(kind, doc_id=None, key=None, n=None, batch=None, c=None, size=0) -> pa.Table:
+def _facts(kind: int, size: int = 0, **columns: np.ndarray) -> pa.Table:
     none = pa.nulls(size, pa.int64())
-    columns = [pa.array(x, pa.int64()) if x is not None else none for x in (doc_id, key, n, batch, c)]
-    return pa.table([pa.array(np.full(size, kind, np.int32)), *columns], names=["kind", "doc_id", "key", "n", "batch", "c"])
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """One bucket: how many of each text's shingles some other text holds as well."""
-    out = []
-    key, batch, h, gid = [], [], [], []
-    several = [np.zeros(0, np.uint64)]
-    base = 0
-    view = lambda row, name, kind: np.frombuffer(row[name].as_buffer(), kind)
-    for part in table.to_batches():
-        for row in (dict(zip(part.schema.names, cells, strict=True)) for cells in zip(*part.columns, strict=True)):
-            if not row["held"].is_valid:
-                ids = view(row, "ids", np.int64)
-                out.append(_facts(0, ids, view(row, "keys", np.int64), view(row, "counts", np.int64), size=len(ids)))
-                names = view(row, "single", np.int64)
-                out.append(_facts(1, key=names, batch=np.full(len(names), row["batch"].as_py()), c=view(row, "several", np.int64), size=len(names)))
-                continue
-            names = view(row, "keys", np.int64)
-            key.append(names)
-            batch.append(np.full(len(names), row["batch"].as_py()))
-            gid.append(np.repeat(np.arange(base, base + len(names), dtype=np.int32), view(row, "counts", np.int32)))
-            base += len(names)
-            h.append(view(row, "single", np.uint64))
-            several.append(view(row, "several", np.uint64))
-    if base:
-        key, batch, gid = np.concatenate(key), np.concatenate(batch), np.concatenate(gid)
-        h = np.concatenate(h)
-        if len(h):
-            order = np.argsort(h)
-            h, gid = h[order], gid[order]
-            del order
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            at = np.flatnonzero(first)
-            own = key[gid]
-            hit = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
-            del own, first
-            hit |= np.isin(h[at], np.concatenate(several))
-            gid = gid[np.repeat(hit, np.diff(np.r_[at, len(h)]))]
-            which, count = np.unique(gid, return_counts=True)
-            out.append(_facts(1, key=key[which], batch=batch[which], c=count, size=len(which)))
-    return pa.concat_tables(out) if out else _facts(0)
-
-
-def _as_sets(size: int):
+    names = [c.split()[0] for c in _FACTS.split(", ")[1:]]
+    return pa.table([pa.array(np.full(size, kind, np.int32)), *(pa.array(columns[c], pa.int64()) if c in columns else none for c in names)], names=["kind", *names])
+
+
+def _partnered(threshold: int):
+    """One bucket: how many of each text's postings another text of similar size makes as well."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out, whole = [], {k: [] for k in _BINARY}
+        kinds = {"single": np.uint64, "several": np.uint64}
+        for part in table.to_batches():
+            for row in (dict(zip(part.schema.names, cells, strict=True)) for cells in zip(*part.columns, strict=True)):
+                view = {k: np.frombuffer(row[k].as_buffer(), kinds.get(k, np.int64)) for k in _BINARY if row[k].is_valid}
+                if "single" in view:
+                    for k, v in view.items():
+                        whole[k].append(v)
+                    continue
+                ids, known = view["ids"].reshape(2, -1)
+                keys, reps = view["key"].reshape(-1, 2), view["counts"].reshape(-1, 2)
+                out.append(_facts(0, len(ids), doc_id=pa.array(ids, mask=known == 0), mark=view["marks"], key=keys[:, 0], key2=keys[:, 1], n=view["n"], node=view["node"]))
+                reps = reps[reps[:, 1] > 0]
+                out.append(_facts(1, len(reps), node=reps[:, 0], c=reps[:, 1]))
+        if whole["single"]:
+            view = {k: np.concatenate(v) for k, v in whole.items() if v}
+            h, n, name = view["single"], view["n"], view["key"].reshape(-1, 2)[:, 0]
+            text = np.repeat(np.arange(len(n), dtype=np.int32), view["counts"])
+            order = np.lexsort((n.astype(np.int32)[text], h))
+            h, text = h[order], text[order]
+            size = n[text]
+            at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (size[1:] != size[:-1])]) if len(h) else np.zeros(0, np.int64)
+            if len(at):
+                # Runs of equal shingle and size: several sets in one, or a run of similar size beside it.
+                own = name[text]
+                hit = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
+                near = (h[at[1:]] == h[at[:-1]]) & (100 * size[at[:-1]] >= threshold * size[at[1:]])
+                hit[1:] |= near
+                hit[:-1] |= near
+                hit |= np.isin(h[at], view["several"])
+                text = text[np.repeat(hit, np.diff(np.r_[at, len(h)]))]
+                which, count = np.unique(text, return_counts=True)
+                out.append(_facts(1, len(which), node=view["node"][which], c=count))
+        return pa.concat_tables(out) if out else _facts(0)
+
+    return run
+
+
+def _as_sets(size: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             sets = shingle_sets(words(chunk.column("text"), lower=True), size)
-            offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            keys = _keys(sets)
+            other = [s[np.argsort(mix64(s ^ _OTHER))[: len(s) - _need(len(s), threshold) + 1]] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_keys(sets).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["key", "shingles"],
+                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists(sets), _lists(other)], names=["key", "key2", "shingles", "other"]
             )
 
     return run
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def _prefix_pairs(ids: np.ndarray, doc: np.ndarray, n: np.ndarray, rank: np.ndarray, prefix: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which (left, right) texts share one of their first ``prefix`` members under ``rank``."""
     order = np.lexsort((rank, doc))
@@ -198,35 +234,35 @@ def _shared(ids: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarra
 def _linked(threshold: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         same = (key[1].as_py(), key[2].as_py()) == (key[3].as_py(), key[4].as_py())
-        rep = table.column("rep").to_numpy()
+        node, known = table.column("node").to_numpy(), table.column("known").to_numpy()
         lists = table.column("shingles").combine_chunks()
         n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        doc = np.repeat(np.arange(len(rep)), n)
+        doc = np.repeat(np.arange(len(node)), n)
         side = table.column("side").to_numpy()
-        left = np.arange(len(rep)) if same else np.flatnonzero(side == 0)
+        left = np.arange(len(node)) if same else np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         a = b = np.zeros(0, np.int64)
-        if len(left) and len(right) and len(rep) > 1:
+        if len(left) and len(right) and len(node) > 1:
             _, ids, count = np.unique(flat, return_inverse=True, return_counts=True)
-            prefix = n - -(-threshold * n // 100) + 1
-            # Global orders: by rarity here, by hash, by another hash.
-            ok = _prefix_pairs(ids, doc, n, count[ids].astype(np.float64) * len(count) + ids, prefix, left, right)
-            for salt in (1, 2):
-                if ok.any():
-                    ok &= _prefix_pairs(ids, doc, n, mix64(flat ^ np.uint64(salt * 0x5851F42D4C957F2D)), prefix, left, right)
+            prefix = n - _need(n, threshold) + 1
+            ok = known[left][:, None] != known[right][None, :]
             if same:
                 ok &= np.triu(np.ones(ok.shape, bool), 1)
+            # Global orders: by rarity here, by hash, by another hash.
+            for rank in (count[ids].astype(np.float64) * len(count) + ids, flat, mix64(flat ^ _OTHER)):
+                if ok.any():
+                    ok &= _prefix_pairs(ids, doc, n, rank, prefix, left, right)
             rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
             if len(rows):
-                part = np.zeros(len(rep), bool)
+                part = np.zeros(len(node), bool)
                 part[left[rows]] = part[right[cols]] = True
                 on = part[doc]
-                both = _shared(ids[on], doc[on], left[rows], right[cols], len(rep)).astype(np.int64)
+                both = _shared(ids[on], doc[on], left[rows], right[cols], len(node)).astype(np.int64)
                 union = n[left[rows]][:, None] + n[right[cols]][None, :] - both
                 i, j = np.nonzero((100 * both >= threshold * union) & ok[np.ix_(rows, cols)])
-                a, b = _forest(left[rows][i], right[cols][j], len(rep))
-        return pa.table({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
+                a, b = _forest(left[rows][i], right[cols][j], len(node))
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
 
     return run
 
@@ -250,66 +286,67 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return a[keep], b[keep]
 
 
-def ngram_jaccard_components(docs: DataFrame, threshold: int = 75, size: int = 5) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to ``(doc_id, n_shingles, component_id)``, a row per document.
-
-    Two documents link when ``100 * |A & B| >= threshold * |A | B|`` over their sets of
-    ``size``-word shingles (A-Z lower-cased); the component is the smallest doc_id reachable.
-    Null or wordless text: an empty set, linked with nothing, its own component. A text
-    shorter than a shingle has one, its whole word sequence. Repeated rows of one doc_id
-    are one node and give a row each. A null doc_id cannot name a component: such a row is left out. Other
-    columns are ignored, whatever their names; an empty table gives an empty result.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    buckets = text_buckets(docs)
-    facts = stored(
-        docs.mapInArrow(_shingle_blocks(buckets, size), _POSTINGS).groupBy("bucket").applyInArrow(_repeated, _FACTS),
-        "facts",
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose sets are similar, after both hash orders agree."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"), F.col("other").alias(f"o{c}"))
+    n = {c: F.size(f"s{c}") for c in "ab"}
+    first = {c: F.slice(f"s{c}", F.lit(1), (n[c] - F.ceil(n[c] * threshold / 100) + 1).cast("int")) for c in "ab"}
+    both = F.size(F.array_intersect("sa", "sb"))
+    return (
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .where(F.arrays_overlap("oa", "ob")).where(F.arrays_overlap(first["a"], first["b"]))
+        .where(100 * both >= threshold * (n["a"] + n["b"] - both)).select("a", "b")
     )
-    info = facts.where("kind = 0").select("doc_id", "key", "n")
-    held = facts.where("kind = 1").groupBy("key", "batch").agg(F.sum("c").alias("c")).groupBy("key").agg(F.max("c").alias("c"))
-    # A node is a doc_id; a class of equal sets goes by its smallest one.
-    classes = info.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    alive = stored(classes.join(held, "key").where(F.col("c") * 100 >= threshold * F.col("n")).select("rep", "key"), "alive")
-    ids = alive.select(F.col("rep").alias("doc_id")).distinct()
-    if alive.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_as_sets(size), "key long, shingles array<long>")
-    sets = stored(sets.dropDuplicates(["key"]).join(alive, "key").select("rep", F.size("shingles").cast("long").alias("n"), "shingles"), "sets")
 
-    members = sets.select("rep", "n", F.explode("shingles").alias("h"))
+
+def _links(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links that connect what all links of ``sets(node, n, shingles, other)`` connect, and their
+    components if they are known already."""
+    members = sets.select("node", "n", F.explode("shingles").alias("h"))
     shared = members.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     need = F.ceil(F.col("n") * threshold / 100)
-    prefixes = (
-        members.join(shared, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    open_lists = stored(
+        members.join(shared, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
         .where(F.size("s") >= need)
-        .select("rep", F.explode(F.slice("s", F.lit(1), (F.size("s") - need + 1).cast("int"))).alias("x"))
-        .select("rep", F.col("x.h").alias("h"))
-    )
-    prefixes = stored(prefixes, "prefixes")
-    star = prefixes.groupBy("h").agg(F.min("rep").alias("b"))
-    clusters = components(prefixes.join(star, "h").select(F.col("rep").alias("a"), "b"), "clusters")
-    links = _cells(sets, clusters.select(F.col("node").alias("rep"), "component"), threshold)
-    same_id = info.where("n > 0").join(classes.select("key", "rep"), "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # Rows that repeat a doc_id with other texts tie their classes together.
-    ties = same_id.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("top")).where("b <> top OR b <> a")
-    ties = ties.select("a", "b").unionByName(ties.select("a", F.col("top").alias("b")))
-    linked = components(links.unionByName(ties), "linked")
-    return (
-        info.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        .select("node", "n", F.explode(F.slice("s", F.lit(1), (F.size("s") - need + 1).cast("int"))).alias("x"))
+        .select("node", "n", F.col("x.h").alias("h"), F.col("node").alias("c")),
+        "prefixes",
     )
+    links = groups = None
+    for turn in range(ROUNDS):
+        # The first pivot of a list is its smallest node; later ones come from its smallest group.
+        if turn == 0:
+            pivots = open_lists.groupBy("h").agg(F.min(F.struct("node", "n", "c")).alias("p"), F.count("*").alias("k")).where("k > 1")
+        else:
+            of = open_lists.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("node", "n")).alias("p"))
+            pivots = of.groupBy("h").agg(F.min(F.struct("k", "p", "c")).alias("q")).select("h", F.struct("q.p.node", "q.p.n", "q.c").alias("p"))
+        beside = open_lists.join(pivots.select("h", "p"), "h").where("node <> p.node")
+        similar_size = 100 * F.least("n", "p.n") >= threshold * F.greatest("n", "p.n")
+        pairs = beside.where("c <> p.c").where(similar_size).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        found = stored(_verified(pairs, sets, threshold), "links")
+        links = found if links is None else links.unionByName(found)
+        groups = components(links, "groups")
+        now = beside.select("node", "n", "h").join(groups, "node", "left").select("node", "n", "h", F.coalesce("component", "node").alias("c"))
+        mixed = now.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low <> top").select("h")
+        open_lists = stored(now.join(mixed, "h", "left_semi"), "open-lists")
+        if open_lists.isEmpty():
+            return links, groups
+    star = open_lists.groupBy("h").agg(F.min("node").alias("b"))
+    clusters = components(open_lists.join(star, "h").select(F.col("node").alias("a"), "b"), "clusters")
+    known = open_lists.groupBy("node").agg(F.first("c").alias("known"))
+    rest = _cells(sets.join(known, "node"), clusters, threshold)
+    return rest if links is None else links.unionByName(rest), None
 
 
 def _cells(sets: DataFrame, clusters: DataFrame, threshold: int) -> DataFrame:
     """Verified links ``(a, b)`` within clusters, by pairs of bounded blocks."""
     width = -math.log(threshold / 100) * 1.0001 if threshold < 100 else 1e-9
-    placed = sets.join(clusters, "rep")
+    placed = sets.join(clusters, "node")
     whole = placed.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("mass"))
     small = (F.col("docs") <= BLOCK_DOCS) & (F.col("mass") <= BLOCK_SHINGLES)
     placed = stored(
         placed.join(whole, "component").withColumn("g", F.when(small, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / width)).cast("long"))
-        .select("rep", "shingles", "n", "component", "g"),
+        .select("node", "known", "shingles", "n", "component", "g"),
         "placed",
     )
     blocks = placed.groupBy("component", "g").agg(
@@ -325,8 +362,98 @@ def _cells(sets: DataFrame, clusters: DataFrame, threshold: int) -> DataFrame:
         F.transform(upto("up"), lambda j: cell(0, g, b, g + 1, j)),
         F.transform(upto("down"), lambda j: cell(1, g - 1, j, g, b)),
     )
-    return (
-        placed.join(blocks, ["component", "g"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")))
-        .select("rep", "shingles", "component", F.explode(pairs).alias("p")).select("rep", "shingles", "component", "p.*")
-        .groupBy("component", "gl", "bl", "gr", "br").applyInArrow(_linked(threshold), "a long, b long")
+    return stored(
+        placed.join(blocks, ["component", "g"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")))
+        .select("node", "known", "shingles", "component", F.explode(pairs).alias("p")).select("node", "known", "shingles", "component", "p.*")
+        .groupBy("component", "gl", "bl", "gr", "br").applyInArrow(_linked(threshold), "a long, b long"),
+        "block-links",
     )
+
+
+def _grouped(docs: DataFrame, threshold: int, size: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, mark, n, key, key2)`` of every row of ``docs(doc_id, text)``, ``mark`` being its
+    text's hash, and ``(key, key2, node, component, doc)`` of every class of equal sets that has
+    several rows or is linked: ``doc`` is the smallest doc_id of the component, null if it has none.
+    With ``by_id``, classes that hold rows of one doc_id belong together as well."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
+    buckets = text_buckets(docs, BUCKET_BYTES)
+    facts = stored(
+        docs.mapInArrow(_prefix_blocks(buckets, size, threshold), _POSTINGS).groupBy("bucket").applyInArrow(_partnered(threshold), _FACTS),
+        "facts",
+    )
+    info = facts.where("kind = 0").select("doc_id", "mark", "n", "key", "key2", "node")
+    held = facts.where("kind = 1").groupBy("node").agg(F.sum("c").alias("c"))
+    classes = info.where("n > 0").groupBy("key", "key2").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.count("*").alias("rows"))
+    # A partner may be smaller by the threshold, and its prefix then shorter in proportion.
+    least = F.greatest(F.lit(1), F.ceil(F.lit(EXTRA) * F.ceil(F.col("n") * threshold / 100)))
+    alive = stored(
+        info.select("node", "key", "key2", "n").distinct().join(held, "node").where(F.col("c") >= F.least(least, F.ceil(F.col("n") * threshold / 100)))
+        .select("key", "key2").distinct().join(classes, ["key", "key2"]).select("key", "key2", "node"),
+        "alive",
+    )
+    # One row of each class that is left gives its set.
+    source = info.join(alive.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select("x.doc_id", "x.mark").distinct()
+    if alive.count() <= BROADCAST_IDS:
+        source = F.broadcast(source)
+    texts = docs.join(source.select(F.col("doc_id").alias("id"), F.col("mark").alias("m")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left_semi")
+    sets = texts.select("text").mapInArrow(_as_sets(size, threshold), "key long, key2 long, shingles array<long>, other array<long>")
+    sets = stored(
+        sets.dropDuplicates(["key", "key2"]).join(alive, ["key", "key2"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles", "other"), "sets"
+    )
+    links, groups = _links(sets, threshold)
+    if by_id:
+        several = info.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("key", "key2")).alias("low"), F.max(F.struct("key", "key2")).alias("top")).where("low <> top").select("doc_id")
+        ties = stored(info.join(several, "doc_id", "left_semi").where("n > 0").select("doc_id", "key", "key2").join(classes, ["key", "key2"]).select("doc_id", "node"), "ties")
+        if not ties.isEmpty():
+            first = ties.groupBy("doc_id").agg(F.min("node").alias("b"))
+            links, groups = links.unionByName(ties.join(first, "doc_id").select(F.col("node").alias("a"), "b")), None
+    if groups is None:
+        groups = components(links, "linked")
+    grouped = classes.join(groups, "node", "left").where("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
+    least_doc = grouped.groupBy("component").agg(F.min("doc").alias("least"))
+    return info, stored(grouped.join(least_doc, "component").select("key", "key2", "node", "component", F.col("least").alias("doc")), "classes")
+
+
+def _placed_rows(info: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Every row with its class's component, null where it is alone."""
+    if grouped.count() <= BROADCAST_IDS:
+        grouped = F.broadcast(grouped)
+    return info.drop("node").join(grouped, ["key", "key2"], "left")
+
+
+def ngram_jaccard_components(docs: DataFrame, threshold: int = 75, size: int = 5) -> DataFrame:
+    """``docs(doc_id, text, ...)`` to ``(doc_id, n_shingles, component_id)``, a row per document.
+
+    Two documents link when ``100 * |A & B| >= threshold * |A | B|`` over their sets of
+    ``size``-word shingles (A-Z lower-cased); the component is the smallest doc_id reachable.
+    Null or wordless text: an empty set, linked with nothing, its own component. A text
+    shorter than a shingle has one, its whole word sequence. Repeated rows of one doc_id
+    are one node and give a row each. A row with a null doc_id links like any other and names
+    no component: its own is the smallest doc_id it reaches, null where it reaches none. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
+    """
+    rows = _placed_rows(*_grouped(docs, threshold, size, by_id=True))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def ngram_jaccard_distinct(docs: DataFrame, threshold: int = 75, size: int = 5) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)``, all columns, one of each near-duplicate group.
+
+    Rows are linked by their texts alone, as in ``ngram_jaccard_components``; of a group the
+    row with the smallest doc_id stays (null last; of several texts with it, that of the smallest
+    hash; of repeated rows, one). Rows without a word are linked with nothing and all stay.
+    """
+    info, grouped = _grouped(docs.select("doc_id", "text"), threshold, size, by_id=False)
+    rows = _placed_rows(info, grouped).where("component IS NOT NULL")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("id"), F.col("x.mark").alias("m"), F.lit(True).alias("stays"))
+    grouped = rows.select("doc_id", "mark").distinct().join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left")
+    mark, stays = spare_name(docs, "_mark"), spare_name(docs, "_stays")
+    grouped = stored(grouped.select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), F.coalesce("stays", F.lit(False)).alias(stays)), "grouped")
+    if grouped.count() <= BROADCAST_IDS:
+        grouped = F.broadcast(grouped)
+    marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    key = F.struct(F.col("id").alias("i"), F.col("m").alias("m")), F.struct(marked["doc_id"].cast("long").alias("i"), marked[mark].alias("m"))
+    marked = marked.join(grouped.select(key[0].alias("_key"), stays), F.col("_key") == key[1], "left")
+    alone, winners = marked.where(F.col(stays).isNull()), marked.where(F.col(stays))
+    return alone.select(*docs.columns).unionByName(winners.dropDuplicates(["doc_id", mark]).select(*docs.columns))

@@ -47,11 +47,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_buckets(texts: DataFrame) -> int:
+def text_buckets(texts: DataFrame, bucket_bytes: int | None = None) -> int:
     """How many buckets the words of ``texts(text)`` are dealt over: as many as keep each near
-    ``BUCKET_BYTES`` of text, and at least one for each shuffle partition."""
+    ``bucket_bytes`` of text (``BUCKET_BYTES``), and at least one for each shuffle partition."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(partitions(texts.sparkSession), -(-int(total) // BUCKET_BYTES))
+    return max(partitions(texts.sparkSession), -(-int(total) // (bucket_bytes or BUCKET_BYTES)))
 
 
 def write_shared(path: str, payload) -> None:

@@ -459,12 +459,16 @@ def near_copies(spark, n=70):
             w[rng.randrange(150)] = f"e{rng.randrange(1000)}"
         rows.append((1000 - i, " ".join(w)))
     rows += [(2000 + i, " ".join([f"u{i}x{k}" for k in range(rng.choice([5, 15, 40]))] + passage)) for i in range(30)]
+    for i in range(40):  # alike in part: a run of a long text, each a little further on
+        rows.append((3000 + i, " ".join(f"r{k}" for k in range(7 * i, 7 * i + rng.randrange(40, 60)))))
+    rows += [(4000 + i, " ".join(f"s{k}" for k in range(i % 7 + 1))) for i in range(14)]
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_components_by_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "rounds"), [(512, 3), (7, 3), (7, 1), (512, 0), (7, 0)])
+def test_components_by_brute_force(spark, monkeypatch, block, rounds):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 1000 if block > 7 else 0)
     rows = near_copies(spark)
     got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
@@ -479,7 +483,7 @@ def test_buckets_follow_the_size_of_the_text(spark, docs, monkeypatch):
     assert model.shards == -(-size // 20_000) > 4
     parts = {r["doc_id"]: r["score"] for r in kneser_ney.ngram_scores(docs).collect()}
     assert parts.keys() == whole.keys() and all(math.isclose(parts[k], whole[k], rel_tol=1e-9) for k in whole)
-    monkeypatch.setattr(workspace, "BUCKET_BYTES", 2_000)
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 2_000)
     rows = near_copies(spark)
     got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert sorted(tuple(r) for r in got) == components_by_loop(rows)
@@ -487,10 +491,28 @@ def test_buckets_follow_the_size_of_the_text(spark, docs, monkeypatch):
 
 def test_join_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
-    assert sorted(tuple(r) for r in ngram_join.ngram_jaccard_components(odd).collect()) == components_by_loop(rows)
+    got = [tuple(r) for r in ngram_join.ngram_jaccard_components(odd).collect()]
+    # The row without doc_id copies document 6: it links, and names no component.
+    assert sorted(r for r in got if r[0] is not None) == components_by_loop(rows)
+    assert [r for r in got if r[0] is None] == [(None, 76, 6)]
     assert ngram_join.ngram_jaccard_components(none).count() == 0
 
 
+def test_distinct_keeps_one_row_of_each_group(spark, odd, none):
+    rng = random.Random(9)
+    text = {k: " ".join(f"t{k}w{j}" for j in range(60)) for k in range(6)}
+    rows = [(7, text[0]), (7, text[1]), (7, text[1]), (3, text[1] + " more"), (None, text[2]), (None, text[2]), (9, text[3]), (None, text[3]), (4, None), (4, ""), (5, text[4])]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, "m", True) for r in rows], "doc_id long, text string, _mark string, stays boolean")
+    out = ngram_join.ngram_jaccard_distinct(docs)
+    assert out.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == collections.Counter([(7, text[0]), (3, text[1] + " more"), (None, text[2]), (9, text[3]), (4, None), (4, ""), (5, text[4])])
+    kept = collections.Counter(r["doc_id"] for r in ngram_join.ngram_jaccard_distinct(odd).collect())
+    assert kept == collections.Counter([1, 2, 3, 4, 5, 6, 9, 10, 11])
+    assert ngram_join.ngram_jaccard_distinct(none).count() == 0
+
+
 def test_star_contraction(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 7)] + [(200 + k, 200) for k in range(30)] + [(5, 5), (None, 3)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
