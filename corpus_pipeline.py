@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from symbolarium.llm.language_id import identify, train_language_model
-from symbolarium.llm.ngram_join import ngram_jaccard_components
+from symbolarium.llm.ngram_join import ngram_jaccard_distinct
 from symbolarium.llm.packing import pack
 from symbolarium.llm.quality import without_boilerplate
 from symbolarium.llm.workspace import stored
@@ -28,12 +28,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def deduplication_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id; of several rows
-    with that doc_id, one. Rows without doc_id belong to no group and stay."""
-    groups = ngram_jaccard_components(docs.select("doc_id", "text"))
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near-duplicate texts the row with the smallest doc_id (null last); of
+    several texts with that doc_id the one with the smallest hash, of repeated rows one. Texts
+    without a word stay; so do different texts under one doc_id. An empty table stays empty."""
+    return ngram_jaccard_distinct(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
