@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import operator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolarium.llm.pieces import PieceCache, cut
+from symbolarium.llm.pieces import PieceCache
 from symbolarium.llm.textarrays import chunks
 
 
@@ -34,7 +35,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class BacktrackingBpe:
     """Encodes one pre-token at a time; ``ranks`` maps each token's bytes to its id."""
 
-    #: Remembered neighbour pairs and pre-tokens before these memories start anew.
+    #: Remembered neighbour pairs before this memory starts anew.
     MEMORY = 400_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
@@ -43,13 +44,19 @@ class BacktrackingBpe:
         self.bytes_of = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.last_merge: dict[int, tuple[int, int]] = {}
         self.compatible_pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
         self.tokens = ahocorasick.Automaton()
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         for token, rank in ranks.items():  # in rank order, so parts come before wholes
             if len(token) == 1 or self._split(token, rank):
-                self.tokens.add_word(token.decode("latin-1"), (len(token), rank))
+                self.tokens.add_word(token.decode("latin-1"), rank)
+        #: The longest token that each token begins with, itself left out.
+        self.shorter = {rank: self._prefix(token) for token, rank in ranks.items()}
         self.tokens.make_automaton()
 
+    def _prefix(self, token: bytes) -> int | None:
+        parts = (token[:end].decode("latin-1") for end in range(len(token) - 1, 0, -1))
+        return next((self.tokens.get(part) for part in parts if part in self.tokens), None)
+
     def _split(self, token: bytes, rank: int) -> bool:
         """Find the merge that makes ``token``; False if merges never give it as a whole.
 
@@ -96,59 +103,45 @@ class BacktrackingBpe:
             found = self.compatible_pairs[key] = self._apart(left, right, 1 << 62)
         return found
 
-    def _matches(self, word: bytes) -> list[list[tuple[int, int]]]:
-        """For every position the ``(length, id)`` of tokens that start there, longest last."""
-        out: list[list[tuple[int, int]]] = [[] for _ in range(len(word))]
-        for end, (size, rank) in self.tokens.iter(word.decode("latin-1")):
-            out[end - size + 1].append((size, rank))
-        return out
-
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(word)
         if whole is not None:
             return (whole,)
-        options = self._matches(word)
+        text, known = word.decode("latin-1"), self.compatible_pairs.get
+        longest = {end + 1 - self.size[rank]: rank for end, rank in self.tokens.iter_long(text)}
         ids: list[int] = []
-        at, starts, dead = 0, [], bytearray(len(word) + 1)
-        left = len(options[0]) - 1  # index of the next option to try at ``at``
-        tries: list[int] = []
+        at, token, dead = 0, longest[0], bytearray(len(word) + 1)
         while at < len(word):
-            here = options[at]
-            while left >= 0:
-                size, rank = here[left]
-                if not dead[at + size] and (not ids or self.compatible(ids[-1], rank)):
-                    break
-                left -= 1
-            if left < 0:  # nothing fits: this position is closed, and the last token is taken back
-                dead[at] = 1
-                ids.pop()
-                at, left = starts.pop(), tries.pop() - 1
+            end = at + self.size[token]
+            if not dead[end] and (not ids or known((ids[-1], token)) or self.compatible(ids[-1], token)):
+                ids.append(token)
+                at = end
+                if at < len(word):
+                    token = longest.get(at)
+                    if token is None:
+                        token = longest[at] = next(self.tokens.iter_long(text, at))[1]
                 continue
-            ids.append(rank)
-            starts.append(at)
-            tries.append(left)
-            at += size
-            if at < len(word):
-                left = len(options[at]) - 1
+            token = self.shorter[token]
+            while token is None:  # nothing fits: this position is closed, and the last token is taken back
+                dead[at] = 1
+                token = ids.pop()
+                at -= self.size[token]
+                token = self.shorter[token]
         return tuple(ids)
 
     def encode(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for word in self.find(text):
-            ids = self.known.get(word)
-            if ids is None:
-                if len(self.known) >= self.MEMORY // 4:
-                    self.known.clear()
-                ids = self.known[word] = self.encode_word(word.encode("utf-8"))
-            out += ids
-        return tuple(out)
-
-    def decode(self, ids: Iterator[int]) -> bytes:
+        return tuple(chain.from_iterable(self.encode_word(word.encode("utf-8")) for word in self.find(text)))
+
+    def said(self, ids: tuple[int, ...]) -> tuple[bytes, bytes]:
+        """The ids as decimal numbers, and the bytes decoded from them."""
+        return ",".join(map(str, ids)).encode(), self.decode(ids)
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 _codecs: dict[tuple[str, str], BacktrackingBpe] = {}
-_caches: dict[tuple[str, str], PieceCache] = {}
+_caches: dict[tuple, PieceCache] = {}
 
 
 def codec(path: str, pattern: str) -> BacktrackingBpe:
@@ -158,34 +151,37 @@ def codec(path: str, pattern: str) -> BacktrackingBpe:
     return _codecs[path, pattern]
 
 
-def _encoded(chunk: pa.RecordBatch, path: str, pattern: str) -> Iterator[list[int]]:
-    """Ids of each text of a chunk; the cache of pieces serves all tasks of the process."""
-    if (path, pattern) not in _caches:
-        bpe = codec(path, pattern)
-        _caches[path, pattern] = PieceCache(lambda missing: map(bpe.encode, missing))
-    texts = [cut(t or "") for t in chunk.column("text").to_pylist()]
-    ids_of = _caches[path, pattern].table(chain.from_iterable(texts)).__getitem__
-    for pieces in texts:
-        yield list(chain.from_iterable(map(ids_of, pieces)))
+def _cache(path: str, pattern: str, make: Callable, join: Callable) -> PieceCache:
+    """One cache of pieces a process and kind of value; it serves all tasks of the process."""
+    if (path, pattern, join) not in _caches:
+        _caches[path, pattern, join] = PieceCache(lambda piece: make(codec(path, pattern).encode(piece)), join)
+    return _caches[path, pattern, join]
+
+
+def _joined(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
+    return a[0] + b"," + b[0], a[1] + b[1]
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``(doc_id, ids array<int>)``; null or empty text: no ids.
 
     ``path`` is a vocabulary file of base64 tokens and ranks that every machine has.
-    Repeated rows are encoded alike; other columns are ignored.
+    Repeated rows are encoded alike, a null doc_id stays null; other columns are ignored; an
+    empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces_of = _cache(path, pattern, tuple, operator.add)
         for chunk in chunks(batches):
-            ids = pa.array(_encoded(chunk, path, pattern), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), ids], names=["doc_id", "ids"])
+            ids = [list(chain.from_iterable(pieces_of(t or ""))) for t in chunk.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_ids(rows: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``rows(doc_id, ids)`` to ``(doc_id, data binary)``, the bytes that the ids stand for."""
+    """``rows(doc_id, ids)`` to ``(doc_id, data binary)``, the bytes that the ids stand for; null
+    ids stand for none. An id outside the vocabulary is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
@@ -200,17 +196,21 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, then decode: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per document.
 
     The same codec as ``encode_texts`` and ``decode_ids``, in one pass, so that neither
-    the ids nor the bytes leave the task.
+    the ids nor the bytes leave the task; the cache holds of each piece its ids as decimal
+    numbers and the bytes decoded from them. A null text counts as empty (no ids, digests of
+    nothing), a null doc_id stays null, repeated rows give a row each; other columns are ignored;
+    an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        names = {rank: str(rank) for rank in bpe.bytes_of}
+        pieces_of = _cache(path, pattern, bpe.said, _joined)
         for chunk in chunks(batches):
             rows = []
-            for ids in _encoded(chunk, path, pattern):
-                said = ",".join(map(names.__getitem__, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+            for text in chunk.column("text").to_pylist():
+                pieces = pieces_of(text) if text else ()
+                said, data = (b",".join([p[0] for p in pieces]), b"".join([p[1] for p in pieces]))
+                rows.append((said.count(b",") + bool(said), hashlib.sha256(said).hexdigest(), hashlib.sha256(data).hexdigest()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

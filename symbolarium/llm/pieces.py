@@ -4,76 +4,58 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import islice
 
 _ADJACENT_SPACES = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def cut(text: str) -> list[str]:
-    """Pieces that concatenate to ``text``, cut before every space that stands alone.
+    """Pieces that give ``text`` when joined by spaces, each of which begins what follows it.
 
     A pre-token holds a space only as its first character or in a run of white space, so a
-    lone space always begins one: encoding the pieces one by one gives the whole's ids.
+    lone space always begins one: encoding the first piece and then every other one behind
+    a space gives the whole's ids.
     """
-    parts = text.split(" ") if _ADJACENT_SPACES.search(text) is None else _LONE_SPACE.split(text)
-    first = parts[0]
-    parts = [" " + p for p in parts]
-    parts[0] = first
-    return parts if first else parts[1:]
+    return text.split(" ") if _ADJACENT_SPACES.search(text) is None else _LONE_SPACE.split(text)
 
 
-class PieceCache:
-    """Encodings of pieces over many chunks of text, in bounded memory.
+class _Encoded(dict):
+    """Pieces to their encodings, behind ``lead``; a new one is encoded when it is asked for.
 
-    New pieces are kept apart from those met in a second chunk, so the many that never come
-    again do not push out the ones that do; each of the two groups starts anew at its limit.
+    A piece that ends in punctuation after a letter or digit is put together from its two
+    parts, between which there always is a bound of pre-tokens.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable], fresh: int = 400_000, proven: int = 600_000) -> None:
-        self.encode_many, self.limits = encode_many, (fresh, proven)
-        self.fresh: dict = {}
-        self.proven: dict = {}
+    def __init__(self, lead: str, encode: Callable[[str], object], join: Callable[[object, object], object]) -> None:
+        self.lead, self.encode, self.join, self.tails = lead, encode, join, self
 
-    def table(self, pieces: Iterable[str]) -> dict:
-        """Every distinct piece of a chunk to its encoding (a sequence that ``+`` joins).
+    def __missing__(self, piece: str) -> object:
+        stem = piece.rstrip(string.punctuation)
+        if stem and stem != piece and stem[-1].isalnum():
+            value = self.join(self[stem], self.tails[piece[len(stem) :]])
+        else:
+            value = self.encode(self.lead + piece)
+        self[piece] = value
+        return value
 
-        A new piece that ends in punctuation after a letter or digit is put together from
-        its two parts, between which there always is a bound of pre-tokens.
-        """
-        out = dict.fromkeys(pieces)
-        if len(self.proven) > self.limits[1]:
-            self.proven.clear()
-        missing, joined = [], []
-        for piece in list(out):
-            found = out[piece] = self._known(piece)
-            if found is None:
-                stem = piece.rstrip(string.punctuation)
-                if stem and stem != piece and stem[-1].isalnum():
-                    joined.append((piece, stem, piece[len(stem) :]))
-                else:
-                    missing.append(piece)
-        for _, *parts in joined:
-            for part in parts:
-                if part not in out:
-                    found = out[part] = self._known(part)
-                    if found is None:
-                        missing.append(part)
-        if len(self.fresh) + len(missing) > self.limits[0]:
-            self.fresh.clear()
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            out.update(zip(some, self.encode_many(some), strict=True))
-        for piece in missing[: self.limits[0]]:
-            self.fresh[piece] = out[piece]
-        for piece, stem, tail in joined:
-            out[piece] = out[stem] + out[tail]
-        return out
 
-    def _known(self, piece: str):
-        found = self.proven.get(piece)
-        if found is None:
-            found = self.fresh.pop(piece, None)
-            if found is not None:
-                self.proven[piece] = found
-        return found
+class PieceCache:
+    """Encodings of the pieces of a text, in bounded memory: both groups of pieces, those
+    behind a space and others, start anew at ``limit`` entries. ``join`` gives the encoding of
+    two pieces in a row."""
+
+    def __init__(self, encode: Callable[[str], object], join: Callable[[object, object], object], limit: int = 600_000) -> None:
+        self.plain, self.spaced = _Encoded("", encode, join), _Encoded(" ", encode, join)
+        self.spaced.tails = self.plain
+        self.limit = limit
+
+    def __call__(self, text: str) -> list:
+        for known in (self.plain, self.spaced):
+            if len(known) > self.limit:
+                known.clear()
+        pieces = cut(text)
+        out = [self.plain[pieces[0]]] if pieces[0] else []
+        out += map(self.spaced.__getitem__, islice(pieces, 1, None))
+        return out

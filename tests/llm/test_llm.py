@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from symbolarium.llm import bpe, kneser_ney, language_id, lz_fingerprint, ngram_join, packing, quality, queries, sharding, toxicity, url_cascade, workspace
 from symbolarium.llm.components import components
-from symbolarium.llm.pieces import cut
+from symbolarium.llm.pieces import PieceCache, cut
 from symbolarium.llm.textarrays import shingle_sets, words
 
 SF = "/root/testdata/sf0.001"
@@ -227,11 +227,12 @@ def test_bpe_matches_merges_and_round_trips():
     codec = bpe.codec(PATH, PATTERN)
     exact = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(3)
+    pieces_of = PieceCache(codec.encode, lambda a, b: a + b, limit=500)
     alphabets = ["ab", "aA \n", " \t\n.", "abcdefgh ", "éèßü日本語 ", "0123456789,.", "\x1c\x85\u3000 a", "😀👍🏽\u200d"]
     for _ in range(3000):
         text = "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(60)))
-        ids = [i for piece in cut(text) for i in codec.encode(piece)]
-        assert "".join(cut(text)) == text and ids == exact.encode_ordinary(text) and codec.decode(ids) == text.encode()
+        ids = [i for piece in pieces_of(text) for i in piece]
+        assert " ".join(cut(text)) == text and ids == exact.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
 def test_bpe_on_tables(odd, none):
