@@ -39,43 +39,47 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-def _ranked_bytes(spec: dict) -> dict[bytes, int] | None:
-    """The vocabulary as bytes to id if it is plain byte-level BPE whose ids follow its merges."""
+def _ranked_bytes(spec: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """The vocabulary as bytes to id, and its added tokens, if it is plain byte-level BPE whose
+    ids follow its merges."""
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
     plain = (
         model.get("type") == "BPE" and before.get("type") == "ByteLevel"
         and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
         and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        and all(token.get("special") for token in spec.get("added_tokens", []))
+        and not any(token.get(k) for token in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
     )
     if not plain:
         return None
+    added = {token["content"]: token["id"] for token in spec.get("added_tokens", [])}
+    if any(a != b and a in b for a in added for b in added):
+        return None
     byte_of = _byte_of_character()
     merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     tokens = [*byte_of, *merged]
     ids = [model["vocab"].get(token) for token in tokens]
     if None in ids or len(set(tokens)) < len(tokens) or (np.diff(ids[256:]) <= 0).any() or max(ids[:256]) > min(ids[256:], default=256):
         return None
-    return {bytes(byte_of[c] for c in token): i for token, i in zip(tokens, ids, strict=True)}
+    return {bytes(byte_of[c] for c in token): i for token, i in zip(tokens, ids, strict=True)}, added
 
 
 def _encoder(path: str) -> Encoder:
-    """The tokenizer at ``path``, once a worker process; special tokens are ordinary text.
+    """The tokenizer at ``path``, once a worker process; as in its own library, an added token
+    that stands in a text is that token.
 
     Of a byte-level vocabulary the ids follow from its ranks alone, so that tiktoken finds
     the same ones in a fifth of the time; any other vocabulary is left to its own library.
     """
     if path not in _encoders:
         with open(path, encoding="utf-8") as file:
-            ranks = _ranked_bytes(json.load(file))
-        if ranks is not None:
-            fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[path] = lambda text: fast.encode_to_numpy(text, disallowed_special=())
+            found = _ranked_bytes(json.load(file))
+        if found is not None:
+            fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=found[0], special_tokens=found[1])
+            _encoders[path] = lambda text: fast.encode_to_numpy(text, allowed_special="all")
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
             own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True
             _encoders[path] = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
     return _encoders[path]
 
