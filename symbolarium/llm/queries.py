@@ -84,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
+# Documents with the same lines count once. Near copies count once in the operator alone; they
+# change a verdict only where more than 20 of them hold a line.
 _LINE_FREQUENCY_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -100,14 +102,14 @@ WITH base AS (
   SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
 ), repeats AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
-), longest AS (
-  SELECT doc_id, norm AS document FROM worded QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, i) = 1
+), whole AS (
+  SELECT doc_id, list_sort(list(DISTINCT norm)) AS document FROM worded GROUP BY doc_id
 ), held AS (
-  SELECT w.source, norm, count(DISTINCT document) AS held FROM worded w JOIN longest USING (doc_id) GROUP BY w.source, norm
+  SELECT w.source, norm, count(DISTINCT document) AS held FROM worded w JOIN whole USING (doc_id) GROUP BY w.source, norm
 ), hosts AS (
-  SELECT b.source, count(DISTINCT document) AS documents FROM base b JOIN longest USING (doc_id) GROUP BY b.source
+  SELECT b.source, count(DISTINCT document) AS documents FROM base b JOIN whole USING (doc_id) GROUP BY b.source
 ), frequent AS (
-  SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held > 20 AND held * 100 > 2 * documents
+  SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held > 1000 OR (held > 20 AND held * 100 > 2 * documents)
 ), taken AS (
   SELECT w.doc_id, sum(size) AS taken FROM worded w JOIN frequent f ON w.norm = f.norm AND w.source IS NOT DISTINCT FROM f.source GROUP BY w.doc_id
 ), stats AS (

@@ -3,7 +3,7 @@
 A shard store is a folder of immutable Parquet shards and manifests. An append writes its
 rows as small shards. Compaction groups shards into tiers by size (each tier ``FANOUT``
 times the one below); a tier with enough shards is a run of similar ones and is merged into
-files near the target size. As all of a run's shards are alike, dealing out equal numbers
+files near the target size, and again while merged shards make a run of a higher tier. As all of a run's shards are alike, dealing out equal numbers
 of them makes equal files without a shuffle. Each change writes the next manifest, the
 complete list of live shards, into a hidden folder and publishes it by one atomic rename
 that never replaces: of two writers of one version the second fails and may retry. Readers
@@ -69,13 +69,12 @@ class ShardStore:
 
     # -- changes ---------------------------------------------------------------------
 
-    def append(self, rows: DataFrame, arrival: str | None = None) -> int:
-        """Write ``rows`` as new shards, a set for each value of ``arrival`` if given, and
-        publish a version with them. No rows: a version with nothing added."""
+    def append(self, rows: DataFrame) -> int:
+        """Write ``rows`` as new shards and publish a version with them. No rows: a version with
+        nothing added."""
         version = self.version() + 1
         folder = f"{self.root}/shards/{version:010d}-{uuid.uuid4().hex[:8]}"
-        writer = rows.write.option("compression", "zstd")
-        (writer.partitionBy(arrival) if arrival else writer).parquet(folder)
+        rows.write.option("compression", "zstd").parquet(folder)
         live = self.manifest(version - 1)
         has_files = any(True for _ in self._data_files(folder))
         return self._commit(live.unionByName(self._listed(folder, version)) if has_files else live, version)
@@ -111,6 +110,31 @@ class ShardStore:
             kept = kept.unionByName(part)
         return self._commit(kept, base + 1)
 
+    def settle(self) -> int:
+        """Compact until no tier is a run: merged shards may complete a run of a higher tier.
+        Each pass leaves fewer small shards, so this ends."""
+        while (version := self.version()) != self.compact():
+            pass
+        return version
+
+    def vacuum(self, min_age_seconds: int = 86_400) -> int:
+        """Delete what failed changes left: files under ``shards`` that no manifest lists, and
+        unpublished manifests, if older than the longest change may take."""
+        old = F.col("modificationTime") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(min_age_seconds))
+        listed = self.manifest(0)
+        for v in range(1, self.version() + 1):
+            if self._fs.exists(self._paths.Path(f"{self.root}/manifests/{v:010d}")):
+                listed = listed.unionByName(self.manifest(v))
+        name = F.element_at(F.split("path", "/"), -1)
+        gone = 0
+        for part, known in (("shards", listed.select(name.alias("name"))), ("pending", None)):
+            if self._fs.exists(self._paths.Path(f"{self.root}/{part}")):
+                files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.root}/{part}")
+                files = files.where(old & name.endswith(".parquet")).select("path", name.alias("name"))
+                for row in (files if known is None else files.join(known, "name", "left_anti")).toLocalIterator():
+                    gone += self._fs.delete(self._paths.Path(row["path"]), False)
+        return gone
+
     def expire(self, keep_versions: int = 1) -> int:
         """Delete shards that none of the newest ``keep_versions`` manifests lists."""
         newest = self.version()
@@ -139,23 +163,27 @@ class ShardStore:
 
 
 def compacted_documents(docs: DataFrame, arrivals: int = 8, target_bytes: int = 32 * MIB) -> DataFrame:
-    """Append ``docs`` in ``arrivals`` uneven arrivals, compact, expire, and read back.
-
-    ``(doc_id, text_sha256, n_chars, arrival, shard, shard_rows, shard_bytes, version)``, a
-    row for each row of ``docs(doc_id, text, ...)``; arrival ``k`` is twice as large as
-    ``k + 1``. An empty table gives an empty result. Null texts stay null; a null doc_id and repeated rows are kept as they are.
+    """Append ``docs`` in ``arrivals`` uneven arrivals, one after the other, settle after each,
+    and read the last version back.
+
+    ``(doc_id, text_sha256, n_chars, arrival, shard, shard_rows, shard_bytes, tier, added,
+    version)``, a row for each row of ``docs(doc_id, text, ...)``; arrival ``k`` is about twice as
+    large as ``k + 1``, ``added`` is the version that made the shard. Null texts stay null; a null
+    doc_id, repeated rows and rows with one doc_id are kept as they are, in no fixed order. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, fresh_path(spark, "shards"), target_bytes)
-    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << arrivals))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << arrivals))
     arrival = F.least(F.lit(arrivals - 1), F.lit(arrivals - 1) - F.floor(F.log2(F.greatest(spread, F.lit(1)))).cast("int"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("arrival", arrival.cast("int")).withColumn("came", F.col("arrival"))
-    store.append(rows, "arrival")
-    store.compact()
-    store.expire()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("arrival", arrival.cast("int"))
+    for k in range(arrivals):
+        store.append(rows.where(F.col("arrival") == k))
+        store.settle()
+        store.expire(keep_versions=2)
     version = store.version()
-    names = store.manifest().select(F.element_at(F.split("path", "/"), -1).alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-    return store.read(rows.drop("arrival").schema).join(names, "shard").select(
-        "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), F.col("came").alias("arrival"),
-        "shard", "shard_rows", "shard_bytes", F.lit(version).alias("version"),
+    names = store.manifest().select(F.element_at(F.split("path", "/"), -1).alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier", "added")
+    return store.read(rows.schema).join(names, "shard").select(
+        "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), "arrival",
+        "shard", "shard_rows", "shard_bytes", "tier", "added", F.lit(version).alias("version"),
     )

@@ -263,6 +263,36 @@ def test_shards_merge_and_versions_stay(spark, tmp_path):
     assert store.expire() == 6 and store.read(rows.schema).count() == 9000
 
 
+def test_tiers_settle_over_arrivals(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/tiers", target_bytes=60_000, least_bytes=2_500, min_run=4)
+    rows = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    highest = 0
+    for k in range(40):
+        store.append(rows.where(f"id % 40 = {k}").coalesce(1))
+        store.settle()
+        shards = store.manifest().collect()
+        small = collections.Counter(r["tier"] for r in shards if r["bytes"] * 2 < store.target)
+        assert all(n < store.min_run for n in small.values())
+        highest = max(highest, *(r["tier"] for r in shards))
+        assert sum(r["rows"] for r in shards) == 100 * (k + 1)
+    shards = store.manifest().collect()
+    assert highest >= 2 and len(shards) < 12 and max(r["bytes"] for r in shards) < 2 * store.target
+    assert len({r["added"] for r in shards}) > 1 and store.version() > 50
+    assert store.read(rows.schema, 5).count() in (300, 400, 500)
+    (tmp_path / "tiers" / "shards" / "lost").mkdir()
+    rows.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/tiers/shards/lost")
+    assert store.vacuum(3600) == 0 and store.vacuum(0) == 1
+    assert store.read(rows.schema).select("id", "x").exceptAll(rows).count() == 0 and store.read(rows.schema).count() == 4000
+
+
+def test_arrivals_leave_their_versions(docs):
+    rows = sharding.compacted_documents(docs, target_bytes=100_000).collect()
+    assert len(rows) == docs.count() and {r["version"] for r in rows} == {max(r["version"] for r in rows)}
+    assert rows[0]["version"] > 8 and len({r["added"] for r in rows}) > 1 and {r["arrival"] for r in rows} >= set(range(6))
+    size = collections.Counter(r["shard"] for r in rows)
+    assert all(r["shard_rows"] == size[r["shard"]] for r in rows)
+
+
 def test_sharding_odd_rows(odd, none):
     rows = sharding.compacted_documents(odd).collect()
     want = sorted((r["doc_id"] or 0, hashlib.sha256((r["text"] or "").encode()).hexdigest(), None if r["text"] is None else len(r["text"])) for r in odd.collect())
