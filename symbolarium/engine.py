@@ -12,18 +12,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symbolarium.functions import ident, text
-from symbolarium.operators import graph, lookup, search
+from symbolarium.operators import cascade, graph, lookup, search
+from symbolarium.sources import packages
 
 
 class EngineError(Exception):
     """A failed query; ``code`` names the kind and ``exit_code`` its class."""
 
-    #: Exit codes by error code.
-    EXIT = {"NOT_FOUND": 1, "BAD_QUERY": 2, "AMBIGUOUS": 3, "OFFLINE": 4, "INTERNAL": 5}
-
     def __init__(self, code: str, message: str, actions: dict[str, str] | None = None) -> None:
         super().__init__(message)
-        self.code, self.exit_code, self.actions = code, self.EXIT.get(code, 5), actions or {}
+        self.code, self.exit_code, self.actions = code, cascade.EXIT_CODES.get(code, cascade.EXIT_CODES["INTERNAL_ERROR"]), actions or {}
+
+
+@dataclass(frozen=True)
+class Options:
+    """What holds for every verb: ``offline`` keeps to cached remote answers, ``full`` shows all
+    fields and not the compact ones, ``select`` names the fields to show, ``overrides`` are
+    ``PKG=VER`` texts, ``scope`` is a component, ``limit`` the longest result."""
+
+    offline: bool = False
+    full: bool = False
+    select: tuple[str, ...] = ()
+    overrides: tuple[str, ...] = ()
+    scope: str | None = None
+    limit: int = search.LIMIT
 
 
 @dataclass
@@ -38,11 +50,18 @@ class Catalogue:
     sources: DataFrame | None = None  # component, module, content
     decls: DataFrame | None = None  # component, module, name, kind, first_line, last_line, signature, doc
     pins: DataFrame | None = None  # pkg, pin_unit, pin_version
+    project: DataFrame | None = None  # rows like ``stored`` that shadow them
+    installed: DataFrame | None = None  # name, version
+    remote_packages: DataFrame | None = None  # pkg, version, error
+    local_hits: DataFrame | None = None  # query, pkg, mod, name
+    remote_hits: DataFrame | None = None  # query, pkg, mod, name, resolved_from, error
+    prebuilt: DataFrame | None = None  # component, module, html
+    components: DataFrame | None = None  # pkg, component
 
 
 class Engine:
-    def __init__(self, catalogue: Catalogue) -> None:
-        self.at = catalogue
+    def __init__(self, catalogue: Catalogue, options: Options = Options()) -> None:
+        self.at, self.options = catalogue, options
         packages = None if catalogue.units is None else catalogue.units.select("pkg", "version")
         self._entities = search.searchable(catalogue.symbols, packages)
 
@@ -51,30 +70,61 @@ class Engine:
         self._entities = self._entities.persist()
         return self
 
-    def search(self, query: str, scope: str | None = None, limit: int = search.LIMIT) -> DataFrame:
+    def search(self, query: str, scope: str | None = None, limit: int | None = None) -> DataFrame:
         try:
-            asked = search.parse_query(query, scope)
+            asked = search.parse_query(query, scope or self.options.scope)
         except search.QueryError as e:
-            raise EngineError("BAD_QUERY", str(e)) from e
+            raise EngineError("USER_ERROR", str(e)) from e
         if asked.scope is not None and self._entities.where(F.col("component") == asked.scope).isEmpty():
-            raise EngineError("BAD_QUERY", f"unknown component {asked.scope}")
-        return search.search(self._entities, asked, limit)
-
-    def lookup(self, name: str, *further: DataFrame) -> DataFrame:
-        """Providers from the first tier that has any: the plan-scoped index, then ``further``."""
-        module, _, bare = name.rpartition(".")
-        rows = lookup.in_scope(lookup.by_name(self.at.stored, bare or name, module if bare and module else None), self.at.pins)
-        return lookup.first_tier(rows.select("pkg", "mod", "name", "version"), *(t.select("pkg", "mod", "name", "version") for t in further))
-
-    def package(self, ref: str) -> DataFrame:
-        """``(pkg, version, unit_id, origin, outside_plan)``; a version asked for by name is
-        always outside the plan, even where the plan pins the same."""
-        p = self._parsed(ident.package_ref(F.lit(ref)))
-        if p["version"] is not None:
-            rows = self.at.available.where((F.col("pkg") == p["name"]) & (F.col("version") == p["version"]))
-            unit = F.concat(F.lit("unpinned:"), "pkg", F.lit("-"), "version")
-            return rows.select("pkg", "version", unit.alias("unit_id"), F.lit("hackage").alias("origin"), F.lit(True).alias("outside_plan"))
-        return self.at.units.where(F.col("pkg") == p["name"]).select("pkg", "version", "unit_id", "origin", F.lit(False).alias("outside_plan"))
+            raise EngineError("USER_ERROR", f"unknown component {asked.scope}")
+        return search.search(self._entities, asked, self.options.limit if limit is None else limit)
+
+    def pins(self) -> DataFrame | None:
+        """The plan's pins after the options' overrides; of several for one package the first."""
+        if not self.options.overrides or self.at.pins is None:
+            return self.at.pins
+        given = self._spark.createDataFrame([(k, o) for k, o in enumerate(self.options.overrides)], "pos int, text string")
+        parsed = given.join(packages.pinned_overrides(given), "text")
+        if bad := parsed.where("error IS NOT NULL").select("error", "text").first():
+            raise EngineError("USER_ERROR", f"{bad['error']}: {bad['text']}")
+        return lookup.scope_with_overrides(self.at.pins, lookup.first_overrides(parsed))
+
+    def lookup(self, *queries: str) -> DataFrame:
+        """Providers of each query from the first tier that has any, as in ``resolved_lookups``."""
+        asks = self._spark.createDataFrame([(q,) for q in queries], "query string")
+        hits = "query string, pkg string, mod string, name string"
+        local, remote = (self._or_empty(rows, kind) for rows, kind in ((self.at.local_hits, hits), (self.at.remote_hits, f"{hits}, resolved_from string, error string")))
+        project = self.at.stored.limit(0) if self.at.project is None else self.at.project
+        return cascade.resolved_lookups(asks, project, self.at.stored, self.pins(), local, remote, self.options.offline)
+
+    def lookup_failures(self, found: DataFrame) -> DataFrame:
+        """The failed queries of a ``lookup``, with exit code and what to try next."""
+        actions = cascade.lookup_actions(F.col("query"), F.col("error"), F.col("tiers_consulted"))
+        return found.where("error IS NOT NULL").select("query", "error", cascade.exit_code(F.col("error")).alias("exit_code"), actions.alias("actions"))
+
+    def package(self, *refs: str) -> DataFrame:
+        """Each reference resolved by plan, package store and remote, as in ``resolved_packages``."""
+        asks = self._spark.createDataFrame([(r,) for r in refs], "ref string")
+        units = self._or_empty(self.at.units, "pkg string, version string, origin string, is_local boolean")
+        units = units if "is_local" in units.columns else units.withColumn("is_local", F.col("origin") == "local")
+        remote = self._or_empty(self.at.remote_packages, "pkg string, version string, error string")
+        if self.options.offline:
+            remote = remote.limit(0)
+        return cascade.resolved_packages(asks, units.select("pkg", "version", "origin", "is_local"), self._or_empty(self.at.installed, "name string, version string"), remote)
+
+    def package_info(self, *refs: str) -> DataFrame:
+        """The same with the modules that each package's components present."""
+        listed = self.at.symbols.select(ident.package_of(F.col("component")).alias("pkg"), "module").distinct().groupBy("pkg").agg(F.array_sort(F.collect_list("module")).alias("modules"))
+        return self.package(*refs).join(listed, "pkg", "left")
+
+    def page(self, component: str, module: str) -> DataFrame:
+        """The module's page: prebuilt, from source, or its bare exports and why no more."""
+        asks = self._spark.createDataFrame([(component, module)], "component string, module string")
+        prebuilt = self._or_empty(self.at.prebuilt, "component string, module string, html string")
+        entries = self._or_empty(self.at.decls, "component string, module string, name string, signature string")
+        home = self.at.symbols.select("component", "module", "name", F.col("def_component").alias("c"), F.col("def_module").alias("m"))
+        known = entries.select(F.col("component").alias("c"), F.col("module").alias("m"), "name", "signature")
+        return cascade.module_pages(asks, prebuilt, home.join(known, ["c", "m", "name"]), self.at.symbols)
 
     def module(self, component: str, module: str) -> DataFrame:
         """The exports of a module, where each is defined, and whether that is elsewhere."""
@@ -123,15 +173,24 @@ class Engine:
         return graph.closure(self.at.deps, root, depth)
 
     def doctor(self) -> DataFrame:
-        """A row for each relation: is it there, how many rows, and whether all are."""
-        spark = self.at.symbols.sparkSession
+        """A row for each relation: is it there, how many rows; the last, ``all_pass``, is ok when
+        all are and has no count."""
+        spark = self._spark
         parts = {n: getattr(self.at, n) for n in ("symbols", "stored", "units", "deps", "available", "sources", "decls", "pins")}
         out = None
         for name, rows in parts.items():
             n = spark.createDataFrame([(None,)], "n long") if rows is None else rows.agg(F.count("*").alias("n"))
             one = n.select(F.lit(name).alias("relation"), "n", F.coalesce(F.col("n") > 0, F.lit(False)).alias("ok"))
             out = one if out is None else out.unionByName(one)
-        return out
+        rolled = cascade.all_pass(out.withColumnRenamed("relation", "name")).where("name = 'all_pass'")
+        return out.unionByName(rolled.select(F.col("name").alias("relation"), F.lit(None).cast("long").alias("n"), "ok"))
+
+    @property
+    def _spark(self):
+        return self.at.symbols.sparkSession
+
+    def _or_empty(self, rows: DataFrame | None, kind: str) -> DataFrame:
+        return self._spark.createDataFrame([], kind) if rows is None else rows
 
     def _parsed(self, column):
         return self.at.symbols.sparkSession.range(1).select(column.alias("x")).first()["x"]
@@ -139,5 +198,5 @@ class Engine:
     def _path(self, path: str):
         p = self._parsed(ident.symbol_path(F.lit(path)))
         if p["error"] is not None:
-            raise EngineError("BAD_QUERY", f"{p['error']}: {path}")
+            raise EngineError("USER_ERROR", f"{p['error']}: {path}")
         return p

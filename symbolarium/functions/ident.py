@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def package_ref(text: Column) -> Column:
-    """``name[-version][-hash]`` to ``struct<name, version>``; the hash (8 or more hex digits)
-    goes first, then a trailing dotted number is the version, null without one."""
-    bare = F.regexp_replace(text, r"^(.+)-[0-9A-Fa-f]{8,}$", "$1")
-    version = F.regexp_extract(bare, r"^(.+)-([0-9]+(?:\.[0-9]+)*)$", 2)
-    name = F.regexp_extract(bare, r"^(.+)-([0-9]+(?:\.[0-9]+)*)$", 1)
-    return F.struct(F.when(name == "", bare).otherwise(name).alias("name"), F.when(version != "", version).alias("version"))
+    """``name[-version][-hash]`` to ``struct<name, version>``. A last part of eight or more hex
+    digits is a hash and goes first; then a last part of digits and dots alone (``1.2.`` too) is
+    the version, null without one. Nothing is an error; the name may be empty."""
+    bare = F.regexp_replace(text, r"(?s)^(.*)-[0-9A-Fa-f]{8,}\z", "$1")
+    shape = r"(?s)^(.*)-([0-9.]+)\z"
+    versioned = bare.rlike(shape)
+    return F.struct(
+        F.when(versioned, F.regexp_extract(bare, shape, 1)).otherwise(bare).alias("name"), F.when(versioned, F.regexp_extract(bare, shape, 2)).alias("version")
+    )
 
 
 def is_module_path(text: Column) -> Column:
@@ -21,20 +24,20 @@ def is_module_path(text: Column) -> Column:
 
 
 def symbol_path(text: Column) -> Column:
-    """``pkg[-ver][/Mod][/symbol]`` to ``struct<error, package, version, module, symbol>``;
-    the error is null for a good path. A lone lower-case second part is a symbol."""
-    parts = F.split(text, "/", 3)
-    n = F.size(parts)
+    """``pkg[-ver][/Mod[/symbol]]`` to ``struct<error, package, version, module, symbol>``; the
+    error is null for a good path, all else is null for a bad one. Parts after the third are
+    ignored. Of several bad segments of a module the last one is told."""
+    parts = F.split(text, "/")
     ref = package_ref(F.get(parts, F.lit(0)))
-    second, third = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    module, symbol = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    bad = F.get(F.reverse(F.filter(F.split(module, r"\."), lambda s: ~s.rlike("^[A-Z]"))), F.lit(0))
     error = (
-        F.when(F.trim(text) == "", "empty_path").when(F.get(parts, F.lit(0)) == "", "empty_package")
-        .when((n >= 2) & (second == ""), "empty_module").when((n == 3) & (third == ""), "empty_symbol")
-        .when((n == 3) & ~is_module_path(second), "bad_module").when((n == 3) & third.contains("/") & ~third.rlike("^[^A-Za-z0-9_]+$"), "too_many_parts")
+        F.when(text == "", "empty_input").when(ref["name"] == "", "empty_package").when(ref["name"].contains("@"), "invalid_package")
+        .when((module == "") & symbol.isNotNull(), "symbol_without_module").when((module == "") | (bad == ""), "invalid_module")
+        .when(bad.isNotNull(), "module_not_uppercase").when(symbol == "", "invalid_symbol")
     )
-    module = F.when((n == 3) | ((n == 2) & is_module_path(second)), second)
-    symbol = F.when(n == 3, third).when((n == 2) & ~is_module_path(second), second)
-    return F.struct(error.alias("error"), ref["name"].alias("package"), ref["version"].alias("version"), module.alias("module"), symbol.alias("symbol"))
+    good = lambda c: F.when(error.isNull(), c)
+    return F.struct(error.alias("error"), good(ref["name"]).alias("package"), good(ref["version"]).alias("version"), good(module).alias("module"), good(symbol).alias("symbol"))
 
 
 def symbol_path_text(p: Column) -> Column:
@@ -44,12 +47,14 @@ def symbol_path_text(p: Column) -> Column:
 
 
 def component_key(text: Column) -> Column:
-    """``pkg``, ``pkg:sub`` or ``pkg:exe:name`` to ``struct<package, kind, name>``; kind is
-    null for what is none of these."""
-    parts = F.split(text, ":")
-    n = F.size(parts)
-    kind = F.when(F.exists(parts, lambda s: s == ""), F.lit(None)).when(n == 1, "lib").when(n == 2, "sublib").when((n == 3) & (F.get(parts, F.lit(1)) == "exe"), "exe")
-    return F.struct(F.get(parts, F.lit(0)).alias("package"), kind.alias("kind"), F.when(n > 1, F.element_at(parts, -1)).alias("name"))
+    """``pkg``, ``pkg:sub`` or ``pkg:exe:name`` to ``struct<package, kind, name>``. What follows the
+    first colon is a sublibrary's name, whatever it holds, unless it begins with ``exe:``; empty
+    names (``pkg:``, ``pkg:exe:``) are the main library."""
+    rest = F.substring(text, F.length(package_of(text)) + 2, F.length(text))
+    exe = rest.startswith("exe:")
+    name = F.when(exe, F.substring(rest, F.lit(5), F.length(rest))).otherwise(rest)
+    kind = F.when(name == "", "lib").when(exe, "exe").otherwise("sublib")
+    return F.struct(package_of(text).alias("package"), kind.alias("kind"), F.when(name != "", name).alias("name"))
 
 
 def component_text(c: Column) -> Column:
@@ -68,25 +73,35 @@ def qualified_name(text: Column) -> Column:
 
 
 def origin_name(text: Column) -> Column:
-    """``A.B.op`` to ``struct<module, name>`` by capitalised segments, at least one character
-    left for the name; an operator keeps its dots. A ``{...}`` or ``|`` tail is dropped."""
-    bare = F.regexp_replace(text, r"(\|?\{.*\}|\|)$", "")
-    module = F.regexp_extract(bare, r"^((?:[A-Z][A-Za-z0-9_']*\.)+)(.+)$", 1)
-    name = F.regexp_extract(bare, r"^((?:[A-Z][A-Za-z0-9_']*\.)+)(.+)$", 2)
-    return F.struct(F.when(module != "", F.rtrim(F.regexp_replace(module, r"\.$", ""))).alias("module"), F.when(module != "", name).otherwise(bare).alias("name"))
+    """``A.B.op`` to ``struct<module, name>`` by capitalised segments, at least one left for the
+    name; an operator keeps its dots. A name with a bar behind it (``IsString|``) is a parent that
+    is not exported itself: it, like an empty text, is null. Operators may end in a bar."""
+    shape = r"(?s)^((?:[A-Z][A-Za-z0-9_']*\.)+)(.*)\z"
+    rest = F.regexp_extract(text, shape, 2)
+    # Capitalised segments alone: the last one is the name.
+    module = F.when(text.rlike(shape) & (rest != ""), F.regexp_replace(F.regexp_extract(text, shape, 1), r"\.$", ""))
+    barred = text.rlike(r"^[A-Z][A-Za-z0-9_'.]*\|\z")
+    hollow = text.rlike(shape) & (rest == "")
+    return F.when((text != "") & ~barred & ~hollow, F.struct(module.alias("module"), F.when(module.isNotNull(), rest).otherwise(text).alias("name")))
+
+
+def origin_entries(text: Column) -> Column:
+    """The entries of one listed export line: braces part a parent from what stands under it."""
+    return F.filter(F.split(F.translate(text, "{}", "  "), r"\s+"), lambda e: e != "")
 
 
 def version_numbers(version: Column) -> Column:
-    """Numbers by which versions sort; a segment that is none counts as 0. Arrays compare
-    element by element and a shorter prefix is smaller, which is the wanted order."""
-    return F.transform(F.split(version, r"\."), lambda s: F.coalesce(F.try_to_number(F.regexp_extract(s, r"^([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0)))
+    """Numbers by which versions sort, of up to 38 digits; a segment that is none counts as 0.
+    Arrays compare element by element and a shorter prefix is smaller, which is the wanted order."""
+    return F.transform(F.split(version, r"\."), lambda s: F.coalesce(F.when(s.rlike(r"^[0-9]+\z"), s.try_cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")))
 
 
 def version_macro(version: Column) -> Column:
-    """``9.10.3`` to ``struct<major_minor 910, patch 3>``; missing parts are 0."""
-    v = version_numbers(version)
-    part = lambda k: F.coalesce(F.get(v, F.lit(k)), F.lit(0))
-    return F.struct((part(0) * 100 + part(1)).alias("major_minor"), part(2).alias("patch"))
+    """``9.10.3`` to ``struct<major_minor 910, patch 3>``, a missing patch being 0. Null for what has
+    no two parts or a part that is no number: an undefined macro is safer than a wrong one."""
+    v = F.transform(F.split(version, r"\."), lambda s: s.cast("long"))
+    known = version.rlike(r"^[0-9]+(\.[0-9]+)+\z")
+    return F.when(known, F.struct((v[0] * 100 + v[1]).alias("major_minor"), F.coalesce(F.get(v, F.lit(2)), F.lit(0)).alias("patch")))
 
 
 def shared_leading(a: Column, b: Column) -> Column:

@@ -14,8 +14,8 @@ def tokens(query: Column) -> Column:
 def is_subsequence(needle: Column, hay: Column) -> Column:
     """Whether the characters of ``needle`` occur in ``hay`` in order, gaps allowed.
 
-    A fold over the haystack that counts how much of the needle is matched; pattern
-    characters have no special meaning.
+    A needle that is a literal becomes one quoted pattern, ``is_subsequence_of``; this fold
+    over the haystack is for needles that are columns.
     """
     matched = F.aggregate(
         F.split(hay, ""), F.lit(0),
@@ -24,6 +24,11 @@ def is_subsequence(needle: Column, hay: Column) -> Column:
     return matched >= F.length(needle)
 
 
+def is_subsequence_of(needle: str, hay: Column) -> Column:
+    """The same for a literal needle: its characters quoted, anything between them."""
+    return hay.rlike("(?s)" + ".*?".join(f"\\x{{{ord(c):X}}}" for c in needle)) if needle else F.lit(True)
+
+
 def collapse_spaces(text: Column) -> Column:
     """White-space runs to one space, ends trimmed (signatures)."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -95,44 +100,61 @@ def highlight_spans(text: Column, needles: list[str]) -> Column:
     )
 
 
-def rewrite_links(html: Column, package: str, version: str) -> Column:
-    """Hrefs of rendered documentation to served routes: ``../pkg-1.2/Mod-Name.html#a`` goes
-    to ``/pkg/Mod.Name#a``, root-relative ones get the package's prefix. Served routes hold
-    no ``.html`` and start with the prefix, so rewriting twice changes nothing."""
-    prefix = f"/{package}-{version}"
-    out = F.regexp_replace(html, r'href="\.\./([A-Za-z0-9-]+?)-([0-9][0-9.]*)/([A-Z][A-Za-z0-9-]*)\.html', 'href="/$1-$2/$3')
-    return F.regexp_replace(out, rf'href="/(?!{package}-{version.replace(".", "[.]")}/|[a-z][A-Za-z0-9-]*-[0-9][0-9.]*/)', f'href="{prefix}/')
+def rewrite_links(html: Column, component: str, package_version: str) -> Column:
+    """Links of an embedded page of rendered documentation, ``href`` of ``a`` and ``src`` of
+    ``img``, made to resolve from where it is embedded.
+
+    ``../pkg-1.2/x`` and ``src/x`` go to the raw documentation's route, ``Data-Map.html`` to the
+    module's page with its fragment, other plain ``.html`` pages to the raw route. Fragments,
+    absolute links and those with a scheme stay, so rewriting twice changes nothing.
+    """
+    out = html
+    for tag, attribute in (("a", "href"), ("img", "src")):
+        lead = rf"""(?i)(<{tag}\b(?:[^>"']|"[^"]*"|'[^']*')*?\s{attribute}\s*=\s*["'])"""
+        raw = f"/haddock/{package_version}/"
+        # Dots of a sibling module's name are hyphens in its file name: one goes a round.
+        module = rf"{lead}(?-i:([A-Z][^\"'/?#:-]*(?:-[^\"'/?#:-]*)*)\.html)(?=[#\"'])"
+        out = F.regexp_replace(out, rf"{lead}\.\./(?=[^\"'/]*-[0-9][^\"'/-]*(?:/|[\"']))", "$1/haddock/")
+        out = F.regexp_replace(out, rf"{lead}(?=src/)", f"$1{raw}")
+        out = F.regexp_replace(out, module, f"$1/pkg/{component}/\u0001$2\u0002")
+        out = F.regexp_replace(out, rf"{lead}(?=[^\"'/?#:]+\.html(?:[#\"']))", f"$1{raw}")
+    pieces = F.split(out, "\u0001")
+    dotted = F.transform(pieces, lambda p: F.when(p.contains("\u0002"), F.concat(F.replace(F.substring_index(p, "\u0002", 1), F.lit("-"), F.lit(".")), F.substring(p, F.length(F.substring_index(p, "\u0002", 1)) + 2, F.length(p)))).otherwise(p))
+    return F.array_join(dotted, "")
 
 
 def shell_quoted(word: Column) -> Column:
-    """As is if only safe characters, else in single quotes."""
+    """As is if it has letters, digits and ``-_./:@`` only, else in single quotes; so is an empty one."""
     quoted = F.concat(F.lit("'"), F.replace(word, F.lit("'"), F.lit("'\\''")), F.lit("'"))
-    return F.when(word.rlike(r"^[A-Za-z0-9_./:=@%+,-]+$"), word).otherwise(quoted)
+    return F.when(word.rlike(r"^[\p{L}\p{N}_./:@-]+\z"), word).otherwise(quoted)
 
 
 def percent_encoded(segment: Column) -> Column:
-    """One path segment; unreserved characters and ``:`` stay."""
+    """One path segment; unreserved characters and ``:@&=+$,`` stay."""
     out = F.url_encode(segment)
-    for was, now in (("+", "%20"), ("%3A", ":"), ("%7E", "~"), ("*", "%2A")):
+    kept = [(f"%{ord(c):02X}", c) for c in ":@&=+$,~"]
+    for was, now in (("+", "%20"), ("*", "%2A"), *kept):
         out = F.replace(out, F.lit(was), F.lit(now))
     return out
 
 
 #: Content types by file extension.
 MIME = {
-    "html": "text/html", "css": "text/css", "js": "application/javascript", "json": "application/json", "svg": "image/svg+xml",
-    "png": "image/png", "gif": "image/gif", "ico": "image/x-icon", "woff": "font/woff", "woff2": "font/woff2",
+    "html": "text/html; charset=utf-8", "css": "text/css; charset=utf-8", "js": "application/javascript; charset=utf-8",
+    "json": "application/json; charset=utf-8", "png": "image/png", "gif": "image/gif", "svg": "image/svg+xml",
+    "woff": "font/woff", "woff2": "font/woff2", "txt": "text/plain; charset=utf-8",
 }
 
 
 def mime_type(path: Column) -> Column:
+    """By what follows the last dot, whatever its case; else opaque bytes."""
     known = F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair))
-    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("application/octet-stream"))
+    return F.coalesce(F.try_element_at(known, F.lower(F.substring_index(path, ".", -1))), F.lit("application/octet-stream"))
 
 
 def safe_segments(path: Column) -> Column:
-    """No empty, ``.`` or ``..`` segment, and no backslash or NUL."""
-    return ~F.exists(F.split(path, "/"), lambda s: s.isin("", ".", "..") | s.contains("\\") | s.contains("\0"))
+    """No empty or hidden segment (so no ``.`` and ``..``), and no backslash or NUL."""
+    return ~F.exists(F.split(path, "/"), lambda s: (s == "") | s.startswith(".") | s.contains("\\") | s.contains("\0"))
 
 
 def needs_preprocessor(source: Column) -> Column:

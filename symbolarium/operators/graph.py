@@ -22,7 +22,8 @@ def closure(deps: DataFrame, roots: DataFrame, most: int | None = None) -> DataF
     """Everything reachable from ``roots(pkg)``, roots left out, with its nearest level.
 
     A frontier is joined with the edges until it brings nothing new; a visited package
-    never returns, so cycles end. ``most`` bounds the level.
+    never returns, so cycles end. ``most`` bounds the level. Roots without any edge reach
+    nothing; ``missing_roots`` tells those that the plan does not have.
     """
     edges = deps.select(F.col("pkg").alias("from"), F.col("dep_pkg").alias("pkg")).distinct()
     visited = cut(roots.select("pkg", F.lit(0).alias("level")).distinct())
@@ -37,6 +38,11 @@ def closure(deps: DataFrame, roots: DataFrame, most: int | None = None) -> DataF
     return visited.where("level > 0")
 
 
+def missing_roots(units: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``roots(pkg)`` that are no package of ``units(pkg)``."""
+    return roots.select("pkg").distinct().join(units.select("pkg"), "pkg", "left_anti")
+
+
 def levels(deps: DataFrame, subset: DataFrame) -> DataFrame:
     """Dependencies-first levels of ``subset(pkg)``: a package is one above its highest
     dependency in the subset. What a cycle keeps from ever being ready comes last, together.
@@ -56,15 +62,20 @@ def levels(deps: DataFrame, subset: DataFrame) -> DataFrame:
         level += 1
 
 
-def recursive_levels(deps: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """Nearest levels of an acyclic graph by one recursive query; for cyclic ones see ``closure``."""
+def recursive_levels(deps: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nearest levels of an acyclic graph by one recursive query; for cyclic ones see ``closure``.
+
+    Each step keeps its packages once, so shared dependencies are not walked once a path; it goes
+    on until a step is empty."""
+    spark = deps.sparkSession
     deps.createOrReplaceTempView("symbolarium_deps")
     roots.createOrReplaceTempView("symbolarium_roots")
-    return deps.sparkSession.sql(f"""
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")  # an acyclic graph ends by itself
+    return spark.sql("""
         WITH RECURSIVE walk(pkg, level) AS (
           SELECT pkg, 0 FROM symbolarium_roots
           UNION ALL
-          SELECT d.dep_pkg, w.level + 1 FROM walk w JOIN symbolarium_deps d ON d.pkg = w.pkg WHERE w.level < {most}
+          SELECT DISTINCT d.dep_pkg, w.level + 1 FROM walk w JOIN symbolarium_deps d ON d.pkg = w.pkg
         )
         SELECT pkg, min(level) AS level FROM walk GROUP BY pkg HAVING min(level) > 0
     """)

@@ -9,12 +9,15 @@ from symbolarium.functions.ident import package_of
 
 
 def by_name(rows: DataFrame, name: str, module: str | None = None) -> DataFrame:
-    """Rows of a name, of one module if given, versions newest first as text. The filters
+    """Rows of a name, of one module if given, in no order (``newest_first``). The filters
     reach the scan."""
     out = rows.where(F.col("name") == name)
-    if module is not None:
-        out = out.where(F.col("mod") == module)
-    return out.orderBy("pkg", "mod", F.desc("version"))
+    return out if module is None else out.where(F.col("mod") == module)
+
+
+def newest_first(rows: DataFrame) -> DataFrame:
+    """By package and module, versions newest first as text."""
+    return rows.orderBy("pkg", "mod", F.desc("version"))
 
 
 def in_module(rows: DataFrame, pkg: str, module: str) -> DataFrame:

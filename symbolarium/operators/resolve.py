@@ -30,7 +30,7 @@ def outside_modules(exports: DataFrame, modules: DataFrame) -> DataFrame:
     return exports.where("form = 'module'").select("module", "item").join(modules.select(F.col("module").alias("item")), "item", "left_anti").select("module", "item")
 
 
-def resolve_exports(exported: DataFrame, decls: DataFrame, imports: DataFrame, most: int = 64) -> DataFrame:
+def resolve_exports(exported: DataFrame, decls: DataFrame, imports: DataFrame) -> DataFrame:
     """``exported(module, name)`` to ``(module, name, definer, round)``; what no import of the
     component supplies has a null definer.
 
@@ -44,7 +44,7 @@ def resolve_exports(exported: DataFrame, decls: DataFrame, imports: DataFrame, m
     known = cut(decls.select(*_KEY).distinct().withColumn("definer", F.col("module")).withColumn("round", F.lit(0)))
     wanted = cut(exported.select(*_KEY).distinct())
     left, n = cut(wanted.join(known, _KEY, "left_anti")), 0
-    while n < most:
+    while True:
         n += 1
         supply = known.select(F.col("module").alias("target"), "name", "definer")
         found = (

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolarium.functions.text import is_subsequence
+from symbolarium.functions.text import is_subsequence_of, percent_encoded
 
 LIMIT = 50
 
@@ -78,7 +78,7 @@ def token_score(token: str) -> Column:
     name, mod, qual, pkg, t = F.col("name_l"), F.col("mod_l"), F.col("qual_l"), F.col("pkg_l"), F.lit(token)
     ladder = [
         (name == t, 1000), (name.startswith(t), 700), (name.contains(t), 500), (mod == t, 400), (mod.startswith(t), 300),
-        (mod.contains(t), 220), (qual.contains(t), 200), (pkg.contains(t), 150), (is_subsequence(t, name), 80), (is_subsequence(t, qual), 30),
+        (mod.contains(t), 220), (qual.contains(t), 200), (pkg.contains(t), 150), (is_subsequence_of(token, name), 80), (is_subsequence_of(token, qual), 30),
     ]
     out = F.lit(None).cast("int")
     for rule, worth in reversed(ladder):
@@ -115,6 +115,15 @@ def presentation_rank() -> Column:
     )
 
 
+def labelled(rows: DataFrame) -> DataFrame:
+    """Rows with the label they are shown by, ``component:module.name``, the page they link to, and
+    whether they present the definition itself."""
+    label = F.concat("component", F.lit(":"), "module", F.coalesce(F.concat(F.lit("."), "name"), F.lit("")))
+    href = F.concat(F.lit("/pkg/"), percent_encoded(F.col("component")), F.lit("/"), percent_encoded(F.col("module")), F.coalesce(F.concat(F.lit("#v:"), percent_encoded(F.col("name"))), F.lit("")))
+    home = F.col("component").eqNullSafe(F.col("def_component")) & F.col("module").eqNullSafe(F.col("def_module"))
+    return rows.withColumns({"label": label, "href": href, "is_definition": home})
+
+
 def collapse(rows: DataFrame) -> DataFrame:
     """One result for each definition and name: placed by its best score, shown by its best
     presentation, the other presentations as ``alternates``, best first. Rows that are no

@@ -75,11 +75,11 @@ class IndexStore:
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*ENTRY)
         writer.parquet(f"{self.path}/rows")
         counted = meta.join(rows.groupBy(*ENTRY).agg(F.count("*").alias("n")), ENTRY, "left").fillna({"n": 0})
-        counted.withColumn("generation", F.lit(GENERATION)).write.mode("append").parquet(f"{self.path}/entries")
+        counted.withColumns({"generation": F.lit(GENERATION), "written": F.unix_micros(F.current_timestamp())}).write.mode("append").parquet(f"{self.path}/entries")
 
     def entries(self) -> DataFrame:
         all_entries = self.spark.read.parquet(f"{self.path}/entries").where(F.col("generation") == GENERATION)
-        return all_entries.groupBy(*ENTRY).agg(F.max_by(F.struct("indexed_at", "n"), "indexed_at").alias("x")).select(*ENTRY, "x.*")
+        return all_entries.groupBy(*ENTRY).agg(F.max_by(F.struct("indexed_at", "n"), F.struct("indexed_at", "written")).alias("x")).select(*ENTRY, "x.*")
 
     def rows(self) -> DataFrame:
         """Rows of live entries; one that was last written without rows has none."""

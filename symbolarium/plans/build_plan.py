@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symbolarium.functions.ident import origin_name
+from symbolarium.functions.ident import origin_entries, origin_name
 
 _SOURCE = "struct<type:string,path:string,`source-repo`:struct<type:string,location:string,tag:string,subdir:string>,uri:string,repo:struct<type:string,uri:string>>"
 PLAN_SCHEMA = (
@@ -57,8 +57,11 @@ def live_branches(stanzas: DataFrame) -> DataFrame:
 
 
 def composed_environments(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """The union of two environments' packages, the primary's location first."""
-    return primary.withColumnRenamed("location", "_first").join(secondary.withColumnRenamed("location", "_second"), "pkg", "full_outer").select("pkg", F.coalesce("_first", "_second").alias("location"))
+    """The union of two environments' packages, the primary's location (and compiler, if the
+    environments carry one) first."""
+    carried = [c for c in primary.columns if c != "pkg"]
+    one, two = (rows.select("pkg", *(F.col(c).alias(f"_{k}{c}") for c in carried)) for k, rows in enumerate((primary, secondary)))
+    return one.join(two, "pkg", "full_outer").select("pkg", *(F.coalesce(f"_0{c}", f"_1{c}").alias(c) for c in carried))
 
 
 def module_files(files: DataFrame, dirs: DataFrame, modules: DataFrame) -> DataFrame:
@@ -68,17 +71,19 @@ def module_files(files: DataFrame, dirs: DataFrame, modules: DataFrame) -> DataF
     return wanted.join(files.select("path"), "path", "left_semi").groupBy("component", "module").agg(F.min_by("path", "pos").alias("path"))
 
 
-#: Directories that a source walk does not enter.
-SKIPPED = ["dist", "dist-newstyle", ".git", ".stack-work", "node_modules"]
+#: Directories, beside hidden ones, that a source walk does not enter.
+SKIPPED = ("dist", "dist-newstyle", "test", "tests", "bench", "benchmarks", "Setup")
 
 
-def source_files(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:
+def source_files(spark: SparkSession, root: str, depth: int = 4, skipped: tuple[str, ...] = SKIPPED, suffix: str = ".hs") -> DataFrame:
     """Sources under ``root`` down to ``depth`` directories: ``(path, relative, size, mtime, content)``;
     bytes that are no UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{hs,lhs}").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
     relative = F.regexp_replace("path", r"^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     parts = F.split(relative, "/")
-    return files.where((F.size(parts) <= depth + 1) & ~F.arrays_overlap(parts, F.lit(SKIPPED))).select(
+    above = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    closed = F.exists(above, lambda d: d.startswith(".") | d.isin(*skipped))
+    return files.where((F.size(parts) <= depth + 1) & ~closed).select(
         "path", relative.alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")
     )
 
@@ -91,21 +96,24 @@ def sections(lines: DataFrame, key: str, is_header: Column) -> DataFrame:
 
 def dump_exports(lines: DataFrame) -> DataFrame:
     """Interface dumps ``lines(file, pos, text)`` to ``(module, name, pos, origin_module)``: the
-    indented entries under ``exports:``, bare ones from the module itself, the first of equals."""
+    indented words under ``exports:``, those in braces too, bare ones from the module itself, the
+    first of equals; parents that a bar marks as not exported are left out."""
     header = ~F.col("text").rlike(r"^\s")
     numbered = sections(lines, "file", header)
     modules = numbered.where(F.col("text").rlike(r"^interface ")).groupBy("file").agg(F.min(F.regexp_extract("text", r"^interface\s+(?:\S+:)?([A-Z][\w.']*)", 1)).alias("module"))
     listed = numbered.where(F.col("text") == "exports:").select("file", "section")
-    entries = numbered.where(~header).join(listed, ["file", "section"]).select("file", "pos", F.trim("text").alias("entry"))
-    named = entries.join(modules, "file").withColumn("o", origin_name(F.col("entry")))
+    entries = numbered.where(~header).join(listed, ["file", "section"]).select("file", "pos", F.explode(origin_entries(F.col("text"))).alias("entry"))
+    named = entries.join(modules, "file").withColumn("o", origin_name(F.col("entry"))).where("o IS NOT NULL")
     return named.groupBy("module", F.col("o.name").alias("name"), F.coalesce("o.module", "module").alias("origin_module")).agg(F.min("pos").alias("pos"))
 
 
-def selected_fields(rows: DataFrame, key: str, asked: list[str]) -> DataFrame:
-    """Results cut to the fields asked for, and those asked for that no result has."""
-    have = [c for c in rows.columns if c != key]
-    unmatched = F.array_join(F.array_except(F.lit(asked), F.lit(have)), ",")
-    return rows.select(key, F.to_json(F.struct(*(c for c in have if c in asked))).alias("result"), unmatched.alias("unmatched"))
+def selected_fields(rows: DataFrame, key: str, asked: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Results cut to a field set ``keep`` (the compact or the full one; None: all), then to the
+    fields asked for (none: all of them), and those asked for that no result has."""
+    have = [c for c in rows.columns if c != key and (keep is None or c in keep)]
+    shown = [c for c in have if not asked or c in asked]
+    unmatched = F.lit(",".join(f for f in asked if f not in have))
+    return rows.select(key, (F.to_json(F.struct(*shown)) if shown else F.lit("{}")).alias("result"), unmatched.alias("unmatched"))
 
 
 #: Short forms of field names.

@@ -17,7 +17,7 @@ def component_index(exported: DataFrame, decls: DataFrame, imports: DataFrame, e
 
     ``exported(component, module, name, visibility)`` resolve within their component first;
     what no module of it supplies is probed in ``exports`` of the packages it depends on,
-    candidates in the order of its imports. Modules of different components never mix.
+    candidates in the order of its imports; if ``exports`` has signatures, rows take theirs. Modules of different components never mix.
     """
     key = lambda c, m: F.concat(F.col(c), F.lit("\0"), F.col(m))
     sites = resolve.resolve_exports(
@@ -36,7 +36,9 @@ def component_index(exported: DataFrame, decls: DataFrame, imports: DataFrame, e
     order = F.struct((~F.col("explicit")).alias("open"), F.col("target").alias("target"))
     options = wanted.join(imports, ["component", "module", "name"]).groupBy("component", "module", "name").agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x["target"]).alias("candidates"))
     found = resolve.probe_candidates(options.select(F.col("component").alias("asker"), "module", "name", "candidates"), exports, deps)
-    outside = found.select(F.col("asker").alias("component"), "module", "name", F.col("chosen.def_component").alias("def_component"), F.col("chosen.def_module").alias("def_module"), F.lit("").alias("signature"))
+    outside = found.select(F.col("asker").alias("component"), "module", "name", F.col("chosen.def_component").alias("def_component"), F.col("chosen.def_module").alias("def_module"))
+    signs = exports.groupBy("def_component", "def_module", "name").agg(F.min("signature").alias("signature")) if "signature" in exports.columns else None
+    outside = outside.withColumn("signature", F.lit("")) if signs is None else outside.join(signs, ["def_component", "def_module", "name"], "left")
     unresolved = wanted.join(outside.select("component", "module", "name"), ["component", "module", "name"], "left_anti")
     columns = ["component", "module", "name", "signature", "def_component", "def_module"]
     out = rows.select(*columns).unionByName(outside.select(*columns)).join(seen, ["component", "module", "name"])

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from checkpoint files in the session's checkpoint folder; a lost executor does
-    not lose them. A local folder is set only where the session names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="symbolarium-"))
-    return df.checkpoint()
+    """``df`` written once as a columnar table in the session's checkpoint folder and read back:
+    later reads take the columns they need, and a lost executor does not lose it. A local folder
+    is set only where the session names none; on a cluster that would be wrong, so it is refused
+    there."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        root = tempfile.mkdtemp(prefix="symbolarium-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/symbolarium/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -176,9 +176,10 @@ def search_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("component", "module", "name", "signature", "visibility", F.get("spans", F.lit(0))["start"].cast("long").alias("first_start"), F.get("spans", F.lit(1))["start"].cast("long").alias("second_start"))
 
 
-@query("subsequence_match", f"WITH {_NAMED}, {_symbols()} SELECT component, module, name, signature, visibility, {_subsequence('rbt', 'lower(name)')} AS is_match FROM symbols")
+@query("subsequence_match", f"WITH {_NAMED}, {_symbols()} SELECT component, module, name, signature, visibility, {_subsequence('rbt', 'lower(name)')} AS is_match, {_subsequence('rbt', 'lower(name)')} AS is_folded FROM symbols")
 def subsequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.symbols(spark, sf_dir).select("component", "module", "name", "signature", "visibility", text.is_subsequence(F.lit("rbt"), F.lower("name")).alias("is_match"))
+    literal, folded = text.is_subsequence_of("rbt", F.lower("name")), text.is_subsequence(F.lit("rbt"), F.lower("name"))
+    return catalog.symbols(spark, sf_dir).select("component", "module", "name", "signature", "visibility", literal.alias("is_match"), folded.alias("is_folded"))
 
 
 # -- lookup and scope ---------------------------------------------------------------------
@@ -186,7 +187,7 @@ def subsequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lookup_by_name", f"WITH {_NAMED}, {_VERSIONED} SELECT * FROM versioned WHERE name = 'redBolt'")
 def lookup_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.by_name(catalog.versioned(spark, sf_dir), "redBolt")
+    return lookup.newest_first(lookup.by_name(catalog.versioned(spark, sf_dir), "redBolt"))
 
 
 @query("lookup_qualified", f"WITH {_NAMED}, {_VERSIONED} SELECT * FROM versioned WHERE name = 'hotGear' AND mod = 'Cat.Economy'")
@@ -241,9 +242,17 @@ def shadow_merge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.shadowed_rows(*catalog.stores(spark, sf_dir))
 
 
-@query("shadow_read_entries", f"{_STORES} SELECT * FROM project UNION ALL SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM project p WHERE (p.component, p.module) = (w.component, w.module))")
+_VERSIONED_STORES = f"WITH {_NAMED}, {_VERSIONED}, project AS (SELECT * FROM versioned WHERE unit_id < 'brand-3' AND name < 'm'), whole AS (SELECT * FROM versioned WHERE name > 'c')"
+
+
+def _versioned_stores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = catalog.versioned(spark, sf_dir)
+    return rows.where("unit_id < 'brand-3' AND name < 'm'"), rows.where("name > 'c'")
+
+
+@query("shadow_read_entries", f"{_VERSIONED_STORES} SELECT * FROM project UNION ALL SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM project p WHERE (p.pkg, p.version, p.unit_id) = (w.pkg, w.version, w.unit_id))")
 def shadow_read_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.shadowed_entries(*catalog.stores(spark, sf_dir), entry=("component", "module"))
+    return lookup.shadowed_entries(*_versioned_stores(spark, sf_dir))
 
 
 _TIERS = f"""{_STORES}, tiers AS (
@@ -376,7 +385,8 @@ def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fixpoint_sql(rounds: int = 16) -> str:
-    """Rounds written out, each resolving what the one before supplies."""
+    """Rounds written out, each resolving what the one before supplies; modules import what is at
+    most half their number, so a chain has no more links than the number has binary digits."""
     out = [f"WITH {_MODULES}, wanted AS (SELECT DISTINCT module, name FROM exported), k0 AS MATERIALIZED (SELECT DISTINCT module, name, module AS definer, 0 AS round FROM decls)"]
     for n in range(1, rounds + 1):
         out.append(f"""k{n} AS MATERIALIZED (
@@ -424,27 +434,28 @@ def unresolved_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asks.join(found, ["asker", "module", "name"], "left_anti")
 
 
-@query("bounded_chain", f"""WITH {_MODULES}, asks AS (SELECT DISTINCT module, name FROM exported WHERE module % 10 = 6), d AS (SELECT DISTINCT module, name FROM decls),
-step AS (SELECT DISTINCT i.module, i.name, i.target FROM imports i JOIN exported e ON e.module = i.target AND e.name = i.name),
-r1 AS (SELECT DISTINCT a.module, a.name, s.target AS at FROM asks a JOIN step s USING (module, name)),
-r2 AS (SELECT DISTINCT r.module, r.name, s.target AS at FROM r1 r JOIN step s ON s.module = r.at AND s.name = r.name),
-r3 AS (SELECT DISTINCT r.module, r.name, s.target AS at FROM r2 r JOIN step s ON s.module = r.at AND s.name = r.name),
-hits AS (SELECT module, name, 0 AS hop FROM asks SEMI JOIN d USING (module, name)
-  UNION ALL SELECT r.module, r.name, 1 FROM r1 r JOIN d ON d.module = r.at AND d.name = r.name
-  UNION ALL SELECT r.module, r.name, 2 FROM r2 r JOIN d ON d.module = r.at AND d.name = r.name
-  UNION ALL SELECT r.module, r.name, 3 FROM r3 r JOIN d ON d.module = r.at AND d.name = r.name)
-SELECT module, name, min(hop) AS hop FROM asks LEFT JOIN hits USING (module, name) GROUP BY ALL""")
+_CHAIN = f"""WITH {_MODULES}, asks AS (SELECT DISTINCT module, name FROM exported), d AS (SELECT DISTINCT module, name FROM decls),
+step AS (SELECT i.module, i.name, i.target, min(i.open) AS open FROM imports i JOIN exported e ON e.module = i.target AND e.name = i.name WHERE i.target <> i.module GROUP BY ALL),
+r0 AS (SELECT module, name, module AS at, 0 AS open FROM asks),
+r1 AS (SELECT r.module, r.name, s.target AS at, min(s.open) AS open FROM r0 r JOIN step s ON s.module = r.at AND s.name = r.name GROUP BY ALL),
+r2 AS (SELECT r.module, r.name, s.target AS at, min(s.open) AS open FROM r1 r JOIN step s ON s.module = r.at AND s.name = r.name GROUP BY ALL),
+r3 AS (SELECT r.module, r.name, s.target AS at, min(s.open) AS open FROM r2 r JOIN step s ON s.module = r.at AND s.name = r.name GROUP BY ALL),
+rings AS (SELECT 0 AS hop, * FROM r0 UNION ALL SELECT 1, * FROM r1 UNION ALL SELECT 2, * FROM r2 UNION ALL SELECT 3, * FROM r3),
+hits AS (SELECT r.module, r.name, r.hop, r.at AS definer, row_number() OVER (PARTITION BY r.module, r.name ORDER BY r.hop, r.open, r.at) AS place FROM rings r JOIN d ON d.module = r.at AND d.name = r.name),
+beyond AS (SELECT DISTINCT r.module, r.name FROM r3 r JOIN step s ON s.module = r.at AND s.name = r.name ANTI JOIN rings k ON k.module = r.module AND k.name = r.name AND k.at = s.target)
+SELECT a.module, a.name, h.hop, h.definer, CASE WHEN h.hop IS NOT NULL THEN 'found' WHEN b.name IS NOT NULL THEN 'stopped_at_bound' ELSE 'exhausted' END AS verdict
+FROM asks a LEFT JOIN hits h ON h.module = a.module AND h.name = a.name AND h.place = 1 LEFT JOIN beyond b ON b.module = a.module AND b.name = a.name"""
+
+
+@query("bounded_chain", _CHAIN)
 def bounded_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     exported = catalog.exported(spark, sf_dir)
-    out = resolve.followed_chain(exported.where("module % 10 = 6"), catalog.declarations(spark, sf_dir), exported, catalog.imports(spark, sf_dir))
-    return out.select("module", F.col("name").cast("long").alias("name"), "hop")
+    return resolve.followed_chain(exported, catalog.declarations(spark, sf_dir), exported, catalog.imports(spark, sf_dir)).withColumn("name", F.col("name").cast("long"))
 
 
-@query("bounded_chain_all", ORACLE_SQL["bounded_chain"].replace(" WHERE module % 10 = 6", ""))
+@query("bounded_chain_all", f"SELECT module, name, hop FROM ({_CHAIN})")
 def bounded_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exported = catalog.exported(spark, sf_dir)
-    out = resolve.followed_chain(exported, catalog.declarations(spark, sf_dir), exported, catalog.imports(spark, sf_dir))
-    return out.select("module", F.col("name").cast("long").alias("name"), "hop")
+    return bounded_chain(spark, sf_dir).select("module", "name", "hop")
 
 
 @query("oracle_repair", f"""{_PROBE}, missing AS (SELECT asker, module, name FROM asks ANTI JOIN probed USING (asker, module, name)),
@@ -476,17 +487,23 @@ def decode_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "pages").select("page_id", F.md5(text.decode_entities(F.col("html"))).alias("decoded"))
 
 
-@query("rewrite_links", """SELECT page_id, md5(replace(html, 'href="/', 'href="/cat-1.0/')) AS linked FROM pages""")
+_LINKED = """<a class="x" href="../cat-1.0/A.html">1</a><a href='src/B.html#l'>2</a><img alt="a>b" src="logo.html"><a href="Data-Map-Strict.html#v:x">3</a><a href="#top">4</a><a href="mailto:a@b">5</a><a href="doc-index.html">6</a><a href="../up/C.html">7</a><link href="src/no">"""
+_RELINKED = """<a class="x" href="/haddock/cat-1.0/A.html">1</a><a href='/haddock/cat-2.0/src/B.html#l'>2</a><img alt="a>b" src="/haddock/cat-2.0/logo.html"><a href="/pkg/cat:sub/Data.Map.Strict#v:x">3</a><a href="#top">4</a><a href="mailto:a@b">5</a><a href="/haddock/cat-2.0/doc-index.html">6</a><a href="../up/C.html">7</a><link href="src/no">"""
+
+
+@query("rewrite_links", f"""SELECT page_id, md5(replace(html, 'href="/', 'href="/haddock/cat-2.0/src/') || '{_RELINKED.replace("'", "''")}') AS linked FROM pages""")
 def rewrite_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "pages").select("page_id", F.md5(text.rewrite_links(F.col("html"), "cat", "1.0")).alias("linked"))
+    # Every root-relative link of a page is made a relative one; then pages get links of each kind.
+    page = F.concat(F.replace("html", F.lit('href="/'), F.lit('href="src/')), F.lit(_LINKED))
+    return catalog.table(spark, sf_dir, "pages").select("page_id", F.md5(text.rewrite_links(page, "cat:sub", "cat-2.0")).alias("linked"))
 
 
-_REF = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '-') || '-1.' || p_size ELSE replace(p_name, ' ', '-') END || CASE WHEN p_partkey % 2 = 0 THEN '-0123abcdef' ELSE '' END AS ref FROM part"
+_REF = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '-') || '-1.' || p_size ELSE replace(p_name, ' ', '-') END || CASE WHEN p_partkey % 5 = 0 THEN '-1.2.' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '-0123abcdef' ELSE '' END AS ref FROM part"
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     dashed = F.replace("p_name", F.lit(" "), F.lit("-"))
-    ref = F.concat(F.when(F.col("p_partkey") % 3 == 0, F.concat(dashed, F.lit("-1."), F.col("p_size").cast("string"))).otherwise(dashed), F.when(F.col("p_partkey") % 2 == 0, "-0123abcdef").otherwise(""))
+    ref = F.concat(F.when(F.col("p_partkey") % 3 == 0, F.concat(dashed, F.lit("-1."), F.col("p_size").cast("string"))).otherwise(dashed), F.when(F.col("p_partkey") % 5 == 0, "-1.2.").otherwise(""), F.when(F.col("p_partkey") % 2 == 0, "-0123abcdef").otherwise(""))
     return catalog.table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref"))
 
 
@@ -497,20 +514,35 @@ def identifier_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refs(spark, sf_dir).withColumn("r", ident.package_ref(F.col("ref"))).select("p_partkey", "r.name", "r.version")
 
 
-@query("symbol_path_parse", f"""WITH {_NAMED} SELECT DISTINCT component, module, name, component || '-1.2/' || module || '/' || name AS path, '1.2' AS version FROM named""")
+_PATHS = f"""{_NAMED}, paths AS (SELECT DISTINCT component AS c, module AS m, name AS n, p_size % 9 AS k FROM named), given AS (
+  SELECT *, CASE k WHEN 0 THEN c || '-1.2/' || m || '/' || n WHEN 1 THEN c WHEN 2 THEN c || '/' || m WHEN 3 THEN c || '//' || n WHEN 4 THEN c || '/'
+    WHEN 5 THEN c || '/' || n WHEN 6 THEN c || '/' || m || '/' WHEN 7 THEN c || '@1/' || m ELSE c || '/' || m || '/' || n || '/more' END AS path FROM paths
+)"""
+
+
+@query("symbol_path_parse", f"""WITH {_PATHS} SELECT DISTINCT path,
+  CASE k WHEN 3 THEN 'symbol_without_module' WHEN 4 THEN 'invalid_module' WHEN 5 THEN 'module_not_uppercase' WHEN 6 THEN 'invalid_symbol' WHEN 7 THEN 'invalid_package' END AS error,
+  CASE WHEN k IN (0, 1, 2, 8) THEN regexp_extract(c, '^(.*?)(-[0-9]+)?$', 1) END AS package,
+  CASE k WHEN 0 THEN '1.2' WHEN 1 THEN regexp_extract(c, '[0-9]+$') WHEN 2 THEN regexp_extract(c, '[0-9]+$') WHEN 8 THEN regexp_extract(c, '[0-9]+$') END AS version,
+  CASE WHEN k IN (0, 2, 8) THEN m END AS module, CASE WHEN k IN (0, 8) THEN n END AS symbol FROM given WHERE k > 0
+UNION SELECT DISTINCT path, NULL, c, '1.2', m, n FROM given WHERE k = 0 UNION ALL SELECT '', 'empty_input', NULL, NULL, NULL, NULL""")
 def symbol_path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog._named(spark, sf_dir).select(F.concat("component", F.lit("-1.2/"), "module", F.lit("/"), "name").alias("given")).distinct()
-    p = ident.symbol_path(F.col("given"))
-    return rows.select(p.alias("p")).where("p.error IS NULL").select(F.col("p.package").alias("component"), "p.module", F.col("p.symbol").alias("name"), ident.symbol_path_text(F.col("p")).alias("path"), "p.version")
+    c, m, n, k = F.col("component"), F.col("module"), F.col("name"), F.col("p_size") % 9
+    join = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    path = F.when(k == 0, join(c, "-1.2/", m, "/", n)).when(k == 1, c).when(k == 2, join(c, "/", m)).when(k == 3, join(c, "//", n)).when(k == 4, join(c, "/"))
+    path = path.when(k == 5, join(c, "/", n)).when(k == 6, join(c, "/", m, "/")).when(k == 7, join(c, "@1/", m)).otherwise(join(c, "/", m, "/", n, "/more"))
+    rows = catalog._named(spark, sf_dir).select(path.alias("path")).distinct().unionByName(spark.createDataFrame([("",)], "path string"))
+    return rows.select("path", ident.symbol_path(F.col("path")).alias("p")).select("path", "p.*")
 
 
-@query("component_parse", """SELECT p_partkey, p_brand AS package, CASE p_partkey % 3 WHEN 0 THEN 'lib' WHEN 1 THEN 'sublib' ELSE 'exe' END AS kind,
-  CASE WHEN p_partkey % 3 > 0 THEN lower(p_type) END AS name FROM part""")
+@query("component_parse", """SELECT p_partkey, p_brand AS package, CASE p_partkey % 6 WHEN 1 THEN 'sublib' WHEN 2 THEN 'exe' WHEN 5 THEN 'sublib' ELSE 'lib' END AS kind,
+  CASE p_partkey % 6 WHEN 1 THEN lower(p_type) WHEN 2 THEN lower(p_type) WHEN 5 THEN 'a:' || lower(p_type) END AS name,
+  CASE p_partkey % 6 WHEN 1 THEN p_brand || ':' || lower(p_type) WHEN 2 THEN p_brand || ':exe:' || lower(p_type) WHEN 5 THEN p_brand || ':a:' || lower(p_type) ELSE p_brand END AS again FROM part""")
 def component_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 3
-    key = F.concat("p_brand", F.when(k == 0, "").when(k == 1, F.concat(F.lit(":"), F.lower("p_type"))).otherwise(F.concat(F.lit(":exe:"), F.lower("p_type"))))
-    c = ident.component_key(key)
-    return catalog.table(spark, sf_dir, "part").withColumn("c", c).where(ident.component_text(F.col("c")) == key).select("p_partkey", "c.package", "c.kind", "c.name")
+    k, low = F.col("p_partkey") % 6, F.lower("p_type")
+    tail = F.when(k == 0, "").when(k == 1, F.concat(F.lit(":"), low)).when(k == 2, F.concat(F.lit(":exe:"), low)).when(k == 3, ":").when(k == 4, ":exe:").otherwise(F.concat(F.lit(":a:"), low))
+    rows = catalog.table(spark, sf_dir, "part").withColumn("c", ident.component_key(F.concat("p_brand", tail)))
+    return rows.select("p_partkey", "c.package", "c.kind", "c.name", ident.component_text(F.col("c")).alias("again"))
 
 
 @query("qualified_split", f"WITH {_NAMED} SELECT DISTINCT module, name, module || '.' || name AS qualified FROM named")
@@ -519,18 +551,27 @@ def qualified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(ident.qualified_name(F.col("qualified")).alias("q"), "qualified").select("q.module", "q.name", "qualified")
 
 
-@query("origin_split", f"WITH {_NAMED} SELECT DISTINCT module, name FROM named")
+@query("origin_split", f"""WITH {_NAMED}, e AS (SELECT DISTINCT module AS m, name AS n, p_size % 6 AS k FROM named)
+SELECT DISTINCT CASE k WHEN 0 THEN m || '.' || n WHEN 1 THEN m || '.||' WHEN 2 THEN m || '|' WHEN 3 THEN n WHEN 4 THEN m || '..>>.' ELSE m END AS entry,
+  CASE k WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 5 THEN regexp_replace(m, '[.][^.]*$', '') ELSE m END AS module,
+  CASE k WHEN 0 THEN n WHEN 1 THEN '||' WHEN 2 THEN NULL WHEN 3 THEN n WHEN 4 THEN '.>>.' ELSE regexp_extract(m, '[^.]*$') END AS name FROM e""")
 def origin_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog._named(spark, sf_dir).select(F.concat("module", F.lit("."), "name", F.lit("{a b}")).alias("entry")).distinct()
-    return rows.select(ident.origin_name(F.col("entry")).alias("o")).select("o.module", "o.name")
+    m, n, k = F.col("module"), F.col("name"), F.col("p_size") % 6
+    entry = F.when(k == 0, F.concat(m, F.lit("."), n)).when(k == 1, F.concat(m, F.lit(".||"))).when(k == 2, F.concat(m, F.lit("|"))).when(k == 3, n).when(k == 4, F.concat(m, F.lit("..>>."))).otherwise(m)
+    rows = catalog._named(spark, sf_dir).select(entry.alias("entry")).distinct()
+    return rows.select("entry", ident.origin_name(F.col("entry")).alias("o")).select("entry", "o.module", "o.name")
 
 
 _ORDERED = "SELECT pkg, version, row_number() OVER (PARTITION BY pkg ORDER BY {order}) AS place FROM (SELECT DISTINCT pkg, version FROM versioned)"
 
 
-@query("version_numeric_desc", f"WITH {_NAMED}, {_VERSIONED} {_ORDERED.format(order='list_transform(string_split(version, chr(46)), lambda x: CAST(x AS INT)) DESC')}")
+_LONG = "SELECT DISTINCT pkg, CASE WHEN version LIKE '1.%' THEN '2024010112000' || version ELSE version END AS version FROM versioned"
+
+
+@query("version_numeric_desc", f"WITH {_NAMED}, {_VERSIONED} SELECT pkg, version, row_number() OVER (PARTITION BY pkg ORDER BY list_transform(string_split(version, chr(46)), lambda x: CAST(x AS HUGEINT)) DESC) AS place FROM ({_LONG})")
 def version_numeric_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog.versioned(spark, sf_dir).select("pkg", "version").distinct()
+    version = F.when(F.col("version").startswith("1."), F.concat(F.lit("2024010112000"), "version")).otherwise(F.col("version"))
+    rows = catalog.versioned(spark, sf_dir).select("pkg", version.alias("version")).distinct()
     place = F.row_number().over(Window.partitionBy("pkg").orderBy(F.desc("numbers")))
     return rows.withColumn("numbers", ident.version_numbers(F.col("version"))).select("pkg", "version", place.cast("long").alias("place"))
 
@@ -541,23 +582,27 @@ def version_text_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pkg", "version", F.row_number().over(Window.partitionBy("pkg").orderBy(F.desc("version"))).cast("long").alias("place"))
 
 
-@query("percent_encode", "SELECT p_partkey, replace(p_name, ' ', '%20') || ':' || replace(p_brand, '#', '%23') AS encoded FROM part")
+@query("percent_encode", "SELECT p_partkey, replace(p_name, ' ', '%20') || ':@&=+$,~-_.%2A%2F%3F' || replace(p_brand, '#', '%23') AS encoded FROM part")
 def percent_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "part").select("p_partkey", text.percent_encoded(F.concat("p_name", F.lit(":"), "p_brand")).alias("encoded"))
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", text.percent_encoded(F.concat("p_name", F.lit(":@&=+$,~-_.*/?"), "p_brand")).alias("encoded"))
 
 
-@query("shell_quote", "SELECT p_partkey, CASE WHEN regexp_matches(p_name || p_brand, '^[A-Za-z0-9]+$') THEN p_name ELSE '''' || p_name || '''' END AS quoted FROM part")
+_WORDS = "CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN 'a=' || replace(p_name, ' ', '+') WHEN 3 THEN 'it' || chr(39) || 's' ELSE '' END"
+
+
+@query("shell_quote", f"""SELECT p_partkey, CASE WHEN regexp_matches({_WORDS}, '^[A-Za-z0-9_./:@-]+$') THEN {_WORDS} ELSE chr(39) || replace({_WORDS}, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) END AS quoted FROM part""")
 def shell_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "part").select("p_partkey", text.shell_quoted(F.col("p_name")).alias("quoted"))
+    name, k = F.col("p_name"), F.col("p_partkey") % 5
+    word = F.when(k == 0, name).when(k == 1, F.replace(name, F.lit(" "), F.lit("_"))).when(k == 2, F.concat(F.lit("a="), F.replace(name, F.lit(" "), F.lit("+")))).when(k == 3, "it's").otherwise("")
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", text.shell_quoted(word).alias("quoted"))
 
 
-@query("proximity_rank", f"""WITH {_NAMED}, mods AS (SELECT DISTINCT module FROM named) SELECT a.module AS asking, b.module AS candidate,
-  CASE WHEN a.module = b.module THEN len(string_split(a.module, '.')) WHEN split_part(a.module, '.', 2) = split_part(b.module, '.', 2) THEN 2 ELSE 1 END AS shared
-FROM mods a, mods b""")
+@query("proximity_rank", f"""WITH {_NAMED}, {_symbols()}, s AS (SELECT DISTINCT name, module FROM symbols), a AS (SELECT name, min(module) AS asking FROM s GROUP BY name)
+SELECT name, asking, module AS candidate, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN module = asking THEN 9 WHEN split_part(module, '.', 2) = split_part(asking, '.', 2) THEN 2 ELSE 1 END DESC, module) AS place FROM s JOIN a USING (name)""")
 def proximity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mods = catalog._named(spark, sf_dir).select("module").distinct()
-    pairs = mods.select(F.col("module").alias("asking"), F.lit(1).alias("one")).join(mods.select(F.col("module").alias("candidate"), F.lit(1).alias("one")), "one")
-    return pairs.select("asking", "candidate", ident.shared_leading(F.col("asking"), F.col("candidate")).cast("long").alias("shared"))
+    rows = catalog.symbols(spark, sf_dir).groupBy("name").agg(F.min("module").alias("asking"), F.collect_set("module").alias("candidates"))
+    near = F.array_sort(F.transform("candidates", lambda c: F.struct((-ident.shared_leading(F.col("asking"), c)).alias("far"), c.alias("candidate"))))
+    return rows.select("name", "asking", F.posexplode(near).alias("pos", "x")).select("name", "asking", "x.candidate", (F.col("pos") + 1).cast("long").alias("place"))
 
 
 @query("numbered_lines", r"""SELECT doc_id, i AS line, md5(l) AS digest FROM (SELECT doc_id, unnest(s) AS l, generate_subscripts(s, 1) AS i
@@ -588,20 +633,28 @@ def signature_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.symbols(spark, sf_dir).withColumn("s", text.split_signature(F.col("signature"))).select("component", "module", "visibility", "s.name", F.col("s.signature").alias("type"))
 
 
-@query("plan_hash", f"WITH {_NAMED}, {_VERSIONED} SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS plan_hash FROM (SELECT DISTINCT pkg || '-' || version AS l FROM versioned)")
+@query("plan_hash", f"WITH {_NAMED}, {_VERSIONED} SELECT sha256(string_agg(l || chr(10), '' ORDER BY l)) AS plan_hash FROM (SELECT DISTINCT pkg || '-' || version AS l FROM versioned)")
 def plan_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.plan_hash(catalog.versioned(spark, sf_dir).select("pkg", "version").distinct())
 
 
-@query("tree_fingerprint", "SELECT component, sha256(string_agg(l || chr(0), '' ORDER BY l)) AS fingerprint FROM (SELECT page_id % 16 AS component, url || '|' || page_id || '|' || length(html) AS l FROM pages) GROUP BY 1")
+@query("tree_fingerprint", "SELECT page_id // 64 AS component, sha256(string_agg(url || chr(0) || page_id || chr(0) || length(html) || chr(10), '' ORDER BY url, CAST(page_id AS VARCHAR))) AS fingerprint FROM pages GROUP BY 1")
 def tree_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = catalog.table(spark, sf_dir, "pages").select((F.col("page_id") % 16).alias("component"), F.col("url").alias("path"), F.col("page_id").alias("mtime"), F.length("html").alias("size"))
-    return hashing.tree_fingerprints(files)
+    pages = catalog.table(spark, sf_dir, "pages")
+    return hashing.tree_fingerprints(pages.select(F.expr("page_id div 64").alias("component"), F.col("url").alias("path"), F.col("page_id").alias("mtime"), F.length("html").alias("size")))
+
+
+@query("local_fingerprint", "SELECT sha256(coalesce(string_agg(url || chr(0) || page_id || chr(0) || length(html) || chr(10), '' ORDER BY url, CAST(page_id AS VARCHAR)), '')) AS fingerprint FROM pages WHERE page_id < 64")
+def local_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The first 64 pages are the local units' files; a project's own sources are bounded.
+    pages = catalog.table(spark, sf_dir, "pages").where("page_id < 64")
+    return hashing.tree_fingerprints(pages.select(F.col("url").alias("path"), F.col("page_id").alias("mtime"), F.length("html").alias("size")), by=None)
 
 
-@query("inputs_fingerprint", "SELECT p_partkey, sha256('v2' || chr(0) || p_name || chr(0) || p_brand || chr(0) || chr(0)) AS fingerprint FROM part")
+@query("inputs_fingerprint", "SELECT p_partkey, sha256('v2' || chr(0) || p_name || chr(0) || p_brand || chr(0) || chr(0) || array_to_string(list_transform(list_sort(string_split(p_name, ' ')), lambda x: x || ','), '') || chr(0)) AS fingerprint FROM part")
 def inputs_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "part").select("p_partkey", hashing.inputs_fingerprint(F.col("p_name"), F.col("p_brand"), F.lit(None)).alias("fingerprint"))
+    deps = hashing.list_part(F.split("p_name", " "))
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", hashing.inputs_fingerprint(F.col("p_name"), F.col("p_brand"), F.lit(None), deps).alias("fingerprint"))
 
 
 @query("cache_key", "SELECT page_id, 'remote:v2:' || sha256(url) AS key FROM pages")
@@ -609,10 +662,10 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "pages").select("page_id", hashing.query_key(F.col("url"), "remote:v2:").alias("key"))
 
 
-@query("http_freshness", """SELECT event_id, event_type = 'view' OR epoch(date_trunc('second', TIMESTAMP '2024-01-16 00:00:00')) - epoch(date_trunc('second', ts)) < 900000 AS fresh FROM events""")
+@query("http_freshness", """SELECT event_id, event_type = 'view' OR epoch_us(TIMESTAMP '2024-01-16 00:00:00.5') - epoch_us(ts) < 900000 * 1000000::BIGINT AS fresh FROM events""")
 def http_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "immutable").otherwise("mutable")
-    fresh = hashing.is_fresh(kind, F.col("ts"), F.lit("2024-01-16 00:00:00").cast("timestamp"), F.lit(900000))
+    fresh = hashing.is_fresh(kind, F.col("ts"), F.lit("2024-01-16 00:00:00.5").cast("timestamp"), F.lit(900000))
     return catalog.table(spark, sf_dir, "events").select("event_id", fresh.alias("fresh"))
 
 
@@ -628,16 +681,30 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "events").select("event_id", hit["k"].alias("k"), F.coalesce(hit["module"]["name"], F.lit("")).alias("module"))
 
 
-@query("json_keys", "SELECT event_id, 'k' AS versions FROM events")
+@query("json_keys", f"WITH {_NAMED}, {_VERSIONED} SELECT pkg, version, row_number() OVER (PARTITION BY pkg ORDER BY list_transform(string_split(version, chr(46)), lambda x: CAST(x AS INT)) DESC) AS place FROM (SELECT DISTINCT pkg, version FROM versioned)")
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "events").select("event_id", F.array_join(F.map_keys(F.from_json("props", "map<string,string>")), ",").alias("versions"))
+    rows = catalog.versioned(spark, sf_dir).groupBy("pkg").agg(F.collect_set("version").alias("v"))
+    body = F.to_json(F.map_from_arrays("v", F.transform("v", lambda v: F.when(v.startswith("1"), "deprecated").otherwise("normal"))))
+    return packages.known_versions(rows.select("pkg", body.alias("body"))).withColumn("place", F.col("place").cast("long"))
 
 
 @query("select_fields", """SELECT p_partkey, '{"name":"' || p_name || '","size":' || p_size || '}' AS result, 'nope' AS unmatched FROM part""")
 def select_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_plan.selected_fields(
-        catalog.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand")), "p_partkey", ["name", "size", "nope"]
-    )
+    return build_plan.selected_fields(_fields(spark, sf_dir), "p_partkey", ["name", "size", "nope"])
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))
+
+
+@query("field_sets", """SELECT p_partkey, k, CASE k WHEN 'all' THEN '{"name":"' || p_name || '","size":' || p_size || ',"brand":"' || p_brand || '"}' WHEN 'compact' THEN '{"name":"' || p_name || '","brand":"' || p_brand || '"}'
+  WHEN 'picked' THEN '{"brand":"' || p_brand || '"}' ELSE '{}' END AS result, CASE k WHEN 'picked' THEN 'size' WHEN 'missed' THEN 'size,sig' ELSE '' END AS unmatched FROM part, (SELECT unnest(['all', 'compact', 'picked', 'missed']) AS k)""")
+def field_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, out = _fields(spark, sf_dir), None
+    for name, asked, keep in (("all", [], None), ("compact", [], ["name", "brand"]), ("picked", ["size", "brand"], ["name", "brand"]), ("missed", ["size", "sig"], ["name", "brand"])):
+        one = build_plan.selected_fields(rows, "p_partkey", asked, keep).withColumn("k", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("result_envelope", """SELECT p_partkey, CASE WHEN p_size > 25 THEN '{"result":{"name":"' || p_name || '"},"outside_plan":true}' ELSE '{"result":{"name":"' || p_name || '"}}' END AS envelope FROM part""")
@@ -646,13 +713,21 @@ def result_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", build_plan.envelope(F.struct(F.col("p_name").alias("name")), F.col("p_size") > 25).alias("envelope"))
 
 
-@query("kleene_conditions", """WITH c AS (SELECT p_partkey, p_size % 3 = 0 AS os, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 4 = 1 END AS flag FROM part)
-SELECT p_partkey, branch FROM (SELECT p_partkey, os AND flag AS cond, unnest(['then', 'else']) AS branch FROM c)
-WHERE CASE branch WHEN 'then' THEN coalesce(cond, true) ELSE coalesce(NOT cond, true) END""")
+_CONDITIONS = {
+    "os(linux)": "true", "OS( windows )": "false", "!os(linux)": "false", "flag(x)": "NULL", "impl(ghc >= 9 && < 10)": "NULL", "os(linux) && flag(x)": "NULL", "os(osx) && flag(x)": "false",
+    "flag(x) && os(osx)": "false", "os(linux) || flag(x)": "true", "flag(x) || os(osx)": "NULL", "os(osx) || os(linux) && arch(x86_64)": "true", "(os(osx) || os(linux)) && arch(arm)": "false",
+    "!(os(linux) && flag(x))": "NULL", "!(flag(x) && arch(arm)) && true": "true", "!!os(linux)": "true", "false || !flag(x) || arch(X86_64)": "true", "os(linux) && (flag(a) || (flag(b) && false))": "NULL", "mystery": "NULL",
+}
+
+
+@query("kleene_conditions", f"""WITH c(k, cond, v) AS (VALUES {", ".join(f"({k}, '{c}', {v})" for k, (c, v) in enumerate(_CONDITIONS.items()))})
+SELECT p_partkey, cond, branch, v AS value FROM part JOIN c ON k = p_partkey % {len(_CONDITIONS)}, (SELECT unnest(['then', 'else']) AS branch)
+WHERE CASE branch WHEN 'then' THEN coalesce(v, true) ELSE coalesce(NOT v, true) END""")
 def kleene_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 4 == 1)
-    rows = catalog.table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") % 3 == 0) & flag).alias("cond"))
-    return build_plan.live_branches(rows.withColumn("branch", F.explode(F.array(F.lit("then"), F.lit("else"))))).select("p_partkey", "branch")
+    cond = F.get(F.lit(list(_CONDITIONS)), (F.col("p_partkey") % len(_CONDITIONS)).cast("int"))
+    rows = catalog.table(spark, sf_dir, "part").select("p_partkey", cond.alias("text")).withColumn("cond", packages.condition_value(F.col("text"), "linux", "x86_64"))
+    live = build_plan.live_branches(rows.withColumn("branch", F.explode(F.array(F.lit("then"), F.lit("else")))))
+    return live.select("p_partkey", F.col("text").alias("cond"), "branch", F.col("cond").alias("value"))
 
 
 @query("library_last_units", """SELECT p_brand AS pkg, arg_max(p_partkey, (p_size % 2 = 0)::INT * 1000000000 + p_partkey) AS unit_id FROM part GROUP BY 1""")
@@ -661,19 +736,21 @@ def library_last_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_plan.library_last(units).select("pkg", "unit_id")
 
 
-@query("environment_compose", """SELECT p_brand AS pkg, coalesce(max(CASE WHEN p_size < 10 THEN p_name END), max(CASE WHEN p_size > 40 THEN p_name END)) AS location FROM part WHERE p_size < 10 OR p_size > 40 GROUP BY 1""")
+@query("environment_compose", """SELECT p_brand AS pkg, coalesce(max(CASE WHEN p_size < 10 THEN p_name END), max(CASE WHEN p_size > 40 THEN p_name END)) AS location,
+  CASE WHEN bool_or(p_size < 10) THEN 'c-1' ELSE 'c-2' END AS compiler FROM part WHERE p_size < 10 OR p_size > 40 GROUP BY 1""")
 def environment_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = catalog.table(spark, sf_dir, "part")
-    side = lambda rows: rows.groupBy(F.col("p_brand").alias("pkg")).agg(F.max("p_name").alias("location"))
-    return build_plan.composed_environments(side(part.where("p_size < 10")), side(part.where("p_size > 40")))
+    side = lambda rows, compiler: rows.groupBy(F.col("p_brand").alias("pkg")).agg(F.max("p_name").alias("location")).withColumn("compiler", F.lit(compiler))
+    return build_plan.composed_environments(side(part.where("p_size < 10"), "c-1"), side(part.where("p_size > 40"), "c-2"))
 
 
 @query("section_lines", r"""WITH l AS (SELECT doc_id, i, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 g AS (SELECT *, sum(CASE WHEN starts_with(s, 'T') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l)
-SELECT doc_id, count(*) AS n FROM g WHERE section = 1 GROUP BY 1""")
+SELECT doc_id, CAST(section AS BIGINT) AS section, min(i) - 1 AS first_pos, md5(arg_min(s, i)) AS head FROM g GROUP BY 1, 2""")
 def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return build_plan.sections(rows, "doc_id", F.col("line").startswith("T")).where("section = 1").groupBy("doc_id").agg(F.count("*").alias("n"))
+    numbered = build_plan.sections(rows, "doc_id", F.col("line").startswith("T"))
+    return numbered.groupBy("doc_id", F.col("section").cast("long").alias("section")).agg(F.min("pos").cast("long").alias("first_pos"), F.md5(F.min_by("line", "pos")).alias("head"))
 
 
 @query("section_lines_all", r"""WITH l AS (SELECT doc_id, i, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
@@ -687,17 +764,21 @@ def section_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- markup, declarations and package sources -----------------------------------------------
 
 
-@query("div_slice", "SELECT page_id, '<div>' || url || '</div>' AS inside FROM pages")
+@query("div_slice", """SELECT page_id, md5(html) AS inside, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS ad FROM pages""")
 def div_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.concat(F.lit('<p><div class="x"></div><div id="main"><div>'), "url", F.lit("</div></div><div>after</div>"))
-    return catalog.table(spark, sf_dir, "pages").select("page_id", markup.div_slice(page, "main").alias("inside"))
+    # Whole pages, with their own divisions, inside a named one; and the first division of a page.
+    page = F.concat(F.lit('<p><div class="x"></div><div id="main">'), "html", F.lit("</div><div>after</div>"))
+    named = F.replace("html", F.lit('<div class="ad">'), F.lit('<div class="ad" id="ad">'))
+    return catalog.table(spark, sf_dir, "pages").select("page_id", F.md5(markup.div_slice(page, "main")).alias("inside"), F.coalesce(markup.div_slice(named, "ad"), F.lit("")).alias("ad"))
+
 
+@query("header_fields", r"""SELECT doc_id, source AS maintainer, 'MIT' AS license, 'spdx' AS license_form, lang || chr(10) || 'more' AS note, md5(nullif(trim('Prose.' || chr(10) || coalesce(text, ''), ' 	
 
-@query("header_fields", """SELECT doc_id, source AS maintainer, 'MIT' AS license, 'spdx' AS license_form, lang || chr(10) || 'more' AS note, 'Some prose.' AS prose FROM documents""")
+'), '')) AS prose FROM documents""".replace(r"' \t\n\r\x0b\x0c'", "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"))
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.concat(F.lit("Maintainer : "), "source", F.lit("\nLicense : BSD\nSPDX-License-Identifier : MIT\nX-Note : "), "lang", F.lit("\n    more\n\nSome prose."))
+    head = F.concat(F.lit("Maintainer : "), "source", F.lit("\nLicense : BSD\nSPDX-License-Identifier : MIT\nX-Note : "), "lang", F.lit("\n    more\n\nProse.\n"), F.coalesce("text", F.lit("")))
     rows = catalog.table(spark, sf_dir, "documents").select("doc_id", markup.header_fields(head).alias("h"))
-    return rows.select("doc_id", "h.maintainer", "h.license", "h.license_form", F.col("h.extra")[0]["value"].alias("note"), "h.prose")
+    return rows.select("doc_id", "h.maintainer", "h.license", "h.license_form", F.col("h.extra")[0]["value"].alias("note"), F.md5("h.prose").alias("prose"))
 
 
 @query("comment_association", """WITH g AS (SELECT *, coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM conversations)
@@ -731,11 +812,18 @@ def installed_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.installed_packages(catalog.table(spark, sf_dir, "part").select(entry.alias("entry")))
 
 
-@query("macro_headers", """SELECT n_regionkey AS component, string_agg('#define VERSION_' || n_name || ' "2.' || n_nationkey || '"' || chr(10) || '#define MIN_VERSION_' || n_name || '(a,b,c) ((a) < 2 || (a) == 2 && (b) < '
-|| n_nationkey || ' || (a) == 2 && (b) == ' || n_nationkey || ' && (c) <= 0)', chr(10) ORDER BY n_name) AS header FROM nation GROUP BY 1""")
+_VERSION = "'2.' || n_nationkey || CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.x.7' ELSE '.4.5' END"
+_PATCH = "CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 7 ELSE 4 END"
+
+
+@query("macro_headers", f"""SELECT n_regionkey AS component, '/* synthesised from the build plan */' || chr(10) || '#define __GLASGOW_HASKELL__ 910' || chr(10) || '#define __GLASGOW_HASKELL_PATCHLEVEL1__ 3' || chr(10)
+|| string_agg('/* package ' || n_name || '-' || {_VERSION} || ' */' || chr(10) || '#define VERSION_' || n_name || ' "' || {_VERSION} || '"' || chr(10) || '#define MIN_VERSION_' || n_name || '(major1,major2,minor) (' || chr(92) || chr(10)
+|| '  (major1) <  2 || ' || chr(92) || chr(10) || '  (major1) == 2 && (major2) <  ' || n_nationkey || ' || ' || chr(92) || chr(10) || '  (major1) == 2 && (major2) == ' || n_nationkey || ' && (minor) <= ' || {_PATCH} || ')' || chr(10), '' ORDER BY n_name) AS header FROM nation GROUP BY 1""")
 def macro_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = catalog.table(spark, sf_dir, "nation")
-    return packages.macro_headers(nation.select(F.col("n_regionkey").alias("component"), F.col("n_name").alias("name"), F.concat(F.lit("2."), F.col("n_nationkey").cast("string")).alias("version")))
+    k = F.col("n_nationkey")
+    version = F.concat(F.lit("2."), k.cast("string"), F.when(k % 3 == 0, "").when(k % 3 == 1, ".x.7").otherwise(".4.5"))
+    rows = catalog.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("component"), F.col("n_name").alias("name"), version.alias("version"))
+    return packages.macro_headers(rows, "9.10.3")
 
 
 @query("page_entries", f"""WITH {_NAMED}, n AS (SELECT DISTINCT module, name FROM named), a AS (SELECT module, name, min(p_type) AS s FROM named WHERE p_size < 20 GROUP BY ALL),
@@ -754,3 +842,7 @@ def import_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 4
     names = F.when(k > 0, F.when(k == 3, F.array().cast("array<string>")).when(F.col("p_size") % 2 == 0, F.array(F.lit("f"))).otherwise(F.array(F.lit("g"))))
     return catalog.table(spark, sf_dir, "part").select("p_partkey", declarations.could_import(names, F.when(k > 0, k == 2), F.lit("f")).alias("how"))
+
+
+# More queries register themselves here: cascades over several sources, declarations, dumps.
+from symbolarium import queries_cascade  # noqa: E402, F401

@@ -9,19 +9,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symbolarium.functions.ident import package_ref
+from symbolarium.functions.ident import package_ref, version_macro, version_numbers
+from symbolarium.plans.lineage import cut
 
-COMPONENT_TYPE = "path string, package string, kind string, name string, branch string, cond string, list string, value string"
+COMPONENT_TYPE = "path string, package string, kind string, name string, branch string, cond string, list string, value string, pos int, error string"
 _STANZA = re.compile(r"^(library|executable|common|test-suite|benchmark|foreign-library|flag|source-repository)\b\s*(\S*)", re.IGNORECASE)
 _FIELD = re.compile(r"^([A-Za-z-]+)\s*:\s*(.*)$")
 _LISTS = {"exposed-modules", "other-modules", "hs-source-dirs", "default-extensions", "default-language"}
 
 
 def description_fields(text: str | None) -> list[tuple]:
-    """The list fields of a package description, each value with its component and the
-    innermost condition it stands under: ``(package, kind, name, branch, cond, list, value)``.
+    """The list fields of a package description, each value with its component, all conditions
+    it stands under, put together, and its place in the text: ``(package, kind, name, branch,
+    cond, list, value, pos, error)``.
 
-    Indentation says what belongs to what. A text without a package name has none.
+    Indentation says what belongs to what. A text without a package name has one row, its error.
     """
     package, out = None, []
     kind = name = field = None
@@ -49,14 +51,15 @@ def description_fields(text: str | None) -> list[tuple]:
                 package = match[2].strip()
             body = match[2]
         if field in _LISTS and kind in ("lib", "sublib", "exe") and not stanza:
-            at = conditions[-1] if conditions else (0, None, None)
-            out += [(package, kind, name, at[1], at[2], field, v) for v in re.split(r"[,\s]+", body) if v]
-    return out if package else []
+            holds = [f"({c})" if branch == "then" else f"!({c})" for _, branch, c in conditions]
+            for value in filter(None, re.split(r"[,\s]+", body)):
+                out.append((package, kind, name, "then" if holds else None, " && ".join(holds) or None, field, value, len(out), None))
+    return out if package else [(*[None] * 8, "no package name")]
 
 
 def read_components(spark: SparkSession, path: str) -> DataFrame:
     """Fields of all descriptions under ``path``, a row for each value (see ``COMPONENT_TYPE``);
-    one that cannot be read has no rows."""
+    one that cannot be read has one row, with its ``error``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in COMPONENT_TYPE.split(", ")]
@@ -70,23 +73,49 @@ def read_components(spark: SparkSession, path: str) -> DataFrame:
 
 def condition_value(cond: Column, os: str, arch: str) -> Column:
     """Whether a condition holds, as three-valued logic: ``os`` and ``arch`` are known, flags and
-    compilers are not (null). Handles tests, negated ones, and runs of ``&&`` or of ``||``."""
-    def test(c: Column) -> Column:
-        bare, asked = F.lower(F.regexp_replace(c, r"[!\s]", "")), F.lower(F.regexp_extract(c, r"\(([^)]*)\)", 1))
-        value = F.when(bare.startswith("os("), asked == os).when(bare.startswith("arch("), asked == arch).when(bare.isin("true", "false"), bare == "true")
-        return F.when(F.ltrim(c).startswith("!"), ~value).otherwise(value)
-
-    return F.when(cond.contains("||"), F.exists(F.split(cond, r"\|\|"), test)).otherwise(F.forall(F.split(cond, "&&"), test))
+    compilers are not (null). ``!``, ``&&``, ``||`` and parentheses, ``&&`` binding closer.
+
+    Tests become letters; then what can be worked out is, once for each character at most."""
+    out = F.lower(cond)
+    for test, value in (("os", os), ("arch", arch)):
+        known = "".join(f"[{c}]" if c.isalnum() else "\\" + c for c in value.lower())
+        out = F.regexp_replace(F.regexp_replace(out, rf"\b{test}\s*\(\s*{known}\s*\)", " T "), rf"\b{test}\s*\([^)]*\)", " F ")
+    out = F.regexp_replace(out, r"\b(flag|impl)\s*\([^)]*\)", " U ")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"\btrue\b", "T"), r"\bfalse\b", "F"), r"\s+", "")
+    rules = [
+        ("!T", "f"), ("!F", "T"), ("f", "F"), ("!U", "U"), (r"\(([TFU])\)", "$1"),
+        (r"(?<!!)(?:T&&([TFU])|([FU])&&T)", "$1$2"), (r"(?<!!)(?:F&&[FU]|U&&F)", "F"), (r"(?<!!)U&&U", "U"),
+        (r"(?<![!&])(?:F\|\|([TFU])|([TU])\|\|F)(?!&&)", "$1$2"), (r"(?<![!&])(?:T\|\|[TU]|U\|\|T)(?!&&)", "T"), (r"(?<![!&])U\|\|U(?!&&)", "U"),
+    ]
+
+    def step(state: Column, _: Column) -> Column:
+        for pattern, result in rules:
+            state = F.regexp_replace(state, pattern, result)
+        return state
+
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(out))), out, step)
+    return F.when(done == "T", True).when(done == "F", False)
 
 
 def live_fields(fields: DataFrame, os: str, arch: str) -> DataFrame:
-    """Fields of branches that hold or cannot be decided."""
+    """Fields of branches that hold or cannot be decided; rows of errors are left out."""
+    fields = fields.where("error IS NULL") if "error" in fields.columns else fields
     holds = condition_value(F.col("cond"), os, arch)
     return fields.where(F.when(F.col("branch") == "else", F.coalesce(~holds, F.lit(True))).otherwise(F.coalesce(holds, F.lit(True))))
 
 
 def exposed_modules(fields: DataFrame) -> DataFrame:
-    return fields.where("list = 'exposed-modules'").groupBy("package").agg(F.array_sort(F.collect_set("value")).alias("modules"))
+    """The exposed modules of each package, stanza after stanza as they are written, each once."""
+    first = fields.where("list = 'exposed-modules'").groupBy("package", "value").agg(F.min("pos").alias("pos"))
+    return first.groupBy("package").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("modules"))
+
+
+def component_report(fields: DataFrame, os: str, arch: str) -> dict[str, DataFrame]:
+    """What a set of descriptions holds: ``modules`` of components and ``dirs`` of their sources,
+    both of live branches, the ``exposed`` modules of packages, and the ``errors`` by path."""
+    live = live_fields(fields, os, arch)
+    dirs = live.where("list = 'hs-source-dirs'").select("package", "kind", "name", F.col("value").alias("dir"), "pos")
+    return {"modules": component_modules(live), "dirs": dirs, "exposed": exposed_modules(live), "errors": fields.where("error IS NOT NULL").select("path", "error")}
 
 
 def component_modules(fields: DataFrame) -> DataFrame:
@@ -140,6 +169,32 @@ def profile_packages(files: DataFrame) -> DataFrame:
     return files.select(field("name").alias("name"), field("version").alias("version")).where("name <> '' AND version <> ''").distinct()
 
 
+def pinned_overrides(overrides: DataFrame) -> DataFrame:
+    """``overrides(text)`` of the form ``PKG=VER`` to ``(text, pkg, version, error)``; white space
+    around either goes. The three errors: no ``=``, an empty package, an empty version."""
+    at = F.instr("text", "=")
+    pkg = F.regexp_replace(F.substring_index("text", "=", 1), r"(?U)^\s+|\s+$", "")
+    version = F.regexp_replace(F.substring(F.col("text"), at + 1, F.length("text")), r"(?U)^\s+|\s+$", "")
+    error = F.when(at == 0, "missing_equals").when(pkg == "", "empty_package").when(version == "", "empty_version")
+    return overrides.select("text", F.when(error.isNull(), pkg).alias("pkg"), F.when(error.isNull(), version).alias("version"), error.alias("error"))
+
+
+def latest_version(bodies: DataFrame) -> DataFrame:
+    """``bodies(pkg, body)`` of package descriptions to their ``version`` field; null where the body
+    is no object or the field no string."""
+    field = F.from_json("body", "version string")["version"]
+    return bodies.select("pkg", F.when(F.get_json_object("body", "$.version").isNotNull() & F.col("body").rlike(r'"version"\s*:\s*"'), field).alias("version"))
+
+
+def known_versions(bodies: DataFrame) -> DataFrame:
+    """``bodies(pkg, body)`` with flat objects of version to status, to ``(pkg, version, place)``, the
+    newest first."""
+    keys = F.map_keys(F.from_json("body", "map<string,string>"))
+    rows = bodies.select("pkg", F.explode(F.array_distinct(keys)).alias("version"))
+    order = Window.partitionBy("pkg").orderBy(F.desc(version_numbers(F.col("version"))), F.desc("version"))
+    return rows.withColumn("place", F.row_number().over(order))
+
+
 def synthetic_plan(installed: DataFrame) -> DataFrame:
     """Units for installed packages where there is no plan, under a key that no plan has."""
     unit = F.concat(F.lit("unpinned:"), "name", F.lit("-"), "version")
@@ -207,30 +262,56 @@ def decoded_hits(bodies: DataFrame) -> DataFrame:
     return good.select("key", "pos", text(F.col("h.package.name")).alias("pkg"), text(F.col("h.module.name")).alias("mod"), text(F.col("h.item")).alias("item"), text(F.col("h.docs")).alias("docs"), F.lit(None).cast("string").alias("error")).unionByName(bad)
 
 
-def macro_headers(deps: DataFrame) -> DataFrame:
-    """Version macros of a component's dependencies, one text: ``deps(component, name, version)``."""
-    part = lambda k: F.coalesce(F.get(F.split("version", r"\."), F.lit(k)), F.lit("0"))
+def macro_headers(deps: DataFrame, compiler: str | None = None) -> DataFrame:
+    """Version macros of a component's dependencies, one text: ``deps(component, name, version)``,
+    after the compiler's own where its version is known. Parts of a version that are no numbers
+    are skipped; macros take three, missing ones being 0."""
+    numbers = F.filter(F.transform(F.split("version", r"\."), lambda s: s.try_cast("long")), lambda n: n.isNotNull())
+    part = lambda k: F.coalesce(F.get(numbers, F.lit(k)), F.lit(0)).cast("string")
     macro = F.replace("name", F.lit("-"), F.lit("_"))
-    line = F.concat(
-        F.lit("#define VERSION_"), macro, F.lit(' "'), "version", F.lit('"\n#define MIN_VERSION_'), macro, F.lit("(a,b,c) ((a) < "), part(0), F.lit(" || (a) == "), part(0),
-        F.lit(" && (b) < "), part(1), F.lit(" || (a) == "), part(0), F.lit(" && (b) == "), part(1), F.lit(" && (c) <= "), part(2), F.lit(")"),
+    block = F.concat(
+        F.lit("/* package "), "name", F.lit("-"), "version", F.lit(" */\n#define VERSION_"), macro, F.lit(' "'), "version", F.lit('"\n#define MIN_VERSION_'), macro,
+        F.lit("(major1,major2,minor) (\\\n  (major1) <  "), part(0), F.lit(" || \\\n  (major1) == "), part(0), F.lit(" && (major2) <  "), part(1),
+        F.lit(" || \\\n  (major1) == "), part(0), F.lit(" && (major2) == "), part(1), F.lit(" && (minor) <= "), part(2), F.lit(")\n"),
     )
-    return deps.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))), lambda x: x["line"]), "\n").alias("header"))
+    v = version_macro(F.lit(compiler))
+    own = F.coalesce(F.concat(F.lit("#define __GLASGOW_HASKELL__ "), v["major_minor"].cast("string"), F.lit("\n#define __GLASGOW_HASKELL_PATCHLEVEL1__ "), v["patch"].cast("string"), F.lit("\n")), F.lit(""))
+    blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", block.alias("block")))), lambda x: x["block"]), "")
+    return deps.groupBy("component").agg(F.concat(F.lit("/* synthesised from the build plan */\n"), own, blocks).alias("header"))
 
 
-def implied_flags(implications: DataFrame, turned_on: DataFrame, most: int = 16) -> DataFrame:
+def implied_flags(implications: DataFrame, turned_on: DataFrame) -> DataFrame:
     """Extensions on after all implications: ``turned_on(flag)``, ``implications(flag, implied,
-    state)``. What is asked for outright stays on; of what is only implied, off wins."""
-    state = turned_on.select("flag", F.lit(True).alias("on"), F.lit(0).alias("depth")).distinct()
-    for depth in range(1, most + 1):
-        more = state.where("on").join(implications, "flag").select(F.col("implied").alias("flag"), F.col("state").alias("on")).distinct().join(state, "flag", "left_anti")
-        more = more.groupBy("flag").agg(F.bool_and("on").alias("on")).withColumn("depth", F.lit(depth))
-        if more.isEmpty():
-            break
-        state = state.unionByName(more)
-    return state.select("flag", "on")
+    state)``. What is asked for outright stays on; of what is only implied, off wins. Each round
+    settles flags that no earlier one did, so it ends when a round brings none."""
+    state = cut(turned_on.select("flag", F.lit(True).alias("on")).distinct())
+    fresh = state
+    while True:
+        more = fresh.where("on").join(implications, "flag").select(F.col("implied").alias("flag"), F.col("state").alias("on")).distinct().join(state, "flag", "left_anti")
+        fresh = cut(more.groupBy("flag").agg(F.bool_and("on").alias("on")))
+        if fresh.isEmpty():
+            return state
+        state = cut(state.unionByName(fresh))
+
+
+def applied_extensions(settings: DataFrame, implications: DataFrame) -> DataFrame:
+    """The extensions a module has on in the end: ``settings(module, pos, flag, state)`` are applied
+    in order (a language's own, the package's defaults, then pragmas). Turning one on turns on or
+    off all that it implies, however far; turning one off leaves what it implied. So the last
+    setting that names or implies a flag decides. ``(module, flag)`` of those left on."""
+    link = lambda state: implications.where(F.col("state") == state).select(F.col("flag").alias("via"), F.col("implied").alias("to"))
+    reached = fresh = cut(settings.where("state").select("flag", F.col("flag").alias("to")).distinct())
+    while not fresh.isEmpty():
+        step = fresh.select("flag", F.col("to").alias("via")).join(link(True), "via").select("flag", "to").distinct()
+        fresh = cut(step.join(reached, ["flag", "to"], "left_anti"))
+        reached = cut(reached.unionByName(fresh))
+    turned_off = reached.select("flag", F.col("to").alias("via")).join(link(False), "via").select("flag", "to", F.lit(False).alias("on"))
+    effects = reached.withColumn("on", F.lit(True)).unionByName(turned_off).groupBy("flag", "to").agg(F.bool_and("on").alias("on"))
+    applied = settings.where("state").join(effects, "flag").select("module", "pos", "to", "on")
+    applied = applied.unionByName(settings.where("NOT state").select("module", "pos", F.col("flag").alias("to"), F.lit(False).alias("on")))
+    return applied.groupBy("module", "to").agg(F.max_by("on", "pos").alias("on")).where("on").select("module", F.col("to").alias("flag"))
 
 
 def flag_kind(flag: Column, languages: list[str], extensions: list[str], ignorable: list[str]) -> Column:
     """What a flag name is: language, extension, negated extension, ignorable or unknown."""
-    return F.when(flag.isin(languages), "language").when(flag.isin(extensions), "extension").when(flag.startswith("No") & F.substring(flag, 3, 100).isin(extensions), "negated").when(flag.isin(ignorable), "ignorable").otherwise("unknown")
+    return F.when(flag.isin(languages), "language").when(flag.isin(extensions), "extension").when(flag.startswith("No") & F.substring(flag, F.lit(3), F.length(flag)).isin(extensions), "negated").when(flag.isin(ignorable), "ignorable").otherwise("unknown")

@@ -24,7 +24,8 @@ def refresh_stream(spark: SparkSession, incoming: str, schema: str, store: Index
     ``schema`` with the entry columns) and ends when all available is indexed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        meta = batch.select(*ENTRY).distinct().withColumn("indexed_at", F.lit(batch_id).cast("long"))
+        # Seconds of the clock, as every other writer of the store; a replayed batch is newer.
+        meta = batch.select(*ENTRY).distinct().withColumn("indexed_at", F.unix_timestamp(F.current_timestamp()))
         store.replace(batch, meta)
 
     stream = spark.readStream.schema(schema).parquet(incoming)

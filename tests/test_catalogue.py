@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symbolarium import queries
-from symbolarium.engine import Catalogue, Engine, EngineError
+from symbolarium.engine import Catalogue, Engine, EngineError, Options
 from symbolarium.functions import hashing, ident, markup, text
 from symbolarium.operators import graph, lookup, resolve, search, store
 from symbolarium.plans import build_plan
@@ -156,6 +156,31 @@ def test_resolution_follows_to_the_definer(spark):
     assert short["verdict"] == "stopped_at_bound"
 
 
+def test_long_reexport_chains_are_followed(spark):
+    exported = spark.range(71).select(F.concat(F.lit("M"), F.col("id")).alias("module"), F.lit("f").alias("name"))
+    imports = spark.range(70).select(F.concat(F.lit("M"), F.col("id")).alias("module"), F.lit("f").alias("name"), F.concat(F.lit("M"), F.col("id") + 1).alias("target"), F.lit(True).alias("explicit"))
+    decls = spark.createDataFrame([("M70", "f")], "module string, name string")
+    got = {r["module"]: (r["definer"], r["round"]) for r in resolve.resolve_exports(exported.coalesce(1), decls, imports.coalesce(1)).collect()}
+    assert got["M0"] == ("M70", 70) and len(got) == 71 and {d for d, _ in got.values()} == {"M70"}
+
+
+def test_recursion_keeps_a_package_once_a_step(spark):
+    deps = spark.range(1, 120).selectExpr("id AS pkg", "explode(array(id - 1, greatest(id - 2, 0))) AS dep_pkg")
+    got = graph.recursive_levels(deps, spark.createDataFrame([(119,)], "pkg long"))
+    assert got.count() == 119 and got.agg(F.max("level")).first()[0] == 60
+
+
+def test_stream_shows_over_an_empty_batch_write(spark, tmp_path):
+    kind = "name string, pkg string, version string, unit_id string"
+    at = store.IndexStore(spark, f"file://{tmp_path}/index")
+    now = spark.range(1).select(F.lit("p").alias("pkg"), F.lit("1").alias("version"), F.lit("u").alias("unit_id"), F.unix_timestamp(F.current_timestamp()).alias("indexed_at"))
+    at.replace(spark.createDataFrame([("z", "q", "1", "v")], kind), now.withColumn("pkg", F.lit("q")).withColumn("unit_id", F.lit("v")))
+    at.replace(spark.createDataFrame([], kind), now)
+    spark.createDataFrame([("a", "p", "1", "u")], kind).write.parquet(f"{tmp_path}/in/1")
+    refresh_stream(spark, f"{tmp_path}/in/*", kind, at, f"{tmp_path}/progress").awaitTermination()
+    assert sorted(r["name"] for r in at.rows().collect()) == ["a", "z"]
+
+
 def test_probe_ties_break_by_definition(spark):
     asks = spark.createDataFrame([("me", "M", "f", ["N", "M"])], "asker string, module string, name string, candidates array<string>")
     exports = spark.createDataFrame([("M", "f", "p2", "z", "D"), ("M", "f", "p1", "a", "D"), ("M", "f", "hidden", "A", "D")], "module string, name string, presenter string, def_component string, def_module string")
@@ -170,11 +195,15 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("path", "want"),
-    [("text", (None, "text", None, None, None)), ("text-1.2.3/Data.Text/pack", (None, "text", "1.2.3", "Data.Text", "pack")), ("base/map", (None, "base", None, None, "map")), ("a//b", ("empty_module", "a", None, "", "b")), ("a/low.Case/x", ("bad_module", "a", None, "low.Case", "x")), ("base/Data.Function/./", (None, "base", None, "Data.Function", "./"))],
-)
+    [
+        ("text", (None, "text", None, None, None)), ("text-1.2.3/Data.Text/pack", (None, "text", "1.2.3", "Data.Text", "pack")), ("base/Data.Function/.", (None, "base", None, "Data.Function", ".")),
+        ("base/map", ("module_not_uppercase",)), ("a//b", ("symbol_without_module",)), ("a/", ("invalid_module",)), ("a/B..C", ("invalid_module",)), ("a/B.c./x", ("invalid_module",)), ("a/low.Case/x", ("module_not_uppercase",)),
+        ("a/B/", ("invalid_symbol",)), ("", ("empty_input",)), ("/B", ("empty_package",)), ("-1.0/B", ("empty_package",)), ("a@1/B", ("invalid_package",)),
+    ],
+)
 def test_symbol_paths(spark, path, want):
     got = one(spark, ident.symbol_path(F.lit(path)))
-    assert tuple(got) == want
+    assert tuple(got) == (*want, *[None] * (5 - len(want)))
     if got["error"] is None:
         assert one(spark, ident.symbol_path_text(ident.symbol_path(F.lit(path)))) == path
 
@@ -182,9 +211,14 @@ def test_symbol_paths(spark, path, want):
 def test_scalar_cases(spark):
     assert tuple(one(spark, ident.package_ref(F.lit("foo-bar-1.2-0123456789ab")))) == ("foo-bar", "1.2")
     assert tuple(one(spark, ident.package_ref(F.lit("foo-bar")))) == ("foo-bar", None)
-    assert tuple(one(spark, ident.component_key(F.lit("p:exe:n")))) == ("p", "exe", "n") and one(spark, ident.component_key(F.lit("p::n")))["kind"] is None
+    assert tuple(one(spark, ident.component_key(F.lit("p:exe:n")))) == ("p", "exe", "n") and tuple(one(spark, ident.component_key(F.lit("p::n")))) == ("p", "sublib", ":n")
+    assert [one(spark, ident.component_key(F.lit(x)))["kind"] for x in ("p:", "p:exe:", "p:exe", "p:a:b")] == ["lib", "lib", "sublib", "sublib"]
+    assert [tuple(one(spark, ident.package_ref(F.lit(x)))) for x in ("foo-1.2.", "-1.2", "foo-", "a-deadbeef")] == [("foo", "1.2."), ("", "1.2"), ("foo-", None), ("a", None)]
     assert tuple(one(spark, ident.qualified_name(F.lit("Data.Map.")))) == ("Data.Map", "")
-    assert tuple(one(spark, ident.origin_name(F.lit("A.B.."))))  == ("A.B", ".") and tuple(one(spark, ident.origin_name(F.lit("f|{x}")))) == (None, "f")
+    assert tuple(one(spark, ident.origin_name(F.lit("A.B.."))))  == ("A.B", ".") and one(spark, ident.origin_name(F.lit("IsString|"))) is None
+    assert [tuple(one(spark, ident.origin_name(F.lit(x)))) for x in ("GHC.Classes.||", "Data.Sequence.<|", "A.B.B", "f")] == [("GHC.Classes", "||"), ("Data.Sequence", "<|"), ("A.B", "B"), (None, "f")]
+    assert one(spark, ident.origin_entries(F.lit("  A.T|{A.x B.y}"))) == ["A.T|", "A.x", "B.y"]
+    assert one(spark, ident.version_numbers(F.lit("20240101120000.1"))) == [20240101120000, 1] and one(spark, ident.version_macro(F.lit("9"))) is None and one(spark, ident.version_macro(F.lit("9.x"))) is None
     assert one(spark, ident.version_numbers(F.lit("1.x.10"))) == [1, 0, 10] and tuple(one(spark, ident.version_macro(F.lit("9.10.3")))) == (910, 3)
     assert one(spark, ident.shared_leading(F.lit("A.B.C"), F.lit("A.B.D.E"))) == 2 and one(spark, ident.shared_trailing(F.lit("x/A/B.hs"), F.lit("y/A/B.hs"))) == 2
     assert one(spark, ident.module_of_path(F.lit("Data/Map.hs"))) == "Data.Map"
@@ -192,10 +226,13 @@ def test_scalar_cases(spark):
     assert one(spark, text.clamped_slice(F.lit(["a", "b", "c"]), F.lit(-4), F.lit(2))) == ["a", "b"]
     assert one(spark, text.lines(F.lit("a\nb\n"))) == ["a", "b"] and one(spark, text.percent_encoded(F.lit("a b:/~"))) == "a%20b:%2F~"
     assert [tuple(s) for s in one(spark, text.highlight_spans(F.lit("insertWith"), ["with", "insert", "sert"]))] == [(0, 6), (6, 4)]
-    assert one(spark, text.shell_quoted(F.lit("it's"))) == "'it'\\''s'" and one(spark, text.mime_type(F.lit("a/b.CSS"))) == "text/css"
+    assert one(spark, text.shell_quoted(F.lit("it's"))) == "'it'\\''s'" and one(spark, text.mime_type(F.lit("a/b.CSS"))) == "text/css; charset=utf-8"
+    assert one(spark, text.shell_quoted(F.lit("a=b+c"))) == "'a=b+c'" and one(spark, text.shell_quoted(F.lit(""))) == "''" and one(spark, text.shell_quoted(F.lit("a/b:c@d_e.f-g"))) == "a/b:c@d_e.f-g"
+    assert one(spark, text.percent_encoded(F.lit("a@&=+$,*"))) == "a@&=+$,%2A" and one(spark, text.safe_segments(F.lit("pkg/.hidden/x"))) is False and one(spark, text.safe_segments(F.lit("pkg/x.y"))) is True
     assert one(spark, text.safe_segments(F.lit("a/../b"))) is False and one(spark, text.needs_preprocessor(F.lit("{-# LANGUAGE CPP #-}"))) is True
     assert one(spark, hashing.from_http_date(hashing.http_date(F.lit("2024-02-29 10:11:12").cast("timestamp")))).isoformat() == "2024-02-29T10:11:12"
-    assert one(spark, text.rewrite_links(text.rewrite_links(F.lit('<a href="/x">'), "p", "1.0"), "p", "1.0")) == '<a href="/p-1.0/x">'
+    link = F.lit('<a class="k" href="A-B.html#x"><a href="../q-2.0/C.html">')
+    assert one(spark, text.rewrite_links(text.rewrite_links(link, "p", "p-1.0"), "p", "p-1.0")) == '<a class="k" href="/pkg/p/A.B#x"><a href="/haddock/q-2.0/C.html">'
 
 
 def test_markup_parsers(spark):
@@ -225,10 +262,10 @@ def test_plan_files(spark, tmp_path):
 
 
 def test_interface_dumps(spark):
-    dump = ["interface pkg:A.B 9", "exports:", "  f", "  C.D.g", "  f", "orphans: x", "  not.this"]
+    dump = ["interface pkg:A.B 9", "exports:", "  f", "  C.D.g", "  f", "  S.IsString|{S.from}", "  Q.<|", "orphans: x", "  not.this"]
     rows = spark.createDataFrame([("a", k, t) for k, t in enumerate(dump)], "file string, pos int, text string")
     got = sorted(tuple(r) for r in build_plan.dump_exports(rows).select("module", "name", "origin_module", "pos").collect())
-    assert got == [("A.B", "f", "A.B", 2), ("A.B", "g", "C.D", 3)]
+    assert got == [("A.B", "<|", "Q", 6), ("A.B", "f", "A.B", 2), ("A.B", "from", "S", 5), ("A.B", "g", "C.D", 3)]
 
 
 def test_engine_verbs(spark):
@@ -245,14 +282,31 @@ def test_engine_verbs(spark):
     assert engine.search("f").first()["module"] == "M"
     with pytest.raises(EngineError) as e:
         engine.search("f pkg:nope")
-    assert (e.value.code, e.value.exit_code) == ("BAD_QUERY", 2)
-    assert [r["version"] for r in engine.lookup("M.f").collect()] == ["1.9"]
-    further = spark.createDataFrame([("x", "Y", "g", None)], "pkg string, mod string, name string, version string")
-    assert engine.lookup("g", further).first()["tier"] == 2
-    assert engine.package("p").first()["outside_plan"] is False and engine.package("p-1.9").first()["outside_plan"] is True
+    assert (e.value.code, e.value.exit_code) == ("USER_ERROR", 2)
+    assert [(r["version"], r["tier"], r["tiers_consulted"]) for r in engine.lookup("M.f").collect()] == [("1.9", 1, "cache")]
+    hits = "query string, pkg string, mod string, name string"
+    engine.at.local_hits = spark.createDataFrame([("g", "x", "Y", "g")], hits)
+    engine.at.remote_hits = spark.createDataFrame([("h", "w", "W", "h", "network", None)], f"{hits}, resolved_from string, error string")
+    assert {r["query"]: (r["tier"], r["error"]) for r in engine.lookup("g", "h", "z").collect()} == {"g": (2, None), "h": (3, None), "z": (None, "NOT_FOUND")}
+    offline = Engine(engine.at, Options(offline=True, overrides=("p=1.10", "q = 2")))
+    failed = offline.lookup_failures(offline.lookup("g", "h")).collect()
+    assert [(r["query"], r["exit_code"], r["actions"]["retry_online"]) for r in failed] == [("h", 4, "lookup h")]
+    assert [r["version"] for r in offline.lookup("f").collect()] == ["1.10"]
+    with pytest.raises(EngineError) as e:
+        Engine(engine.at, Options(overrides=("nonsense",))).pins()
+    assert "missing_equals" in str(e.value)
+    engine.at.installed = spark.createDataFrame([("s", "0.1")], "name string, version string")
+    assert {r["ref"]: (r["version"], r["found_in"], r["outside_plan"], r["error"]) for r in engine.package("p", "p-1.9", "s", "none").collect()} == {
+        "p": ("1.9", "plan", False, None), "p-1.9": ("1.9", "asked", True, None), "s": ("0.1", "store", True, None), "none": (None, None, None, "NOT_FOUND")}
+    assert engine.package_info("p").first()["modules"] == ["M", "M.Internal"]
+    assert (engine.page("p", "M").first()["view"], engine.page("p", "M").first()["names"]) == ("source", ["f"])
+    assert tuple(engine.page("p", "None").first())[2:] == ("exports_only", None, [], "package source could not be resolved")
     assert [(r["version"], r["pinned"]) for r in engine.versions("p").collect()] == [("1.10", False), ("1.9", True)]
     assert engine.symbol("p/M/f").first()["doc"] == "doc" and engine.module("p", "M").first()["elsewhere"] is False
     assert [(r["span"], r["lines"]) for r in engine.source("p/M/f").collect()] == [("declaration", ["l2", "l3"])]
     assert [r["dep_pkg"] for r in engine.deps("p").collect()] == ["q"] and [r["pkg"] for r in engine.deps("r", reverse=True).collect()] == ["q"]
     assert {r["pkg"] for r in engine.closure("p").collect()} == {"q", "r"}
-    assert engine.doctor().where("NOT ok").count() == 0
+    checks = {r["relation"]: r["ok"] for r in engine.doctor().collect()}
+    assert all(checks.values()) and "all_pass" in checks
+    engine.at.units = None
+    assert engine.doctor().where("relation = 'all_pass'").first()["ok"] is False

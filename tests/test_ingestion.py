@@ -34,7 +34,11 @@ def test_descriptions(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "demo.cabal").write_text(DESCRIPTION)
     (tmp_path / "broken.cabal").write_text("library\n  exposed-modules: X\n")
-    fields = P.live_fields(P.read_components(spark, str(tmp_path)), "linux", "x86_64")
+    every = P.read_components(spark, str(tmp_path))
+    fields = P.live_fields(every, "linux", "x86_64")
+    assert [(r["path"].rsplit("/", 1)[1], r["error"]) for r in P.component_report(every, "linux", "x86_64")["errors"].collect()] == [("broken.cabal", "no package name")]
+    nested = P.description_fields("name: n\nlibrary\n  if os(linux)\n    if flag(x)\n      other-modules: A\n    else\n      other-modules: B\n")
+    assert [(f[4], f[6]) for f in nested] == [("(os(linux)) && (flag(x))", "A"), ("(os(linux)) && !(flag(x))", "B")]
     got = {(r["component"], r["module"], r["visibility"]) for r in P.component_modules(fields).collect()}
     assert got == {
         ("demo", "Demo", "exposed"), ("demo", "Demo.Extra", "exposed"), ("demo", "Demo.Linux", "internal"), ("demo", "Demo.New", "internal"),
@@ -51,7 +55,7 @@ def test_conditions_are_three_valued(spark):
 
 
 def test_source_files(spark, tmp_path):
-    for name in ("src/A/B.hs", "src/dist/C.hs", "d1/d2/d3/d4/d5/Deep.hs", "note.txt"):
+    for name in ("src/A/B.hs", "src/dist/C.hs", "src/tests/T.hs", "src/.hid/H.hs", "Setup/S.hs", "src/L.lhs", "d1/d2/d3/d4/d5/Deep.hs", "note.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"module X \xff where")
     got = build_plan.source_files(spark, str(tmp_path)).collect()
@@ -97,9 +101,12 @@ def test_response_cache(spark):
 def test_macros_and_flags(spark):
     deps = spark.createDataFrame([("c", "my-dep", "1.2"), ("c", "base", "4.19.0.1")], "component string, name string, version string")
     header = P.macro_headers(deps).first()["header"].split("\n")
-    assert header[0] == '#define VERSION_base "4.19.0.1"' and header[3] == "#define MIN_VERSION_my_dep(a,b,c) ((a) < 1 || (a) == 1 && (b) < 2 || (a) == 1 && (b) == 2 && (c) <= 0)"
+    assert header[1:3] == ["/* package base-4.19.0.1 */", '#define VERSION_base "4.19.0.1"'] and header[-2] == "  (major1) == 1 && (major2) == 2 && (minor) <= 0)"
     implied = spark.createDataFrame([("A", "B", True), ("B", "C", True), ("C", "A", True), ("B", "D", False)], "flag string, implied string, state boolean")
     assert {r["flag"]: r["on"] for r in P.implied_flags(implied, spark.createDataFrame([("A",)], "flag string")).collect()} == {"A": True, "B": True, "C": True, "D": False}
+    settings = [("m", 0, "A", True), ("m", 1, "C", False), ("n", 0, "D", True), ("n", 1, "B", True), ("o", 0, "B", True), ("o", 1, "D", True)]
+    on = P.applied_extensions(spark.createDataFrame(settings, "module string, pos int, flag string, state boolean"), implied)
+    assert sorted(tuple(r) for r in on.collect()) == [("m", "A"), ("m", "B"), ("n", "A"), ("n", "B"), ("n", "C"), ("o", "A"), ("o", "B"), ("o", "C"), ("o", "D")]
     kinds = spark.createDataFrame([("L",), ("X",), ("NoX",), ("Safe",), ("Q",)], "f string").select("f", P.flag_kind(F.col("f"), ["L"], ["X"], ["Safe"]).alias("k"))
     assert {r["f"]: r["k"] for r in kinds.collect()} == {"L": "language", "X": "extension", "NoX": "negated", "Safe": "ignorable", "Q": "unknown"}
 
