@@ -387,10 +387,12 @@ def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:
 def ngram_scores(docs: DataFrame) -> DataFrame:
     """Train on nine tenths of ``docs(doc_id, text, ...)`` and score all of them.
 
-    Repeated rows count and are scored each; a null doc_id is scored and not learned from.
+    Repeated rows count and are scored each; a null doc_id is in no fold (``held_out`` false),
+    scored and not learned from. Null or empty texts are their end alone; other columns are
+    ignored; an empty table gives an empty result.
     """
     remainder = fold(F.col("doc_id"), 10)
     model = train_ngram_model(docs.where(remainder != 0))
     return score_texts(docs, model).select(
-        "doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+        "doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

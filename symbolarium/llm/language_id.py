@@ -126,9 +126,10 @@ def fit_language_model(texts: pa.Array, langs: list[str], epochs: int = 6, rate:
 
 def train_language_model(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> LanguageModel:
     """Fit on at most ``max_labelled`` rows of ``docs(doc_id, text, lang)`` that have both
-    a lang and a text with a letter. Pass only rows that the model may learn from."""
+    a lang and a text with a letter, repeated rows once. Pass only rows that the model may learn
+    from. No such row: a model without classes. Other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").alias("label")).where("label IS NOT NULL AND text rlike '\\\\p{L}'")
-    table = sampled(rows, max_labelled).toArrow()
+    table = sampled(rows, max_labelled).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
     if not table.num_rows:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     return fit_language_model(table.column("text").combine_chunks(), table.column("label").to_pylist())
@@ -166,7 +167,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def language_id(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, rejected)`` of every document, learned from
-    the rows outside the held-out fold that have a lang."""
+    the rows outside the held-out fold that have a lang.
+
+    A null doc_id is in no fold (``held_out`` false). Null, empty or letterless texts are ``und``
+    with score 0; repeated rows give a row each, ties between languages go to the first by name;
+    other columns are ignored; an empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     model = train_language_model(docs.where(~held), max_labelled)

@@ -190,7 +190,9 @@ def quality_verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> Data
 
 def without_boilerplate(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that the rules keep, all columns, their boilerplate lines taken out of
-    ``text`` and ``n_chars`` (if there) counted anew. Texts without such lines stay as they are."""
+    ``text`` and ``n_chars`` (if there) counted anew. Texts without such lines stay as they are.
+    Null or wordless texts go; a null host is a host of its own, a null doc_id a value like others;
+    repeated rows stay or go together; an empty table gives an empty result."""
     mark, removed_lines = spare_name(docs, "_mark"), spare_name(docs, "_removed")
     named = docs.select("doc_id", "text", F.col(host).alias("host"))
     profiles, taken = _judged(named, limits, base_rules())

@@ -67,11 +67,13 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 8, alpha:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on at most ``max_labelled`` documents that have a label; a doc_id with several
-    labels counts as toxic if any says so, null labels count for nothing."""
-    chosen = sampled(labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label")), max_labelled)
-    table = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").toArrow()  # at most max_labelled ids
-    table = table.take(np.lexsort((table.column("label").to_numpy(), table.column("doc_id").to_numpy())))
+    """Fit on at most ``max_labelled`` rows whose doc_id has a label; a doc_id with several
+    labels counts as toxic if any says so, null labels and null ids count for nothing, repeated
+    rows count once. No row: weights of none and an even intercept."""
+    named = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
+    named = F.broadcast(named.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_labelled))  # at most max_labelled ids
+    labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(named, "doc_id")
+    table = sampled(labelled, max_labelled).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     rows: list[np.ndarray] = []
     for chunk in chunks(table.to_batches()):
         who, what = features(chunk.column("text"))
@@ -82,7 +84,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``(doc_id, score)`` over whole texts; null or empty
-    texts get the intercept's score. Repeated rows give a row each."""
+    texts get the intercept's score. Repeated rows give a row each, a null doc_id stays null; other
+    columns are ignored; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +104,11 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float])
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Scores of all documents from labels of those outside the held-out fold:
-    ``(doc_id, held_out, score, predicted)``. Without any label all scores are one half."""
+    ``(doc_id, held_out, score, predicted)``. Without any label all scores are one half. A null
+    doc_id is in no fold (``held_out`` false) and never learned from; for nulls, empty texts,
+    repeated rows, ties (a score of one half is predicted toxic) and empty tables see
+    ``score_toxicity``; other columns are ignored."""
     model = train_toxicity(docs, labels.where(fold(F.col("doc_id"), 5) != 0), max_labelled)
     return score_toxicity(docs, model).select(
-        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

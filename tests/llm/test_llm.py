@@ -20,6 +20,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from symbolarium.llm import bpe, kneser_ney, language_id, lz_fingerprint, ngram_join, packing, quality, queries, sharding, toxicity, url_cascade, workspace
 from symbolarium.llm.components import components
+from symbolarium.llm.samples import sampled
 from symbolarium.llm.pieces import PieceCache, cut
 from symbolarium.llm.textarrays import shingle_sets, words
 
@@ -84,6 +85,71 @@ def test_language_id_odd_rows(odd, none):
     assert language_id.identify(odd, model).where("NOT __lang_pred = 'und'").count() == 0  # docs has _lang_pred
 
 
+def subwords_by_loop(text):
+    out, kept = [], []
+    for b in text.encode():
+        c = b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32
+        if not (c == 32 and kept and kept[-1] == 32):
+            kept.append(c)
+    for at in range(len(kept)):
+        for order in language_id.ORDERS:
+            h = order * 0x9E3779B1 % (1 << 32)
+            for c in kept[at : at + order]:
+                h = (h ^ c) * 0x01000193 % (1 << 32)
+            h = (h ^ h >> 15) * 0x85EBCA77 % (1 << 32)
+            out.append((h ^ h >> 13) % language_id.BUCKETS if at + order <= len(kept) else 0)
+    return out
+
+
+def test_language_model_by_plain_loops():
+    rng = random.Random(8)
+    words = {"a": ["tion", "the", "and", "Hé"], "b": ["ung", "der", "ß", "einen"], "c": ["os", "que", "el", "ñ"]}
+    langs = [rng.choice("abc") for _ in range(40)]
+    texts = [" ".join(rng.choice(words[x]) for _ in range(rng.randrange(3, 9))) + "!  x" for x in langs]
+    ids, bounds = language_id.subwords(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [subwords_by_loop(t) for t in texts]
+    model = language_id.fit_language_model(pa.array(texts), langs, epochs=2)
+
+    labels = sorted(set(langs))
+    draw = np.random.default_rng(3)
+    train = draw.permutation(40)
+    start = draw.standard_normal((language_id.BUCKETS, language_id.DIM)) / language_id.DIM
+    emb = collections.defaultdict(list)
+    out, bias, step = [[0.0] * len(labels) for _ in range(language_id.DIM)], [0.0] * len(labels), 0
+    for _ in range(2):
+        for k in draw.permutation(train):
+            grams = collections.Counter(subwords_by_loop(texts[k]))
+            share = {g: n / sum(grams.values()) for g, n in grams.items()}
+            lr = 1.5 * (1 - step / 80)
+            step += 1
+            for g in share:
+                if g not in emb:
+                    emb[g] = start[g].tolist()
+            mean = [sum(share[g] * emb[g][d] for g in share) for d in range(language_id.DIM)]
+            p = [math.exp(bias[c] + sum(mean[d] * out[d][c] for d in range(language_id.DIM))) for c in range(len(labels))]
+            p = [x / sum(p) - (labels[c] == langs[k]) for c, x in enumerate(p)]
+            back = [sum(out[d][c] * p[c] for c in range(len(labels))) for d in range(language_id.DIM)]
+            for c in range(len(labels)):
+                bias[c] -= 0.1 * lr * p[c]
+                for d in range(language_id.DIM):
+                    out[d][c] -= lr * mean[d] * p[c]
+            for g in share:
+                emb[g] = [emb[g][d] - lr * math.sqrt(share[g]) * back[d] for d in range(language_id.DIM)]
+    for g in emb:
+        want = [sum(emb[g][d] * out[d][c] for d in range(language_id.DIM)) for c in range(len(labels))]
+        assert np.allclose(model.logits[g], want, atol=2e-4)
+    assert np.allclose(model.bias, bias, atol=2e-4)
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    rows = [(k % 50, f"t{k % 100}", "x") for k in range(400)] + [(None, "n", "y"), (7, "t7", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    all_rows = sampled(docs, 1000).collect()
+    assert len(all_rows) == len(set(all_rows)) == 102
+    few = [sorted(map(tuple, sampled(docs.repartition(n), 30).collect()), key=str) for n in (1, 7)]
+    assert few[0] == few[1] and 0 < len(few[0]) <= 30
+
+
 # -- 2: packing ----------------------------------------------------------------------------
 
 
@@ -408,6 +474,33 @@ def test_toxicity_finds_planted_words(spark):
     assert np.mean([out[i]["predicted"] == (i % 6 == 0) for i in held]) > 0.97
 
 
+def test_ftrl_by_plain_loops():
+    rng = random.Random(6)
+    rows = [sorted(rng.sample(range(60), rng.randrange(1, 9))) for _ in range(120)]
+    labels = [float(3 in r or (5 in r and rng.random() < 0.8)) for r in rows]
+    alpha, beta, l1, l2 = 0.6, 1.0, 1.0, 1.0
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    rate = sum(labels) / len(labels)
+    bias, bias_n, order = math.log(rate / (1 - rate)), 1.0, np.random.default_rng(1)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            w = {i: weight(i) for i in rows[k]}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - labels[k]
+            for i in rows[k]:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= alpha / math.sqrt(bias_n) * g
+    at, weights, own = toxicity.fit_ftrl([np.array(r) for r in rows], np.array(labels), epochs=3)
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(at.tolist()) == set(want) and 3 in want and 0 < len(want) < 60
+    assert all(math.isclose(x, want[i], rel_tol=1e-9) for i, x in zip(at.tolist(), weights, strict=True)) and math.isclose(own, bias, rel_tol=1e-9)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(6, 1, 1), (6, 1, 0), (None, 0, 1), (4, 0, None), (7, 0, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
@@ -567,7 +660,18 @@ def test_pipeline_stage_by_stage(spark, docs):
 
 
 def test_pipeline_stages_on_odd_rows(spark, odd, none):
-    for docs in (odd, none):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, docs, SF).columns == docs.columns
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 0
+    language, quality_rules, distinct, packed = (stage for _, stage in corpus_pipeline.STAGES)
+    ids = lambda rows: sorted((r["doc_id"] for r in rows.collect()), key=str)
+    for stage in (language, quality_rules, distinct):
+        assert stage(spark, none, SF).collect() == [] and stage(spark, none, SF).columns == odd.columns
+    assert packed(spark, none, SF).collect() == []
+    kept = language(spark, odd, SF)
+    assert kept.columns == odd.columns and not {1, 2, 3, 10} & set(ids(kept)) and {5, 6, 7, 8} <= set(ids(kept))
+    assert ids(language(spark, odd.withColumn("lang", F.lit(None).cast("string")), SF)) == []
+    assert ids(quality_rules(spark, odd, SF)) == [5, 6, 6, 7, 8, None]
+    assert ids(distinct(spark, odd, SF)) == [1, 10, 11, 2, 3, 4, 5, 6, 9]
+    twice = odd.where("doc_id = 6").unionByName(odd.where("doc_id = 5").withColumn("doc_id", F.lit(6).cast("long")))
+    assert sorted(len(r["text"]) for r in distinct(spark, twice, SF).collect()) == sorted({len(r["text"]) for r in twice.collect()})
+    pieces = packed(spark, odd, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in pieces if r["start"] == 0) == collections.Counter(r["doc_id"] for r in odd.collect())
+    assert all(sum(r["length"] for r in pieces if r["doc_id"] == i) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == i) for i in (1, 2, 5, 11))
