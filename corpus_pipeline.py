@@ -17,13 +17,16 @@ from symbolarium.llm.workspace import stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language the model accepts; it learns from the rows that have one."""
+    """Rows whose language the model accepts; it learns from the rows that have one. Null texts
+    and those without a letter go, and without any labelled row all; repeated rows stay or go
+    together. An empty table stays empty."""
     judged = identify(docs, train_language_model(docs))
     return judged.where("NOT _lang_rejected").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the rules keep, boilerplate lines of their source taken out of the text."""
+    """Rows that the rules keep, boilerplate lines of their source taken out of the text. Null and
+    wordless texts go; repeated rows stay or go together. An empty table stays empty."""
     return without_boilerplate(docs)
 
 
@@ -35,7 +38,8 @@ def deduplication_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens. A null text is its end alone, a
+    null doc_id stays null, repeated rows are documents each. No document, no piece."""
     return pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
