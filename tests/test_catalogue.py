@@ -130,6 +130,18 @@ def test_graph_cycles_end(spark):
     roots = spark.createDataFrame([("a",)], "pkg string")
     assert sorted(tuple(r) for r in graph.closure(deps, roots).collect()) == [("b", 1), ("c", 2), ("d", 3)]
     assert sorted(tuple(r) for r in graph.closure(deps, roots, 1).collect()) == [("b", 1)]
+    long = spark.range(1, 60).selectExpr("id AS pkg", "explode(array(id - 1, greatest(id - 3, 0), (id * 7) % 60)) AS dep_pkg")
+    edges = {}
+    for r in long.collect():
+        edges.setdefault(r["pkg"], set()).add(r["dep_pkg"])
+    want, ring, level = {}, {59}, 0
+    while ring:
+        level += 1
+        ring = {d for p in ring for d in edges.get(p, ())} - {59, *want}
+        want |= dict.fromkeys(ring, level)
+    start = spark.createDataFrame([(59,)], "pkg long")
+    assert {r["pkg"]: r["level"] for r in graph.closure(long, start).collect()} == want
+    assert {r["pkg"]: r["level"] for r in graph.closure(long, start, 6).collect()} == {p: n for p, n in want.items() if n <= 6}
     order = dict(tuple(r) for r in graph.levels(deps, spark.createDataFrame([(x,) for x in "abcde"], "pkg string")).collect())
     assert order["d"] == 0 and order["e"] == 1 and order["a"] == order["b"] == order["c"] > 1
 
