@@ -19,9 +19,12 @@ BUCKET_BYTES = 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is set (tests)."""
+    """The cluster's shared folder; a fresh local one only where none is set and all runs in one
+    process (tests). On a cluster a local folder would lose rows, so a missing one is an error."""
     root = spark.conf.get(_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} names no shared folder")
         root = tempfile.mkdtemp(prefix="symbolarium-")
         spark.conf.set(_KEY, root)
     return root.rstrip("/")
