@@ -1,17 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, memory-mapped to score.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, memory-mapped to score.
 
-The model is a folder of sorted arrays, in shards of bounded size:
+The order is a parameter, 3 unless told otherwise; it interpolates at every level down to
+single words. The model is a folder of sorted arrays, in shards of bounded size:
 
 * ``words-k``, ``counts-k``: sorted word hashes and their counts; a word's id is its place
   in all shards put together, as shards are ranges of hashes.
-* ``ones-k``, ``many-k``, ``times-k``: sorted bigram keys (context id and word id in one
-  64-bit number) seen once, and those seen more often with their counts.
-* ``after-k``: for each id, how many words follow it once, twice, and more often.
-* ``before-k``: for each id, how many different contexts it follows.
-
-A bigram lives in the shard of its context, except for contexts with so many tokens that
-they would make their shard large; those are spread by key over all shards, and their
-statistics, a few numbers each, are kept beside the model's constants.
+* ``before-k``: for each id, how many different words it follows.
+* for each level n from 2: ``ones-n-k``, ``many-n-k``, ``times-n-k``: sorted hashes of the
+  n-grams counted once, and of those counted more often with their counts; and
+  ``lone-n-k``, ``wide-n-k``, ``stats-n-k``: sorted hashes of the contexts that only one
+  n-gram counted once follows, and of the others with what follows them.
+
+On the highest level an n-gram counts as often as it occurs; below, as often as different
+words stand before it; an n-gram at a text's start, which nothing can precede, as often as it
+occurs. N-grams live in the shard of their last two words. So a shard sees all that stands
+before its n-grams and counts every level by itself, and a frequent word is spread over all
+shards. What follows a context is then summed over shards, in the shard of its hash.
 """
 
 from __future__ import annotations
@@ -31,24 +35,24 @@ from symbolarium.llm.textarrays import chunks, mix64, words
 from symbolarium.llm.workspace import fresh_path, mapped_files, text_buckets, write_shared
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
+ORDER = 3
 #: Distinct entries a task gathers before it sends them on.
 FLUSH = 600_000
-_PAIRS = "bucket int, ones binary, many binary, times binary, note array<long>"
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("level", pa.int32()), ("ones", pa.binary()), ("many", pa.binary()), ("times", pa.binary())])
+_BLOCKS = "bucket int, level int, ones binary, many binary, times binary"
+_FACTS = "kind int, place int, value long"
 
 
 @dataclass
 class NgramModel:
     root: str
     shards: int
+    order: int = ORDER
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first id of each shard
     tokens: int = 0
-    documents: int = 0
-    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted ids of spread contexts
-    hot_after: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), np.int64))
-    discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    low_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    kinds: int = 0  # different bigrams
-    low_rest: float = 1.0  # what the continuation counts leave to the uniform distribution
+    discounts: np.ndarray = field(default_factory=lambda: np.zeros((ORDER + 1, 4)))  # by level and count
+    kinds: int = 0  # different pairs of neighbours
+    low_rest: float = 1.0  # what the counts of single words leave to the uniform distribution
 
     @property
     def vocabulary(self) -> int:
@@ -59,25 +63,31 @@ class NgramModel:
         """The id of a text's start, as a context; ``vocabulary`` is that of unknown words."""
         return self.vocabulary + 1
 
+    @property
+    def nothing(self) -> int:
+        """What fills the left of n-grams that a text's start makes shorter."""
+        return self.vocabulary + 2
+
     def path(self, kind: str, shard: int) -> str:
         return f"{self.root}/{kind}-{shard:06d}"
 
-    def key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return context.astype(np.uint64) * np.uint64(self.vocabulary + 2) + word.astype(np.uint64)
-
-    def shard_of(self, context: np.ndarray, key: np.ndarray) -> np.ndarray:
-        own = np.searchsorted(self.offsets, context, side="right") - 1
-        spread = np.isin(context, self.hot) | (own >= self.shards)
-        return np.where(spread, (mix64(key) % np.uint64(self.shards)).astype(np.int64), own)
-
 
 def _hash_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int64)
 
 
+def _hashes(ids: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the first, the first two, ... of the words in each row of columns ``ids``."""
+    out: list[np.ndarray] = []
+    for column in ids:
+        own = mix64(column.astype(np.uint64) + np.uint64(1))
+        out.append(mix64(out[-1] * np.uint64(0xD6E8FEB86659FD93) + own) if out else own)
+    return out
+
+
 def _planes(a: np.ndarray) -> bytes:
     """Bytes by significance: of sorted numbers the high ones repeat, and compress."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
 
 
 def _from_planes(data: bytes, kind) -> np.ndarray:
@@ -85,13 +95,15 @@ def _from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and where in it each different one begins."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[at], np.add.reduceat(counts, at)
+    ranked = keys[order]
+    return order, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)])
+
+
+def _summed(counts: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(counts[order], at, axis=0) if len(at) else counts[:0]
 
 
 def _tokens(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -105,44 +117,79 @@ def _tokens(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _rows(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
-    order = np.argsort(shard, kind="stable")
-    shard, keys, counts = shard[order], keys[order], counts[order]
-    found, at = np.unique(shard, return_index=True)
-    for b, lo, hi in zip(found.tolist(), at, [*at[1:], len(shard)], strict=True):
-        k, c = keys[lo:hi], counts[lo:hi]
-        yield {"bucket": b, "ones": _planes(k[c == 1]), "many": _planes(k[c > 1]), "times": _planes(c[c > 1].astype(np.int64)), "note": None}
+def _ngrams(model: NgramModel, ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """For each token a row of ``order`` columns: it and what stands before it in its text."""
+    place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
+    columns = []
+    for back in range(model.order - 1, 0, -1):
+        column = np.r_[np.full(min(back, len(ids)), model.nothing, ids.dtype), ids[: max(0, len(ids) - back)]]
+        column[place < back] = model.nothing
+        column[place == back - 1] = model.start
+        columns.append(column)
+    return [*columns, ids]
 
 
-def _gathered(pieces: Iterator[np.ndarray], shard_of) -> Iterator[pa.RecordBatch]:
-    """Counts of keys over many pieces, sent on whenever enough different ones have come."""
-    schema = pa.schema([("bucket", pa.int32()), ("ones", pa.binary()), ("many", pa.binary()), ("times", pa.binary()), ("note", pa.list_(pa.int64()))])
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for piece in pieces:
-        k, c = np.unique(piece, return_counts=True)
-        keys, counts = _summed(np.concatenate([keys, k]), np.concatenate([counts, c]))
-        if len(keys) >= FLUSH:
-            yield pa.RecordBatch.from_pylist(list(_rows(shard_of(keys), keys, counts)), schema=schema)
-            keys, counts = keys[:0], counts[:0]
-    if len(keys):
-        yield pa.RecordBatch.from_pylist(list(_rows(shard_of(keys), keys, counts)), schema=schema)
-
+def _blocks(level: int, shard: np.ndarray, lone: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[dict]:
+    """Rows sorted by shard, to one block a shard: ``lone`` ones without their counts."""
+    found, at = np.unique(shard, return_index=True)
+    for b, lo, hi in zip(found.tolist(), at, np.r_[at, len(shard)][1:], strict=True):
+        one = lone[lo:hi]
+        parts = [c[lo:hi] for c in columns]
+        yield {
+            "bucket": b, "level": level,
+            "ones": b"".join(_planes(c[one]) for c in parts), "many": b"".join(_planes(c[~one]) for c in parts),
+            "times": _planes(counts[lo:hi][~one].reshape(-1)),
+        }
+
+
+def _unblocked(rows: list[dict], width: int, kind, numbers: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns and counts (1 and, of ``numbers`` a row, zeros behind it) of many blocks."""
+    columns = [[np.zeros(0, kind)] for _ in range(width)]
+    counts = [np.zeros((0, numbers), np.int64)]
+    for row in rows:
+        for part in (row["ones"], row["many"]):
+            step = len(part) // width
+            for c in range(width):
+                columns[c].append(_from_planes(part[c * step : (c + 1) * step], kind))
+        lone = np.zeros((len(columns[0][-2]), numbers), np.int64)
+        lone[:, 0] = 1
+        counts += [lone, _from_planes(row["times"], np.int64).reshape(-1, numbers)]
+    return [np.concatenate(c) for c in columns], np.concatenate(counts)
+
+
+def _gathered(pieces: Iterator[list[np.ndarray]], hashed, shard_key, shards: int) -> Iterator[pa.RecordBatch]:
+    """Counts of rows of columns over many pieces, sent on whenever enough different ones came."""
+    held: list[np.ndarray] = []
+    counts = np.zeros(0, np.int64)
+
+    def sent() -> pa.RecordBatch:
+        key = shard_key(held)
+        order = np.argsort(key)
+        own = counts[order]
+        return pa.RecordBatch.from_pylist(list(_blocks(0, _hash_shard(key[order], shards), own == 1, [c[order] for c in held], own)), schema=_SCHEMA)
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for k in range(table.num_rows):
-        ones = _from_planes(table["ones"][k].as_py(), np.uint64)
-        keys += [ones, _from_planes(table["many"][k].as_py(), np.uint64)]
-        counts += [np.ones(len(ones), np.int64), _from_planes(table["times"][k].as_py(), np.int64)]
-    return _summed(np.concatenate(keys), np.concatenate(counts))
+    for piece in pieces:
+        if held:
+            piece = [np.concatenate([a, b]) for a, b in zip(held, piece, strict=True)]
+        counts = np.r_[counts, np.ones(len(piece[0]) - len(counts), np.int64)]
+        order, at = _grouped(hashed(piece))
+        held, counts = [c[order[at]] for c in piece], _summed(counts, order, at)
+        if len(counts) >= FLUSH:
+            yield sent()
+            held, counts = [], counts[:0]
+    if len(counts):
+        yield sent()
 
 
-def _facts(rows: list[tuple[int, list[int]]]) -> pa.Table:
-    return pa.table({"kind": pa.array([k for k, _ in rows], pa.int32()), "facts": pa.array([v for _, v in rows], pa.list_(pa.int64()))})
+def _facts(rows: list[tuple[int, int, int]]) -> pa.Table:
+    kinds, places, values = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"kind": pa.array(kinds, pa.int32()), "place": pa.array(places, pa.int32()), "value": pa.array(values, pa.int64())})
 
 
-def _spectrum(counts: np.ndarray) -> list[int]:
-    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+def _spectrum(level: int, counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """How many counts are 1, 2, 3, 4, then above 2, then their sum."""
+    found = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+    return [(level, k, n) for k, n in enumerate([*found, int((counts > 2).sum()), int(counts.sum())])]
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -156,140 +203,147 @@ def _discounts(n: list[int]) -> np.ndarray:
     return np.clip(out, [0, 0.01, 0.01, 0.01], [0, 0.99, 1.99, 2.99])
 
 
-def train_ngram_model(docs: DataFrame) -> NgramModel:
+def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
     """Count ``docs(text, ...)`` and write the model to a folder under the shared one.
 
-    Null texts count as empty: their only token is the end. No documents: a model without
-    words, for which all is unknown.
+    ``order`` (2 or more) is the number of words of the longest n-grams. Null texts count as
+    empty: their only token is the end. No documents: a model without words, for which all is
+    unknown.
     """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string"))
     shards = text_buckets(texts)
-    model = NgramModel(fresh_path(spark, "ngrams"), shards)
+    model = NgramModel(fresh_path(spark, "ngrams"), shards, order, discounts=np.zeros((order + 1, 4)))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered((_tokens(c)[0] for c in chunks(batches)), lambda h: _hash_shard(h, shards))
+        yield from _gathered(([_tokens(c)[0]] for c in chunks(batches)), lambda c: c[0], lambda c: c[0], shards)
 
     def store_words(table: pa.Table) -> pa.Table:
-        hashes, counts = _merged(table)
-        shard = table["bucket"][0].as_py()
+        rows = table.to_pylist()
+        (hashes,), counts = _unblocked(rows, 1, np.uint64, 1)
+        order, at = _grouped(hashes)
+        hashes, counts, shard = hashes[order[at]], _summed(counts[:, 0], order, at), rows[0]["bucket"]
         write_shared(model.path("words", shard), hashes)
         write_shared(model.path("counts", shard), counts)
-        ends = counts[hashes == END]
-        # Words whose bigrams alone would be a quarter of a shard may have to be spread.
-        top = np.argsort(-counts)[: 8 * 4]
-        heavy = [x for k in top.tolist() for x in (k, int(counts[k]))]
-        return _facts([(0, [shard, len(hashes), int(counts.sum()), int(ends.sum())]), (1, [shard, *heavy])])
+        return _facts([(0, shard, len(hashes)), (1, shard, int(counts.sum()))])
 
-    told = texts.mapInArrow(count_words, _PAIRS).groupBy("bucket").applyInArrow(store_words, "kind int, facts array<long>").collect()
+    told = texts.mapInArrow(count_words, _BLOCKS).groupBy("bucket").applyInArrow(store_words, _FACTS).collect()
     sizes = np.zeros(shards, np.int64)
-    for row in told:
-        if row["kind"] == 0:
-            shard, size, tokens, ends = row["facts"]
-            sizes[shard] = size
-            model.tokens += tokens
-            model.documents += ends
+    for kind, shard, value in told:
+        if kind == 0:
+            sizes[shard] = value
+        else:
+            model.tokens += value
     model.offsets = np.r_[0, np.cumsum(sizes)]
     if not model.vocabulary:
         return model
-    if model.vocabulary + 2 >= 1 << 32:
-        raise ValueError("bigram keys take 64 bits only for vocabularies under 2**32 words")
-    heavy = [model.start]
-    for row in told:
-        if row["kind"] == 1:
-            shard, pairs = row["facts"][0], row["facts"][1:]
-            heavy += [int(model.offsets[shard]) + k for k, c in zip(pairs[::2], pairs[1::2], strict=True) if c * 4 * shards > model.tokens]
-    model.hot = np.array(sorted(heavy), np.int64)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _Reader.opened(model, ("words", "counts")) as reader:
-            def pieces() -> Iterator[np.ndarray]:
+    if model.nothing >= 1 << 32:
+        raise ValueError("word ids take 32 bits: vocabularies under 2**32 words")
+
+    def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _Reader.opened(model, ("words",)) as reader:
+            def pieces() -> Iterator[list[np.ndarray]]:
                 for chunk in chunks(batches):
                     hashes, bounds = _tokens(chunk)
-                    ids = reader.ids(hashes)
-                    before = np.r_[model.start, ids[:-1]]
-                    before[bounds[:-1]] = model.start
-                    yield model.key(before, ids)
-
-            base = np.uint64(model.vocabulary + 2)
-            yield from _gathered(pieces(), lambda keys: model.shard_of((keys // base).astype(np.int64), keys))
-
-    def store_pairs(table: pa.Table) -> pa.Table:
-        keys, counts = _merged(table)
-        shard = table["bucket"][0].as_py()
-        many = counts > 1
-        write_shared(model.path("ones", shard), keys[~many])
-        write_shared(model.path("many", shard), keys[many])
-        write_shared(model.path("times", shard), counts[many].astype(np.uint32))
-        context = (keys // np.uint64(model.vocabulary + 2)).astype(np.int64)
-        word = (keys % np.uint64(model.vocabulary + 2)).astype(np.int64)
-        low, high = int(model.offsets[shard]), int(model.offsets[shard + 1])
-        after = np.zeros((high - low, 3), np.uint32)
-        cold = ~np.isin(context, model.hot)
-        kind = np.minimum(counts, 3) - 1
-        np.add.at(after, (context[cold] - low, kind[cold]), 1)
-        write_shared(model.path("after", shard), after.reshape(-1))
-        place = np.searchsorted(model.hot, context[~cold])
-        hot = np.bincount(place * 3 + kind[~cold], minlength=3 * len(model.hot))
-        rows = [{"bucket": shard, "ones": None, "many": None, "times": None, "note": [*_spectrum(counts), *hot.tolist()]}]
-        ids, times = np.unique(word, return_counts=True)
-        cut = np.searchsorted(ids, model.offsets)
-        for b in range(shards):
-            if cut[b] < cut[b + 1]:
-                own = slice(cut[b], cut[b + 1])
-                rows.append({"bucket": b, "ones": None, "many": _planes((ids[own] - model.offsets[b]).astype(np.uint32)), "times": _planes(times[own].astype(np.uint32)), "note": None})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("ones", pa.binary()), ("many", pa.binary()), ("times", pa.binary()), ("note", pa.list_(pa.int64()))]))
-
-    def store_continuations(table: pa.Table) -> pa.Table:
-        shard = table["bucket"][0].as_py()
-        before = np.zeros(int(model.offsets[shard + 1] - model.offsets[shard]), np.uint32)
-        out = []
-        for row in table.to_pylist():
-            if row["note"] is not None:
-                out.append((0, row["note"]))
-            else:
-                before[_from_planes(row["many"], np.uint32)] += _from_planes(row["times"], np.uint32)
+                    yield _ngrams(model, reader.ids(hashes).astype(np.uint32), bounds)
+
+            yield from _gathered(pieces(), lambda c: _hashes(c)[-1], lambda c: _hashes(c[-2:])[-1], shards)
+
+    def store_ngrams(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        shard = rows[0]["bucket"]
+        columns, counts = _unblocked(rows, order, np.uint32, 1)
+        sort, at = _grouped(_hashes(columns)[-1])
+        columns, counts = [c[sort[at]] for c in columns], _summed(counts[:, 0], sort, at)
+        out: list[dict] = []
+        whole = columns[0] != model.nothing
+        grams, times = [c[whole] for c in columns], counts[whole]
+        for level in range(order, 1, -1):
+            if level < order:
+                # Those that a text's start made this short count as they are; the rest, as
+                # often as there are different grams of one word more.
+                short = (columns[order - level - 1] == model.nothing) & (columns[order - level] == model.start)
+                grams = [np.concatenate([g, c[short]]) for g, c in zip(grams[1:], columns[order - level :], strict=True)]
+                times = np.r_[np.ones(len(times), np.int64), counts[short]]
+                sort, at = _grouped(_hashes(grams)[-1])
+                grams, times = [g[sort[at]] for g in grams], _summed(times, sort, at)
+            *_, context, key = _hashes(grams)
+            ranks = np.argsort(key)
+            key, count = key[ranks], times[ranks]
+            write_shared(model.path(f"ones-{level}", shard), key[count == 1])
+            write_shared(model.path(f"many-{level}", shard), key[count > 1])
+            write_shared(model.path(f"times-{level}", shard), count[count > 1].astype(np.uint32))
+            follows = np.stack([times == 1, times == 2, times > 2, times], axis=1).astype(np.int64)
+            sort, at = _grouped(context)
+            context, follows = context[sort[at]], _summed(follows, sort, at)
+            out += _blocks(level, _hash_shard(context, shards), follows[:, 3] == 1, [context], follows)
+            out.append({"bucket": shard, "level": -level, "ones": None, "many": None, "times": _planes(np.array([f[2] for f in _spectrum(level, times)], np.int64))})
+        ids, before = np.unique(grams[-1], return_counts=True)
+        out += _blocks(1, np.searchsorted(model.offsets, ids, side="right") - 1, before == 1, [ids], before.astype(np.int64))
+        return pa.Table.from_pylist(out, schema=_SCHEMA)
+
+    def store_contexts(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        shard = rows[0]["bucket"]
+        told = []
+        for row in rows:
+            if row["level"] < 0:
+                told += [(-row["level"], k, n) for k, n in enumerate(_from_planes(row["times"], np.int64).tolist())]
+        for level in range(2, order + 1):
+            (context,), follows = _unblocked([r for r in rows if r["level"] == level], 1, np.uint64, 4)
+            # A lone one in a shard is one gram counted once, of a sum of 1.
+            follows[follows[:, 3] == 0, 3] = 1
+            sort, at = _grouped(context)
+            context, follows = context[sort[at]], _summed(follows, sort, at)
+            lone = follows[:, 3] == 1
+            write_shared(model.path(f"lone-{level}", shard), context[lone])
+            write_shared(model.path(f"wide-{level}", shard), context[~lone])
+            write_shared(model.path(f"stats-{level}", shard), follows[~lone].reshape(-1))
+        (ids,), counts = _unblocked([r for r in rows if r["level"] == 1], 1, np.uint32, 1)
+        before = np.zeros(int(model.offsets[shard + 1] - model.offsets[shard]), np.int64)
+        np.add.at(before, ids.astype(np.int64) - model.offsets[shard], counts[:, 0])
         write_shared(model.path("before", shard), before)
-        counts = before[before > 0]
-        return _facts([*out, (1, [*_spectrum(counts), int((counts >= 3).sum()), int(counts.sum())])])
+        return _facts(told + _spectrum(1, before[before > 0]))
 
     told = (
-        texts.mapInArrow(count_pairs, _PAIRS).groupBy("bucket").applyInArrow(store_pairs, _PAIRS)
-        .groupBy("bucket").applyInArrow(store_continuations, "kind int, facts array<long>").collect()
+        texts.mapInArrow(count_ngrams, _BLOCKS).groupBy("bucket").applyInArrow(store_ngrams, _BLOCKS)
+        .groupBy("bucket").applyInArrow(store_contexts, _FACTS).groupBy("kind", "place").agg(F.sum("value")).collect()
     )
-    high = np.sum([r["facts"] for r in told if r["kind"] == 0], axis=0)
-    low = np.sum([r["facts"] for r in told if r["kind"] == 1], axis=0)
-    model.discounts, model.hot_after = _discounts(high[:4].tolist()), high[4:].reshape(-1, 3)
-    model.low_discounts = _discounts(low[:4].tolist())
-    model.kinds = int(low[5])
-    model.low_rest = float(model.low_discounts[1:] @ np.array([low[0], low[1], low[4]]) / max(1, model.kinds))
+    spectra = np.zeros((order + 1, 6), np.int64)
+    for level, place, value in told:
+        spectra[level, place] = value
+    for level in range(1, order + 1):
+        model.discounts[level] = _discounts(spectra[level, :4].tolist())
+    model.kinds = int(spectra[1, 5])
+    model.low_rest = float(model.discounts[1, 1:] @ spectra[1, [0, 1, 4]] / max(1, model.kinds))
     return model
 
 
 class _Reader:
     """The model's arrays, memory-mapped; lookups go shard by shard with sorted keys."""
 
-    KINDS = {"words": np.uint64, "counts": np.int64, "ones": np.uint64, "many": np.uint64, "times": np.uint32, "after": np.uint32, "before": np.uint32}
+    KINDS = {"words": np.uint64, "counts": np.int64, "before": np.int64, "ones": np.uint64, "many": np.uint64, "times": np.uint32, "lone": np.uint64, "wide": np.uint64, "stats": np.int64}
 
     def __init__(self, model: NgramModel, files: dict[str, list[np.ndarray]]) -> None:
         self.model, self.files = model, files
 
     @classmethod
+    def kinds(cls, model: NgramModel) -> tuple[str, ...]:
+        by_level = (f"{kind}-{n}" for n in range(2, model.order + 1) for kind in ("ones", "many", "times", "lone", "wide", "stats"))
+        return ("words", "counts", "before", *by_level)
+
+    @classmethod
+    @contextlib.contextmanager
     def opened(cls, model: NgramModel, kinds: tuple[str, ...]):
-        @contextlib.contextmanager
-        def opening():
-            live = [k for k in range(model.shards) if model.offsets[k + 1] > model.offsets[k]] if len(model.offsets) > 1 else []
-            with mapped_files([model.path(kind, k) for kind in kinds for k in live]) as paths:
-                at = iter(paths)
-                files = {kind: [np.zeros(0, cls.KINDS[kind])] * model.shards for kind in kinds}
-                for kind in kinds:
-                    for k in live:
-                        path = next(at)
-                        if os.path.exists(path) and os.path.getsize(path):
-                            files[kind][k] = np.memmap(path, cls.KINDS[kind], mode="r")
-                yield cls(model, files)
-
-        return opening()
+        live = [(kind, k) for kind in kinds for k in range(model.shards)] if model.vocabulary else []
+        with mapped_files([model.path(kind, k) for kind, k in live]) as paths:
+            files = {kind: [np.zeros(0, cls.KINDS[kind.split("-")[0]])] * model.shards for kind in kinds}
+            for (kind, k), path in zip(live, paths, strict=True):
+                if os.path.exists(path) and os.path.getsize(path):
+                    files[kind][k] = np.memmap(path, cls.KINDS[kind.split("-")[0]], mode="r")
+            yield cls(model, files)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The id of each hash; unknown ones get ``vocabulary``."""
@@ -304,32 +358,42 @@ class _Reader:
                 out[cut[k] : cut[k + 1]][hit] = self.model.offsets[k] + at[hit]
         return out[back]
 
-    def dense(self, kind: str, ids: np.ndarray, width: int = 1) -> np.ndarray:
-        """The numbers that ``kind`` has for known, sorted ids."""
-        out = np.zeros((len(ids), width))
+    def dense(self, kind: str, ids: np.ndarray) -> np.ndarray:
+        """The number that ``kind`` has for each of known, sorted ids."""
+        out = np.zeros(len(ids), np.int64)
         cut = np.searchsorted(ids, self.model.offsets)
         for k, shard in enumerate(self.files[kind]):
             if cut[k] < cut[k + 1] and len(shard):
-                out[cut[k] : cut[k + 1]] = shard.reshape(-1, width)[ids[cut[k] : cut[k + 1]] - self.model.offsets[k]]
+                out[cut[k] : cut[k + 1]] = shard[ids[cut[k] : cut[k + 1]] - self.model.offsets[k]]
         return out
 
-    def pair_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(self.model.key(context, word), return_inverse=True)
-        where = self.model.shard_of((keys // np.uint64(self.model.vocabulary + 2)).astype(np.int64), keys)
-        order = np.argsort(where, kind="stable")
-        cut = np.searchsorted(where[order], np.arange(self.model.shards + 1))
-        out = np.zeros(len(keys))
-        for k in range(self.model.shards):
+    def _found(self, keys: np.ndarray, shard: np.ndarray, one: str, more: str, values: str, width: int) -> np.ndarray:
+        """For each key its numbers in ``values``, a 1 first in the ones, else zeros."""
+        shards = self.model.shards
+        order = np.argsort(keys)
+        order = order[np.argsort(shard[order].astype(np.min_scalar_type(shards)), kind="stable")]
+        cut = np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
+        out = np.zeros((len(keys), width), np.int64)
+        for k in range(shards):
             own = order[cut[k] : cut[k + 1]]
-            if not len(own):
-                continue
-            for kind in ("ones", "many"):
-                shard = self.files[kind][k]
-                if len(shard):
-                    at = np.minimum(np.searchsorted(shard, keys[own]), len(shard) - 1)
-                    hit = shard[at] == keys[own]
-                    out[own[hit]] = 1 if kind == "ones" else self.files["times"][k][at[hit]]
-        return out[back]
+            wanted = keys[own]
+            for kind in (one, more):
+                held = self.files[kind][k]
+                if len(own) and len(held):
+                    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                    hit = held[at] == wanted
+                    out[own[hit]] = np.eye(1, width, dtype=np.int64) if kind == one else self.files[values][k].reshape(-1, width)[at[hit]]
+        return out
+
+    def counts(self, level: int, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Of n-grams, given by their hashes and those of their last two words, the counts."""
+        return self._found(keys, _hash_shard(pairs, self.model.shards), f"ones-{level}", f"many-{level}", f"times-{level}", 1)[:, 0]
+
+    def follows(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Of contexts: how many words follow once, twice, more often, and the sum of all counts."""
+        out = self._found(keys, _hash_shard(keys, self.model.shards), f"lone-{level}", f"wide-{level}", f"stats-{level}", 4)
+        out[(out[:, 3] == 0) & (out[:, 0] == 1), 3] = 1
+        return out
 
 
 def _scores(model: NgramModel, reader: _Reader, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -338,30 +402,23 @@ def _scores(model: NgramModel, reader: _Reader, hashes: np.ndarray, bounds: np.n
     ids = reader.ids(hashes) if v else np.zeros(len(hashes), np.int64)
     uniq, back = np.unique(ids, return_inverse=True)
     known = uniq[uniq < v]
-    counts, low, rest = np.zeros(len(uniq)), np.full(len(uniq), model.low_rest / (v + 1)), np.zeros(len(uniq))
+    counts, low = np.zeros(len(uniq)), np.full(len(uniq), model.low_rest / (v + 1))
     if len(known):
-        counts[: len(known)] = reader.dense("counts", known)[:, 0]
-        before = reader.dense("before", known)[:, 0]
-        low[: len(known)] += np.maximum(before - model.low_discounts[np.minimum(before, 3).astype(int)], 0) / max(1, model.kinds)
-        rest[: len(known)] = reader.dense("after", known, 3) @ model.discounts[1:]
-        hot = np.isin(known, model.hot)
-        rest[: len(known)][hot] = model.hot_after[np.searchsorted(model.hot, known[hot])] @ model.discounts[1:]
-    first = np.zeros(len(ids), bool)
-    first[bounds[:-1]] = True
-    context = np.where(first, model.start, np.r_[0, ids[:-1]])
-    total = np.where(first, model.documents, np.r_[0, counts[back][:-1]])
-    start_rest = float(model.hot_after[np.searchsorted(model.hot, model.start)] @ model.discounts[1:]) if len(model.hot) else 0.0
-    left = np.where(first, start_rest, np.r_[0, rest[back][:-1]])
-    p = low[back]
-    seen = total > 0
-    if seen.any():
-        c = np.zeros(len(ids))
-        both = seen & (ids < v)
-        c[both] = reader.pair_counts(context[both], ids[both])
-        high = np.maximum(c - model.discounts[np.minimum(c, 3).astype(int)], 0)
-        p[seen] = (high[seen] + left[seen] * p[seen]) / total[seen]
-    token_counts = counts[back]
-    return token_counts, np.log10((token_counts + 0.1) / (model.tokens + 0.1 * (v + 1))), np.log10(p)
+        counts[: len(known)] = reader.dense("counts", known)
+        before = reader.dense("before", known)
+        low[: len(known)] += np.maximum(before - model.discounts[1, np.minimum(before, 3)], 0) / max(1, model.kinds)
+    p, counts = low[back], counts[back]
+    columns = _ngrams(model, ids, bounds) if v else []
+    for level in range(2, model.order + 1) if v else ():
+        at = np.flatnonzero(columns[model.order - level] != model.nothing)
+        grams = _hashes([c[at] for c in columns[model.order - level :]])
+        follows = reader.follows(level, grams[-2])
+        seen = follows[:, 3] > 0
+        at, follows, key = at[seen], follows[seen], grams[-1][seen]
+        count = reader.counts(level, key, _hashes([c[at] for c in columns[-2:]])[-1])
+        high = np.maximum(count - model.discounts[level, np.minimum(count, 3)], 0)
+        p[at] = (high + follows[:, :3] @ model.discounts[level, 1:] * p[at]) / follows[:, 3]
+    return counts, np.log10((counts + 0.1) / (model.tokens + 0.1 * (v + 1))), np.log10(p)
 
 
 def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:
@@ -374,7 +431,7 @@ def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        with _Reader.opened(model, tuple(_Reader.KINDS)) as reader:
+        with _Reader.opened(model, _Reader.kinds(model)) as reader:
             for chunk in chunks(batches):
                 hashes, bounds = _tokens(chunk)
                 counts, base, own = _scores(model, reader, hashes, bounds)
@@ -384,7 +441,7 @@ def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def ngram_scores(docs: DataFrame) -> DataFrame:
+def ngram_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Train on nine tenths of ``docs(doc_id, text, ...)`` and score all of them.
 
     Repeated rows count and are scored each; a null doc_id is in no fold (``held_out`` false),
@@ -392,7 +449,7 @@ def ngram_scores(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     remainder = fold(F.col("doc_id"), 10)
-    model = train_ngram_model(docs.where(remainder != 0))
+    model = train_ngram_model(docs.where(remainder != 0), order)
     return score_texts(docs, model).select(
         "doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

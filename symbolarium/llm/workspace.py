@@ -74,7 +74,8 @@ def _filesystem(path: str):
 @contextlib.contextmanager
 def mapped_files(paths: list[str]) -> Iterator[list[str]]:
     """Local paths of shared files for memory-mapping: the files themselves where the
-    shared folder is mounted, else copies in a task-local folder that goes with the task."""
+    shared folder is mounted, else copies in a task-local folder that goes with the task.
+    A file that was never written has a path at which there is none."""
     fs, _ = _filesystem(paths[0]) if paths else (pafs.LocalFileSystem(), "")
     if isinstance(fs, pafs.LocalFileSystem):
         yield [_filesystem(p)[1] for p in paths]
@@ -84,6 +85,8 @@ def mapped_files(paths: list[str]) -> Iterator[list[str]]:
         local = []
         for i, p in enumerate(paths):
             local.append(f"{folder}/{i}")
+            if fs.get_file_info(_filesystem(p)[1]).type == pafs.FileType.NotFound:
+                continue
             with fs.open_input_stream(_filesystem(p)[1]) as src, open(local[-1], "wb") as out:
                 shutil.copyfileobj(src, out)
         yield local

@@ -369,50 +369,66 @@ def test_sharding_odd_rows(odd, none):
 # -- 6: language model ----------------------------------------------------------------------
 
 
-def kneser_ney_by_dicts(train):
-    pairs = collections.Counter()
+def kneser_ney_by_dicts(train, order):
+    counts = [collections.Counter() for _ in range(order + 1)]  # of n-grams, by length
     for t in train:
-        before = "<s>"
-        for w in [*split(t.translate(LOWER)), None]:
-            pairs[before, w] += 1
-            before = w
+        line = ["<s>", *split(t.translate(LOWER)), None]
+        for end in range(1, len(line)):
+            gram = tuple(line[max(0, end - order + 1) : end + 1])
+            counts[len(gram)][gram] += 1  # whole ones, and those cut short by the start
+    for n in range(order - 1, 0, -1):
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] += 1
     spectrum = lambda xs: [sum(x == k for x in xs) for k in (1, 2, 3, 4)]
-    high = kneser_ney._discounts(spectrum(pairs.values()))
-    cont = collections.Counter(w for _, w in pairs)
-    low = kneser_ney._discounts(spectrum(cont.values()))
-    total, after = collections.Counter(), collections.defaultdict(list)
-    for (v, _), c in pairs.items():
-        total[v] += c
-        after[v].append(c)
-    rest = sum(low[min(c, 3)] for c in cont.values()) / max(1, len(pairs))
-
-    def unigram(w):
-        return (max(cont[w] - low[min(cont[w], 3)], 0) if w in cont else 0) / max(1, len(pairs)) + rest / (len(cont) + 1)
-
-    def p(v, w):
-        if not total[v]:
-            return unigram(w)
-        c = pairs.get((v, w), 0)
-        return (max(c - high[min(c, 3)], 0) + sum(high[min(x, 3)] for x in after[v]) * unigram(w)) / total[v]
-
-    return p, cont
-
-
-def test_kneser_ney_by_brute_force(docs):
+    cuts = [kneser_ney._discounts(spectrum(c.values())) for c in counts]
+    total, rest = collections.Counter(), collections.Counter()  # of contexts, of any length
+    for n in range(1, order + 1):
+        for gram, c in counts[n].items():
+            total[gram[:-1]] += c
+            rest[gram[:-1]] += cuts[n][min(c, 3)]
+
+    def p(context, w):
+        n = len(context) + 1
+        lower = p(context[1:], w) if n > 1 else 1 / (len(counts[1]) + 1)
+        if not total[context]:
+            return lower
+        c = counts[n][(*context, w)]
+        return (max(c - cuts[n][min(c, 3)], 0) + rest[context] * lower) / total[context]
+
+    return p, [w for (w,) in counts[1]]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_by_brute_force(docs, order):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    p, vocabulary = kneser_ney_by_dicts([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10])
-    assert abs(sum(p("the", w) for w in vocabulary) + p("the", "never seen") - 1) < 1e-9
-    rows = {r["doc_id"]: r for r in kneser_ney.ngram_scores(docs).collect()}
+    p, vocabulary = kneser_ney_by_dicts([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], order)
+    seen = next(t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 and len(split(t)) > order)
+    for context in [("<s>",), ("the",), tuple(split(seen.translate(LOWER))[: order - 1])]:
+        assert abs(sum(p(context, w) for w in vocabulary) + p(context, "never seen") - 1) < 1e-9
+    rows = {r["doc_id"]: r for r in (kneser_ney.ngram_scores(docs, order) if order != 3 else kneser_ney.ngram_scores(docs)).collect()}
     for i, t in list(texts.items())[:60]:
-        want, before = 0.0, "<s>"
-        for w in [*split(t.translate(LOWER)), None]:
-            want += math.log10(p(before, w))
-            before = w
+        line = ["<s>", *split(t.translate(LOWER)), None]
+        want = sum(math.log10(p(tuple(line[max(0, k - order + 1) : k]), line[k])) for k in range(1, len(line)))
         assert math.isclose(rows[i]["score"], want, rel_tol=1e-9) and rows[i]["n_tokens"] == len(split(t)) + 1
     held = [r for r in rows.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_kneser_ney_of_few_words(spark):
+    """Empty texts and ones shorter than the order, every one met in training, score as by dicts."""
+    texts = ["", "a", "a b", "a b a b a b", "b", "a", None, "A\tB c"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for order in (2, 3, 5):
+        p, _ = kneser_ney_by_dicts([t or "" for t in texts], order)
+        got = {r["doc_id"]: r["score"] for r in kneser_ney.score_texts(rows, kneser_ney.train_ngram_model(rows, order)).collect()}
+        for i, t in enumerate(texts):
+            line = ["<s>", *split((t or "").translate(LOWER)), None]
+            want = sum(math.log10(p(tuple(line[max(0, k - order + 1) : k]), line[k])) for k in range(1, len(line)))
+            assert math.isclose(got[i], want, rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        kneser_ney.train_ngram_model(rows, 1)
+
+
 def test_kneser_ney_odd_rows(odd, none):
     rows = kneser_ney.ngram_scores(odd).collect()
     assert len(rows) == odd.count() and all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (1, 2, 3))
