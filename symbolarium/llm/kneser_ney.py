@@ -37,7 +37,7 @@ from symbolarium.llm.workspace import fresh_path, mapped_files, text_buckets, wr
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 ORDER = 3
 #: Distinct entries a task gathers before it sends them on.
-FLUSH = 600_000
+FLUSH = 1_800_000
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("level", pa.int32()), ("ones", pa.binary()), ("many", pa.binary()), ("times", pa.binary())])
 _BLOCKS = "bucket int, level int, ones binary, many binary, times binary"
 _FACTS = "kind int, place int, value long"
@@ -106,6 +106,11 @@ def _summed(counts: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray
     return np.add.reduceat(counts[order], at, axis=0) if len(at) else counts[:0]
 
 
+def _smallest(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in the least unsigned type that holds them all."""
+    return numbers.astype(np.min_scalar_type(numbers.max(initial=0))).reshape(-1)
+
+
 def _tokens(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, each text closed by the end token, and the texts' bounds."""
     w = words(chunk.column("text"), lower=True)
@@ -157,6 +162,18 @@ def _unblocked(rows: list[dict], width: int, kind, numbers: int) -> tuple[list[n
     return [np.concatenate(c) for c in columns], np.concatenate(counts)
 
 
+def _in_steps(pieces: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Pieces joined to ones of at least a third of what a task gathers."""
+    waiting: list[list[np.ndarray]] = []
+    for piece in pieces:
+        waiting.append(piece)
+        if 3 * sum(len(p[0]) for p in waiting) >= FLUSH:
+            yield [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            waiting = []
+    if waiting:
+        yield [np.concatenate(c) for c in zip(*waiting, strict=True)]
+
+
 def _gathered(pieces: Iterator[list[np.ndarray]], hashed, shard_key, shards: int) -> Iterator[pa.RecordBatch]:
     """Counts of rows of columns over many pieces, sent on whenever enough different ones came."""
     held: list[np.ndarray] = []
@@ -168,7 +185,7 @@ def _gathered(pieces: Iterator[list[np.ndarray]], hashed, shard_key, shards: int
         own = counts[order]
         return pa.RecordBatch.from_pylist(list(_blocks(0, _hash_shard(key[order], shards), own == 1, [c[order] for c in held], own)), schema=_SCHEMA)
 
-    for piece in pieces:
+    for piece in _in_steps(pieces):
         if held:
             piece = [np.concatenate([a, b]) for a, b in zip(held, piece, strict=True)]
         counts = np.r_[counts, np.ones(len(piece[0]) - len(counts), np.int64)]
@@ -226,7 +243,7 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
         order, at = _grouped(hashes)
         hashes, counts, shard = hashes[order[at]], _summed(counts[:, 0], order, at), rows[0]["bucket"]
         write_shared(model.path("words", shard), hashes)
-        write_shared(model.path("counts", shard), counts)
+        write_shared(model.path("counts", shard), _smallest(counts))
         return _facts([(0, shard, len(hashes)), (1, shard, int(counts.sum()))])
 
     told = texts.mapInArrow(count_words, _BLOCKS).groupBy("bucket").applyInArrow(store_words, _FACTS).collect()
@@ -274,11 +291,11 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
             key, count = key[ranks], times[ranks]
             write_shared(model.path(f"ones-{level}", shard), key[count == 1])
             write_shared(model.path(f"many-{level}", shard), key[count > 1])
-            write_shared(model.path(f"times-{level}", shard), count[count > 1].astype(np.uint32))
+            write_shared(model.path(f"times-{level}", shard), _smallest(count[count > 1]))
             follows = np.stack([times == 1, times == 2, times > 2, times], axis=1).astype(np.int64)
             sort, at = _grouped(context)
             context, follows = context[sort[at]], _summed(follows, sort, at)
-            out += _blocks(level, _hash_shard(context, shards), follows[:, 3] == 1, [context], follows)
+            out += _blocks(level, _hash_shard(context, shards), follows[:, 3] == 1, [g[sort[at]] for g in grams[:-1]], follows)
             out.append({"bucket": shard, "level": -level, "ones": None, "many": None, "times": _planes(np.array([f[2] for f in _spectrum(level, times)], np.int64))})
         ids, before = np.unique(grams[-1], return_counts=True)
         out += _blocks(1, np.searchsorted(model.offsets, ids, side="right") - 1, before == 1, [ids], before.astype(np.int64))
@@ -292,7 +309,8 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
             if row["level"] < 0:
                 told += [(-row["level"], k, n) for k, n in enumerate(_from_planes(row["times"], np.int64).tolist())]
         for level in range(2, order + 1):
-            (context,), follows = _unblocked([r for r in rows if r["level"] == level], 1, np.uint64, 4)
+            ids, follows = _unblocked([r for r in rows if r["level"] == level], level - 1, np.uint32, 4)
+            context = _hashes(ids)[-1]
             # A lone one in a shard is one gram counted once, of a sum of 1.
             follows[follows[:, 3] == 0, 3] = 1
             sort, at = _grouped(context)
@@ -300,11 +318,11 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
             lone = follows[:, 3] == 1
             write_shared(model.path(f"lone-{level}", shard), context[lone])
             write_shared(model.path(f"wide-{level}", shard), context[~lone])
-            write_shared(model.path(f"stats-{level}", shard), follows[~lone].reshape(-1))
+            write_shared(model.path(f"stats-{level}", shard), _smallest(follows[~lone]))
         (ids,), counts = _unblocked([r for r in rows if r["level"] == 1], 1, np.uint32, 1)
         before = np.zeros(int(model.offsets[shard + 1] - model.offsets[shard]), np.int64)
         np.add.at(before, ids.astype(np.int64) - model.offsets[shard], counts[:, 0])
-        write_shared(model.path("before", shard), before)
+        write_shared(model.path("before", shard), _smallest(before))
         return _facts(told + _spectrum(1, before[before > 0]))
 
     told = (
@@ -324,7 +342,9 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
 class _Reader:
     """The model's arrays, memory-mapped; lookups go shard by shard with sorted keys."""
 
-    KINDS = {"words": np.uint64, "counts": np.int64, "before": np.int64, "ones": np.uint64, "many": np.uint64, "times": np.uint32, "lone": np.uint64, "wide": np.uint64, "stats": np.int64}
+    KINDS = {"words": np.uint64, "ones": np.uint64, "many": np.uint64, "lone": np.uint64, "wide": np.uint64}
+    #: Kinds of the least type that holds their numbers, so many for each key of another kind.
+    VALUES = {"counts": ("words", 1), "before": ("words", 1), "times": ("many", 1), "stats": ("wide", 4)}
 
     def __init__(self, model: NgramModel, files: dict[str, list[np.ndarray]]) -> None:
         self.model, self.files = model, files
@@ -339,10 +359,16 @@ class _Reader:
     def opened(cls, model: NgramModel, kinds: tuple[str, ...]):
         live = [(kind, k) for kind in kinds for k in range(model.shards)] if model.vocabulary else []
         with mapped_files([model.path(kind, k) for kind, k in live]) as paths:
-            files = {kind: [np.zeros(0, cls.KINDS[kind.split("-")[0]])] * model.shards for kind in kinds}
+            files = {kind: [np.zeros(0, cls.KINDS.get(kind.split("-")[0], np.uint8))] * model.shards for kind in kinds}
             for (kind, k), path in zip(live, paths, strict=True):
                 if os.path.exists(path) and os.path.getsize(path):
-                    files[kind][k] = np.memmap(path, cls.KINDS[kind.split("-")[0]], mode="r")
+                    name, dash, level = kind.partition("-")
+                    if name in cls.VALUES:
+                        keys, width = cls.VALUES[name]
+                        form = np.dtype(f"u{os.path.getsize(path) // (width * len(files[keys + dash + level][k]))}")
+                    else:
+                        form = cls.KINDS[name]
+                    files[kind][k] = np.memmap(path, form, mode="r")
             yield cls(model, files)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
