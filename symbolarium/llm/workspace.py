@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
-#: Text whose words or shingles one Python worker holds at a time: some 6 million entries.
-BUCKET_BYTES = 32 << 20
+#: Text whose words or n-grams one Python worker holds at a time: some 3 million entries.
+BUCKET_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
