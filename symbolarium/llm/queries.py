@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolarium.llm.bpe import bpe_digests
+from symbolarium.llm.delta_lloyd import centroid_clusters
 from symbolarium.llm.kneser_ney import ngram_scores
 from symbolarium.llm.language_id import language_id
 from symbolarium.llm.lz_fingerprint import lz_fingerprints
@@ -71,6 +72,10 @@ def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_delta_lloyd": op11_delta_lloyd,
 }
 
 # Documents with the same lines count once. Near copies count once in the operator alone; they
@@ -163,7 +169,41 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Plain Lloyd with every comparison in every round: whole numbers in doubles, so exact."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v, best.c AS c, best.d AS d FROM (
+    SELECT vec_id, any_value(v.v) AS v, min({{'d': list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, m.v) + list_inner_product(m.v, m.v), 'c': m.c}}) AS best
+    FROM kept v CROSS JOIN c{r} m GROUP BY vec_id
+  )
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT c, list(CAST((s - (s % n + n) % n) // n AS DOUBLE) ORDER BY i) AS v FROM (
+    SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i
+  ) GROUP BY c
+), c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY mark) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS mark, v FROM kept ORDER BY mark LIMIT 40)
+), {", ".join(steps)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(m.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m ON a.c = m.c
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_delta_lloyd": _lloyd_sql(5),
     "op10_ngram_jaccard_join": _JOIN_SQL,
     "op7_url_cascade": _URL_SQL,
     "op3_line_frequency": _LINE_FREQUENCY_SQL,
