@@ -15,6 +15,7 @@ from symbolarium.llm.language_id import language_id
 from symbolarium.llm.lz_fingerprint import lz_fingerprints
 from symbolarium.llm.ngram_join import ngram_jaccard_components
 from symbolarium.llm.packing import pack
+from symbolarium.llm.prefix_trie import conversation_trie
 from symbolarium.llm.quality import quality_verdicts
 from symbolarium.llm.sharding import compacted_documents
 from symbolarium.llm.toxicity import toxicity
@@ -76,6 +77,11 @@ def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_trie(conversations.select("conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_delta_lloyd": op11_delta_lloyd,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 # Documents with the same lines count once. Near copies count once in the operator alone; they
@@ -202,7 +209,53 @@ FROM a{rounds} a JOIN c{rounds} m ON a.c = m.c
 """
 
 
+# Nodes by their whole text; CRC-32 bit by bit.
+_TRIE_SQL = r"""
+WITH RECURSIVE ids AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS c FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc(conv_id, c, i, v) AS (
+  SELECT conv_id, c, 0, 4294967295::BIGINT FROM ids
+  UNION ALL
+  SELECT conv_id, c, i + 1, xor(w >> 1, 3988292384 * (w & 1))
+  FROM (SELECT conv_id, c, i, CASE WHEN i % 8 = 0 THEN xor(v, ascii(substr(c, i // 8 + 1, 1))) ELSE v END AS w FROM crc WHERE i < 8 * length(c))
+), heads AS MATERIALIZED (
+  SELECT conv_id, xor(v, 4294967295) % 4 AS h, conv_id - conv_id % 20 AS first FROM crc WHERE i = 8 * length(c)
+), turns AS MATERIALIZED (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY kind, pos) AS depth, t FROM (
+    SELECT h.conv_id, 1 AS kind, pos, t FROM heads h JOIN turns b ON b.conv_id = h.first AND pos < h
+    UNION ALL
+    SELECT conv_id, 2, pos, t FROM turns JOIN heads USING (conv_id) WHERE pos >= h
+  )
+), paths AS MATERIALIZED (
+  SELECT conv_id, depth, list(t) OVER (PARTITION BY conv_id ORDER BY depth) AS path, t.text AS text FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, [], '' FROM heads
+), ended AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM paths
+), nodes AS MATERIALIZED (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS saving,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM ended GROUP BY path, depth
+), kids AS MATERIALIZED (
+  SELECT path[:-2] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), sized AS MATERIALIZED (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)
+), sums AS (
+  SELECT path, sum(saving) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT unnest(list_transform(range(depth + 1), lambda d: path[:d])) AS path, saving, n_children FROM sized) GROUP BY path
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM sized n JOIN sums USING (path) LEFT JOIN sized p ON n.depth > 0 AND p.path = n.path[:-2]
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_prefix_trie": _TRIE_SQL,
     "op11_delta_lloyd": _lloyd_sql(5),
     "op10_ngram_jaccard_join": _JOIN_SQL,
     "op7_url_cascade": _URL_SQL,

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symbolarium.llm import delta_lloyd, queries
+from symbolarium.llm import delta_lloyd, prefix_trie, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +97,84 @@ def test_delta_lloyd_few_none_and_too_large(spark):
         delta_lloyd.centroid_clusters(spark.createDataFrame([(1, [3e38] * 64)], schema)).collect()
     big = np.array([[delta_lloyd.LARGEST - 1] * 64, [1 - delta_lloyd.LARGEST] * 64])
     assert delta_lloyd.squared_distances(big, big)[0, 1] == 64 * (2 * (delta_lloyd.LARGEST - 1)) ** 2
+
+
+# -- 12: conversation prefix trie ------------------------------------------------------------
+
+
+def trie(rows, group=20, heads=4):
+    """The definition by loops: {path: (...)} over the rows (conv_id, turn, role, text)."""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append(((turn is not None, turn or 0), hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest(), (role, text)))
+    own = {c: [t[2] for t in sorted(ts)] for c, ts in own.items()}
+    built = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        built[c] = tuple(own.get(c - int(math.fmod(c, group)), [])[:h] + ts[h:])
+    members = collections.defaultdict(list)
+    for c, ts in built.items():
+        for d in range(len(ts) + 1):
+            members[ts[:d]].append(c)
+    kids = collections.Counter(p[:-1] for p in members if p)
+    out = {}
+    for p, cs in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        words = lambda q: len(re.findall(r"[^\x20\x09-\x0D]+", q[-1][1])) if q else 0
+        ends = ",".join(str(c) for c in sorted(cs) if built[c] == p)
+        out[p] = (min(cs), len(p), min(members[p[:-1]]) if p else None, len(cs), kids[p], sum(not kids[q] for q in below), sum((len(members[q]) - 1) * words(q) for q in below), hashlib.sha256(ends.encode()).hexdigest())
+    return out
+
+
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def test_trie_is_its_sql(spark):
+    same_as_sql(spark, "op12_prefix_trie", ["conversations"])
+
+
+def odd_conversations(seed):
+    """Shared beginnings of many depths, copies, one very long conversation, nulls, ties, repeated rows."""
+    rng = random.Random(seed)
+    rows = []
+    for c in range(-45, 120):
+        n = rng.choice([1, 1, 2, 3, 4, 5, 9])
+        rows += [(c, t, rng.choice(["user", "bot", None]), rng.choice(["a", "b b", "c c c", None, ""])) for t in range(n)]
+    copied = [(t, "user", f"turn {t % 7}") for t in range(8)]
+    rows += [(c, *t) for c in range(200, 260) for t in copied]
+    rows += [(300, t, "user", f"w{t % 5} x") for t in range(700)] + [(301, t, "user", f"w{t % 5} x") for t in range(350)]
+    rows += [(400, None, "z", "null first"), (400, 1, "a", "one"), (400, 1, "b", "tie"), (400, 1, "b", "tie"), (400, None, "y", "other null")]
+    rows += [(None, 1, "user", "nobody's"), (2**62, 0, "user", "far"), (-(2**62), 0, "1", ":2"), (-(2**62) + 1, 0, "1:", "2"), (410, 0, "user", "word " * 100_000)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("spread", [1, 4, 23])
+def test_trie_against_the_definition_on_odd_rows(spark, spread, monkeypatch):
+    rows = odd_conversations(spread)
+    spark.conf.set("spark.sql.shuffle.partitions", str(spread))
+    if spread == 23:
+        monkeypatch.setattr(prefix_trie, "PIECE_BYTES", 20)
+        monkeypatch.setattr(prefix_trie, "HOT_SHARE", 20)
+    try:
+        df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, depth int, Node string").repartition(spread)
+        got = prefix_trie.conversation_trie(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = trie(rows)
+    assert collections.Counter(tuple(r[c] for c in COLUMNS) for r in got) == collections.Counter(want.values())
+    at = sorted(got, key=lambda r: r["preorder"])
+    assert [r["preorder"] for r in at] == list(range(len(at)))
+    for r in at:  # the interval is the subtree: deeper nodes, and then none
+        inside, after = at[r["preorder"] + 1 : r["subtree_end"]], at[r["subtree_end"] : r["subtree_end"] + 1]
+        assert all(x["depth"] > r["depth"] for x in inside) and all(x["depth"] <= r["depth"] for x in after)
+
+
+def test_trie_of_nothing_and_of_turnless_conversations(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert prefix_trie.conversation_trie(spark.createDataFrame([], schema)).collect() == []
+    c = next(i for i in range(20, 999) if i % 20 and zlib.crc32(str(i).encode()) % 4 == 3)
+    only = prefix_trie.conversation_trie(spark.createDataFrame([(c, 5, "user", "gone"), (c, 6, "user", "too")], schema)).collect()
+    assert [tuple(r[x] for x in COLUMNS) for r in only] == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
