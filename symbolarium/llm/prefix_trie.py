@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symbolarium.llm.samples import fold
-from symbolarium.llm.workspace import partitions, stored
+from symbolarium.llm.workspace import joined_by_weight, partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Prefixes hash as polynomials modulo this prime, so parts of one conversation can be joined.
@@ -31,8 +31,6 @@ PRIME = (1 << 127) - 1
 FACTOR = int.from_bytes(hashlib.sha256(b"conversation prefix").digest(), "big") % PRIME
 #: Text of one piece of a node's list of ids, while it is gathered for its digest.
 PIECE_BYTES = 4096
-#: A key with more than one of so many rows is joined by broadcast: there are fewer than so many.
-HOT_SHARE = 1000
 
 _Batches = Iterable[pa.RecordBatch]
 
@@ -43,19 +41,6 @@ def _sorted_parts(df: DataFrame, *keys: str) -> DataFrame:
     return spread.sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
 
 
-def _joined(rows: DataFrame, side: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """``rows`` with the columns of ``side``, one row a key, whose ``weight`` is how many rows have
-    that key. Keys with more than one in ``HOT_SHARE`` of the rows are broadcast: fewer than
-    ``HOT_SHARE`` can be; no key of the shuffle has more."""
-    total = side.agg(F.sum(weight)).first()[0] or 0
-    limit = total // HOT_SHARE
-    hot = F.broadcast(side.where(F.col(weight) > limit).withColumn("hot", F.lit(True)))
-    cold = side.where(F.col(weight) <= limit)
-    named = rows.join(hot, keys, "left")
-    back = named.where("hot IS NULL").select(rows.columns)
-    return named.where("hot").drop("hot").unionByName(back.join(cold, keys))
-
-
 def _positions(turns: DataFrame) -> DataFrame:
     """``turns(conv_id, turn, mark, words)`` with ``pos``, the turn's place in its conversation."""
 
@@ -207,7 +192,7 @@ def _keyed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _KEYED.split(", ")])
 
-    named = _joined(rows.select("conv_id", "depth", "node"), nodes, ["depth", "node"], "n_convs")
+    named = joined_by_weight(rows.select("conv_id", "depth", "node"), nodes, ["depth", "node"], "n_convs")
     found = stored(_sorted_parts(named, "conv_id", "depth").mapInArrow(local, _KEYED), "trie-keys")
     state, carry = (b"", None), []
     for r in found.where("last").orderBy("part").collect():
@@ -307,7 +292,7 @@ def conversation_trie(conversations: DataFrame, group: int = 20, heads: int = 4)
     tail = F.max(F.struct("rank", F.col("leaves_upto").alias("l"), F.col("saved_upto").alias("s"))).alias("tail")
     tails = stored(nodes.groupBy("path").agg(tail, F.count("*").alias("n_on_path")), "trie-tails")
     ends = rows.groupBy("conv_id").agg(F.max(F.struct("depth", "node")).alias("end")).select("conv_id", "end.depth", "end.node")
-    out = _joined(nodes, tails, ["path"], "n_on_path").join(_digests(ends), ["depth", "node"], "left")
+    out = joined_by_weight(nodes, tails, ["path"], "n_on_path").join(_digests(ends), ["depth", "node"], "left")
     return out.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children",
         (F.col("tail.l") - F.col("leaves_before")).alias("n_leaves"), (F.col("tail.s") - F.col("saved_before")).alias("saved_tokens"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from symbolarium.llm.bpe import bpe_digests
 from symbolarium.llm.delta_lloyd import centroid_clusters
+from symbolarium.llm.disclosure import personal_data_digests
 from symbolarium.llm.kneser_ney import ngram_scores
 from symbolarium.llm.language_id import language_id
 from symbolarium.llm.lz_fingerprint import lz_fingerprints
@@ -82,6 +83,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(conversations.select("conv_id", "turn", "role", "text"))
 
 
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digests(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_delta_lloyd": op11_delta_lloyd,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_disclosure": op13_disclosure,
 }
 
 # Documents with the same lines count once. Near copies count once in the operator alone; they

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 _KEY = "spark.checkpoint.dir"
 #: Text whose words or n-grams one Python worker holds at a time: some 3 million entries.
 BUCKET_BYTES = 16 << 20
+#: A key with more than one of so many rows is joined by broadcast: there are fewer than so many.
+HOT_SHARE = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -57,6 +59,19 @@ def text_buckets(texts: DataFrame, bucket_bytes: int | None = None) -> int:
     return max(partitions(texts.sparkSession), -(-int(total) // (bucket_bytes or BUCKET_BYTES)))
 
 
+def joined_by_weight(rows: DataFrame, side: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` with the columns of ``side``, one row a key, whose ``weight`` is how many rows have
+    that key. Keys with more than one in ``HOT_SHARE`` of the rows are broadcast: fewer than
+    ``HOT_SHARE`` can be; no key of the shuffle has more."""
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    limit = total // HOT_SHARE
+    hot = F.broadcast(side.where(F.col(weight) > limit).withColumn("hot", F.lit(True)))
+    cold = side.where(F.col(weight) <= limit)
+    named = rows.join(hot, keys, "left")
+    back = named.where("hot IS NULL").select(rows.columns)
+    return named.where("hot").drop("hot").unionByName(back.join(cold, keys))
+
+
 def write_shared(path: str, payload) -> None:
     """Write one model file; safe under task retries, as it appears only when whole."""
     fs, inner = _filesystem(path)

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symbolarium.llm import delta_lloyd, prefix_trie, queries
+from symbolarium.llm import delta_lloyd, disclosure, prefix_trie, queries, workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -157,7 +157,7 @@ def test_trie_against_the_definition_on_odd_rows(spark, spread, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", str(spread))
     if spread == 23:
         monkeypatch.setattr(prefix_trie, "PIECE_BYTES", 20)
-        monkeypatch.setattr(prefix_trie, "HOT_SHARE", 20)
+        monkeypatch.setattr(workspace, "HOT_SHARE", 20)
     try:
         df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, depth int, Node string").repartition(spread)
         got = prefix_trie.conversation_trie(df).collect()
@@ -178,3 +178,137 @@ def test_trie_of_nothing_and_of_turnless_conversations(spark):
     c = next(i for i in range(20, 999) if i % 20 and zlib.crc32(str(i).encode()) % 4 == 3)
     only = prefix_trie.conversation_trie(spark.createDataFrame([(c, 5, "user", "gone"), (c, 6, "user", "too")], schema)).collect()
     assert [tuple(r[x] for x in COLUMNS) for r in only] == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
+
+
+# -- 13: personal data -----------------------------------------------------------------------
+
+PATTERNS = {  # as stated, without regard to time
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_by_patterns(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            luhn = sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))) % 10 == 0
+            fits = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")[:4]) if kind == "ip" else True, "card": 14 <= len(digits) <= 19 and luhn, "phone": 10 <= len(digits) <= 15}[kind]
+            if fits:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_personal_spans_are_those_of_the_plain_patterns():
+    rng = random.Random(4)
+    parts = ["a@b.c", "x.y+z@", "@", "a@b", ".", "..", "é", " ", "-", "+", "+1 (555) 010-9999", "4111 1111 1111 1111", "4111-1111-1111-1112", "1.2.3.4", "256.1.1.1", "001.2.3.0", "9", "10.0.0.1.", "(", ")", "\n", "日本", "12345678901234567890", "0" * 14, "A_b%c@d-e.f.g", "@h.i", "\u0663"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        assert disclosure.personal_spans(text) == base_by_patterns(text), text
+    assert disclosure.personal_spans("") == []
+    long = ["x" * 300_000, "x" * 200_000 + "@", "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "1 " * 150_000, "a@" * 100_000, "0" * 9000 + ".1.2.3"]
+    assert [[(k, a, b) for a, k, b in disclosure.personal_spans(t)] for t in long] == [[], [], [], [(1, 8 * i, 8 * i + 7) for i in range(37_500)], [], [], [], [(1, 0, 9006)]]
+
+
+def lower(word):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
+
+
+def disclosing_by_loops(texts, window=10, support=3, share=0.8):
+    word = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
+    n_entity, n_both, contexts, n_term = (collections.Counter(), collections.Counter(), collections.defaultdict(set), collections.Counter())
+    for text in texts:
+        text = text or ""
+        base = base_by_patterns(text)
+        n_term.update({lower(m[0]) for m in word.finditer(text)})
+        free = [m for m in word.finditer(text) if not any(m.start() < e and s < m.end() for s, _, e in base)]
+        around = collections.defaultdict(set)
+        for s, k, e in base:
+            value = text[s:e].lower() if k < 2 else re.sub("[^0-9]", "", text[s:e])
+            before = [lower(m[0]) for m in free if m.start() < s][-window:]
+            around[k, value] |= {*before, *[lower(m[0]) for m in free if m.start() >= e][:window]}
+        for entity, near in around.items():
+            n_entity[entity] += 1
+            for t in near:
+                n_both[entity, t] += 1
+                contexts[entity, t].add(frozenset(near))
+    out = {}
+    for (entity, t), n in n_both.items():
+        pmi, ic = math.log2(n * len(texts) / (n_entity[entity] * n_term[t])), math.log2(len(texts) / n_entity[entity])
+        if len(contexts[entity, t]) >= support and 2 * n >= n_term[t] and 2 * n_entity[entity] <= len(texts) and pmi >= share * ic:
+            out[t] = max(out.get(t, 0), 2 if 10 * n >= 9 * n_term[t] else 1)
+    return out
+
+
+def spans_by_loops(text, terms):
+    base = base_by_patterns(text)
+    word = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
+    hits = [(m.start(), 4, m.end()) for m in word.finditer(text or "") if terms.get(lower(m[0])) and not any(m.start() < e and s < m.end() for s, _, e in base)]
+    return ",".join(f"{disclosure.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + hits))
+
+
+def corpus_with_secrets():
+    """Names that go with one address in varied passages, some also alone; copies; clean texts."""
+    rng = random.Random(12)
+    prose = lambda n: [rng.choice(["the", "of", "ré", "house"] + [f"w{rng.randrange(60)}" for _ in range(9)]) for _ in range(n)]
+    texts = [" ".join(prose(40)) for _ in range(60)]
+    for who, name in enumerate(["Zorblax", "Éowyn", "quintus7", "halfway"]):
+        for _ in range(5):
+            texts.append(" ".join([*prose(20), name, *prose(3), f"person{who}@mail.example.com", "+1 (555) 010-000" + str(who), *prose(20)]))
+        texts += [" ".join([*prose(10), name + ",", *prose(10)]) for _ in range([0, 1, 2, 4][who])]
+    texts += ["a copied passage with contact desk77 admin@corp.example.org whose neighbours are rare"] * 9
+    return texts + [None, "", "10.0.0.1 " + "word " * 50_000 + "zorblax", " ".join(f"10.0.0.1 rareword{i % 3} {' '.join(prose(12))}" for i in range(8))]
+
+
+def test_disclosing_terms_against_loops(spark):
+    texts = corpus_with_secrets()
+    df = spark.createDataFrame([(i // 2 if i % 9 else None, t, 1, "s") for i, t in enumerate(texts)], "doc_id long, text string, term int, Spans string").repartition(5)
+    want = disclosing_by_loops(texts)
+    assert want["zorblax"] == 1 and want["quintus7"] == 1 and want["Éowyn"] == 1 and "halfway" in want
+    assert not {"the", "desk77", "neighbours"} & set(want)
+    found = disclosure.personal_data(df).collect()
+    got = collections.Counter((r["doc_id"], ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"])) for r in found)
+    assert got == collections.Counter((i // 2 if i % 9 else None, spans_by_loops(t, want)) for i, t in enumerate(texts))
+    for r in found:
+        assert "@" not in (r["sanitised"] or "") and "zorblax" not in (r["sanitised"] or "").lower()
+    assert sum(r["sanitised"] is None for r in found) == 1
+
+
+def test_disclosing_terms_generalised_removed_and_rewritten(spark):
+    texts = [f"filler{i} only Alice4 writes as a@x.org about topic{i}" for i in range(12)] + ["nothing here"] * 900
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = disclosure.disclosing_terms(df)
+    assert {r["number"] for r in terms.collect()} == {2}
+    assert disclosure.personal_data(df, terms).where("doc_id = 3").first()["sanitised"] == "filler3     [EMAIL]  topic3"
+    more = df.unionByName(spark.createDataFrame([(90 + i, "Alice4 and only she writes") for i in range(6)], df.schema))
+    assert disclosure.personal_data(more).where("doc_id = 3").first()["sanitised"] == "filler3 [word] [code] [word]  [EMAIL]  topic3"
+    assert disclosure.personal_data(df, terms.limit(0)).where("doc_id = 3").first()["sanitised"] == "filler3 only Alice4 writes as [EMAIL] about topic3"
+
+
+def test_personal_data_of_nothing_and_query_columns(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert disclosure.personal_data(none).collect() == [] and disclosure.personal_data_digests(none).collect() == []
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = disclosing_by_loops([r["text"] for r in docs])
+    got = {r["doc_id"]: r for r in queries.QUERIES["op13_disclosure"](spark, SF).collect()}
+    for r in docs:
+        base, mine = base_by_patterns(r["text"]), got[r["doc_id"]]
+        assert [mine[f"n_{k}"] for k in disclosure.KINDS[:4]] == [sum(x[1] == k for x in base) for k in range(4)]
+        assert mine["base_sha256"] == hashlib.sha256(",".join(f"{disclosure.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+        assert mine["spans"] == spans_by_loops(r["text"], want)
+
+
+def test_sorted_terms_over_several_files(spark, monkeypatch):
+    monkeypatch.setattr(disclosure, "FILE_TERMS", 7)
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 60))
+    stored_terms = disclosure.sorted_terms(spark.createDataFrame([(int(k), i % 2 + 1) for i, k in enumerate(keys)], "term long, number int"))
+    with workspace.mapped_files(stored_terms.paths) as local:
+        assert len(local) > 4
+        asked = np.unique(np.r_[keys[::3], rng.integers(-(2**63), 2**63 - 1, 40)])
+        want = [dict(zip(keys.tolist(), [i % 2 + 1 for i in range(len(keys))], strict=True)).get(a, 0) for a in asked.tolist()]
+        assert stored_terms.lookup(local, asked).tolist() == want
+        assert stored_terms.lookup(local, asked[:0]).tolist() == []
