@@ -6,6 +6,8 @@ each, so a thousand lookups are one plan of joins and not a thousand jobs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,14 +114,15 @@ def search_outcome(failure: Column, has_gaps: Column) -> Column:
     )
 
 
-def outside_candidates(unresolved: DataFrame, imports: DataFrame) -> DataFrame:
+def outside_candidates(unresolved: DataFrame, imports: DataFrame, keys: Sequence[str] = ("module", "name")) -> DataFrame:
     """For ``unresolved(module, name)`` the modules that may supply each name, in the order to try
     them: explicit imports before open ones, of each those nearest to the module first.
-    ``imports(module, name, target, explicit)``; names without any import have an empty list."""
+    ``imports(module, name, target, explicit)``; names without any import have an empty list.
+    ``keys`` names further columns, such as the component, that tell asks apart."""
     rank = F.struct((~F.col("explicit")).alias("open"), (-shared_leading(F.col("module"), F.col("target"))).alias("far"), "target")
-    best = imports.groupBy("module", "name", "target").agg(F.max("explicit").alias("explicit"))
-    ranked = best.groupBy("module", "name").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["target"]).alias("candidates"))
-    return unresolved.join(ranked, ["module", "name"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    best = imports.groupBy(*keys, "target").agg(F.max("explicit").alias("explicit"))
+    ranked = best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["target"]).alias("candidates"))
+    return unresolved.join(ranked, list(keys), "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
 
 
 def located(asks: DataFrame, sites: DataFrame, decls: DataFrame, chained: DataFrame) -> DataFrame:

@@ -120,15 +120,6 @@ def site_decision(listed: Column, readable: Column, has_file: Column) -> Column:
     return F.when(listed, "resolve").when(readable & ~has_file, "module_absent").otherwise("sweep")
 
 
-def chain_verdict(kind: Column, has_gaps: Column) -> Column:
-    """What a failed chain proves: ``stopped_at_bound`` if a limit ended it, ``blocked`` if
-    something could not be read or placed, ``module_absent``, else ``exhausted``."""
-    return (
-        F.when(kind.isin("hop_limit", "budget"), "stopped_at_bound").when(kind == "no_module", "module_absent")
-        .when(kind.isin("unreadable", "unparsed", "no_owner", "no_source") | has_gaps, "blocked").otherwise("exhausted")
-    )
-
-
 def entries(names: DataFrame, indexed: DataFrame, imported: DataFrame) -> DataFrame:
     """A page's entries ``names(module, name)``: from the index, else from an import's
     declarations, else a placeholder; ``origin`` says which."""

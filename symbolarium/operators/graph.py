@@ -63,16 +63,16 @@ def levels(deps: DataFrame, subset: DataFrame) -> DataFrame:
 
 
 def recursive_levels(deps: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nearest levels of an acyclic graph by one recursive query; for cyclic ones see ``closure``.
+    """Nearest levels of an acyclic graph by one recursive query; for cyclic ones, and where Spark's
+    own limit of rows for recursive queries is too low, see ``closure``.
 
     Each step keeps its packages once, so shared dependencies are not walked once a path; it goes
-    on until a step is empty."""
+    on until a step is empty, for a million steps at most."""
     spark = deps.sparkSession
     deps.createOrReplaceTempView("symbolarium_deps")
     roots.createOrReplaceTempView("symbolarium_roots")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")  # an acyclic graph ends by itself
     return spark.sql("""
-        WITH RECURSIVE walk(pkg, level) AS (
+        WITH RECURSIVE walk(pkg, level) MAX RECURSION LEVEL 1000000 AS (
           SELECT pkg, 0 FROM symbolarium_roots
           UNION ALL
           SELECT DISTINCT d.dep_pkg, w.level + 1 FROM walk w JOIN symbolarium_deps d ON d.pkg = w.pkg

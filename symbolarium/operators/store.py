@@ -1,8 +1,8 @@
-"""Changes to the stored index, as rewrites: ``DataFrame -> DataFrame``, and the writers."""
+"""Changes to the stored index, as rewrites: ``DataFrame -> DataFrame``; ``index_store`` commits them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTRY = ["pkg", "version", "unit_id"]
@@ -30,9 +30,9 @@ def last_values(kv: DataFrame) -> DataFrame:
     return kv.groupBy("k").agg(F.max_by("v", "seq").alias("v"))
 
 
-def newest_configurations(meta: DataFrame, keep: int = 3) -> DataFrame:
-    """The newest by (indexed_at, unit_id) of each package version."""
-    order = Window.partitionBy("pkg", "version").orderBy(F.desc("indexed_at"), F.desc("unit_id"))
+def newest_configurations(meta: DataFrame, keep: int = 3, by: tuple[str, ...] = ("indexed_at", "unit_id")) -> DataFrame:
+    """The newest of each package version by the columns ``by``, which should tell all apart."""
+    order = Window.partitionBy("pkg", "version").orderBy(*(F.desc(c) for c in by))
     return meta.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
@@ -60,30 +60,3 @@ def all_fresh(units: DataFrame, stored: DataFrame) -> DataFrame:
     have = stored.select("component", F.col("fingerprint").alias("had")).groupBy("component").agg(F.max("had").alias("had"))
     fresh = F.coalesce(F.col("fingerprint") == F.col("had"), F.lit(False))
     return units.join(have, "component", "left").groupBy("unit").agg(F.bool_and(fresh).alias("fresh"), F.count("*").alias("components"))
-
-
-class IndexStore:
-    """A Parquet index partitioned by entry; rows and the entry table are written apart, as
-    an entry without rows is still indexed."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def replace(self, rows: DataFrame, meta: DataFrame) -> None:
-        """Replace the partitions of the entries in ``meta``: dynamic overwrite for those with
-        rows; the entry table is appended and read as latest-by-time."""
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*ENTRY)
-        writer.parquet(f"{self.path}/rows")
-        counted = meta.join(rows.groupBy(*ENTRY).agg(F.count("*").alias("n")), ENTRY, "left").fillna({"n": 0})
-        counted.withColumns({"generation": F.lit(GENERATION), "written": F.unix_micros(F.current_timestamp())}).write.mode("append").parquet(f"{self.path}/entries")
-
-    def entries(self) -> DataFrame:
-        all_entries = self.spark.read.parquet(f"{self.path}/entries").where(F.col("generation") == GENERATION)
-        return all_entries.groupBy(*ENTRY).agg(F.max_by(F.struct("indexed_at", "n"), F.struct("indexed_at", "written")).alias("x")).select(*ENTRY, "x.*")
-
-    def rows(self) -> DataFrame:
-        """Rows of live entries; one that was last written without rows has none."""
-        schema_safe = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/rows")
-        for c in ENTRY:
-            schema_safe = schema_safe.withColumn(c, F.col(c).cast("string"))
-        return schema_safe.join(self.entries().where("n > 0").select(*(F.col(c).cast("string").alias(c) for c in ENTRY)), ENTRY, "left_semi")

@@ -48,11 +48,12 @@ def component_index(exported: DataFrame, decls: DataFrame, imports: DataFrame, e
 def build_levels(deps: DataFrame, components: DataFrame, build: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
     """Run ``build(components of a level, rows of lower levels)`` level by level.
 
-    All components of a level are built by one plan in parallel; the next sees their rows.
+    All components of a level are built by one plan in parallel; the next sees their rows. Without
+    any component, ``build`` runs once for none and so gives the columns.
     """
     order = cut(graph.levels(deps, components))
     rows: DataFrame | None = None
-    for level in range(order.agg(F.max("level")).first()[0] + 1):
+    for level in range((order.agg(F.max("level")).first()[0] or 0) + 1):
         made = cut(build(order.where(F.col("level") == level).select("pkg"), rows))
         rows = made if rows is None else rows.unionByName(made)
     return rows

@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once as a columnar table in the session's checkpoint folder and read back:
-    later reads take the columns they need, and a lost executor does not lose it. A local folder
-    is set only where the session names none; on a cluster that would be wrong, so it is refused
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the session's checkpoint folder, which all executors share. A local folder is
+    set only where the session names none; on a cluster that would be wrong, so it is refused
     there."""
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         root = tempfile.mkdtemp(prefix="symbolarium-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/symbolarium/cut-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/symbolarium/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once as a columnar table in the session's checkpoint folder and read back:
+    later reads take the columns they need, and a lost executor does not lose it."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -845,4 +845,4 @@ def import_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # More queries register themselves here: cascades over several sources, declarations, dumps.
-from symbolarium import queries_cascade  # noqa: E402, F401
+from symbolarium import queries_cascade, queries_reach, queries_store  # noqa: E402, F401

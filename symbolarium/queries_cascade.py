@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,17 +90,21 @@ def lookup_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query", "error", cascade.exit_code(F.col("error")).alias("exit_code"), F.to_json(actions).alias("actions"))
 
 
-@query("error_codes", "SELECT * FROM (VALUES ('USER_ERROR', 2), ('NOT_FOUND', 3), ('NETWORK_ERROR', 4), ('HOOGLE_OFFLINE', 4), ('CORRUPTION', 5), ('HOOGLE_REMOTE_ERROR', 5), ('ENV_ERROR', 7), ('TOOL_MISSING', 8), ('INTERNAL_ERROR', 9), ('ANYTHING', 9), (NULL, 0)) t(code, exit_code)")
+@query("error_codes", """SELECT p_partkey, code, CASE code WHEN 'USER_ERROR' THEN 2 WHEN 'NOT_FOUND' THEN 3 WHEN 'NETWORK_ERROR' THEN 4 WHEN 'HOOGLE_OFFLINE' THEN 4 WHEN 'CORRUPTION' THEN 5 WHEN 'HOOGLE_REMOTE_ERROR' THEN 5 WHEN 'ENV_ERROR' THEN 7
+  WHEN 'TOOL_MISSING' THEN 8 WHEN 'INTERNAL_ERROR' THEN 9 WHEN 'ANYTHING' THEN 9 ELSE 0 END AS exit_code
+FROM (SELECT p_partkey, ['USER_ERROR', 'NOT_FOUND', 'NETWORK_ERROR', 'HOOGLE_OFFLINE', 'CORRUPTION', 'HOOGLE_REMOTE_ERROR', 'ENV_ERROR', 'TOOL_MISSING', 'INTERNAL_ERROR', 'ANYTHING'][p_size % 11 + 1] AS code FROM part)""")
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = spark.createDataFrame([(c,) for c in [*cascade.EXIT_CODES, "ANYTHING", None]], "code string")
-    return codes.select("code", cascade.exit_code(F.col("code")).alias("exit_code"))
+    """Every package's lookup ended by one of the errors, an unknown one or none."""
+    codes = F.array(*(F.lit(c) for c in [*cascade.EXIT_CODES, "ANYTHING"]))
+    rows = _part(spark, sf_dir).select("p_partkey", F.get(codes, F.col("p_size") % 11).alias("code"))
+    return rows.withColumn("exit_code", cascade.exit_code(F.col("code")))
 
 
-@query("search_outcomes", """SELECT f AS failure, g AS has_gaps, CASE WHEN f IN ('hop_limit', 'parse_budget') THEN 'stopped_at_bound' WHEN f IN ('not_exported', 'not_declared') THEN 'exhausted' WHEN f = 'module_absent' THEN 'module_absent' WHEN g THEN 'blocked' ELSE 'exhausted' END AS search
-FROM (SELECT unnest(['hop_limit', 'parse_budget', 'not_exported', 'not_declared', 'no_supplier', 'module_unparsed', 'swept_package', 'module_absent']) AS f), (SELECT unnest([true, false]) AS g)""")
+@query("search_outcomes", """SELECT p_partkey, f AS failure, g AS has_gaps, CASE WHEN f IN ('hop_limit', 'parse_budget') THEN 'stopped_at_bound' WHEN f IN ('not_exported', 'not_declared') THEN 'exhausted' WHEN f = 'module_absent' THEN 'module_absent' WHEN g THEN 'blocked' ELSE 'exhausted' END AS search
+FROM (SELECT p_partkey, ['hop_limit', 'parse_budget', 'not_exported', 'not_declared', 'no_supplier', 'module_unparsed', 'swept_package', 'module_absent'][p_partkey % 8 + 1] AS f, p_size % 2 = 0 AS g FROM part)""")
 def search_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["hop_limit", "parse_budget", "not_exported", "not_declared", "no_supplier", "module_unparsed", "swept_package", "module_absent"]
-    rows = spark.createDataFrame([(k, g) for k in kinds for g in (True, False)], "failure string, has_gaps boolean")
+    rows = _part(spark, sf_dir).select("p_partkey", F.get(F.array(*(F.lit(k) for k in kinds)), (F.col("p_partkey") % 8).cast("int")).alias("failure"), (F.col("p_size") % 2 == 0).alias("has_gaps"))
     return rows.withColumn("search", cascade.search_outcome(F.col("failure"), F.col("has_gaps")))
 
 
@@ -382,13 +388,14 @@ def routed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("index_levels", f"""WITH RECURSIVE {_DEPS}, walk(pkg, level) AS (SELECT 0::BIGINT, 0 UNION SELECT d.pkg, w.level + 1 FROM walk w JOIN deps d ON d.dep_pkg = w.pkg), levels AS (SELECT pkg, max(level) AS level FROM walk GROUP BY pkg)
 SELECT level, count(*) AS built, max(pkg) AS last, CAST(0 AS BIGINT) AS missing FROM levels GROUP BY level""")
 def index_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deps, number = catalog.unit_deps(spark, sf_dir), iter(range(1_000))
+    deps, number = catalog.unit_deps(spark, sf_dir), itertools.count()
 
     def build(level: DataFrame, below: DataFrame | None) -> DataFrame:
         # Every dependency must have been built by then: ``missing`` counts those that were not.
         needs = level.join(deps, "pkg").select(F.col("dep_pkg").alias("done"))
         gaps = needs if below is None else needs.join(below.select("done"), "done", "left_anti")
-        return level.select(F.col("pkg").alias("done"), F.lit(next(number)).alias("level"), F.lit(gaps.count()).cast("long").alias("missing"))
+        missing = F.broadcast(gaps.agg(F.count("*").alias("missing")))  # one row
+        return level.select(F.col("pkg").alias("done"), F.lit(next(number)).alias("level")).crossJoin(missing)
 
     rows = index_build.build_levels(deps, _part(spark, sf_dir).select(F.col("p_partkey").alias("pkg")), build)
     return rows.groupBy("level").agg(F.count("*").alias("built"), F.max("done").alias("last"), F.max("missing").alias("missing"))

@@ -18,7 +18,7 @@ def _capital(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
 
 
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     internal = F.col("p_size") % 5 == 0
     words = F.split("p_name", " ")
@@ -26,7 +26,7 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")).alias("component"),
         F.concat(F.lit("Cat."), _capital(F.col("p_type")), F.when(internal, ".Internal").otherwise("")).alias("module"),
         F.concat(F.get(words, F.lit(0)), _capital(F.get(words, F.lit(1)))).alias("name"),
-        "p_type", "p_size", F.when(internal, "internal").otherwise("exposed").alias("visibility"),
+        "p_type", "p_size", F.when(internal, "internal").otherwise("exposed").alias("visibility"), *more,
     )
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from symbolarium.operators.store import ENTRY, IndexStore
+from symbolarium.operators.index_store import IndexStore
+from symbolarium.operators.store import ENTRY
 
 
 def stale(current: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from symbolarium import queries
 from symbolarium.engine import Catalogue, Engine, EngineError, Options
 from symbolarium.functions import hashing, ident, markup, text
-from symbolarium.operators import graph, lookup, resolve, search, store
+from symbolarium.operators import graph, index_store, lookup, resolve, search, store
 from symbolarium.plans import build_plan
 from symbolarium.streaming.refresh import refresh_stream, stale
 
@@ -103,7 +103,7 @@ def test_two_shadowings(spark):
 
 
 def test_index_store_replaces_entries(spark, tmp_path):
-    at = store.IndexStore(spark, f"file://{tmp_path}/index")
+    at = index_store.IndexStore(spark, f"file://{tmp_path}/index")
     kind = "name string, pkg string, version string, unit_id string"
     meta = lambda t, *e: spark.createDataFrame([(*x, t) for x in e], "pkg string, version string, unit_id string, indexed_at long")
     at.replace(spark.createDataFrame([("a", "p", "1", "u"), ("b", "q", "1", "v")], kind), meta(1, ("p", "1", "u"), ("q", "1", "v")))
@@ -116,7 +116,7 @@ def test_index_store_replaces_entries(spark, tmp_path):
 def test_refresh_stream_is_replayable(spark, tmp_path):
     rows = spark.createDataFrame([("a", "p", "1", "u"), ("b", "q", "1", "v")], "name string, pkg string, version string, unit_id string")
     rows.write.parquet(f"{tmp_path}/in/1")
-    at = store.IndexStore(spark, f"file://{tmp_path}/index")
+    at = index_store.IndexStore(spark, f"file://{tmp_path}/index")
     kind = "name string, pkg string, version string, unit_id string"
     for n in (1, 2):
         refresh_stream(spark, f"{tmp_path}/in/*", kind, at, f"{tmp_path}/progress{n}").awaitTermination()
@@ -184,7 +184,7 @@ def test_recursion_keeps_a_package_once_a_step(spark):
 
 def test_stream_shows_over_an_empty_batch_write(spark, tmp_path):
     kind = "name string, pkg string, version string, unit_id string"
-    at = store.IndexStore(spark, f"file://{tmp_path}/index")
+    at = index_store.IndexStore(spark, f"file://{tmp_path}/index")
     now = spark.range(1).select(F.lit("p").alias("pkg"), F.lit("1").alias("version"), F.lit("u").alias("unit_id"), F.unix_timestamp(F.current_timestamp()).alias("indexed_at"))
     at.replace(spark.createDataFrame([("z", "q", "1", "v")], kind), now.withColumn("pkg", F.lit("q")).withColumn("unit_id", F.lit("v")))
     at.replace(spark.createDataFrame([], kind), now)

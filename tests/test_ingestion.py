@@ -135,8 +135,6 @@ def test_candidates_and_sweeps(spark):
     assert D.swept(spark.createDataFrame([("p", "f", "src/A/B.hs")], "package string, name string, wanted string"), decls).first()["path"] == "x/A/B.hs"
     interfaces = spark.createDataFrame([("M", None, ["a", "b"]), ("N", [], ["c"])], "module string, exports array<string>, declared array<string>")
     assert sorted(tuple(r) for r in D.exported_names(interfaces).collect()) == [("M", "a"), ("M", "b")]
-    verdicts = spark.createDataFrame([("hop_limit", False), ("no_module", False), ("cycle", True), ("cycle", False)], "kind string, gaps boolean")
-    assert [r[0] for r in verdicts.select(D.chain_verdict(F.col("kind"), F.col("gaps"))).collect()] == ["stopped_at_bound", "module_absent", "blocked", "exhausted"]
     imports = spark.createDataFrame([(None, None), (["f"], False), (["g"], False), (["g"], True), (["f"], True)], "names array<string>, hiding boolean")
     assert [r[0] for r in imports.select(D.could_import(F.col("names"), F.col("hiding"), F.lit("f"))).collect()] == ["open", "explicit", None, "open", None]
     names = spark.createDataFrame([("M", x) for x in "abc"], "module string, name string")
