@@ -11,7 +11,6 @@ surroundings, so that copies of one passage prove nothing.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symbolarium.llm.sorted_keys import SortedKeys, sorted_keys
 from symbolarium.llm.textarrays import chunks, mix64, words
-from symbolarium.llm.workspace import fresh_path, joined_by_weight, mapped_files, stored, write_shared
+from symbolarium.llm.workspace import joined_by_weight, mapped_files, stored
 
 # Kinds in the order that ties go by, and the patterns. Each pattern finds the same
 # spans as without its lookbehind and possessive loops, in time linear in the text.
@@ -37,9 +37,6 @@ _DIGIT = re.compile("[0-9]")
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[48:58] = _BETWEEN[65:91] = _BETWEEN[97:123] = _BETWEEN[128:] = False
 
-#: Terms of one sorted file; a worker maps one file at a time.
-FILE_TERMS = 8 << 20
-
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -143,48 +140,7 @@ def _surroundings(docs: DataFrame, window: int) -> DataFrame:
     return found.select(F.xxhash64("entity").alias("entity"), "term", "context")
 
 
-@dataclass
-class SortedTerms:
-    """Terms and a small number for each, as sorted arrays in files of the shared folder."""
-
-    paths: list[str]
-    sizes: list[int]
-
-    def lookup(self, local: list[str], asked: np.ndarray) -> np.ndarray:
-        """The numbers of the distinct sorted terms ``asked``; 0 for those that are not there."""
-        out = np.zeros(len(asked), np.uint8)
-        for path, n in zip(local, self.sizes, strict=True):
-            keys = np.memmap(path, np.int64, "r", shape=(n,))
-            a, b = np.searchsorted(asked, [keys[0], keys[-1]])
-            part = asked[a : b + 1]
-            at = np.minimum(np.searchsorted(keys, part), n - 1)
-            hit = keys[at] == part
-            numbers = np.memmap(path, np.uint8, "r", offset=8 * n, shape=(n,))
-            out[a : b + 1][hit] = numbers[at[hit]]
-        return out
-
-
-def sorted_terms(table: DataFrame) -> SortedTerms:
-    """``table(term, number)``, a term once, written as ``SortedTerms``; the driver sees the files' names."""
-    folder = fresh_path(table.sparkSession, "terms")
-    table = stored(table.select("term", "number"), "term-table")
-    files = -(-table.count() // FILE_TERMS)
-
-    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [(b.column("term").to_numpy(), b.column("number").to_numpy()) for b in batches if b.num_rows]
-        if kept:
-            keys, numbers = (np.concatenate(c) for c in zip(*kept, strict=True))
-            path = f"{folder}/{uuid.uuid4().hex}"
-            write_shared(path, np.frombuffer(keys.astype(np.int64).tobytes() + numbers.astype(np.uint8).tobytes(), np.uint8))
-            yield pa.record_batch([pa.array([path]), pa.array([len(keys)], pa.int64())], ["path", "n"])
-
-    if not files:
-        return SortedTerms([], [])
-    rows = table.repartitionByRange(files, "term").sortWithinPartitions("term").mapInArrow(write, "path string, n long").collect()
-    return SortedTerms([r["path"] for r in rows], [r["n"] for r in rows])
-
-
-def _document_counts(docs: DataFrame, asked: SortedTerms) -> DataFrame:
+def _document_counts(docs: DataFrame, asked: SortedKeys) -> DataFrame:
     """``(term, n_term)``: documents that hold each of the terms ``asked``."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +174,7 @@ def disclosing_terms(docs: DataFrame, window: int = 10, support: int = 3, share:
     rows = near.groupBy("entity").agg(F.count("*").alias("n_pairs"))
     near = joined_by_weight(near, entities.join(rows, "entity"), ["entity"], "n_pairs").drop("n_pairs")
     asked = stored(near.groupBy("term").agg(F.count("*").alias("n_pairs")), "pii-asked")
-    counts = _document_counts(docs, sorted_terms(asked.select("term", F.lit(1).alias("number"))))
+    counts = _document_counts(docs, sorted_keys(asked.select(F.col("term").alias("key"), F.lit(1).alias("number"))))
     near = joined_by_weight(near, stored(counts.join(asked, "term"), "pii-terms"), ["term"], "n_pairs")
     total = F.lit(docs.count()).cast("double")
     pmi = F.log2(F.col("n_both") * total / (F.col("n_entity").cast("double") * F.col("n_term")))
@@ -253,15 +209,14 @@ def personal_data(docs: DataFrame, terms: DataFrame | None = None, rewrite: bool
     doc_ids and repeated rows stay as they are, very long texts are read whole; other columns are
     left out; an empty table stays empty.
     """
-    known = sorted_terms(disclosing_terms(docs) if terms is None else terms)
+    known = sorted_keys((disclosing_terms(docs) if terms is None else terms).withColumnRenamed("term", "key"))
     actions = ("", "generalise", "remove")
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with mapped_files(known.paths) as local:
             for batch in chunks(batches):
                 terms = _terms(batch.column("text"))
-                distinct, number = np.unique(terms.hashes, return_inverse=True)
-                action = known.lookup(local, distinct)[number]
+                action = known.lookup(local, terms.hashes)
                 all_spans, rewritten = [], []
                 for k, text in enumerate(batch.column("text").to_pylist()):
                     base = personal_spans(text) if text else []

@@ -103,16 +103,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_disclosure": op13_disclosure,
 }
 
-# Documents with the same lines count once. Near copies count once in the operator alone; they
-# change a verdict only where more than 20 of them hold a line.
+# Candidates by documents with different lines; then copies, whose other lines are made of pairs of
+# words from candidates, count once for each rarest candidate.
 _LINE_FREQUENCY_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), lines AS (
   SELECT doc_id, source, i, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM base WHERE text IS NOT NULL)
-), worded AS (
-  SELECT doc_id, source, i, line, len(lw) AS size, array_to_string(lw, ' ') AS norm FROM lines WHERE len(lw) > 0
+), worded AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, chr(1)) AS host, i, line, lw, len(lw) AS size, array_to_string(lw, ' ') AS norm FROM lines WHERE len(lw) > 0
 ), dup AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id
 ), windows AS (
@@ -121,16 +121,33 @@ WITH base AS (
   SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
 ), repeats AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
-), whole AS (
-  SELECT doc_id, list_sort(list(DISTINCT norm)) AS document FROM worded GROUP BY doc_id
-), held AS (
-  SELECT w.source, norm, count(DISTINCT document) AS held FROM worded w JOIN whole USING (doc_id) GROUP BY w.source, norm
-), hosts AS (
-  SELECT b.source, count(DISTINCT document) AS documents FROM base b JOIN whole USING (doc_id) GROUP BY b.source
-), frequent AS (
-  SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held > 1000 OR (held > 20 AND held * 100 > 2 * documents)
+), once AS MATERIALIZED (
+  SELECT doc_id, host, norm, any_value(lw) AS lw, min(i) AS place FROM worded GROUP BY doc_id, host, norm
+), whole AS MATERIALIZED (
+  SELECT doc_id, host, md5(array_to_string(list_sort(list(norm)), chr(10))) AS document FROM once GROUP BY doc_id, host
+), raw AS (
+  SELECT o.host, norm, count(DISTINCT document) AS held FROM once o JOIN whole USING (doc_id) GROUP BY o.host, norm
+), candidates AS MATERIALIZED (
+  SELECT raw.* FROM raw JOIN (SELECT host, count(DISTINCT document) AS documents FROM whole GROUP BY host) h USING (host) WHERE held > 1000 OR (held > 20 AND held * 100 > 2 * documents)
+), pairs AS MATERIALIZED (
+  SELECT doc_id, host, norm, unnest(CASE WHEN len(lw) = 1 THEN lw ELSE list_transform(range(1, len(lw)), lambda k: lw[k] || ' ' || lw[k + 1]) END) AS pair FROM once
+), known AS MATERIALIZED (
+  SELECT DISTINCT host, pair FROM pairs SEMI JOIN candidates USING (host, norm)
+), holds AS MATERIALIZED (
+  SELECT o.doc_id, host, norm, held, place FROM once o JOIN candidates USING (host, norm)
+), other AS (
+  SELECT p.doc_id, count(*) AS total, count(k.pair) AS met FROM pairs p LEFT JOIN known k USING (host, pair)
+  WHERE p.doc_id IN (SELECT doc_id FROM holds) AND (p.host, p.norm) NOT IN (SELECT (host, norm) FROM candidates) GROUP BY p.doc_id
+), rarest AS (
+  SELECT doc_id, arg_min(norm, (held, place)) AS norm FROM holds GROUP BY doc_id
+), names AS MATERIALIZED (
+  SELECT w.doc_id, w.host, CASE WHEN r.norm IS NULL OR 2 * met < total THEN document ELSE 'copies of ' || r.norm END AS name
+  FROM whole w LEFT JOIN other USING (doc_id) LEFT JOIN rarest r USING (doc_id)
+), frequent AS MATERIALIZED (
+  SELECT host, norm FROM (SELECT h.host, norm, count(DISTINCT name) AS held FROM holds h JOIN names USING (doc_id) GROUP BY h.host, norm)
+  JOIN (SELECT host, count(DISTINCT name) AS documents FROM names GROUP BY host) d USING (host) WHERE held > 1000 OR (held > 20 AND held * 100 > 2 * documents)
 ), taken AS (
-  SELECT w.doc_id, sum(size) AS taken FROM worded w JOIN frequent f ON w.norm = f.norm AND w.source IS NOT DISTINCT FROM f.source GROUP BY w.doc_id
+  SELECT doc_id, sum(size) AS taken FROM worded SEMI JOIN frequent USING (host, norm) GROUP BY doc_id
 ), stats AS (
   SELECT base.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
          length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,

@@ -266,6 +266,54 @@ def test_shared_longest_lines_count_every_document(spark):
     assert all(out[k]["n_removed_words"] == 0 and out[k]["kept"] for k in range(100, 200))
 
 
+def line_corpus():
+    """Hosts of texts that share a passage beside words of their own, at several shares; light copies,
+    copies of many texts with a footer, exact copies, passages alone."""
+    rng = random.Random(9)
+    passage = [" ".join(f"p{j}q{i}" for i in range(40)) for j in range(5)]
+    own = lambda k, n: " ".join(f"o{k}w{j}" for j in range(n))
+    rows = []
+    for host, (number, words_) in enumerate([(100, 60), (500, 60), (200, 25), (200, 15), (1000, 15), (60, 200), (60, 50), (60, 22), (60, 11)]):
+        rows += [(f"share{host}", "\n".join([*passage, own(f"{host}x{k}", words_)]) if k % 2 else "\n".join([own(f"{host}x{k}", words_), " ".join(passage)])) for k in range(2 * number)]
+    base = [f"v{j}" for j in range(240)]
+    for k in range(100):
+        w = list(base)
+        w[rng.randrange(240)] = f"e{k}"
+        rows.append(("light", "\n".join(" ".join(w[j : j + 30]) for j in range(0, 240, 30))))
+    rows += [("light", own(f"l{k}", 60)) for k in range(40)]
+    for a in range(30):
+        article = [" ".join(f"a{a}l{i}w{j}" for j in range(12)) for i in range(6)]
+        for k in range(25):
+            lines = list(article)
+            if k % 5 == 0:
+                lines[k // 5] = lines[k // 5].replace("w3", f"edit{k}")
+            rows.append(("articles", "\n".join([*lines, "kept by the house of shared words"])))
+    rows += [("exact", "\n".join(passage[:2] + ["the end of it"]))] * 80 + [("alone", " ".join(passage[0].split()[: 20 + k // 30])) for k in range(60)]
+    return rows + [(None, None), (None, ""), (None, "\n \n")] + [(None, passage[1] + "\n" + own(f"n{k}", 3) + f"\nword{k}") for k in range(30)]
+
+
+def test_line_frequency_counts_what_documents_have_of_their_own(spark, tmp_path):
+    rows = line_corpus()
+    docs = spark.createDataFrame([(k, t, h) for k, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = duck.execute(queries.ORACLE_SQL["op3_line_frequency"])
+    names, want = [d[0] for d in cur.description], cur.fetchall()
+    got = queries.op3_line_frequency(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    kept, removed = collections.defaultdict(set), collections.defaultdict(set)
+    for r in got:
+        kept[rows[r["doc_id"]][0]].add(r["kept"])
+        removed[rows[r["doc_id"]][0]].add(r["n_removed_words"])
+    # The shared passage goes from all, whatever little else there is; with half of the words or more left, a text stays.
+    assert {h: kept[h] for h in kept if h and h.startswith("share")} == {f"share{k}": {k in (5,)} for k in range(9)}
+    assert all(removed[f"share{k}"] == {200} for k in range(9))
+    assert kept["light"] == {True} and removed["light"] == {0}
+    assert kept["articles"] == {True} and removed["articles"] == {7}  # the footer of thirty texts, and none of their lines
+    assert removed["exact"] == {0} and removed["alone"] == {0} and removed[None] == {0, 40}
+
+
 def test_widely_repeated_lines_go_from_a_large_host(spark):
     words = F.concat_ws(" ", *(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"w{j}"))) for j in range(4)))
     line = F.when(F.col("id") < 1001, "a passage in few of many").when(F.col("id") < 2001, "a passage in fewer of many")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symbolarium.llm import delta_lloyd, disclosure, prefix_trie, queries, workspace
+from symbolarium.llm import delta_lloyd, disclosure, prefix_trie, queries, sorted_keys, workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -301,14 +301,14 @@ def test_personal_data_of_nothing_and_query_columns(spark):
         assert mine["spans"] == spans_by_loops(r["text"], want)
 
 
-def test_sorted_terms_over_several_files(spark, monkeypatch):
-    monkeypatch.setattr(disclosure, "FILE_TERMS", 7)
+def test_sorted_keys_over_several_files(spark, monkeypatch):
+    monkeypatch.setattr(sorted_keys, "FILE_KEYS", 7)
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 60))
-    stored_terms = disclosure.sorted_terms(spark.createDataFrame([(int(k), i % 2 + 1) for i, k in enumerate(keys)], "term long, number int"))
-    with workspace.mapped_files(stored_terms.paths) as local:
+    stored_keys = sorted_keys.sorted_keys(spark.createDataFrame([(int(k), i % 2 + 1) for i, k in enumerate(keys)], "key long, number int"))
+    with workspace.mapped_files(stored_keys.paths) as local:
         assert len(local) > 4
-        asked = np.unique(np.r_[keys[::3], rng.integers(-(2**63), 2**63 - 1, 40)])
+        asked = rng.permutation(np.r_[keys[::3], keys[::5], rng.integers(-(2**63), 2**63 - 1, 40)])
         want = [dict(zip(keys.tolist(), [i % 2 + 1 for i in range(len(keys))], strict=True)).get(a, 0) for a in asked.tolist()]
-        assert stored_terms.lookup(local, asked).tolist() == want
-        assert stored_terms.lookup(local, asked[:0]).tolist() == []
+        assert stored_keys.lookup(local, asked).tolist() == want
+        assert stored_keys.lookup(local, asked[:0]).tolist() == []
