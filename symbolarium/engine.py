@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from symbolarium.functions import ident, text
 from symbolarium.operators import cascade, graph, lookup, search
+from symbolarium.plans import build_plan
 from symbolarium.sources import packages
 
 
@@ -26,9 +27,9 @@ class EngineError(Exception):
 
 @dataclass(frozen=True)
 class Options:
-    """What holds for every verb: ``offline`` keeps to cached remote answers, ``full`` shows all
-    fields and not the compact ones, ``select`` names the fields to show, ``overrides`` are
-    ``PKG=VER`` texts, ``scope`` is a component, ``limit`` the longest result."""
+    """What holds for every verb: ``offline`` keeps to cached remote answers; ``full`` shows all
+    fields of a ``result`` and not the compact ones, and ``select`` names those to show;
+    ``overrides`` are ``PKG=VER`` texts, ``scope`` is a component, ``limit`` the longest result."""
 
     offline: bool = False
     full: bool = False
@@ -38,6 +39,14 @@ class Options:
     limit: int = search.LIMIT
 
 
+#: Of each verb's result the compact fields, and those that only the full one has.
+FIELDS = {
+    "lookup": (["query", "providers", "resolved_from"], ["tiers_consulted"]), "package": (["name", "version", "is_local", "exposed_modules", "origin"], []), "module": (["package", "module", "exports"], []),
+    "symbol": (["name", "kind", "package", "version", "module", "signature", "haddock_raw", "defined_in"], ["source"]), "versions": (["package", "pinned_version", "available_versions"], []),
+    "deps": (["package", "direction", "depth", "deps"], []),
+}
+
+
 @dataclass
 class Catalogue:
     """``symbols`` and ``stored`` (rows with pkg, mod, name, version, unit_id); the others as needed."""
@@ -52,7 +61,7 @@ class Catalogue:
     pins: DataFrame | None = None  # pkg, pin_unit, pin_version
     project: DataFrame | None = None  # rows like ``stored`` that shadow them
     installed: DataFrame | None = None  # name, version
-    remote_packages: DataFrame | None = None  # pkg, version, error
+    remote_packages: DataFrame | None = None  # pkg, version, error; cached: whether the answer is kept here
     local_hits: DataFrame | None = None  # query, pkg, mod, name
     remote_hits: DataFrame | None = None  # query, pkg, mod, name, resolved_from, error
     prebuilt: DataFrame | None = None  # component, module, html
@@ -107,9 +116,9 @@ class Engine:
         asks = self._spark.createDataFrame([(r,) for r in refs], "ref string")
         units = self._or_empty(self.at.units, "pkg string, version string, origin string, is_local boolean")
         units = units if "is_local" in units.columns else units.withColumn("is_local", F.col("origin") == "local")
-        remote = self._or_empty(self.at.remote_packages, "pkg string, version string, error string")
-        if self.options.offline:
-            remote = remote.limit(0)
+        remote = self._or_empty(self.at.remote_packages, "pkg string, version string, error string, cached boolean")
+        if self.options.offline:  # what is cached still answers; the rest is not found
+            remote = remote.where(F.col("cached") if "cached" in remote.columns else F.lit(False))
         return cascade.resolved_packages(asks, units.select("pkg", "version", "origin", "is_local"), self._or_empty(self.at.installed, "name string, version string"), remote)
 
     def package_info(self, *refs: str) -> DataFrame:
@@ -185,6 +194,58 @@ class Engine:
         rolled = cascade.all_pass(out.withColumnRenamed("relation", "name")).where("name = 'all_pass'")
         return out.unionByName(rolled.select(F.col("name").alias("relation"), F.lit(None).cast("long").alias("n"), "ok"))
 
+    def result(self, verb: str, *asked: str, **more) -> DataFrame:
+        """A verb's answer as users see it, a row a subject: ``(subject, result, unmatched,
+        envelope)``. ``result`` is JSON of the compact (or ``full``) fields, cut to ``select``;
+        ``unmatched`` names what ``select`` asks for in vain. Failed lookups and packages have none."""
+        rows, outside, actions = getattr(self, f"_{verb}_result")(*asked, **more)
+        compact, further = FIELDS[verb]
+        wanted = build_plan.parsed_fields(",".join(self.options.select))
+        shown = build_plan.selected_fields(rows, "subject", wanted, compact + further * self.options.full)
+        body = rows.select("subject", outside.alias("outside"), (F.create_map().cast("map<string,string>") if actions is None else actions).alias("actions"))
+        overrides = F.array(*(F.lit(o) for o in self.options.overrides)).cast("array<string>")
+        parts = build_plan.envelope(F.parse_json("result"), F.col("outside"), overrides, F.col("actions"))
+        return shown.join(body, "subject").select("subject", "result", "unmatched", parts.alias("envelope"))
+
+    def _lookup_result(self, *queries: str):
+        found = self.lookup(*queries)
+        provider = F.struct("pkg", "mod", "name", F.col("tier"), "version")
+        rows = found.where("error IS NULL").groupBy(F.col("query").alias("subject")).agg(
+            F.first("query").alias("query"), F.array_sort(F.collect_list(provider)).alias("providers"), F.split(F.first("tiers_consulted"), ",").alias("tiers_consulted"), F.max("resolved_from").alias("resolved_from")
+        )
+        hints = cascade.lookup_hints(found).select(F.col("query").alias("subject"), "actions")
+        return rows.join(hints, "subject"), F.lit(False), F.col("actions")
+
+    def _package_result(self, *refs: str):
+        rows = self.package_info(*refs).where("error IS NULL")
+        return rows.select(F.col("ref").alias("subject"), F.col("pkg").alias("name"), "version", "is_local", F.coalesce("modules", F.array().cast("array<string>")).alias("exposed_modules"), "origin", "outside_plan"), F.col("outside_plan"), None
+
+    def _module_result(self, component: str, module: str):
+        names = self.module(component, module).agg(F.array_sort(F.collect_set("name")).alias("exports"))
+        return names.select(F.lit(module).alias("subject"), F.lit(component).alias("package"), F.lit(module).alias("module"), "exports"), F.lit(False), None
+
+    def _symbol_result(self, path: str):
+        rows, nothing = self.symbol(path), F.lit(None).cast("string")
+        elsewhere = (F.col("def_component") != F.col("component")) | (F.col("def_module") != F.col("module"))
+        card = rows.select(
+            F.concat_ws("/", "component", "module", "name").alias("subject"), "name", F.col("kind") if "kind" in rows.columns else nothing.alias("kind"), F.col("component").alias("package"), "module", "signature",
+            (F.col("doc") if "doc" in rows.columns else nothing).alias("haddock_raw"), F.when(elsewhere, F.struct(F.col("def_component").alias("package"), F.col("def_module").alias("module"))).alias("defined_in"),
+        )
+        units = self._or_empty(self.at.units, "pkg string, version string").groupBy(F.col("pkg").alias("package")).agg(F.min("version").alias("version"))
+        return card.dropDuplicates(["subject"]).join(units, "package", "left"), F.lit(False), None
+
+    def _versions_result(self, pkg: str):
+        order = F.struct(ident.version_numbers(F.col("version")).alias("v"), "version", "pinned")
+        rows = self.versions(pkg).agg(F.transform(F.sort_array(F.collect_list(order), asc=False), lambda x: x["version"]).alias("available_versions"), F.max(F.when(F.col("pinned"), F.col("version"))).alias("pinned_version"))
+        return rows.select(F.lit(pkg).alias("subject"), F.lit(pkg).alias("package"), "pinned_version", "available_versions"), F.lit(False), None
+
+    def _deps_result(self, pkg: str, reverse: bool = False, limit: int | None = None):
+        rows, column = self.deps(pkg, reverse, limit), "pkg" if reverse else "dep_pkg"
+        order = F.struct(F.lit(0).alias("pos") if reverse else F.col("pos"), F.col(column).alias("dep"))
+        listed = rows.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["dep"]).alias("deps"))
+        what = [F.lit(pkg).alias("subject"), F.lit(pkg).alias("package"), F.lit("reverse" if reverse else "forward").alias("direction"), F.lit(limit).cast("int").alias("depth"), "deps"]
+        return listed.select(*what), F.lit(False), None
+
     @property
     def _spark(self):
         return self.at.symbols.sparkSession

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolarium.functions.ident import package_ref, qualified_name, shared_leading
@@ -105,6 +105,16 @@ def lookup_actions(query: Column, error: Column, tiers: Column) -> Column:
     )
 
 
+def lookup_hints(found: DataFrame, most: int = 5) -> DataFrame:
+    """What to try after a successful lookup, ``(query, actions)``: of a query's first ``most``
+    providers, by package, module and name, each symbol's path to the command that shows it."""
+    order = Window.partitionBy("query").orderBy("pkg", "mod", "name", F.desc("version"))
+    first = found.where("error IS NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    path = F.concat_ws("/", "pkg", "mod", "name")
+    each = first.groupBy("query").agg(F.array_sort(F.collect_set(F.struct(path.alias("key"), F.concat(F.lit("symbol "), path).alias("value")))).alias("x"))
+    return each.select("query", F.map_from_entries("x").alias("actions"))
+
+
 def search_outcome(failure: Column, has_gaps: Column) -> Column:
     """Whether a failed symbol search settled the question: what stopped at a bound did not, nor
     did one that hit unreadable dependencies (``blocked``)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolarium.plans.lineage import cut
+from symbolarium.plans.lineage import Gathered, cut
 
 
 def forward(deps: DataFrame, pkg, limit: int | None = None) -> DataFrame:
@@ -26,16 +26,16 @@ def closure(deps: DataFrame, roots: DataFrame, most: int | None = None) -> DataF
     nothing; ``missing_roots`` tells those that the plan does not have.
     """
     edges = deps.select(F.col("pkg").alias("from"), F.col("dep_pkg").alias("pkg")).distinct()
-    visited = cut(roots.select("pkg", F.lit(0).alias("level")).distinct())
-    frontier, level = visited, 0
+    frontier, level = cut(roots.select("pkg", F.lit(0).alias("level")).distinct()), 0
+    visited = Gathered(frontier)
     while most is None or level < most:
         level += 1
         step = frontier.select(F.col("pkg").alias("from")).join(edges, "from").select("pkg").distinct()
-        frontier = cut(step.join(visited, "pkg", "left_anti").withColumn("level", F.lit(level)))
+        frontier = cut(step.join(visited.rows, "pkg", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier)
-    return visited.where("level > 0")
+        visited.add(frontier)
+    return visited.rows.where("level > 0")
 
 
 def missing_roots(units: DataFrame, roots: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symbolarium.functions.ident import shared_leading, shared_trailing
 from symbolarium.operators.cascade import outside_candidates, search_outcome
-from symbolarium.plans.lineage import cut
+from symbolarium.plans.lineage import Gathered, cut
 
 _ASK = ["component", "module", "name"]
 
@@ -21,16 +21,16 @@ def dependency_order(deps: DataFrame, roots: DataFrame) -> DataFrame:
     is left out; cycles end, as a package once placed does not come again."""
     edges = cut(deps.groupBy(F.col("pkg").alias("via"), F.col("dep_pkg").alias("pkg")).agg(F.min("pos").alias("pos")))
     ring = cut(roots.select(F.col("pkg").alias("root"), "pkg", F.lit(0).alias("place")).distinct())
-    seen = ring
+    seen = Gathered(ring)
     while True:
         step = ring.select("root", F.col("pkg").alias("via"), F.col("place").alias("parent")).join(edges, "via")
-        fresh = step.join(seen.select("root", "pkg"), ["root", "pkg"], "left_anti").groupBy("root", "pkg").agg(F.min(F.struct("parent", "pos")).alias("by"))
-        last = seen.groupBy("root").agg(F.max("place").alias("last"))
+        fresh = step.join(seen.rows.select("root", "pkg"), ["root", "pkg"], "left_anti").groupBy("root", "pkg").agg(F.min(F.struct("parent", "pos")).alias("by"))
+        last = seen.rows.groupBy("root").agg(F.max("place").alias("last"))
         order = F.row_number().over(Window.partitionBy("root").orderBy("by", "pkg"))
         ring = cut(fresh.withColumn("n", order).join(last, "root").select("root", "pkg", (F.col("last") + F.col("n")).alias("place")))
         if ring.isEmpty():
-            return seen.where("place > 0")
-        seen = seen.unionByName(ring)
+            return seen.rows.where("place > 0")
+        seen.add(ring)
 
 
 def probed_modules(

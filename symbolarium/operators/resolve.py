@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolarium.plans.lineage import cut
+from symbolarium.plans.lineage import Gathered, cut
 
 _KEY = ["module", "name"]
 
@@ -41,32 +41,44 @@ def resolve_exports(exported: DataFrame, decls: DataFrame, imports: DataFrame) -
     if "rank" not in imports.columns:
         imports = imports.withColumn("rank", F.lit(0))
     options = cut(imports.select("module", "name", "target", F.struct(F.when(F.col("explicit"), 0).otherwise(1).alias("open"), "rank", "target").alias("order")))
-    known = cut(decls.select(*_KEY).distinct().withColumn("definer", F.col("module")).withColumn("round", F.lit(0)))
     wanted = cut(exported.select(*_KEY).distinct())
-    left, n = cut(wanted.join(known, _KEY, "left_anti")), 0
+    own = decls.select(*_KEY).distinct().withColumn("definer", F.col("module")).withColumn("round", F.lit(0))
+    known, left, n = Gathered(cut(own)), cut(wanted.join(own, _KEY, "left_anti")), 0
     while True:
         n += 1
-        supply = known.select(F.col("module").alias("target"), "name", "definer")
-        found = (
-            left.join(options, _KEY).join(supply, ["target", "name"])
-            .groupBy(*_KEY).agg(F.min_by("definer", "order").alias("definer")).withColumn("round", F.lit(n))
-        )
-        found = cut(found)
+        supply = known.rows.select(F.col("module").alias("target"), "name", "definer")
+        found = left.join(options, _KEY).join(supply, ["target", "name"]).groupBy(*_KEY).agg(F.min_by("definer", "order").alias("definer"))
+        told = cut(left.join(found, _KEY, "left"))  # one table a round: what was found and what is left
+        found = told.where("definer IS NOT NULL").withColumn("round", F.lit(n))
         if found.isEmpty():
             break
-        known = known.unionByName(found)
-        left = cut(left.join(found, _KEY, "left_anti"))
-    return wanted.join(known, _KEY).unionByName(left.select(*_KEY, F.lit(None).cast(dict(decls.dtypes)["module"]).alias("definer"), F.lit(None).cast("int").alias("round")))
+        known.add(found)
+        left = told.where("definer IS NULL").select(*_KEY)
+    nobody = left.select(*_KEY, F.lit(None).cast(dict(decls.dtypes)["module"]).alias("definer"), F.lit(None).cast("int").alias("round"))
+    return wanted.join(known.rows, _KEY).unionByName(nobody)
+
+
+def extended_exports(env: DataFrame | None, rows: DataFrame, generation: int) -> DataFrame:
+    """The export environment ``(module, name, presenter, def_component, def_module, signature,
+    generation)`` with the rows ``(component, module, name, signature, def_component, def_module)`` of
+    one more pass. A module and name keep all their presenters; of those that a probe cannot tell
+    apart by the definition's component, the pass with the highest ``generation`` comes first."""
+    added = rows.select("module", "name", F.col("component").alias("presenter"), "def_component", "def_module", "signature", F.lit(generation).alias("generation"))
+    return added if env is None else env.unionByName(added)
 
 
 def probe_exports(asks: DataFrame, exports: DataFrame, deps: DataFrame) -> DataFrame:
     """``asks(asker, module, name)`` against ``exports(module, name, presenter, def_component,
     ...)`` that the asker depends on (or presents itself): the definition of the first
-    component, and the rejected rest."""
+    component, and the rejected rest. Within a component the latest ``generation`` comes first, if
+    the exports have one (``extended_exports``), then the first module."""
     visible = deps.select(F.col("pkg").alias("asker"), F.col("dep_pkg").alias("presenter")).unionByName(asks.select("asker", F.col("asker").alias("presenter"))).distinct()
     hits = asks.join(exports, _KEY).join(visible, ["asker", "presenter"], "left_semi")
-    choice = F.struct("def_component", "def_module", "presenter")
+    age = -F.col("generation") if "generation" in exports.columns else F.lit(0)
+    choice = F.struct("def_component", age.alias("age"), "def_module", "presenter")
     grouped = hits.groupBy("asker", *_KEY).agg(F.array_sort(F.collect_set(choice)).alias("all"))
+    plain = F.transform("all", lambda c: F.struct(*(c[f].alias(f) for f in ("def_component", "def_module", "presenter"))))
+    grouped = grouped.select("asker", *_KEY, plain.alias("all"))
     return grouped.select("asker", *_KEY, F.col("all")[0].alias("chosen"), F.slice("all", F.lit(2), F.size("all")).alias("rejected"))
 
 

@@ -13,23 +13,32 @@ PLAN_SCHEMA = (
     f"`dist-dir`:string,`pkg-src`:{_SOURCE},depends:array<string>,`component-name`:string,components:map<string,struct<depends:array<string>>>>>"
 )
 
+#: What pins need: neither sources nor folders nor dependencies are decoded.
+PINS_SCHEMA = "`install-plan` array<struct<id:string,`pkg-name`:string,`pkg-version`:string,`component-name`:string,components:map<string,string>>>"
+
+
+def _has_library(u: Column) -> Column:
+    return F.array_contains(F.coalesce(F.map_keys(u["components"]), F.array(F.coalesce(u["component-name"], F.lit("lib")))), "lib")
+
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:
     """Units of a plan file: ``(pkg, version, unit_id, pos, is_local, has_lib, origin, dist_dir, depends)``."""
     u = F.col("u")
     plan = spark.read.schema(PLAN_SCHEMA).json(path, multiLine=True)
     rows = plan.select(F.posexplode(F.col("`install-plan`")).alias("pos", "u"))
-    parts = F.coalesce(F.map_keys(u["components"]), F.array(F.coalesce(u["component-name"], F.lit("lib"))))
     depends = F.flatten(F.array(F.coalesce(u["depends"], F.array().cast("array<string>")), F.flatten(F.coalesce(F.transform(F.map_values(u["components"]), lambda c: c["depends"]), F.array().cast("array<array<string>>")))))
     return rows.select(
         u["pkg-name"].alias("pkg"), u["pkg-version"].alias("version"), u["id"].alias("unit_id"), "pos", F.coalesce(u["style"] == "local", F.lit(False)).alias("is_local"),
-        F.array_contains(parts, "lib").alias("has_lib"), origin(u).alias("origin"), u["dist-dir"].alias("dist_dir"), F.array_distinct(depends).alias("depends"),
+        _has_library(u).alias("has_lib"), origin(u).alias("origin"), u["dist-dir"].alias("dist_dir"), F.array_distinct(depends).alias("depends"),
     )
 
 
 def read_pins(spark: SparkSession, path: str) -> DataFrame:
-    """Package to version and unit, library unit last; only these three fields are read."""
-    return library_last(read_units(spark, path)).select("pkg", "version", "unit_id")
+    """Package to version and unit, library unit last; only what these need is read and shuffled."""
+    u = F.col("u")
+    rows = spark.read.schema(PINS_SCHEMA).json(path, multiLine=True).select(F.posexplode(F.col("`install-plan`")).alias("pos", "u"))
+    units = rows.select(u["pkg-name"].alias("pkg"), u["pkg-version"].alias("version"), u["id"].alias("unit_id"), "pos", _has_library(u).alias("has_lib"))
+    return library_last(units, "version", "unit_id")
 
 
 def origin(u: Column) -> Column:
@@ -38,16 +47,18 @@ def origin(u: Column) -> Column:
     return F.when(kind.isNull(), "distribution").when(kind == "repo-tar", "hackage").when(kind == "local", "local").when(kind == "local-tar", "local-tarball").when(kind == "remote-tar", "remote-tarball").when(kind == "source-repo", "source-repository-package").otherwise("distribution")
 
 
-def library_last(units: DataFrame) -> DataFrame:
-    """One unit a package: with a library if any has, the last in the plan."""
-    best = units.groupBy("pkg").agg(F.max_by(F.struct(*(c for c in units.columns if c != "pkg")), F.struct("has_lib", "pos")).alias("x"))
+def library_last(units: DataFrame, *columns: str) -> DataFrame:
+    """One unit a package: with a library if any has, the last in the plan. ``columns`` are those to
+    keep, all by default; no other is read or shuffled."""
+    columns = columns or tuple(c for c in units.columns if c != "pkg")
+    best = units.groupBy("pkg").agg(F.max_by(F.struct(*columns), F.struct("has_lib", "pos")).alias("x"))
     return best.select("pkg", "x.*")
 
 
 def dependency_edges(units: DataFrame) -> DataFrame:
     """``(pkg, pos, dep_pkg, dep_version)``; ids that are no unit of the plan are dropped."""
     ids = units.select(F.col("unit_id").alias("dep"), F.col("pkg").alias("dep_pkg"), F.col("version").alias("dep_version"))
-    return library_last(units).select("pkg", F.posexplode("depends").alias("pos", "dep")).join(ids, "dep").select("pkg", "pos", "dep_pkg", "dep_version")
+    return library_last(units, "depends").select("pkg", F.posexplode("depends").alias("pos", "dep")).join(ids, "dep").select("pkg", "pos", "dep_pkg", "dep_version")
 
 
 def live_branches(stanzas: DataFrame) -> DataFrame:

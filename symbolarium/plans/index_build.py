@@ -17,7 +17,9 @@ def component_index(exported: DataFrame, decls: DataFrame, imports: DataFrame, e
 
     ``exported(component, module, name, visibility)`` resolve within their component first;
     what no module of it supplies is probed in ``exports`` of the packages it depends on,
-    candidates in the order of its imports; if ``exports`` has signatures, rows take theirs. Modules of different components never mix.
+    candidates in the order of its imports; if ``exports`` has signatures, rows take theirs, and if
+    it has generations (``resolve.extended_exports``), the latest decides between modules of one
+    component. Modules of different components never mix.
     """
     key = lambda c, m: F.concat(F.col(c), F.lit("\0"), F.col(m))
     sites = resolve.resolve_exports(

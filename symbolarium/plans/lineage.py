@@ -27,3 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Gathered:
+    """Rows that rounds add to, as one DataFrame; every so many rounds the parts become one table, so
+    that neither the plan nor the number of tables that it reads grows with the rounds."""
+
+    def __init__(self, first: DataFrame, parts: int = 8) -> None:
+        self.rows, self._parts, self._most = first, 1, parts
+
+    def add(self, more: DataFrame) -> None:
+        self.rows, self._parts = self.rows.unionByName(more), self._parts + 1
+        if self._parts == self._most:
+            self.rows, self._parts = cut(self.rows), 1

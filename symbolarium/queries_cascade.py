@@ -90,6 +90,14 @@ def lookup_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query", "error", cascade.exit_code(F.col("error")).alias("exit_code"), F.to_json(actions).alias("actions"))
 
 
+@query("lookup_successes", f"""WITH found AS ({_ONLINE}), ranked AS (SELECT query, pkg || '/' || mod || '/' || name AS path, row_number() OVER (PARTITION BY query ORDER BY pkg, mod, name, version DESC) AS place FROM found WHERE error IS NULL)
+SELECT query, string_agg(DISTINCT path || '=symbol ' || path, ';' ORDER BY path || '=symbol ' || path) AS actions FROM ranked WHERE place <= 5 GROUP BY query""")
+def lookup_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hints = cascade.lookup_hints(_lookups(spark, sf_dir, False))
+    shown = F.transform(F.map_entries("actions"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return hints.select("query", F.array_join(F.array_sort(shown), ";").alias("actions"))
+
+
 @query("error_codes", """SELECT p_partkey, code, CASE code WHEN 'USER_ERROR' THEN 2 WHEN 'NOT_FOUND' THEN 3 WHEN 'NETWORK_ERROR' THEN 4 WHEN 'HOOGLE_OFFLINE' THEN 4 WHEN 'CORRUPTION' THEN 5 WHEN 'HOOGLE_REMOTE_ERROR' THEN 5 WHEN 'ENV_ERROR' THEN 7
   WHEN 'TOOL_MISSING' THEN 8 WHEN 'INTERNAL_ERROR' THEN 9 WHEN 'ANYTHING' THEN 9 ELSE 0 END AS exit_code
 FROM (SELECT p_partkey, ['USER_ERROR', 'NOT_FOUND', 'NETWORK_ERROR', 'HOOGLE_OFFLINE', 'CORRUPTION', 'HOOGLE_REMOTE_ERROR', 'ENV_ERROR', 'TOOL_MISSING', 'INTERNAL_ERROR', 'ANYTHING'][p_size % 11 + 1] AS code FROM part)""")
@@ -265,16 +273,55 @@ def error_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- sources and dumps -------------------------------------------------------------------------
 
 
-@query("module_files", f"""WITH {_NAMED}, f AS (SELECT DISTINCT component, CASE length(name) % 5 WHEN 0 THEN '' WHEN 1 THEN 'lib/' WHEN 2 THEN 'src/' WHEN 3 THEN 'x/y/' ELSE 'deep/' END || replace(module, '.', '/') || '.hs' AS relative, module,
-  CASE length(name) % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 100 END AS place FROM named)
-SELECT component AS package, module, arg_min(relative, (place, len(string_split(relative, '/')), relative)) AS relative FROM f GROUP BY ALL""")
+_FOLDERS = ["", "lib/", "src/", "x/y/", "deep/", "test/", "a/b/c/d/", "a/b/c/d/e/", ".hid/", "x/build/", "a/c/", "a/b/c/", "src/more/"]
+
+
+@query("module_files", f"""WITH {_NAMED}, f AS (SELECT DISTINCT component, module, {_FOLDERS}[(length(name) * 5 + p_size) % {len(_FOLDERS)} + 1] AS folder FROM named),
+placed AS (SELECT *, string_split(rtrim(folder, '/'), '/') AS above, CASE folder WHEN '' THEN 0 WHEN 'src/' THEN 1 WHEN 'lib/' THEN 3 ELSE 7 END AS place FROM f WHERE folder NOT IN ('test/', 'a/b/c/d/e/', '.hid/', 'x/build/'))
+SELECT component AS package, module, arg_min(folder, row(place, list_transform(above, lambda d, i: CASE WHEN i < len(above) THEN '1' ELSE '0' END || d))) || replace(module, '.', '/') || '.hs' AS relative FROM placed GROUP BY component, module""")
 def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, k = catalog._named(spark, sf_dir), F.length("name") % 5
-    folder = F.when(k == 0, "").when(k == 1, "lib/").when(k == 2, "src/").when(k == 3, "x/y/").otherwise("deep/")
+    rows, folders = catalog._named(spark, sf_dir), F.array(*(F.lit(f) for f in _FOLDERS))
+    folder = F.get(folders, ((F.length("name") * 5 + F.col("p_size")) % len(_FOLDERS)).cast("int"))
     files = rows.select(F.col("component").alias("package"), F.concat(folder, F.replace("module", F.lit("."), F.lit("/")), F.lit(".hs")).alias("relative")).distinct()
     return packages.module_file(files, rows.select(F.col("component").alias("package"), "module").distinct())
 
 
+@query("document_places", """SELECT p_partkey AS pkg, CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'cache/' || p_partkey END WHEN p_partkey % 3 = 0 AND p_size % 3 > 0 THEN 'dist/' || p_partkey WHEN p_partkey % 5 = 0 THEN 'env/' || p_partkey END AS path,
+  CASE WHEN p_partkey % 4 = 0 THEN 'cache' WHEN p_partkey % 3 = 0 AND p_size % 3 > 0 THEN 'build' WHEN p_partkey % 5 = 0 THEN 'environment' END AS found_in,
+  CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'found' ELSE 'empty' END WHEN (p_partkey % 3 = 0 AND p_size % 3 > 0) OR p_partkey % 5 = 0 THEN 'found' ELSE 'absent' END AS state FROM part""")
+def document_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _part(spark, sf_dir).select(F.col("p_partkey").alias("pkg"), "p_size")
+    at = lambda name, where, has: part.where(where).select("pkg", F.when(F.expr(has), F.concat(F.lit(f"{name}/"), F.col("pkg").cast("string"))).alias("index"))
+    return packages.document_places(part, at("cache", "pkg % 4 = 0", "p_size % 2 = 0"), at("dist", "pkg % 3 = 0", "p_size % 3 > 0"), at("env", "pkg % 5 = 0", "true"))
+
+
+@query("collection_places", """SELECT p_partkey AS pkg, CASE WHEN p_partkey % 4 = 0 THEN 's' || p_partkey WHEN p_partkey % 5 = 0 THEN 'd' || p_partkey WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN 'g' || p_partkey END AS path,
+  CASE WHEN p_partkey % 4 = 0 THEN 'store' WHEN p_partkey % 5 = 0 THEN 'distribution' WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN 'generated' END AS found_in,
+  CASE WHEN p_partkey % 4 = 0 OR p_partkey % 5 = 0 THEN NULL WHEN p_size % 2 = 1 THEN 'no_store_entry' WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN 'tool failed' ELSE 'not_generated' END AS error FROM part""")
+def collection_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _part(spark, sf_dir).select(F.col("p_partkey").alias("pkg"), (F.col("p_size") % 2 == 0).alias("is_local"))
+    at = lambda letter, where: part.where(where).select("pkg", F.concat(F.lit(letter), F.col("pkg").cast("string")).alias("path"))
+    failed = part.where("pkg % 3 = 1").select("pkg", F.lit(None).cast("string").alias("path"), F.lit("tool failed").alias("error"))
+    return packages.collection_places(part, at("s", "pkg % 4 = 0"), at("d", "pkg % 5 = 0"), at("g", "pkg % 3 = 0").withColumn("error", F.lit(None).cast("string")).unionByName(failed))
+
+
+@query("export_generations", f"""WITH {_NAMED}, {_symbols()}, made AS (SELECT DISTINCT n.component, n.module, n.name, left(s.def_component, 7) AS def_component, s.def_module, n.p_size % 3 AS generation FROM named n JOIN symbols s USING (component, module, name)),
+asks AS (SELECT DISTINCT component AS asker, module, name FROM named), hits AS (SELECT a.asker, a.module, a.name, m.* EXCLUDE (module, name) FROM asks a JOIN made m USING (module, name) WHERE right(a.asker, 1) = right(m.component, 1))
+SELECT asker, module, name, h.def_component, h.def_module, h.component AS presenter FROM hits h QUALIFY row_number() OVER (PARTITION BY asker, module, name ORDER BY h.def_component, generation DESC, h.def_module, h.component) = 1""")
+def export_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three passes over the modules; names of components cut short, so that many share one and
+    only the order of the passes tells their definitions apart."""
+    rows = catalog._named(spark, sf_dir)
+    made = rows.join(catalog.symbols(spark, sf_dir).drop("visibility"), ["component", "module", "name"]).withColumn("def_component", F.left("def_component", F.lit(7)))
+    env = None
+    for n in range(3):
+        env = resolve.extended_exports(env, made.where(F.col("p_size") % 3 == n).distinct(), n)
+    one = rows.select("component", F.right("component", F.lit(1)).alias("tail")).distinct()
+    deps = one.select(F.col("component").alias("pkg"), "tail").join(one.select(F.col("component").alias("dep_pkg"), "tail"), "tail").select("pkg", "dep_pkg")
+    found = resolve.probe_exports(rows.select(F.col("component").alias("asker"), "module", "name").distinct(), env, deps)
+    return found.select("asker", "module", "name", "chosen.def_component", "chosen.def_module", "chosen.presenter")
+
+
 @query("source_roots", """WITH f AS (SELECT DISTINCT p_brand AS package, CASE p_size % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'app/' ELSE 'other/' END || p_type || '.hs' AS relative FROM part WHERE p_brand < 'Brand#3' OR p_size % 4 > 1)
 SELECT package, relative FROM f WHERE regexp_matches(relative, '^(src|lib|library|source|app|Source)/') OR package NOT IN (SELECT package FROM f WHERE regexp_matches(relative, '^(src|lib|library|source|app|Source)/'))""")
 def source_roots(spark: SparkSession, sf_dir: str) -> DataFrame:

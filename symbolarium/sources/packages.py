@@ -144,16 +144,56 @@ def source_roots(files: DataFrame) -> DataFrame:
     return files.withColumn("conventional", conventional).join(has, "package").where("conventional OR NOT has").drop("conventional", "has")
 
 
-def module_file(files: DataFrame, asks: DataFrame) -> DataFrame:
-    """``asks(package, module)`` to one file: at the root, else in a conventional directory in
-    order, else anywhere, nearest first. ``files(package, relative)``."""
+#: Where a module's file is looked for first, in order, and folders, beside hidden
+#: ones, that the search after that does not enter.
+MODULE_DIRS = ["src", "library", "lib", "Library", "source", "Source"]
+CLOSED_DIRS = ["dist", "dist-newstyle", "build", "test", "tests", "bench", "benchmarks"]
+
+
+def module_file(files: DataFrame, asks: DataFrame, depth: int = 4) -> DataFrame:
+    """``asks(package, module)`` to one file of ``files(package, relative)``: at the root, else in a
+    conventional directory in order, else in some folder at most ``depth`` deep: of a folder's own
+    subfolders before any deeper one, and of those all below the first by name before the next.
+    Hidden folders and ``CLOSED_DIRS`` are not entered by that last search."""
     wanted = asks.withColumn("tail", F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit(".hs")))
     hits = files.join(wanted, "package").where((F.col("relative") == F.col("tail")) | F.col("relative").endswith(F.concat(F.lit("/"), F.col("tail"))))
-    top = F.substring_index("relative", "/", 1)
-    conventional = F.array_position(F.lit(SOURCE_DIRS), top)
-    direct = F.col("relative") == F.concat(top, F.lit("/"), "tail")
-    order = F.struct(F.when(F.col("relative") == F.col("tail"), 0).when(direct & (conventional > 0), conventional.cast("int")).otherwise(100).alias("place"), F.size(F.split("relative", "/")).alias("depth"), F.col("relative").alias("relative"))
-    return hits.groupBy("package", "module").agg(F.min(order)["relative"].alias("relative"))
+    above = F.expr("substring(relative, 1, length(relative) - length(tail) - 1)")
+    hits = hits.withColumn("above", F.when(F.col("relative") == F.col("tail"), F.array().cast("array<string>")).otherwise(F.split(above, "/")))
+    levels, first = F.size("above"), F.array_position(F.lit(MODULE_DIRS), F.get("above", F.lit(0)))
+    closed = F.exists("above", lambda d: d.startswith(".") | d.isin(*CLOSED_DIRS))
+    place = F.when(levels == 0, 0).when((levels == 1) & (first > 0), first.cast("int")).when((levels <= depth) & ~closed, len(MODULE_DIRS) + 1)
+    steps = F.transform("above", lambda d, i: F.struct((i + 1 < levels).alias("deeper"), d.alias("folder")))
+    order = F.struct(place.alias("place"), steps.alias("steps"), F.col("relative").alias("relative"))
+    return hits.where(place.isNotNull()).groupBy("package", "module").agg(F.min(order)["relative"].alias("relative"))
+
+
+def document_places(asks: DataFrame, cache: DataFrame, built: DataFrame, environment: DataFrame) -> DataFrame:
+    """Where the rendered documents of ``asks(pkg)`` are: ``(pkg, path, found_in, state)``.
+
+    A folder in ``cache(pkg, index)`` settles it: with an index it is found, without one (null) it is
+    ``empty`` and no other place is asked. Else the build folder's index ``built(pkg, index)``, if
+    there is one, else the environment's ``environment(pkg, index)``; else ``absent``."""
+    one = lambda rows, c: rows.groupBy("pkg").agg(F.min("index").alias(c), F.lit(True).alias(f"{c}_there"))
+    rows = asks.select("pkg").distinct().join(one(cache, "c"), "pkg", "left").join(one(built, "b"), "pkg", "left").join(one(environment, "e"), "pkg", "left")
+    path = F.when(F.col("c_there"), F.col("c")).otherwise(F.coalesce("b", "e"))
+    found_in = F.when(F.col("c_there"), "cache").when(F.col("b").isNotNull(), "build").when(F.col("e").isNotNull(), "environment")
+    state = F.when(path.isNotNull(), "found").when(F.col("c_there"), "empty").otherwise("absent")
+    return rows.select("pkg", path.alias("path"), F.when(path.isNotNull() | F.col("c_there"), found_in).alias("found_in"), state.alias("state"))
+
+
+def collection_places(units: DataFrame, store: DataFrame, distribution: DataFrame, generated: DataFrame) -> DataFrame:
+    """The text collection of ``units(pkg, is_local)``: ``store(pkg, path)``, else ``distribution(pkg,
+    path)``, else for local units what ``generated(pkg, path, error)`` came to.
+    ``(pkg, path, found_in, error)``; a unit that is not local and in neither place has the error
+    ``no_store_entry``, a local one that nobody generated ``not_generated``."""
+    one = lambda rows, c: rows.where("path IS NOT NULL").groupBy("pkg").agg(F.min("path").alias(c))
+    made = generated.groupBy("pkg").agg(F.min(F.struct("error", "path")).alias("g"))
+    rows = units.groupBy("pkg").agg(F.bool_or("is_local").alias("is_local")).join(one(store, "s"), "pkg", "left").join(one(distribution, "d"), "pkg", "left").join(made, "pkg", "left")
+    own = F.when(F.col("is_local"), F.col("g.path"))
+    path = F.coalesce("s", "d", own)
+    found_in = F.when(F.col("s").isNotNull(), "store").when(F.col("d").isNotNull(), "distribution").when(own.isNotNull(), "generated")
+    error = F.when(path.isNotNull(), None).when(~F.col("is_local"), "no_store_entry").otherwise(F.coalesce("g.error", F.lit("not_generated")))
+    return rows.select("pkg", path.alias("path"), found_in.alias("found_in"), error.alias("error"))
 
 
 def installed_packages(entries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from symbolarium import queries
 from symbolarium.engine import Catalogue, Engine, EngineError, Options
 from symbolarium.functions import hashing, ident, markup, text
 from symbolarium.operators import graph, index_store, lookup, resolve, search, store
-from symbolarium.plans import build_plan
+from symbolarium.plans import build_plan, index_build
 from symbolarium.streaming.refresh import refresh_stream, stale
 
 SF = "/root/testdata/sf0.001"
@@ -125,6 +125,71 @@ def test_refresh_stream_is_replayable(spark, tmp_path):
     assert sorted(r["pkg"] for r in stale(prints(("p", "1"), ("q", "2"), ("r", None)), prints(("p", "1"), ("q", "1"), ("r", None)), ["pkg"]).collect()) == ["q", "r"]
 
 
+def engine_of(spark, **more):
+    rows = symbols(spark, ("p", "M", "f", "f :: Int", "p", "M.Internal", "exposed"), ("p", "M", "g", "g :: Int", "p", "M", "exposed"))
+    stored = spark.createDataFrame([("p", "M", "f", f"1.{k}", "u1") for k in range(3)] + [(f"q{k}", "N", "f", "1", "u") for k in range(6)], "pkg string, mod string, name string, version string, unit_id string")
+    units = spark.createDataFrame([("p", "1.9", "u1", "local")], "pkg string, version string, unit_id string, origin string")
+    decls = spark.createDataFrame([("p", "M.Internal", "f", "value", "f :: Int", "doc")], "component string, module string, name string, kind string, signature string, doc string")
+    deps = spark.createDataFrame([("p", 0, "z"), ("p", 1, "a"), ("b", 0, "p"), ("a", 0, "p")], "pkg string, pos int, dep_pkg string")
+    available = spark.createDataFrame([("p", "1.10"), ("p", "1.9")], "pkg string, version string")
+    return Engine(Catalogue(rows, stored, units, deps, available, decls=decls), Options(**more))
+
+
+def shown(df):
+    r = df.collect()
+    assert len(r) == 1
+    return json.loads(r[0]["result"]), r[0]["unmatched"], json.loads(r[0]["envelope"])
+
+
+def test_results_have_the_fields_that_were_asked_for(spark):
+    engine = engine_of(spark)
+    body, unmatched, whole = shown(engine.result("symbol", "p/M/f"))
+    assert body == {"name": "f", "kind": "value", "package": "p", "version": "1.9", "module": "M", "signature": "f :: Int", "haddock_raw": "doc", "defined_in": {"package": "p", "module": "M.Internal"}}
+    assert unmatched == "" and whole == {"result": body}
+    assert shown(engine_of(spark, select=("sig", "haddock", "nope")).result("symbol", "p/M/f"))[:2] == ({"signature": "f :: Int", "haddock_raw": "doc"}, "nope")
+    body, _, whole = shown(engine.result("lookup", "f"))
+    assert set(body) == {"query", "providers"} and len(body["providers"]) == 9 and len(whole["actions"]) == 3  # five rows of three symbols
+    assert whole["actions"]["p/M/f"] == "symbol p/M/f" and engine.result("lookup", "lost").collect() == []
+    assert shown(engine_of(spark, full=True).result("lookup", "f"))[0]["tiers_consulted"] == ["cache"]
+    assert shown(engine_of(spark, select=("tiers_consulted",)).result("lookup", "f"))[:2] == ({}, "tiers_consulted")
+    body, _, whole = shown(engine_of(spark, overrides=("p=9",)).result("package", "p-3"))
+    assert body == {"name": "p", "version": "3", "is_local": False, "exposed_modules": ["M"], "origin": "hackage"} and whole["outside_plan"] is True and whole["overrides"] == ["p=9"]
+    assert shown(engine.result("module", "p", "M"))[0] == {"package": "p", "module": "M", "exports": ["f", "g"]}
+    assert shown(engine.result("versions", "p"))[0] == {"package": "p", "pinned_version": "1.9", "available_versions": ["1.10", "1.9"]}
+    assert shown(engine.result("deps", "p"))[0] == {"package": "p", "direction": "forward", "deps": ["z", "a"]}
+    assert shown(engine.result("deps", "p", reverse=True, limit=1))[0] == {"package": "p", "direction": "reverse", "depth": 1, "deps": ["a"]}
+
+
+def test_packages_offline_answer_from_what_is_cached(spark):
+    remote = spark.createDataFrame([("kept", "1", None, True), ("far", "2", None, False), ("odd", "3", None, None), ("bad", None, "CORRUPTION", True)], "pkg string, version string, error string, cached boolean")
+    for offline, want in ((False, {"kept": "1", "far": "2", "odd": "3", "bad": "CORRUPTION"}), (True, {"kept": "1", "far": "NOT_FOUND", "odd": "NOT_FOUND", "bad": "CORRUPTION"})):
+        engine = engine_of(spark, offline=offline)
+        engine.at.remote_packages = remote
+        assert {r["ref"]: r["version"] or r["error"] for r in engine.package("kept", "far", "odd", "bad").collect()} == want
+    engine.at.remote_packages = remote.drop("cached")
+    assert engine.package("kept").first()["error"] == "NOT_FOUND"
+
+
+def test_the_latest_pass_decides_between_modules_of_a_component(spark):
+    kind = "component string, module string, name string, signature string, def_component string, def_module string"
+    once = spark.createDataFrame([("a", "M", "f", "s", "d", "Aaa")], kind)
+    later = spark.createDataFrame([("b", "M", "f", "s", "d", "Zzz"), ("b", "M", "f", "s", "e", "Zzz")], kind)
+    asks = spark.createDataFrame([("me", "M", "f")], "asker string, module string, name string")
+    deps = spark.createDataFrame([("me", "a"), ("me", "b")], "pkg string, dep_pkg string")
+    env = resolve.extended_exports(resolve.extended_exports(None, once, 0), later, 1)
+    got = resolve.probe_exports(asks, env, deps).first()
+    assert got["chosen"]["def_module"] == "Zzz" and [(x["def_component"], x["def_module"]) for x in got["rejected"]] == [("d", "Aaa"), ("e", "Zzz")]
+    assert resolve.probe_exports(asks, env.drop("generation"), deps).first()["chosen"]["def_module"] == "Aaa"
+    again = resolve.extended_exports(resolve.extended_exports(None, later, 0), once, 1)
+    assert resolve.probe_exports(asks, again, deps).first()["chosen"]["def_module"] == "Aaa"
+
+
+def test_building_no_component_gives_the_columns(spark):
+    deps, parts = spark.createDataFrame([], "pkg string, pos int, dep_pkg string"), spark.createDataFrame([], "pkg string")
+    made = index_build.build_levels(deps, parts, lambda level, below: level.withColumn("made", F.lit(1)))
+    assert made.columns == ["pkg", "made"] and made.collect() == []
+
+
 def test_graph_cycles_end(spark):
     deps = spark.createDataFrame([("a", 0, "b"), ("b", 0, "c"), ("c", 0, "a"), ("c", 1, "d"), ("e", 0, "d")], "pkg string, pos int, dep_pkg string")
     roots = spark.createDataFrame([("a",)], "pkg string")
@@ -169,17 +234,19 @@ def test_resolution_follows_to_the_definer(spark):
 
 
 def test_long_reexport_chains_are_followed(spark):
-    exported = spark.range(71).select(F.concat(F.lit("M"), F.col("id")).alias("module"), F.lit("f").alias("name"))
-    imports = spark.range(70).select(F.concat(F.lit("M"), F.col("id")).alias("module"), F.lit("f").alias("name"), F.concat(F.lit("M"), F.col("id") + 1).alias("target"), F.lit(True).alias("explicit"))
-    decls = spark.createDataFrame([("M70", "f")], "module string, name string")
+    exported = spark.range(21).select(F.concat(F.lit("M"), F.col("id")).alias("module"), F.lit("f").alias("name"))
+    imports = spark.range(20).select(F.concat(F.lit("M"), F.col("id")).alias("module"), F.lit("f").alias("name"), F.concat(F.lit("M"), F.col("id") + 1).alias("target"), F.lit(True).alias("explicit"))
+    decls = spark.createDataFrame([("M20", "f")], "module string, name string")
     got = {r["module"]: (r["definer"], r["round"]) for r in resolve.resolve_exports(exported.coalesce(1), decls, imports.coalesce(1)).collect()}
-    assert got["M0"] == ("M70", 70) and len(got) == 71 and {d for d, _ in got.values()} == {"M70"}
+    assert got["M0"] == ("M20", 20) and len(got) == 21 and {d for d, _ in got.values()} == {"M20"}
 
 
 def test_recursion_keeps_a_package_once_a_step(spark):
-    deps = spark.range(1, 120).selectExpr("id AS pkg", "explode(array(id - 1, greatest(id - 2, 0))) AS dep_pkg")
-    got = graph.recursive_levels(deps, spark.createDataFrame([(119,)], "pkg long"))
-    assert got.count() == 119 and got.agg(F.max("level")).first()[0] == 60
+    before = spark.conf.get("spark.sql.cteRecursionLevelLimit")
+    deps = spark.range(1, 40).selectExpr("id AS pkg", "explode(array(id - 1, greatest(id - 2, 0))) AS dep_pkg").coalesce(1)
+    got = {r["pkg"]: r["level"] for r in graph.recursive_levels(deps, spark.createDataFrame([(39,)], "pkg long")).collect()}
+    assert len(got) == 39 and max(got.values()) == 20
+    assert spark.conf.get("spark.sql.cteRecursionLevelLimit") == before
 
 
 def test_stream_shows_over_an_empty_batch_write(spark, tmp_path):
@@ -268,6 +335,9 @@ def test_plan_files(spark, tmp_path):
     }
     (tmp_path / "plan.json").write_text(json.dumps(plan))
     units = build_plan.read_units(spark, f"{tmp_path}/plan.json")
+    read = build_plan.read_pins(spark, f"{tmp_path}/plan.json")._jdf.queryExecution().executedPlan().toString()
+    schema = read[read.index("ReadSchema") :]
+    assert "pkg-version" in schema and not any(c in schema for c in ("pkg-src", "depends", "dist-dir", "style"))
     assert sorted(tuple(r) for r in build_plan.read_pins(spark, f"{tmp_path}/plan.json").collect()) == [("base", "4.0", "base-4"), ("my", "1.0", "my-lib")]
     assert [tuple(r) for r in build_plan.dependency_edges(units).collect()] == [("my", 0, "base", "4.0")]
     assert {r["origin"] for r in units.collect()} == {"distribution", "local"}

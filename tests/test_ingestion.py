@@ -177,3 +177,28 @@ def test_plan_shapes(spark):
     assert list(hints) == list("abcde")
     old = spark.createDataFrame([("x", 7), ("y", 6), ("z", None)], "n string, generation int")
     assert [r["n"] for r in build_plan.generation_guarded(old, 7).collect()] == ["x"]
+
+
+def test_module_files_near_and_open_folders_first(spark):
+    files = {
+        "a": ["x/M.hs", "M.hs"], "b": ["lib/M.hs", "library/M.hs", "zz/M.hs"], "c": ["a/b/M.hs", "z/M.hs"], "d": ["a/b/c/M.hs", "b/c/M.hs"], "e": ["1/2/3/4/M.hs"], "f": ["1/2/3/4/5/M.hs"],
+        "g": ["test/M.hs", "x/build/M.hs", ".git/M.hs", "dist/src/M.hs"], "h": ["src/deep/M.hs", "tests/M.hs"], "i": ["xM.hs", "M/M.hs/x"], "j": ["b/x/M.hs", "b/a/M.hs"],
+    }
+    rows = spark.createDataFrame([(p, f) for p, fs in files.items() for f in fs], "package string, relative string")
+    got = P.module_file(rows, spark.createDataFrame([(p, "M") for p in files], "package string, module string")).collect()
+    assert {r["package"]: r["relative"] for r in got} == {"a": "M.hs", "b": "library/M.hs", "c": "z/M.hs", "d": "a/b/c/M.hs", "e": "1/2/3/4/M.hs", "h": "src/deep/M.hs", "j": "b/a/M.hs"}
+    deep = spark.createDataFrame([("p", "src/A/B.hs"), ("p", "x/A/B.hs")], "package string, relative string")
+    assert P.module_file(deep, spark.createDataFrame([("p", "A.B"), ("p", "B")], "package string, module string")).collect()[0]["relative"] == "src/A/B.hs"
+
+
+def test_an_empty_folder_ends_the_search_for_documents(spark):
+    at = lambda *rows: spark.createDataFrame(list(rows), "pkg string, index string")
+    asks = spark.createDataFrame([(p,) for p in "abcde"], "pkg string")
+    got = P.document_places(asks, at(("a", "ca"), ("b", None)), at(("b", "bb"), ("c", "bc"), ("d", None)), at(("b", "eb"), ("d", "ed")))
+    assert {r["pkg"]: tuple(r)[1:] for r in got.collect()} == {"a": ("ca", "cache", "found"), "b": (None, "cache", "empty"), "c": ("bc", "build", "found"), "d": ("ed", "environment", "found"), "e": (None, None, "absent")}
+    units = spark.createDataFrame([("s", False), ("d", False), ("l", True), ("m", True), ("n", True), ("x", False)], "pkg string, is_local boolean")
+    path = lambda *rows: spark.createDataFrame(list(rows), "pkg string, path string")
+    made = spark.createDataFrame([("l", "gl", None), ("m", None, "tool failed"), ("x", "gx", None)], "pkg string, path string, error string")
+    got = P.collection_places(units, path(("s", "ss")), path(("s", "ds"), ("d", "dd")), made)
+    assert {r["pkg"]: tuple(r)[1:] for r in got.collect()} == {
+        "s": ("ss", "store", None), "d": ("dd", "distribution", None), "l": ("gl", "generated", None), "m": (None, None, "tool failed"), "n": (None, None, "not_generated"), "x": (None, None, "no_store_entry")}
