@@ -1,32 +1,39 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, memory-mapped to score.
 
 The order is a parameter, 3 unless told otherwise; it interpolates at every level down to
-single words. The model is a folder of sorted arrays, in shards of bounded size:
+single words. The model is a folder of shards of bounded size, three files each:
 
-* ``words-k``, ``counts-k``: sorted word hashes and their counts; a word's id is its place
-  in all shards put together, as shards are ranges of hashes.
-* ``before-k``: for each id, how many different words it follows.
-* for each level n from 2: ``ones-n-k``, ``many-n-k``, ``times-n-k``: sorted hashes of the
-  n-grams counted once, and of those counted more often with their counts; and
-  ``lone-n-k``, ``wide-n-k``, ``stats-n-k``: sorted hashes of the contexts that only one
-  n-gram counted once follows, and of the others with what follows them.
+* ``words-k``: sorted word hashes and their counts; a word's id is its place in all shards
+  put together, as shards are ranges of hashes.
+* ``grams-k``: for each level n from 2 the n-grams counted once and those counted more often,
+  as sorted hashes, the latter with their counts.
+* ``follows-k``: for each word how many different ones it follows and what follows it, and for
+  each n-gram of all levels but the highest what follows it: nothing, one n-gram counted once,
+  or so many counted once, twice, more often.
+
+A context is an n-gram of the level below, so what follows it lies beside that n-gram, by its
+place, and contexts have no keys of their own. A hash is kept as the bucket that its first bits
+name and 32 bits more, some 50 bits for the largest shards.
 
 On the highest level an n-gram counts as often as it occurs; below, as often as different
 words stand before it; an n-gram at a text's start, which nothing can precede, as often as it
 occurs. N-grams live in the shard of their last two words. So a shard sees all that stands
 before its n-grams and counts every level by itself, and a frequent word is spread over all
-shards. What follows a context is then summed over shards, in the shard of its hash.
+shards. What follows a context is then summed over shards, in the shard of the context.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +45,10 @@ END = np.uint64(0x0E0D0E0D0E0D0E0D)
 ORDER = 3
 #: Distinct entries a task gathers before it sends them on.
 FLUSH = 1_800_000
+#: Files that a task holds open at a time; others are opened again when they are needed.
+OPEN_FILES = 192
+#: How many bits of a byte are set.
+_SET_BITS = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("level", pa.int32()), ("ones", pa.binary()), ("many", pa.binary()), ("times", pa.binary())])
 _BLOCKS = "bucket int, level int, ones binary, many binary, times binary"
 _FACTS = "kind int, place int, value long"
@@ -71,6 +82,13 @@ class NgramModel:
     def path(self, kind: str, shard: int) -> str:
         return f"{self.root}/{kind}-{shard:06d}"
 
+    def home(self, heads: list[np.ndarray]) -> np.ndarray:
+        """The shard of contexts, given by the columns of their words: of a word its own, else that
+        of the last two words. A text's start is with the last words."""
+        if len(heads) == 1:
+            return np.minimum(np.searchsorted(self.offsets, heads[0], side="right") - 1, self.shards - 1)
+        return _hash_shard(_hashes(heads[-2:])[-1], self.shards)
+
 
 def _hash_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int64)
@@ -134,6 +152,15 @@ def _ngrams(model: NgramModel, ids: np.ndarray, bounds: np.ndarray) -> list[np.n
     return [*columns, ids]
 
 
+def _ranked(shard: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """An order by shard, then by words, the last one first: ids that repeat compress."""
+    return np.lexsort((*columns, shard))
+
+
+def _pressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
 def _blocks(level: int, shard: np.ndarray, lone: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[dict]:
     """Rows sorted by shard, to one block a shard: ``lone`` ones without their counts."""
     found, at = np.unique(shard, return_index=True)
@@ -142,8 +169,8 @@ def _blocks(level: int, shard: np.ndarray, lone: np.ndarray, columns: list[np.nd
         parts = [c[lo:hi] for c in columns]
         yield {
             "bucket": b, "level": level,
-            "ones": b"".join(_planes(c[one]) for c in parts), "many": b"".join(_planes(c[~one]) for c in parts),
-            "times": _planes(counts[lo:hi][~one].reshape(-1)),
+            "ones": _pressed(b"".join(_planes(c[one]) for c in parts)), "many": _pressed(b"".join(_planes(c[~one]) for c in parts)),
+            "times": _pressed(_planes(counts[lo:hi][~one].reshape(-1))),
         }
 
 
@@ -152,13 +179,13 @@ def _unblocked(rows: list[dict], width: int, kind, numbers: int) -> tuple[list[n
     columns = [[np.zeros(0, kind)] for _ in range(width)]
     counts = [np.zeros((0, numbers), np.int64)]
     for row in rows:
-        for part in (row["ones"], row["many"]):
+        for part in map(zstandard.decompress, (row["ones"], row["many"])):
             step = len(part) // width
             for c in range(width):
                 columns[c].append(_from_planes(part[c * step : (c + 1) * step], kind))
         lone = np.zeros((len(columns[0][-2]), numbers), np.int64)
         lone[:, 0] = 1
-        counts += [lone, _from_planes(row["times"], np.int64).reshape(-1, numbers)]
+        counts += [lone, _from_planes(zstandard.decompress(row["times"]), np.int64).reshape(-1, numbers)]
     return [np.concatenate(c) for c in columns], np.concatenate(counts)
 
 
@@ -180,10 +207,10 @@ def _gathered(pieces: Iterator[list[np.ndarray]], hashed, shard_key, shards: int
     counts = np.zeros(0, np.int64)
 
     def sent() -> pa.RecordBatch:
-        key = shard_key(held)
-        order = np.argsort(key)
+        shard = _hash_shard(shard_key(held), shards)
+        order = _ranked(shard, held)
         own = counts[order]
-        return pa.RecordBatch.from_pylist(list(_blocks(0, _hash_shard(key[order], shards), own == 1, [c[order] for c in held], own)), schema=_SCHEMA)
+        return pa.RecordBatch.from_pylist(list(_blocks(0, shard[order], own == 1, [c[order] for c in held], own)), schema=_SCHEMA)
 
     for piece in _in_steps(pieces):
         if held:
@@ -198,6 +225,104 @@ def _gathered(pieces: Iterator[list[np.ndarray]], hashed, shard_key, shards: int
         yield sent()
 
 
+def _file(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays as one file: the length of its head, the head (names, types, places), the arrays."""
+    head, parts, at = [], [], 0
+    for name, a in arrays.items():
+        data = np.ascontiguousarray(a).tobytes()
+        head.append((name, np.asarray(a).dtype.str, len(a), at))
+        parts.append(data + bytes(-len(data) % 8))
+        at += len(parts[-1])
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
+    return b"".join([len(text).to_bytes(8, "little"), text, *parts])
+
+
+def _arrays(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped; none if it was never written."""
+    if not os.path.exists(path):
+        return {}
+    data = np.memmap(path, np.uint8, "r")
+    start = 8 + int(data[:8].view(np.int64)[0])
+    out = {}
+    for name, kind, n, at in json.loads(data[8:start].tobytes()):
+        out[name] = data[start + at : start + at + n * np.dtype(kind).itemsize].view(kind)
+    return out
+
+
+def _key_set(name: str, hashes: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Arrays of a set of hashes, and the order in which they are kept: by bucket, which the first
+    bits name (some eight hashes each), then by the 32 bits after these."""
+    mixed = mix64(hashes)
+    order = np.argsort(mixed)
+    mixed = mixed[order]
+    bits = max(1, len(mixed).bit_length() - 4)
+    ends = np.searchsorted(mixed >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    low = ((mixed << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    return {f"{name}.low": low, f"{name}.ends": ends.astype(np.uint32)}, order
+
+
+def _places(held: dict[str, np.ndarray], name: str, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in a set; -1 for those that are not there."""
+    out = np.full(len(hashes), -1, np.int64)
+    low, ends = held.get(f"{name}.low"), held.get(f"{name}.ends")
+    if low is None or not len(low) or not len(hashes):
+        return out
+    mixed, bits = mix64(hashes), (len(ends) - 1).bit_length() - 1
+    bucket = (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    want = ((mixed << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    at, stop = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
+    live = np.flatnonzero(at < stop)
+    while len(live):
+        have = low[at[live]]
+        hit = live[have == want[live]]
+        out[hit] = at[hit]
+        live = live[have < want[live]]
+        at[live] += 1
+        live = live[at[live] < stop[live]]
+    return out
+
+
+def _gram_places(held: dict[str, np.ndarray], level: int, hashes: np.ndarray) -> np.ndarray:
+    """The place of each n-gram among those of its level: counted once, then the others."""
+    out = _places(held, f"ones-{level}", hashes)
+    rest = np.flatnonzero(out < 0)
+    more = _places(held, f"many-{level}", hashes[rest])
+    out[rest[more >= 0]] = more[more >= 0] + len(held.get(f"ones-{level}.low", ()))
+    return out
+
+
+def _follow_table(level: int, size: int, places: np.ndarray, follows: np.ndarray) -> dict[str, np.ndarray]:
+    """What follows the contexts at ``places`` of ``size``: a bit for those that one n-gram counted
+    once follows, a bit and four numbers for others, nothing for those that end all texts."""
+    sort, at = _grouped(places)
+    places, follows = places[sort[at]], _summed(follows, sort, at)
+    alone = follows[:, 3] == 1
+    lone, wide = np.zeros(size, bool), np.zeros(size, bool)
+    lone[places[alone]], wide[places[~alone]] = True, True
+    flags, stats = np.packbits(wide, bitorder="little"), follows[~alone]
+    rank = np.r_[0, np.cumsum(_SET_BITS[flags], dtype=np.int64)][: len(flags)].astype(np.uint32)
+    named = {"lone": np.packbits(lone, bitorder="little"), "wide": flags, "rank": rank} | {f"n{k}": _smallest(stats[:, k]) for k in range(4)}
+    return {f"{k}-{level}": a for k, a in named.items()}
+
+
+def _follow_rows(held: dict[str, np.ndarray], level: int, places: np.ndarray) -> np.ndarray:
+    """The four numbers of the contexts at ``places``; zeros where nothing follows, or for -1."""
+    out = np.zeros((len(places), 4), np.int64)
+    some = np.flatnonzero(places >= 0)
+    if not len(some) or f"wide-{level}" not in held:
+        return out
+    byte, bit = places[some] >> 3, (places[some] & 7).astype(np.uint8)
+    flags = held[f"wide-{level}"][byte]
+    wide, lone = (flags >> bit) & 1 > 0, (held[f"lone-{level}"][byte] >> bit) & 1 > 0
+    out[some[lone]] = (1, 0, 0, 1)
+    below = _SET_BITS[flags[wide] & ((np.uint8(1) << bit[wide]) - np.uint8(1))]
+    rank = held[f"rank-{level}"][byte[wide]].astype(np.int64) + below
+    for k in range(4):
+        out[some[wide], k] = held[f"n{k}-{level}"][rank]
+    return out
+
+
 def _facts(rows: list[tuple[int, int, int]]) -> pa.Table:
     kinds, places, values = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table({"kind": pa.array(kinds, pa.int32()), "place": pa.array(places, pa.int32()), "value": pa.array(values, pa.int64())})
@@ -242,8 +367,7 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
         (hashes,), counts = _unblocked(rows, 1, np.uint64, 1)
         order, at = _grouped(hashes)
         hashes, counts, shard = hashes[order[at]], _summed(counts[:, 0], order, at), rows[0]["bucket"]
-        write_shared(model.path("words", shard), hashes)
-        write_shared(model.path("counts", shard), _smallest(counts))
+        write_shared(model.path("words", shard), _file({"hashes": hashes, "counts": _smallest(counts)}))
         return _facts([(0, shard, len(hashes)), (1, shard, int(counts.sum()))])
 
     told = texts.mapInArrow(count_words, _BLOCKS).groupBy("bucket").applyInArrow(store_words, _FACTS).collect()
@@ -277,6 +401,7 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
         out: list[dict] = []
         whole = columns[0] != model.nothing
         grams, times = [c[whole] for c in columns], counts[whole]
+        arrays: dict[str, np.ndarray] = {}
         for level in range(order, 1, -1):
             if level < order:
                 # Those that a text's start made this short count as they are; the rest, as
@@ -287,16 +412,17 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
                 sort, at = _grouped(_hashes(grams)[-1])
                 grams, times = [g[sort[at]] for g in grams], _summed(times, sort, at)
             *_, context, key = _hashes(grams)
-            ranks = np.argsort(key)
-            key, count = key[ranks], times[ranks]
-            write_shared(model.path(f"ones-{level}", shard), key[count == 1])
-            write_shared(model.path(f"many-{level}", shard), key[count > 1])
-            write_shared(model.path(f"times-{level}", shard), _smallest(count[count > 1]))
+            ones, _ = _key_set(f"ones-{level}", key[times == 1])
+            many, rank = _key_set(f"many-{level}", key[times > 1])
+            arrays |= ones | many | {f"times-{level}": _smallest(times[times > 1][rank])}
             follows = np.stack([times == 1, times == 2, times > 2, times], axis=1).astype(np.int64)
             sort, at = _grouped(context)
-            context, follows = context[sort[at]], _summed(follows, sort, at)
-            out += _blocks(level, _hash_shard(context, shards), follows[:, 3] == 1, [g[sort[at]] for g in grams[:-1]], follows)
+            heads, follows = [g[sort[at]] for g in grams[:-1]], _summed(follows, sort, at)
+            where = model.home(heads)
+            rank = _ranked(where, heads)
+            out += _blocks(level, where[rank], follows[rank, 3] == 1, [h[rank] for h in heads], follows[rank])
             out.append({"bucket": shard, "level": -level, "ones": None, "many": None, "times": _planes(np.array([f[2] for f in _spectrum(level, times)], np.int64))})
+        write_shared(model.path("grams", shard), _file(arrays))
         ids, before = np.unique(grams[-1], return_counts=True)
         out += _blocks(1, np.searchsorted(model.offsets, ids, side="right") - 1, before == 1, [ids], before.astype(np.int64))
         return pa.Table.from_pylist(out, schema=_SCHEMA)
@@ -308,21 +434,24 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
         for row in rows:
             if row["level"] < 0:
                 told += [(-row["level"], k, n) for k, n in enumerate(_from_planes(row["times"], np.int64).tolist())]
-        for level in range(2, order + 1):
-            ids, follows = _unblocked([r for r in rows if r["level"] == level], level - 1, np.uint32, 4)
-            context = _hashes(ids)[-1]
-            # A lone one in a shard is one gram counted once, of a sum of 1.
-            follows[follows[:, 3] == 0, 3] = 1
-            sort, at = _grouped(context)
-            context, follows = context[sort[at]], _summed(follows, sort, at)
-            lone = follows[:, 3] == 1
-            write_shared(model.path(f"lone-{level}", shard), context[lone])
-            write_shared(model.path(f"wide-{level}", shard), context[~lone])
-            write_shared(model.path(f"stats-{level}", shard), _smallest(follows[~lone]))
+        first, size = int(model.offsets[shard]), int(model.offsets[shard + 1] - model.offsets[shard])
         (ids,), counts = _unblocked([r for r in rows if r["level"] == 1], 1, np.uint32, 1)
-        before = np.zeros(int(model.offsets[shard + 1] - model.offsets[shard]), np.int64)
-        np.add.at(before, ids.astype(np.int64) - model.offsets[shard], counts[:, 0])
-        write_shared(model.path("before", shard), _smallest(before))
+        before = np.zeros(size, np.int64)
+        np.add.at(before, ids.astype(np.int64) - first, counts[:, 0])
+        arrays = {"before": _smallest(before)}
+        with mapped_files([model.path("grams", shard)]) as paths:
+            grams = _arrays(paths[0])
+            for level in range(2, order + 1):
+                heads, follows = _unblocked([r for r in rows if r["level"] == level], level - 1, np.uint32, 4)
+                # A lone one in a shard is one gram counted once, of a sum of 1.
+                follows[follows[:, 3] == 0, 3] = 1
+                if level == 2:  # words by their ids, and a text's start behind the last of them
+                    places, n = heads[0].astype(np.int64) - first, size + 2
+                else:
+                    places = _gram_places(grams, level - 1, _hashes(heads)[-1])
+                    n = len(grams.get(f"ones-{level - 1}.low", ())) + len(grams.get(f"many-{level - 1}.low", ()))
+                arrays |= _follow_table(level, n, places, follows)
+        write_shared(model.path("follows", shard), _file(arrays))
         return _facts(told + _spectrum(1, before[before > 0]))
 
     told = (
@@ -340,85 +469,76 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
 
 
 class _Reader:
-    """The model's arrays, memory-mapped; lookups go shard by shard with sorted keys."""
+    """The model's files, memory-mapped as they are needed and ``OPEN_FILES`` at a time; lookups go
+    shard by shard."""
 
-    KINDS = {"words": np.uint64, "ones": np.uint64, "many": np.uint64, "lone": np.uint64, "wide": np.uint64}
-    #: Kinds of the least type that holds their numbers, so many for each key of another kind.
-    VALUES = {"counts": ("words", 1), "before": ("words", 1), "times": ("many", 1), "stats": ("wide", 4)}
+    KINDS = ("words", "grams", "follows")
 
-    def __init__(self, model: NgramModel, files: dict[str, list[np.ndarray]]) -> None:
-        self.model, self.files = model, files
-
-    @classmethod
-    def kinds(cls, model: NgramModel) -> tuple[str, ...]:
-        by_level = (f"{kind}-{n}" for n in range(2, model.order + 1) for kind in ("ones", "many", "times", "lone", "wide", "stats"))
-        return ("words", "counts", "before", *by_level)
+    def __init__(self, model: NgramModel, paths: dict[tuple[str, int], str]) -> None:
+        self.model, self.paths = model, paths
+        self._open: OrderedDict[tuple[str, int], dict[str, np.ndarray]] = OrderedDict()
 
     @classmethod
     @contextlib.contextmanager
-    def opened(cls, model: NgramModel, kinds: tuple[str, ...]):
+    def opened(cls, model: NgramModel, kinds: tuple[str, ...] = KINDS):
         live = [(kind, k) for kind in kinds for k in range(model.shards)] if model.vocabulary else []
         with mapped_files([model.path(kind, k) for kind, k in live]) as paths:
-            files = {kind: [np.zeros(0, cls.KINDS.get(kind.split("-")[0], np.uint8))] * model.shards for kind in kinds}
-            for (kind, k), path in zip(live, paths, strict=True):
-                if os.path.exists(path) and os.path.getsize(path):
-                    name, dash, level = kind.partition("-")
-                    if name in cls.VALUES:
-                        keys, width = cls.VALUES[name]
-                        form = np.dtype(f"u{os.path.getsize(path) // (width * len(files[keys + dash + level][k]))}")
-                    else:
-                        form = cls.KINDS[name]
-                    files[kind][k] = np.memmap(path, form, mode="r")
-            yield cls(model, files)
+            yield cls(model, dict(zip(live, paths, strict=True)))
+
+    def file(self, kind: str, shard: int) -> dict[str, np.ndarray]:
+        held = self._open.pop((kind, shard), None)
+        if held is None:
+            while len(self._open) >= OPEN_FILES:
+                self._open.popitem(last=False)
+            held = _arrays(self.paths[kind, shard])
+        self._open[kind, shard] = held
+        return held
+
+    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard that is asked, and which rows ask it."""
+        order = np.argsort(shard.astype(np.min_scalar_type(self.model.shards)), kind="stable")
+        cut = np.r_[0, np.cumsum(np.bincount(shard, minlength=self.model.shards))]
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            yield k, order[cut[k] : cut[k + 1]]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The id of each hash; unknown ones get ``vocabulary``."""
         uniq, back = np.unique(hashes, return_inverse=True)
         out = np.full(len(uniq), self.model.vocabulary, np.int64)
-        cut = np.searchsorted(_hash_shard(uniq, self.model.shards), np.arange(self.model.shards + 1))
-        for k, shard in enumerate(self.files["words"]):
-            own = uniq[cut[k] : cut[k + 1]]
-            if len(own) and len(shard):
-                at = np.searchsorted(shard, own)
-                hit = shard[np.minimum(at, len(shard) - 1)] == own
-                out[cut[k] : cut[k + 1]][hit] = self.model.offsets[k] + at[hit]
+        for k, rows in self._by_shard(_hash_shard(uniq, self.model.shards)):
+            held = self.file("words", k).get("hashes", ())
+            if len(held):
+                at = np.searchsorted(held, uniq[rows])
+                hit = held[np.minimum(at, len(held) - 1)] == uniq[rows]
+                out[rows[hit]] = self.model.offsets[k] + at[hit]
         return out[back]
 
-    def dense(self, kind: str, ids: np.ndarray) -> np.ndarray:
-        """The number that ``kind`` has for each of known, sorted ids."""
+    def dense(self, kind: str, name: str, ids: np.ndarray) -> np.ndarray:
+        """The number that each of known ids has in an array of a kind of file."""
         out = np.zeros(len(ids), np.int64)
-        cut = np.searchsorted(ids, self.model.offsets)
-        for k, shard in enumerate(self.files[kind]):
-            if cut[k] < cut[k + 1] and len(shard):
-                out[cut[k] : cut[k + 1]] = shard[ids[cut[k] : cut[k + 1]] - self.model.offsets[k]]
-        return out
-
-    def _found(self, keys: np.ndarray, shard: np.ndarray, one: str, more: str, values: str, width: int) -> np.ndarray:
-        """For each key its numbers in ``values``, a 1 first in the ones, else zeros."""
-        shards = self.model.shards
-        order = np.argsort(keys)
-        order = order[np.argsort(shard[order].astype(np.min_scalar_type(shards)), kind="stable")]
-        cut = np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
-        out = np.zeros((len(keys), width), np.int64)
-        for k in range(shards):
-            own = order[cut[k] : cut[k + 1]]
-            wanted = keys[own]
-            for kind in (one, more):
-                held = self.files[kind][k]
-                if len(own) and len(held):
-                    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
-                    hit = held[at] == wanted
-                    out[own[hit]] = np.eye(1, width, dtype=np.int64) if kind == one else self.files[values][k].reshape(-1, width)[at[hit]]
+        for k, rows in self._by_shard(self.model.home([ids])):
+            held = self.file(kind, k).get(name, ())
+            if len(held):
+                out[rows] = held[ids[rows] - self.model.offsets[k]]
         return out
 
     def counts(self, level: int, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """Of n-grams, given by their hashes and those of their last two words, the counts."""
-        return self._found(keys, _hash_shard(pairs, self.model.shards), f"ones-{level}", f"many-{level}", f"times-{level}", 1)[:, 0]
+        out = np.zeros(len(keys), np.int64)
+        for k, rows in self._by_shard(_hash_shard(pairs, self.model.shards)):
+            held = self.file("grams", k)
+            out[rows[_places(held, f"ones-{level}", keys[rows]) >= 0]] = 1
+            at = _places(held, f"many-{level}", keys[rows])
+            out[rows[at >= 0]] = held[f"times-{level}"][at[at >= 0]] if (at >= 0).any() else 0
+        return out
 
-    def follows(self, level: int, keys: np.ndarray) -> np.ndarray:
+    def follows(self, level: int, heads: list[np.ndarray]) -> np.ndarray:
         """Of contexts: how many words follow once, twice, more often, and the sum of all counts."""
-        out = self._found(keys, _hash_shard(keys, self.model.shards), f"lone-{level}", f"wide-{level}", f"stats-{level}", 4)
-        out[(out[:, 3] == 0) & (out[:, 0] == 1), 3] = 1
+        out = np.zeros((len(heads[0]), 4), np.int64)
+        keys = _hashes(heads)[-1]
+        for k, rows in self._by_shard(self.model.home(heads)):
+            places = heads[0][rows] - self.model.offsets[k] if level == 2 else _gram_places(self.file("grams", k), level - 1, keys[rows])
+            out[rows] = _follow_rows(self.file("follows", k), level, places)
         return out
 
 
@@ -430,17 +550,17 @@ def _scores(model: NgramModel, reader: _Reader, hashes: np.ndarray, bounds: np.n
     known = uniq[uniq < v]
     counts, low = np.zeros(len(uniq)), np.full(len(uniq), model.low_rest / (v + 1))
     if len(known):
-        counts[: len(known)] = reader.dense("counts", known)
-        before = reader.dense("before", known)
+        counts[: len(known)] = reader.dense("words", "counts", known)
+        before = reader.dense("follows", "before", known)
         low[: len(known)] += np.maximum(before - model.discounts[1, np.minimum(before, 3)], 0) / max(1, model.kinds)
     p, counts = low[back], counts[back]
     columns = _ngrams(model, ids, bounds) if v else []
     for level in range(2, model.order + 1) if v else ():
         at = np.flatnonzero(columns[model.order - level] != model.nothing)
-        grams = _hashes([c[at] for c in columns[model.order - level :]])
-        follows = reader.follows(level, grams[-2])
+        words_ = [c[at] for c in columns[model.order - level :]]
+        follows = reader.follows(level, words_[:-1])
         seen = follows[:, 3] > 0
-        at, follows, key = at[seen], follows[seen], grams[-1][seen]
+        at, follows, key = at[seen], follows[seen], _hashes([c[seen] for c in words_])[-1]
         count = reader.counts(level, key, _hashes([c[at] for c in columns[-2:]])[-1])
         high = np.maximum(count - model.discounts[level, np.minimum(count, 3)], 0)
         p[at] = (high + follows[:, :3] @ model.discounts[level, 1:] * p[at]) / follows[:, 3]
@@ -457,7 +577,7 @@ def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        with _Reader.opened(model, _Reader.kinds(model)) as reader:
+        with _Reader.opened(model) as reader:
             for chunk in chunks(batches):
                 hashes, bounds = _tokens(chunk)
                 counts, base, own = _scores(model, reader, hashes, bounds)

@@ -4,6 +4,7 @@ on nulls, empty and long texts, repeated rows, empty tables and clashing columns
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -477,6 +478,48 @@ def test_kneser_ney_of_few_words(spark):
         kneser_ney.train_ngram_model(rows, 1)
 
 
+def test_kneser_ney_keeps_few_files_open(spark, docs, monkeypatch):
+    """Three hundred shards and a limit of forty files: all is found, and forty are open at most."""
+    monkeypatch.setattr(kneser_ney, "text_buckets", lambda texts: 300)
+    monkeypatch.setattr(kneser_ney, "OPEN_FILES", 40)
+    few = docs.where("doc_id < 60").select("doc_id", "text").coalesce(2)
+    model = kneser_ney.train_ngram_model(few)
+    texts = {r["doc_id"]: r["text"] for r in few.collect()}
+    p, _ = kneser_ney_by_dicts([t for t in texts.values()], 3)
+    hashes, bounds = kneser_ney._tokens(pa.record_batch([pa.array(list(texts.values()))], ["text"]))
+    before = len(os.listdir("/proc/self/fd"))
+    with kneser_ney._Reader.opened(model) as reader:
+        _, _, own = kneser_ney._scores(model, reader, hashes, bounds)
+        assert len(reader.paths) == 900 and len(reader._open) <= 40 and len(os.listdir("/proc/self/fd")) - before <= 41
+    for total, t in zip(np.add.reduceat(own, bounds[:-1]), texts.values(), strict=True):
+        line = ["<s>", *split((t or "").translate(LOWER)), None]
+        assert math.isclose(total, sum(math.log10(p(tuple(line[max(0, k - 2) : k]), line[k])) for k in range(1, len(line))), rel_tol=1e-9)
+
+
+def test_sets_of_hashes_and_what_follows(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 7, 500, 40_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) << np.uint64(1)
+        if n == 500:
+            keys = keys >> np.uint64(50)  # all in a corner, some equal
+            keys = np.unique(keys)
+        held, order = kneser_ney._key_set("ones-2", keys)
+        asked = np.r_[keys, keys + np.uint64(1), keys[: n // 2]]
+        places = kneser_ney._places(held, "ones-2", asked)
+        assert (keys[order][places[: len(keys)]] == keys).all() if len(keys) else len(places) == 0
+        if n != 500:
+            assert (places[len(keys) : 2 * len(keys)] == -1).all()
+        follows = rng.integers(0, 3, (len(keys), 4))
+        follows[:, 3] = follows[:, 0] + 5 * follows[:, 1] + 300 * follows[:, 2] + 2
+        follows[::3] = (1, 0, 0, 1)
+        some = rng.permutation(len(keys))[: len(keys) // 2]
+        table = kneser_ney._follow_table(3, len(keys), some, follows[some])
+        want = np.zeros((len(keys), 4), np.int64)
+        want[some] = follows[some]
+        assert (kneser_ney._follow_rows(table, 3, np.arange(len(keys))) == want).all()
+        assert (kneser_ney._follow_rows(table, 3, np.full(4, -1)) == 0).all()
+
+
 def test_kneser_ney_odd_rows(odd, none):
     rows = kneser_ney.ngram_scores(odd).collect()
     assert len(rows) == odd.count() and all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (1, 2, 3))
