@@ -21,15 +21,21 @@ def cut(text: str) -> list[str]:
     return text.split(" ") if _ADJACENT_SPACES.search(text) is None else _LONE_SPACE.split(text)
 
 
+#: Longer pieces, such as encoded blobs and minified code, hardly come twice and are not kept.
+LONGEST = 200
+
+
 class _Encoded(dict):
-    """Pieces to their encodings, behind ``lead``; a new one is encoded when it is asked for.
+    """Pieces to their encodings, behind ``lead``; a new one is encoded when it is asked for, and kept
+    if it is no longer than ``LONGEST``. All start anew at ``limit`` entries or, in sum, sixteen
+    times as many characters, also within a text.
 
     A piece that ends in punctuation after a letter or digit is put together from its two
     parts, between which there always is a bound of pre-tokens.
     """
 
-    def __init__(self, lead: str, encode: Callable[[str], object], join: Callable[[object, object], object]) -> None:
-        self.lead, self.encode, self.join, self.tails = lead, encode, join, self
+    def __init__(self, lead: str, encode: Callable[[str], object], join: Callable[[object, object], object], limit: int) -> None:
+        self.lead, self.encode, self.join, self.tails, self.limit, self.held = lead, encode, join, self, limit, 0
 
     def __missing__(self, piece: str) -> object:
         stem = piece.rstrip(string.punctuation)
@@ -37,24 +43,25 @@ class _Encoded(dict):
             value = self.join(self[stem], self.tails[piece[len(stem) :]])
         else:
             value = self.encode(self.lead + piece)
-        self[piece] = value
+        if len(piece) <= LONGEST:
+            if len(self) >= self.limit or self.held >= 16 * self.limit:
+                self.clear()
+                self.held = 0
+            self[piece] = value
+            self.held += len(piece)
         return value
 
 
 class PieceCache:
-    """Encodings of the pieces of a text, in bounded memory: both groups of pieces, those
-    behind a space and others, start anew at ``limit`` entries. ``join`` gives the encoding of
+    """Encodings of the pieces of a text, in bounded memory: of both groups of pieces, those
+    behind a space and others, at most ``limit`` are kept. ``join`` gives the encoding of
     two pieces in a row."""
 
     def __init__(self, encode: Callable[[str], object], join: Callable[[object, object], object], limit: int = 600_000) -> None:
-        self.plain, self.spaced = _Encoded("", encode, join), _Encoded(" ", encode, join)
+        self.plain, self.spaced = _Encoded("", encode, join, limit), _Encoded(" ", encode, join, limit)
         self.spaced.tails = self.plain
-        self.limit = limit
 
     def __call__(self, text: str) -> list:
-        for known in (self.plain, self.spaced):
-            if len(known) > self.limit:
-                known.clear()
         pieces = cut(text)
         out = [self.plain[pieces[0]]] if pieces[0] else []
         out += map(self.spaced.__getitem__, islice(pieces, 1, None))

@@ -337,6 +337,19 @@ def test_quality_odd_rows(odd, none):
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def test_piece_caches_are_bounded_by_size(spark):
+    """Long pieces are encoded and not kept, and one text of very many pieces keeps no more either."""
+    encoded = []
+    pieces_of = PieceCache(lambda p: (encoded.append(len(p)), p)[1], lambda a, b: a + b, limit=1000)
+    for k in range(300):
+        assert "".join(pieces_of(f"{k:0100000d} {'z' * 100_000} end{k}!")) == f"{k:0100000d} {'z' * 100_000} end{k}!"
+    assert sum(len(p) for d in (pieces_of.plain, pieces_of.spaced) for p in d) < 40_000 and len(encoded) > 600
+    many = " ".join(f"w{k}" for k in range(50_000))
+    assert "".join(pieces_of(many)) == many and len(pieces_of.spaced) <= 1000
+    wide = " ".join(f"{k:0150d}" for k in range(5_000))
+    assert "".join(pieces_of(wide)) == wide and sum(map(len, pieces_of.spaced)) <= 16_150
+
+
 def test_bpe_matches_merges_and_round_trips():
     codec = bpe.codec(PATH, PATTERN)
     exact = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
