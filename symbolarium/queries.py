@@ -644,11 +644,12 @@ def tree_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.tree_fingerprints(pages.select(F.expr("page_id div 64").alias("component"), F.col("url").alias("path"), F.col("page_id").alias("mtime"), F.length("html").alias("size")))
 
 
-@query("local_fingerprint", "SELECT sha256(coalesce(string_agg(url || chr(0) || page_id || chr(0) || length(html) || chr(10), '' ORDER BY url, CAST(page_id AS VARCHAR)), '')) AS fingerprint FROM pages WHERE page_id < 64")
+@query("local_fingerprint", """SELECT unit, sha256(string_agg(url || chr(0) || page_id || chr(0) || length(html) || chr(10), '' ORDER BY url, CAST(page_id AS VARCHAR))) AS fingerprint
+FROM (SELECT *, regexp_extract(url, '://([^/?#]*)', 1) AS unit FROM pages) WHERE unit NOT LIKE '%.org' GROUP BY unit""")
 def local_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The first 64 pages are the local units' files; a project's own sources are bounded.
-    pages = catalog.table(spark, sf_dir, "pages").where("page_id < 64")
-    return hashing.tree_fingerprints(pages.select(F.col("url").alias("path"), F.col("page_id").alias("mtime"), F.length("html").alias("size")), by=None)
+    """A host is a unit; those under one domain come from elsewhere, the others are local."""
+    pages = catalog.table(spark, sf_dir, "pages").withColumn("unit", F.regexp_extract("url", "://([^/?#]*)", 1)).where("NOT endswith(unit, '.org')")
+    return hashing.tree_fingerprints(pages.select("unit", F.col("url").alias("path"), F.col("page_id").alias("mtime"), F.length("html").alias("size")), by="unit")
 
 
 @query("inputs_fingerprint", "SELECT p_partkey, sha256('v2' || chr(0) || p_name || chr(0) || p_brand || chr(0) || chr(0) || array_to_string(list_transform(list_sort(string_split(p_name, ' ')), lambda x: x || ','), '') || chr(0)) AS fingerprint FROM part")
@@ -781,14 +782,16 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "h.maintainer", "h.license", "h.license_form", F.col("h.extra")[0]["value"].alias("note"), F.md5("h.prose").alias("prose"))
 
 
-@query("comment_association", """WITH g AS (SELECT *, coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM conversations)
-SELECT conv_id AS module, max(CASE WHEN role = 'assistant' THEN turn END) AS pos, md5(max(CASE WHEN role = 'assistant' THEN text END)) AS name,
-       md5(string_agg(CASE WHEN role <> 'assistant' THEN text END, chr(10) ORDER BY turn)) AS doc
-FROM g GROUP BY conv_id, grp HAVING bool_or(role = 'assistant')""")
+# An answer is a declaration, some of them top-level; a third of the questions points back to the last of these.
+@query("comment_association", """WITH c AS (SELECT *, CASE role WHEN 'assistant' THEN 'decl' WHEN 'user' THEN CASE WHEN length(text) % 3 = 0 THEN 'doc_prev' ELSE 'doc_next' END ELSE 'doc_next' END AS kind FROM conversations),
+t AS (SELECT *, CASE kind WHEN 'decl' THEN turn
+  WHEN 'doc_next' THEN min(CASE WHEN kind = 'decl' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  ELSE max(CASE WHEN kind = 'decl' AND turn % 4 > 1 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS home FROM c)
+SELECT conv_id AS module, home AS pos, md5(max(CASE WHEN kind = 'decl' THEN text END)) AS name, md5(string_agg(CASE WHEN kind <> 'decl' THEN text END, chr(10) ORDER BY turn)) AS doc FROM t WHERE home IS NOT NULL GROUP BY conv_id, home""")
 def comment_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = catalog.table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("module"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "decl").otherwise("doc_next").alias("kind"), "text", F.lit(True).alias("top")
-    )
+    back = (F.col("role") == "user") & (F.length("text") % 3 == 0)
+    kind = F.when(F.col("role") == "assistant", "decl").when(back, "doc_prev").otherwise("doc_next")
+    items = catalog.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("module"), F.col("turn").alias("pos"), kind.alias("kind"), "text", (F.col("turn") % 4 > 1).alias("top"))
     return declarations.documented(items).select("module", "pos", F.md5("name").alias("name"), F.md5("doc").alias("doc"))
 
 
@@ -845,4 +848,4 @@ def import_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # More queries register themselves here: cascades over several sources, declarations, dumps.
-from symbolarium import queries_cascade, queries_reach, queries_store  # noqa: E402, F401
+from symbolarium import queries_cascade, queries_reach, queries_rows, queries_store  # noqa: E402, F401

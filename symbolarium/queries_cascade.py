@@ -244,9 +244,9 @@ def component_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_plan.component_listing(part.select("pkg", F.col("p_brand").alias("origin")), inside.select("pkg", F.concat("pkg", F.lit(":"), "c").alias("component")))
 
 
-@query("missing_roots", "SELECT CAST(c_custkey AS BIGINT) AS pkg FROM customer WHERE c_custkey NOT IN (SELECT p_partkey FROM part)")
+@query("missing_roots", "SELECT CAST(c_custkey * 30 AS BIGINT) AS pkg FROM customer WHERE c_custkey * 30 NOT IN (SELECT p_partkey FROM part)")
 def missing_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = catalog.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("pkg"))
+    roots = catalog.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 30).cast("long").alias("pkg"))
     return graph.missing_roots(_part(spark, sf_dir).select(F.col("p_partkey").alias("pkg")), roots)
 
 
@@ -407,11 +407,11 @@ def expanded_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.expanded_exports(exports, part.select(F.col("p_brand").alias("module"), F.col("p_name").alias("name"), F.col("p_type").alias("parent")))
 
 
-@query("outside_modules", """SELECT p_brand AS module, p_type AS item FROM part WHERE p_size % 2 = 0 AND p_type NOT IN (SELECT p_type FROM part WHERE p_size = 7)""")
+@query("outside_modules", """SELECT p_brand AS module, p_type || p_size AS item FROM part WHERE p_size % 2 = 0 AND p_type || p_size NOT IN (SELECT p_type || p_size FROM part WHERE p_brand < 'Brand#2')""")
 def outside_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _part(spark, sf_dir)
-    exports = part.select(F.col("p_brand").alias("module"), F.when(F.col("p_size") % 2 == 0, "module").otherwise("symbol").alias("form"), F.col("p_type").alias("item"))
-    return resolve.outside_modules(exports, part.where("p_size = 7").select(F.col("p_type").alias("module")).distinct())
+    exports = part.select(F.col("p_brand").alias("module"), F.when(F.col("p_size") % 2 == 0, "module").otherwise("symbol").alias("form"), F.concat("p_type", F.col("p_size").cast("string")).alias("item"))
+    return resolve.outside_modules(exports, part.where("p_brand < 'Brand#2'").select(F.concat("p_type", F.col("p_size").cast("string")).alias("module")).distinct())
 
 
 @query("found_declarations", """WITH d AS (SELECT p_brand AS module, p_partkey AS pos, p_name AS name, p_type AS sibling FROM part), s AS (SELECT DISTINCT p_brand AS module, unnest([p_name, p_type]) AS name FROM part WHERE p_size < 20),

@@ -57,9 +57,9 @@ def description_fields(text: str | None) -> list[tuple]:
     return out if package else [(*[None] * 8, "no package name")]
 
 
-def read_components(spark: SparkSession, path: str) -> DataFrame:
-    """Fields of all descriptions under ``path``, a row for each value (see ``COMPONENT_TYPE``);
-    one that cannot be read has one row, with its ``error``."""
+def component_fields(files: DataFrame) -> DataFrame:
+    """Fields of the descriptions ``files(path, value)``, a row for each value (see
+    ``COMPONENT_TYPE``); one that cannot be read has one row, with its ``error``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in COMPONENT_TYPE.split(", ")]
@@ -67,8 +67,13 @@ def read_components(spark: SparkSession, path: str) -> DataFrame:
             rows = [(p, *f) for p, t in zip(batch["path"], batch["value"], strict=True) for f in description_fields(t)]
             yield pd.DataFrame(rows, columns=names)
 
+    return files.select("path", "value").mapInPandas(parse, COMPONENT_TYPE)
+
+
+def read_components(spark: SparkSession, path: str) -> DataFrame:
+    """``component_fields`` of all descriptions under ``path``."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.cabal")
-    return files.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(parse, COMPONENT_TYPE)
+    return component_fields(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def condition_value(cond: Column, os: str, arch: str) -> Column:
@@ -100,8 +105,11 @@ def condition_value(cond: Column, os: str, arch: str) -> Column:
 def live_fields(fields: DataFrame, os: str, arch: str) -> DataFrame:
     """Fields of branches that hold or cannot be decided; rows of errors are left out."""
     fields = fields.where("error IS NULL") if "error" in fields.columns else fields
-    holds = condition_value(F.col("cond"), os, arch)
-    return fields.where(F.when(F.col("branch") == "else", F.coalesce(~holds, F.lit(True))).otherwise(F.coalesce(holds, F.lit(True))))
+    # Few conditions differ: each is worked out once.
+    told = fields.where("cond IS NOT NULL").select("cond").distinct().withColumn("_holds", condition_value(F.col("cond"), os, arch))
+    rows, holds = fields.join(told, "cond", "left"), F.col("_holds")
+    live = F.when(F.col("branch") == "else", F.coalesce(~holds, F.lit(True))).otherwise(F.coalesce(holds, F.lit(True)))
+    return rows.where(live).select(fields.columns)
 
 
 def exposed_modules(fields: DataFrame) -> DataFrame:
