@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from symbolarium.functions import ident
 from symbolarium.operators import declarations
-from symbolarium.queries import query
+from symbolarium.operators.name_index import NameIndex
+from symbolarium.queries import _NAMED, _VERSIONED, query
 from symbolarium.sources import catalog, packages
 
 
@@ -157,3 +158,13 @@ def exported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size") % 3
     lists = F.when(size == 1, F.array("p_brand", "p_type", "p_brand")).when(size == 2, F.array().cast("array<string>"))
     return declarations.exported_names(_part(spark, sf_dir).select(F.col("p_partkey").alias("module"), lists.alias("exports"), F.array("p_type", "p_name").alias("declared")))
+
+
+# -- a sorted index ---------------------------------------------------------------------------
+
+
+@query("lookup_indexed", f"WITH {_NAMED}, {_VERSIONED} SELECT * FROM versioned WHERE name IN ('redBolt', 'hotGear') OR (name = 'coldPlate' AND mod = 'Cat.Promo')")
+def lookup_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups that read only the files where the names stand."""
+    index = NameIndex.build(catalog.versioned(spark, sf_dir))
+    return index.find("redBolt").unionByName(index.find("hotGear")).unionByName(index.find("coldPlate", "Cat.Promo"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from symbolarium import queries
 from symbolarium.engine import Catalogue, Engine, EngineError, Options
 from symbolarium.functions import hashing, ident, markup, text
-from symbolarium.operators import graph, index_store, lookup, resolve, search, store
+from symbolarium.operators import graph, index_store, lookup, name_index, resolve, search, store
 from symbolarium.plans import build_plan, index_build
 from symbolarium.streaming.refresh import refresh_stream, stale
 
@@ -125,6 +125,20 @@ def test_refresh_stream_is_replayable(spark, tmp_path):
     assert sorted(r["pkg"] for r in stale(prints(("p", "1"), ("q", "2"), ("r", None)), prints(("p", "1"), ("q", "1"), ("r", None)), ["pkg"]).collect()) == ["q", "r"]
 
 
+def test_an_index_reads_only_the_files_of_a_name(spark):
+    kind = "pkg string, mod string, name string, version string"
+    rows = spark.createDataFrame([(f"p{k}", "M", f"n{k % 40:02d}" if k % 3 else "common", "1") for k in range(300)] + [("q", "M", None, "1"), ("q", "N", "n07", "2"), ("q", "N", "n07", "2")], kind)
+    index = name_index.NameIndex.build(rows, file_rows=30)
+    assert len(index.files) >= 8 and sum(first <= "common" <= last for first, last, _ in index.files) > 1
+    for name in ("common", "n07", "n39", "zz", "", "n0"):
+        found = index.find(name)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lookup.by_name(rows, name).collect()))
+        assert len(found.inputFiles()) <= (5 if name == "common" else 2)
+    assert index.find("n07", "N").count() == 2 and name_index.NameIndex(spark, index.path).find("n07", "N").count() == 2
+    empty = name_index.NameIndex.build(rows.limit(0))
+    assert empty.find("x").columns == rows.columns and empty.find("x").collect() == []
+
+
 def engine_of(spark, **more):
     rows = symbols(spark, ("p", "M", "f", "f :: Int", "p", "M.Internal", "exposed"), ("p", "M", "g", "g :: Int", "p", "M", "exposed"))
     stored = spark.createDataFrame([("p", "M", "f", f"1.{k}", "u1") for k in range(3)] + [(f"q{k}", "N", "f", "1", "u") for k in range(6)], "pkg string, mod string, name string, version string, unit_id string")
