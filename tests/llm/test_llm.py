@@ -563,6 +563,15 @@ def test_urls_by_brute_force(spark):
     assert url_cascade.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_rules_of_one_length_and_very_long_urls(spark):
+    rules = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "b.com", "/"), ("allow", "m.b.com", ""), ("block", "long.org", "/p")]
+    urls = ["http://a.com/x", "http://m.b.com/q", "http://long.org/p" + "y" * 300_000, "http://" + "s." * 400 + "long.org/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for order in (rules, rules[::-1]):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_cascade.judge_urls(pages, order).collect()}
+        assert got == {0: ("a.com/x", "allow"), 1: ("m.b.com", "allow"), 2: ("long.org/p", "block"), 3: ("long.org/p", "block")}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).select(F.col("id").cast("string").alias("key"))
     listed = universe.where("key % 37 = 0")
