@@ -22,7 +22,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _CHAR = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _CHAR_LOWER = _CHAR.copy()
 _CHAR_LOWER[65:91] = _CHAR[97:123]
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 
