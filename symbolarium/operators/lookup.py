@@ -24,6 +24,14 @@ def in_module(rows: DataFrame, pkg: str, module: str) -> DataFrame:
     return rows.where((F.col("pkg") == pkg) & (F.col("mod") == module)).orderBy(F.desc("version"), "name")
 
 
+def module_in_stores(asks: DataFrame, project: DataFrame | None, whole: DataFrame, pins: DataFrame | None) -> DataFrame:
+    """All rows of the modules ``asks(pkg, mod)`` that the pins allow: the project's, and global ones
+    whose (pkg, mod, name) the project does not have. Without a project store the global rows."""
+    key = ["pkg", "mod"]
+    held = lambda rows: in_scope(rows.join(asks.select(*key).distinct(), key, "left_semi"), pins)
+    return held(whole) if project is None else shadowed_rows(held(project), held(whole), (*key, "name"))
+
+
 def configuration(rows: DataFrame, pkg: str, version: str, unit_id: str) -> DataFrame:
     return rows.where((F.col("pkg") == pkg) & (F.col("version") == version) & (F.col("unit_id") == unit_id))
 

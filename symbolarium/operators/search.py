@@ -143,6 +143,19 @@ def collapse(rows: DataFrame) -> DataFrame:
     return grouped.unionByName(others)
 
 
+def alternate_rows(results: DataFrame) -> DataFrame:
+    """Results of ``collapse`` with ``others``, an array of ``component, module, label, defines``: the
+    places a symbol is presented under beside the one shown, the defining one tagged where it is
+    among them and appended where it is neither there nor the one shown."""
+    place = lambda component, module: F.struct(component.alias("component"), module.alias("module"))
+    defined, landed = place(F.col("def_component"), F.col("def_module")), place(F.col("component"), F.col("module"))
+    extra = (F.col("kind") == "symbol") & F.col("def_component").isNotNull() & (defined != landed) & ~F.array_contains("alternates", defined)
+    listed = F.concat("alternates", F.when(extra, F.array(defined)).otherwise(F.array().cast("array<struct<component:string,module:string>>")))
+    label = lambda p: F.concat(p["component"], F.lit(":"), p["module"])
+    tagged = F.transform(listed, lambda p: F.struct(p["component"].alias("component"), p["module"].alias("module"), label(p).alias("label"), (p == defined).alias("defines")))
+    return results.withColumn("others", tagged)
+
+
 def search(entities: DataFrame, query: SearchQuery, limit: int = LIMIT) -> DataFrame:
     """The ``limit`` best results; ties by component, module, name, then definition."""
     order = [F.desc("score"), F.asc_nulls_first("component"), F.asc_nulls_first("module"), F.asc_nulls_first("name"), F.asc_nulls_first("def_component"), F.asc_nulls_first("def_module"), "kind"]

@@ -61,6 +61,12 @@ def dependency_edges(units: DataFrame) -> DataFrame:
     return library_last(units, "depends").select("pkg", F.posexplode("depends").alias("pos", "dep")).join(ids, "dep").select("pkg", "pos", "dep_pkg", "dep_version")
 
 
+def planned(asks: DataFrame, units: DataFrame) -> DataFrame:
+    """``asks(pkg)`` with the ``version`` and ``unit_id`` that the plan has for each, null for packages
+    it lacks; of a package's units the library's, the last in the plan."""
+    return asks.select("pkg").distinct().join(library_last(units, "version", "unit_id"), "pkg", "left")
+
+
 def live_branches(stanzas: DataFrame) -> DataFrame:
     """``then`` rows unless the condition is known false, ``else`` rows unless known true;
     what cannot be decided keeps both."""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolarium.functions import ident
-from symbolarium.operators import declarations
+from symbolarium.operators import declarations, lookup, search
 from symbolarium.operators.name_index import NameIndex
-from symbolarium.queries import _NAMED, _VERSIONED, query
+from symbolarium.plans import build_plan
+from symbolarium.queries import _NAMED, _PINS, _VERSIONED, _pins, _symbols, query
 from symbolarium.sources import catalog, packages
 
 
@@ -168,3 +169,41 @@ def lookup_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookups that read only the files where the names stand."""
     index = NameIndex.build(catalog.versioned(spark, sf_dir))
     return index.find("redBolt").unionByName(index.find("hotGear")).unionByName(index.find("coldPlate", "Cat.Promo"))
+
+
+@query("modules_in_both_stores", f"""WITH {_NAMED}, {_VERSIONED}, {_PINS}, scoped AS (SELECT v.* FROM versioned v JOIN pins p ON p.pkg = v.pkg WHERE p.pin_unit = v.unit_id OR p.pin_version = v.version),
+asks AS (SELECT DISTINCT pkg, mod FROM versioned WHERE length(mod) % 2 = 0), own AS (SELECT * FROM scoped SEMI JOIN asks USING (pkg, mod) WHERE name < 'm'), others AS (SELECT * FROM scoped SEMI JOIN asks USING (pkg, mod) WHERE name > 'c')
+SELECT * FROM own UNION ALL SELECT * FROM others o WHERE NOT EXISTS (SELECT 1 FROM own w WHERE (w.pkg, w.mod, w.name) = (o.pkg, o.mod, o.name))""")
+def modules_in_both_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.versioned(spark, sf_dir)
+    asks = rows.where("length(mod) % 2 = 0").select("pkg", "mod").distinct()
+    return lookup.module_in_stores(asks, rows.where("name < 'm'"), rows.where("name > 'c'"), _pins(spark, sf_dir))
+
+
+@query("planned_units", """WITH units AS (SELECT p_brand AS pkg, '1.' || p_size AS version, 'u' || p_partkey AS unit_id, p_partkey AS pos, p_size % 2 = 0 AS has_lib FROM part WHERE p_size < 30),
+best AS (SELECT pkg, arg_max({'v': version, 'u': unit_id}, (has_lib, pos)) AS x FROM units GROUP BY pkg), asks AS (SELECT DISTINCT p_brand AS pkg FROM part UNION SELECT DISTINCT p_brand || 'x' FROM part)
+SELECT pkg, x.v AS version, x.u AS unit_id FROM asks LEFT JOIN best USING (pkg)""")
+def planned_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _part(spark, sf_dir)
+    units = part.where("p_size < 30").select(F.col("p_brand").alias("pkg"), F.concat(F.lit("1."), F.col("p_size").cast("string")).alias("version"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("unit_id"), F.col("p_partkey").alias("pos"), (F.col("p_size") % 2 == 0).alias("has_lib"))
+    return build_plan.planned(part.select(F.explode(F.array("p_brand", F.concat("p_brand", F.lit("x")))).alias("pkg")), units)
+
+
+# -- presentations ----------------------------------------------------------------------------
+
+# Definitions of which a third lies in a module that presents nothing.
+_PRESENTED = f"""WITH {_NAMED}, {_symbols()}, moved AS (SELECT *, CASE WHEN length(name) % 3 = 0 THEN 'Hidden.' || def_module ELSE def_module END AS home FROM symbols), shown AS (
+  SELECT *, row_number() OVER (PARTITION BY def_component, home, name ORDER BY visibility = 'internal', list_contains(string_split(module, '.'), 'Internal'), len(string_split(module, '.')), module, component, signature) AS rn FROM moved
+), first AS (SELECT * FROM shown WHERE rn = 1), rest AS (SELECT s.def_component, s.home, s.name, s.component || ':' || s.module AS label, min(s.rn) AS rn, bool_or(s.component = s.def_component AND s.module = s.home) AS defines FROM shown s WHERE rn > 1 GROUP BY ALL),
+listed AS (SELECT * FROM rest UNION ALL SELECT f.def_component, f.home, f.name, f.def_component || ':' || f.home, 1000000, true FROM first f
+  WHERE (f.component, f.module) <> (f.def_component, f.home) AND NOT EXISTS (SELECT 1 FROM rest r WHERE (r.def_component, r.home, r.name) = (f.def_component, f.home, f.name) AND r.defines))
+SELECT f.component, f.module, f.name, f.home AS def_module, coalesce(string_agg(label || CASE WHEN defines THEN ' (defines it)' ELSE '' END, ', ' ORDER BY l.rn), '') AS others
+FROM first f LEFT JOIN listed l ON (l.def_component, l.home, l.name) = (f.def_component, f.home, f.name) GROUP BY f.component, f.module, f.name, f.def_component, f.home"""
+
+
+@query("tagged_alternates", _PRESENTED)
+def tagged_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.searchable(catalog.symbols(spark, sf_dir)).where("kind = 'symbol'").withColumn("score", F.lit(1))
+    rows = rows.withColumn("def_module", F.when(F.length("name") % 3 == 0, F.concat(F.lit("Hidden."), "def_module")).otherwise(F.col("def_module")))
+    shown = F.transform("others", lambda p: F.concat(p["label"], F.when(p["defines"], " (defines it)").otherwise("")))
+    return search.alternate_rows(search.collapse(rows)).select("component", "module", "name", "def_module", F.array_join(shown, ", ").alias("others"))
