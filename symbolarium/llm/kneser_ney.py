@@ -45,6 +45,8 @@ END = np.uint64(0x0E0D0E0D0E0D0E0D)
 ORDER = 3
 #: Distinct entries a task gathers before it sends them on.
 FLUSH = 1_800_000
+#: Text that is scored at a time: each shard is asked once for all of it.
+STEP_BYTES = 3 << 20
 #: Files that a task holds open at a time; others are opened again when they are needed.
 OPEN_FILES = 192
 #: How many bits of a byte are set.
@@ -153,8 +155,17 @@ def _ngrams(model: NgramModel, ids: np.ndarray, bounds: np.ndarray) -> list[np.n
 
 
 def _ranked(shard: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
-    """An order by shard, then by words, the last one first: ids that repeat compress."""
-    return np.lexsort((*columns, shard))
+    """An order by shard, then by words, the last one first, as far as 64 bits reach: ids that
+    repeat compress."""
+    key, used = shard.astype(np.uint64), int(shard.max(initial=0)).bit_length()
+    for column in reversed(columns):
+        bits = int(column.max(initial=0)).bit_length()
+        if used + bits > 64:
+            if used == int(shard.max(initial=0)).bit_length():  # word hashes: their first bits name the shard
+                return np.argsort(column)
+            break
+        key, used = key << np.uint64(bits) | column.astype(np.uint64), used + bits
+    return np.argsort(key)
 
 
 def _pressed(data: bytes) -> bytes:
@@ -578,7 +589,7 @@ def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         with _Reader.opened(model) as reader:
-            for chunk in chunks(batches):
+            for chunk in chunks(batches, limit=STEP_BYTES):
                 hashes, bounds = _tokens(chunk)
                 counts, base, own = _scores(model, reader, hashes, bounds)
                 sums = [np.add.reduceat(x, bounds[:-1]) for x in ((counts > 0).astype(np.int64), base, own)]
