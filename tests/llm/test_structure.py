@@ -135,6 +135,10 @@ def test_trie_is_its_sql(spark):
     same_as_sql(spark, "op12_prefix_trie", ["conversations"])
 
 
+def test_trie_has_the_columns_of_its_sql(spark):
+    assert queries.QUERIES["op12_prefix_trie"](spark, SF).columns == COLUMNS
+
+
 def odd_conversations(seed):
     """Shared beginnings of many depths, copies, one very long conversation, nulls, ties, repeated rows."""
     rng = random.Random(seed)
