@@ -120,6 +120,14 @@ def shared_trailing(a: Column, b: Column) -> Column:
     return shared_leading(turn(a), turn(b))
 
 
+def trailing_parts(path: Column) -> Column:
+    """What a path ends in, from nothing to all of it: an array of ``struct<n, text>`` with its last ``n``
+    of ``/`` segments. Two paths share ``n`` segments from the right if these are equal for ``n``."""
+    parts = F.split(path, "/")
+    tails = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/").alias("text")))
+    return F.coalesce(F.when(path.isNotNull(), tails), F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("text"))))
+
+
 def module_of_path(path: Column) -> Column:
     """``A/B/C.hs`` to ``A.B.C``."""
     return F.replace(F.regexp_replace(path, r"\.l?hs$", ""), F.lit("/"), F.lit("."))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolarium.functions.ident import shared_leading, shared_trailing
+from symbolarium.functions.ident import shared_leading, trailing_parts
+from symbolarium.plans.lineage import shuffled
 
 #: Declaration kinds from general to specific.
 KINDS = ["value", "type_signature", "pattern", "type", "type_family", "data_family", "data", "newtype", "class", "method", "constructor", "field"]
@@ -105,13 +106,25 @@ def ranked_candidates(asks: DataFrame) -> DataFrame:
     return asks.select("module", "name", F.array_distinct(F.concat(part("explicit"), part("open"))).alias("targets"))
 
 
+def nearest_files(asks: DataFrame, files: DataFrame, keys: list[str], *told: str) -> DataFrame:
+    """For each of ``asks(*keys, wanted)`` the file of ``files(*keys, path, *told)`` whose path shares most
+    with the one wanted from the right; of several the first by ``told``, which comes back as ``x``.
+
+    Files stand under everything that their paths end in, the first one for each ending, and an ask
+    takes the longest ending that has one. So asks and files that share ``keys`` never meet one by one."""
+    ends = files.select(*keys, F.explode(trailing_parts(F.col("path"))).alias("tail"), F.struct(*told).alias("x"))
+    first = ends.groupBy(*keys, "tail").agg(F.min("x").alias("x"))
+    wanted = asks.select(*keys, "wanted").distinct().select(*keys, "wanted", F.explode(trailing_parts(F.col("wanted"))).alias("tail"))
+    found = wanted.join(shuffled(first), [*keys, "tail"])
+    return found.groupBy(*keys, "wanted").agg(F.max_by("x", F.col("tail.n")).alias("x"))
+
+
 def swept(asks: DataFrame, decls: DataFrame) -> DataFrame:
     """Search a whole package: of the files that declare the name, the one whose path shares
     most with the path asked for, then the first by name. ``asks(package, name, wanted)``,
     ``decls(package, path, name, line)``."""
-    hits = asks.join(decls, ["package", "name"])
-    order = F.struct((-shared_trailing(F.col("path"), F.col("wanted"))).alias("far"), F.col("path").alias("path"), F.col("line").alias("line"))
-    return hits.groupBy("package", "name", "wanted").agg(F.min(order).alias("x")).select("package", "name", "wanted", "x.path", "x.line")
+    files = decls.groupBy("package", "name", "path").agg(F.min("line").alias("line"))
+    return nearest_files(asks, files, ["package", "name"], "path", "line").select("package", "name", "wanted", "x.path", "x.line")
 
 
 def site_decision(listed: Column, readable: Column, has_file: Column) -> Column:
