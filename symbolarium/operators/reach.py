@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolarium.functions.ident import shared_leading, shared_trailing
+from symbolarium.functions.ident import shared_leading
 from symbolarium.operators.cascade import outside_candidates, search_outcome
-from symbolarium.plans.lineage import Gathered, cut
+from symbolarium.operators.declarations import nearest_files
+from symbolarium.plans.lineage import cut, shuffled
 
 _ASK = ["component", "module", "name"]
 
@@ -18,19 +19,36 @@ _ASK = ["component", "module", "name"]
 def dependency_order(deps: DataFrame, roots: DataFrame) -> DataFrame:
     """``deps(pkg, pos, dep_pkg)`` to ``(root, pkg, place)``: what each of ``roots(pkg)`` reaches,
     nearest first; within a level by the order of whom brought it in, then its own list's. The root
-    is left out; cycles end, as a package once placed does not come again."""
-    edges = cut(deps.groupBy(F.col("pkg").alias("via"), F.col("dep_pkg").alias("pkg")).agg(F.min("pos").alias("pos")))
-    ring = cut(roots.select(F.col("pkg").alias("root"), "pkg", F.lit(0).alias("place")).distinct())
-    seen = Gathered(ring)
+    is left out; cycles end, as a package once placed does not come again.
+
+    Every package has one row, the levels below it as lists. A round appends to a package's ``h``
+    levels those of the packages on its last one, in their order, so levels double and a chain of n
+    links takes log2(n) rounds. Lists are made for all packages of ``deps``, roots or not."""
+    kind = dict(deps.dtypes)["dep_pkg"]
+    each = deps.where("dep_pkg <> pkg").groupBy("pkg", "dep_pkg").agg(F.min("pos").alias("pos"))
+    first = F.transform(F.array_sort(F.collect_list(F.struct("pos", "dep_pkg"))), lambda x: x["dep_pkg"])
+    lists, h = cut(each.groupBy("pkg").agg(F.array(F.array("pkg"), first).alias("rings"))), 1
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def lower(s: Column, j: Column) -> Column:
+        fresh = F.array_except(F.flatten(F.transform("others", lambda o: F.coalesce(F.get(o, j), nothing))), s["seen"])
+        return F.struct(F.concat(s["seen"], fresh).alias("seen"), F.concat(s["rings"], F.array(fresh)).alias("rings"))
+
     while True:
-        step = ring.select("root", F.col("pkg").alias("via"), F.col("place").alias("parent")).join(edges, "via")
-        fresh = step.join(seen.rows.select("root", "pkg"), ["root", "pkg"], "left_anti").groupBy("root", "pkg").agg(F.min(F.struct("parent", "pos")).alias("by"))
-        last = seen.rows.groupBy("root").agg(F.max("place").alias("last"))
-        order = F.row_number().over(Window.partitionBy("root").orderBy("by", "pkg"))
-        ring = cut(fresh.withColumn("n", order).join(last, "root").select("root", "pkg", (F.col("last") + F.col("n")).alias("place")))
-        if ring.isEmpty():
-            return seen.rows.where("place > 0")
-        seen.add(ring)
+        longest = F.size("rings") == h + 1
+        asked = lists.where(longest).select("pkg", F.posexplode(F.element_at("rings", h + 1)).alias("i", "via"))
+        told = asked.join(shuffled(lists.select(F.col("pkg").alias("via"), "rings")), "via")
+        others = F.transform(F.array_sort(F.collect_list(F.struct("i", "rings"))), lambda x: x["rings"])
+        joined = lists.join(shuffled(told.groupBy("pkg").agg(others.alias("others"))), "pkg", "left")
+        start = F.struct(F.flatten("rings").alias("seen"), F.col("rings").alias("rings"))
+        longer = F.filter(F.aggregate(F.sequence(F.lit(1), F.lit(h)), start, lower)["rings"], lambda r: F.size(r) > 0)
+        lists, h = cut(joined.select("pkg", F.when(F.col("others").isNull(), F.col("rings")).otherwise(longer).alias("rings"))), 2 * h
+        if lists.where(F.size("rings") == h + 1).isEmpty():
+            break
+    own = roots.select("pkg").distinct()
+    below = F.flatten(F.slice("rings", F.lit(2), F.size("rings")))
+    placed = lists.join(shuffled(own), "pkg", "left_semi").select(F.col("pkg").alias("root"), F.posexplode(below).alias("place", "pkg"))
+    return placed.select("root", "pkg", (F.col("place") + 1).alias("place"))
 
 
 def probed_modules(
@@ -55,7 +73,7 @@ def probed_modules(
     spark, open_, found, known, done = asks.sparkSession, asks, None, None, 1
     while done <= most:
         upto = 2 * done
-        wave = order.where((F.col("place") >= done) & (F.col("place") < upto)).join(open_.select("root").distinct(), "root", "left_semi")
+        wave = order.where((F.col("place") >= done) & (F.col("place") < upto)).join(shuffled(open_.select("root").distinct()), "root", "left_semi")
         new = wave.select("pkg").distinct().join(local.select("pkg"), "pkg", "left_semi")
         if known is not None:
             new = new.join(known.select("pkg").distinct(), "pkg", "left_anti")
@@ -63,10 +81,11 @@ def probed_modules(
         new = cut(new)
         made = cut(index(new).select("pkg", "module").unionByName(new.select("pkg", F.lit(None).cast("string").alias("module"))))
         known = made if known is None else known.unionByName(made)
-        held = open_.join(known, "module").join(wave, ["root", "pkg"])
+        # By package first: a module that many packages have would bring all of them to all its asks.
+        held = wave.join(shuffled(known.where("module IS NOT NULL")), "pkg").join(shuffled(open_), ["root", "module"])
         hit = cut(held.groupBy("root", "module").agg(F.min(F.struct("place", "pkg")).alias("x")).select("root", "module", "x.place", "x.pkg"))
         found = hit if found is None else found.unionByName(hit)
-        open_ = cut(open_.join(hit, ["root", "module"], "left_anti"))
+        open_ = cut(open_.join(shuffled(hit), ["root", "module"], "left_anti"))
         done = upto
         if open_.isEmpty():
             break
@@ -78,9 +97,9 @@ def probed_modules(
     fetched = cut(owned.where("owner IS NOT NULL").select("root", "owner").distinct().join(can, "owner", "left"))
     there = fetched.where("can").select("root", "owner")
     brought = cut(index(there.select(F.col("owner").alias("pkg")).distinct()).select(F.col("pkg").alias("owner"), "module"))
-    late = open_.join(brought, "module").join(there, ["root", "owner"]).groupBy("root", "module").agg(F.min("owner").alias("owner"))
+    late = there.join(shuffled(brought), "owner").join(shuffled(open_), ["root", "module"]).groupBy("root", "module").agg(F.min("owner").alias("owner"))
     count = order.groupBy("root").agg(F.max("place").alias("all"))
-    answers = asks.join(found, ["root", "module"], "left").join(late, ["root", "module"], "left").join(count, "root", "left").select(
+    answers = asks.join(shuffled(found), ["root", "module"], "left").join(shuffled(late), ["root", "module"], "left").join(shuffled(count), "root", "left").select(
         "root", "module", F.coalesce("pkg", "owner").alias("pkg"), "place",
         F.when(F.col("pkg").isNotNull(), "dependency").when(F.col("owner").isNotNull(), "owner").alias("how"),
         F.coalesce("place", "all", F.lit(0)).alias("touched"),
@@ -88,7 +107,7 @@ def probed_modules(
     answers = cut(answers)
     nothing = F.lit(None).cast("string")
     deepest = answers.groupBy("root").agg(F.max("touched").alias("touched"))
-    touched = order.join(deepest, "root").where("place <= touched").select("root", "pkg").join(local.groupBy("pkg").agg(F.max("has_list").alias("has_list")), "pkg", "left")
+    touched = order.join(shuffled(deepest), "root").where("place <= touched").select("root", "pkg").join(local.groupBy("pkg").agg(F.max("has_list").alias("has_list")), "pkg", "left")
     gaps = touched.where("has_list IS NULL").select("root", F.lit("no_local_source").alias("kind"), "pkg", nothing.alias("module"))
     gaps = gaps.unionByName(touched.where("NOT has_list").select("root", F.lit("no_module_list").alias("kind"), "pkg", nothing.alias("module")))
     unknown = asks.select("root").distinct().join(plan.select(F.col("pkg").alias("root")), "root", "left_anti")
@@ -115,43 +134,43 @@ def chained_searches(
     has what was not asked any more) and ``parse_budget``."""
     homes = cut(reach.groupBy("component", "target").agg(F.min("home").alias("home")))
     good = parsed.select(F.col("component").alias("home"), F.col("module").alias("target")).distinct().withColumn("good", F.lit(True))
-    both = decls.select("component", "module", "name").distinct().join(exported.select("component", "module", "name").distinct(), ["component", "module", "name"])
+    both = decls.select("component", "module", "name").distinct().join(shuffled(exported.select("component", "module", "name").distinct()), ["component", "module", "name"])
     declares = cut(both.select(F.col("component").alias("home"), F.col("module").alias("target"), "name"))
     offers = cut(imports.groupBy(F.col("component").alias("home"), F.col("module").alias("at"), "name", "target").agg(F.max("explicit").alias("explicit")))
-    ring = cut(asks.select(*_ASK).distinct().join(starts, _ASK).select(*_ASK, F.posexplode("candidates").alias("place", "target")))
+    ring = cut(asks.select(*_ASK).distinct().join(shuffled(starts), _ASK).select(*_ASK, F.posexplode("candidates").alias("place", "target")))
     out, seen, spent, hop = [], None, None, 0
     live = cut(asks.select(*_ASK).distinct())
     while True:
         hop += 1
-        fresh = ring if seen is None else ring.join(seen, [*_ASK, "target"], "left_anti")
+        fresh = ring if seen is None else ring.join(shuffled(seen), [*_ASK, "target"], "left_anti")
         fresh = cut(fresh)
-        drained = live.join(fresh.select(*_ASK).distinct(), _ASK, "left_anti")
+        drained = live.join(shuffled(fresh.select(*_ASK).distinct()), _ASK, "left_anti")
         out.append(_ended(drained, hop - 1, "no_supplier"))
-        live = cut(live.join(fresh.select(*_ASK).distinct(), _ASK, "left_semi"))
+        live = cut(live.join(shuffled(fresh.select(*_ASK).distinct()), _ASK, "left_semi"))
         if live.isEmpty():
             break
         if hop > hops:
             listed = fresh.groupBy(*_ASK).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "target"))), lambda x: x["target"]).alias("frontier"))
-            out.append(_ended(live, hop - 1, "hop_limit").drop("frontier").join(listed, _ASK))
+            out.append(_ended(live, hop - 1, "hop_limit").drop("frontier").join(shuffled(listed), _ASK))
             break
-        costly = fresh.join(homes, ["component", "target"])
+        costly = fresh.join(shuffled(homes), ["component", "target"])
         number = F.row_number().over(Window.partitionBy(*_ASK).orderBy("place"))
         costly = costly.withColumn("number", number)
-        costly = costly.withColumn("left", F.lit(budget)) if spent is None else costly.join(spent, _ASK, "left").withColumn("left", budget - F.coalesce("spent", F.lit(0))).drop("spent")
-        costly = cut(costly.join(good, ["home", "target"], "left"))
+        costly = costly.withColumn("left", F.lit(budget)) if spent is None else costly.join(shuffled(spent), _ASK, "left").withColumn("left", budget - F.coalesce("spent", F.lit(0))).drop("spent")
+        costly = cut(costly.join(shuffled(good), ["home", "target"], "left"))
         read = costly.where("number <= left AND good")
-        hit = read.join(declares, ["home", "target", "name"], "left_semi").groupBy(*_ASK).agg(F.min(F.struct("place", "home", "target")).alias("x"))
+        hit = read.join(shuffled(declares), ["home", "target", "name"], "left_semi").groupBy(*_ASK).agg(F.min(F.struct("place", "home", "target")).alias("x"))
         hit = cut(hit.select(*_ASK, F.col("x.home").alias("def_component"), F.col("x.target").alias("definer")))
         out.append(_ended(hit, hop, None))
-        live = live.join(hit, _ASK, "left_anti")
+        live = live.join(shuffled(hit), _ASK, "left_anti")
         over = costly.where("number > left").select(*_ASK).distinct()
-        out.append(_ended(live.join(over, _ASK, "left_semi"), hop, "parse_budget"))
-        live = cut(live.join(over, _ASK, "left_anti"))
+        out.append(_ended(live.join(shuffled(over), _ASK, "left_semi"), hop, "parse_budget"))
+        live = cut(live.join(shuffled(over), _ASK, "left_anti"))
         used = costly.groupBy(*_ASK).agg(F.count("*").alias("used"))
-        spent = used.withColumnRenamed("used", "spent") if spent is None else spent.join(used, _ASK, "full_outer").select(*_ASK, (F.coalesce("spent", F.lit(0)) + F.coalesce("used", F.lit(0))).alias("spent"))
+        spent = used.withColumnRenamed("used", "spent") if spent is None else spent.join(shuffled(used), _ASK, "full_outer").select(*_ASK, (F.coalesce("spent", F.lit(0)) + F.coalesce("used", F.lit(0))).alias("spent"))
         spent = cut(spent)
         seen = fresh.select(*_ASK, "target") if seen is None else cut(seen.unionByName(fresh.select(*_ASK, "target")))
-        step = read.join(live, _ASK, "left_semi").select(*_ASK, "home", F.col("target").alias("at"), F.col("place").alias("parent")).join(offers, ["home", "at", "name"])
+        step = read.join(shuffled(live), _ASK, "left_semi").select(*_ASK, "home", F.col("target").alias("at"), F.col("place").alias("parent")).join(shuffled(offers), ["home", "at", "name"])
         rank = F.struct((~F.col("explicit")).alias("open"), "parent", (-shared_leading(F.col("at"), F.col("target"))).alias("far"))
         best = step.groupBy(*_ASK, "target").agg(F.min(rank).alias("rank"))
         ring = best.select(*_ASK, "target", F.row_number().over(Window.partitionBy(*_ASK).orderBy("rank", "target")).alias("place"))
@@ -159,7 +178,7 @@ def chained_searches(
     for more in out[1:]:
         ended = ended.unionByName(more)
     first = starts.select(*_ASK, "candidates")
-    ended = ended.join(first, _ASK, "left")
+    ended = ended.join(shuffled(first), _ASK, "left")
     return ended.withColumn("candidates", F.when(F.col("failure") == "no_supplier", F.col("candidates")))
 
 
@@ -191,12 +210,12 @@ def searched_symbols(
     asks = cut(asks.select(*_ASK).distinct())
     mark = lambda rows, c: rows.select("component", "module").distinct().withColumn(c, F.lit(True))
     held = packages.groupBy("component").agg(F.min("directory").alias("directory"), F.bool_or("readable").alias("readable"))
-    seen = asks.join(mark(listed, "is_listed"), ["component", "module"], "left").join(mark(files, "has_file"), ["component", "module"], "left")
-    seen = seen.join(mark(parsed, "is_parsed"), ["component", "module"], "left").join(held, "component", "left")
+    seen = asks.join(shuffled(mark(listed, "is_listed")), ["component", "module"], "left").join(shuffled(mark(files, "has_file")), ["component", "module"], "left")
+    seen = seen.join(shuffled(mark(parsed, "is_parsed")), ["component", "module"], "left").join(held, "component", "left")
     site = sites.select(*_ASK, "definer").groupBy(*_ASK).agg(F.min("definer").alias("site"), F.lit(True).alias("has_site"))
     at = parsed.select("component", F.col("module").alias("site")).distinct().withColumn("site_parsed", F.lit(True))
     said = decls.select("component", F.col("module").alias("site"), "name").distinct().withColumn("said", F.lit(True))
-    seen = cut(seen.join(site, _ASK, "left").join(at, ["component", "site"], "left").join(said, ["component", "site", "name"], "left"))
+    seen = cut(seen.join(shuffled(site), _ASK, "left").join(shuffled(at), ["component", "site"], "left").join(shuffled(said), ["component", "site", "name"], "left"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     absent = ~yes("is_listed") & yes("readable") & ~yes("has_file")
     state = (
@@ -206,15 +225,15 @@ def searched_symbols(
     seen = seen.withColumn("state", state)
     sweep = seen.where("state = 'sweep'").select(*_ASK)
     path = lambda c: F.concat(F.replace(F.col(c), F.lit("."), F.lit("/")), F.lit(".hs"))
-    nearest = F.struct((-shared_trailing(path("at"), path("module"))).alias("far"), F.col("at").alias("at"))
-    hits = sweep.join(decls.select("component", F.col("module").alias("at"), "name").distinct(), ["component", "name"])
-    swept = hits.groupBy(*_ASK).agg(F.min(nearest)["at"].alias("swept"))
+    there = decls.select("component", "name", F.col("module").alias("at"), path("module").alias("path")).distinct()
+    swept = nearest_files(sweep.withColumn("wanted", path("module")), there, ["component", "name"], "at")
+    swept = sweep.withColumn("wanted", path("module")).join(shuffled(swept), ["component", "name", "wanted"]).select(*_ASK, F.col("x.at").alias("swept"))
     chain = seen.where("state = 'chain'").select(*_ASK)
     starts = outside_candidates(chain.select("module", "name", "component"), imports.select("module", "name", "target", "explicit", "component"), keys=_ASK)
     followed = chained_searches(chain, starts, reach, parsed, decls, exported, imports, hops, budget)
     followed = followed.select(*_ASK, F.col("def_component").alias("far_component"), F.col("definer").alias("far_definer"), "hop", F.col("failure").alias("far_failure"), "candidates", "frontier")
     texts = gaps.groupBy("component").agg(F.array_sort(F.collect_set("gap")).alias("gaps"))
-    rows = seen.join(swept, _ASK, "left").join(followed, _ASK, "left").join(texts, "component", "left")
+    rows = seen.join(shuffled(swept), _ASK, "left").join(shuffled(followed), _ASK, "left").join(texts, "component", "left")
     definer = F.when(F.col("state") == "found", F.col("site")).when(F.col("state") == "sweep", F.col("swept")).otherwise(F.col("far_definer"))
     failure = F.when(definer.isNotNull(), None).when(F.col("state") == "sweep", "swept_package").when(F.col("state") == "chain", F.col("far_failure")).otherwise(F.col("state"))
     resolved = F.when(F.col("state") == "not_declared", F.col("site")).when(F.col("state") == "module_unparsed", F.when(yes("is_parsed"), F.col("site")).otherwise(F.col("module")))
