@@ -13,7 +13,7 @@ _SYMBOL = ["component", "module", "name"]
 def signature_index(rows: DataFrame) -> DataFrame:
     """``rows(component, module, name, signature)`` with ``parts`` and ``keys``; rows without a
     signature are left out. Worth writing once, as every search reads it."""
-    parsed = rows.select(*_SYMBOL, "signature", signature_parts(F.col("signature")).alias("parts")).distinct()
+    parsed = rows.select(*_SYMBOL, "signature").distinct().withColumn("parts", signature_parts(F.col("signature")))
     return parsed.where(F.size("parts") > 0).withColumn("keys", signature_keys(F.col("parts")))
 
 
@@ -21,8 +21,9 @@ def signature_matches(asks: DataFrame, index: DataFrame | None, limit: int | Non
     """The symbols of ``index`` that fit each signature of ``asks(query)``: the same result and at
     least the arguments asked for, in any order, up to the names of variables.
 
-    A symbol is found through the asked part that the fewest symbols have, then checked for the
-    others. ``extra`` counts arguments that were not asked for, ``moved`` says that the order
+    Symbols with the same parts fit the same queries, so what is matched are the different lists of
+    parts, found through the asked part that the fewest lists have and then checked for the others;
+    each list brings its first ``limit`` symbols by name. ``extra`` counts arguments that were not asked for, ``moved`` says that the order
     differs; the first ``limit`` by these, then by name, are kept (a search result's length), null:
     all. Without an index, and for parts that no symbol has, there is no match.
     ``(query, component, module, name, signature, extra, moved, rank)``."""
@@ -30,13 +31,18 @@ def signature_matches(asks: DataFrame, index: DataFrame | None, limit: int | Non
     if index is None:
         return asks.sparkSession.createDataFrame([], schema)
     asked = asks.select("query").distinct().withColumn("want", signature_parts(F.col("query"))).withColumn("wanted", signature_keys(F.col("want")))
-    postings = index.select(*_SYMBOL, "signature", "parts", "keys", F.explode("keys").alias("key"))
+    shapes = index.select("parts", "keys").distinct()
+    postings = shapes.select("parts", "keys", F.explode("keys").alias("key"))
     each = asked.select("query", F.explode("wanted").alias("key"))
     sizes = postings.join(each.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
     rarest = each.join(sizes, "key", "left").groupBy("query").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
     found = postings.join(rarest.join(asked, "query"), "key").where(F.size(F.array_except("wanted", "keys")) == 0)
     extra = F.size("parts") - F.size("want")
-    fits = found.select("query", *_SYMBOL, "signature", extra.alias("extra"), ((extra == 0) & (F.col("parts") != F.col("want"))).alias("moved"))
+    fitting = found.select("query", "parts", extra.alias("extra"), ((extra == 0) & (F.col("parts") != F.col("want"))).alias("moved"))
+    held = index.select(*_SYMBOL, "signature", "parts")
+    if limit is not None:
+        held = held.withColumn("nth", F.row_number().over(Window.partitionBy("parts").orderBy(*_SYMBOL, "signature"))).where(F.col("nth") <= limit).drop("nth")
+    fits = fitting.join(held, "parts").select("query", *_SYMBOL, "signature", "extra", "moved")
     order = Window.partitionBy("query").orderBy("extra", "moved", *_SYMBOL, "signature")
     ranked = fits.withColumn("rank", F.row_number().over(order))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)

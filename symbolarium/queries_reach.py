@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolarium.operators import cascade, reach, signatures
+from symbolarium.plans.lineage import cut
 from symbolarium.queries import _CAP, _DEPS, _MODULES, _NAMED, query
 from symbolarium.sources import catalog
 
@@ -220,8 +221,8 @@ def _asked_signatures(rows: DataFrame) -> DataFrame:
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY extra, moved, component, module, name, signature) AS rank FROM fits)
 SELECT query, component, module, name, signature, extra, moved, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 20""")
 def signature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _signed(spark, sf_dir)
-    return signatures.signature_matches(_asked_signatures(rows), signatures.signature_index(rows))
+    rows = cut(_signed(spark, sf_dir))
+    return signatures.signature_matches(_asked_signatures(rows), cut(signatures.signature_index(rows)))
 
 
 @query("lookup_by_signature", f"""WITH {_TYPED}, pair AS (SELECT DISTINCT t, b FROM signed), asks AS (
@@ -233,11 +234,11 @@ def signature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query, pkg, mod, name, CAST(CASE WHEN pkg IS NOT NULL THEN 2 END AS INTEGER) AS tier, CASE WHEN pkg IS NULL THEN 'cache,hoogle-local,hoogle-remote' ELSE 'cache,hoogle-local' END AS tiers_consulted, CASE WHEN pkg IS NULL THEN 'NOT_FOUND' END AS error
 FROM asks LEFT JOIN (SELECT DISTINCT query, pkg, mod, name FROM ranked WHERE rank <= 20) r USING (query)""")
 def lookup_by_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _signed(spark, sf_dir)
+    rows = cut(_signed(spark, sf_dir))
     shapes = F.array(F.format_string("x -> %s -> %s", "t", "b"), F.format_string("%s -> Nowhere", "t"), F.lower("t"))
     asks = rows.select("t", "b").distinct().select(F.explode(shapes).alias("query")).distinct()
     named = rows.select(F.lower("t").alias("query"), F.lit("far").alias("pkg"), F.lit("Far").alias("mod"), F.lower("t").alias("name")).distinct()
-    local = signatures.local_tier(asks, signatures.signature_index(rows), named)
+    local = signatures.local_tier(asks, cut(signatures.signature_index(rows)), named)
     nothing = spark.createDataFrame([], "pkg string, mod string, name string, version string, unit_id string")
     remote = spark.createDataFrame([], "query string, pkg string, mod string, name string, resolved_from string, error string")
     out = cascade.resolved_lookups(asks, nothing, nothing, None, local, remote)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from symbolarium.functions import ident
-from symbolarium.operators import declarations, reach, resolve
+from symbolarium.operators import declarations, graph, reach, resolve, signatures
+from symbolarium.sources import packages
 
 
 @pytest.fixture
@@ -86,3 +87,35 @@ def test_long_chains_take_few_rounds(spark, plans):
     out = reach.dependency_order(deps, spark.createDataFrame([(3,)], "pkg int"))
     assert [r["pkg"] for r in out.orderBy("place").collect()] == [*range(4, 71), 0, 1, 2]
     assert len(plans) <= 9
+
+
+def test_signatures_are_matched_by_their_lists_of_parts(spark):
+    rows = spark.createDataFrame([("c", "M", f"f{i:02}", f"f{i:02} :: Int -> Bool") for i in range(30)], "component string, module string, name string, signature string")
+    out = signatures.signature_matches(spark.createDataFrame([("Int -> Bool",)], "query string"), signatures.signature_index(rows), limit=3)
+    assert sorted((r["rank"], r["name"]) for r in out.collect()) == [(1, "f00"), (2, "f01"), (3, "f02")]
+    assert len(re.findall(r"Window \[row_number\(\) windowspecdefinition\(parts", optimized(out))) == 1
+
+
+def test_extensions_keep_one_row_a_module_and_flag(spark, monkeypatch):
+    real, sizes = packages.cut, []
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(packages, "cut", counted)
+    settings = spark.createDataFrame([("M", i, f"e{i:02}", True) for i in range(12)] + [("M", 12, "e05", False), ("M", 13, "e12", False)], "module string, pos int, flag string, state boolean")
+    implied = spark.createDataFrame([(f"e{i:02}", f"e{i + 1:02}", True) for i in range(11)] + [("e11", "e12", True), ("e11", "e03", False), ("e04", "e00", True)], "flag string, implied string, state boolean")
+    out = packages.applied_extensions(settings, implied)
+    assert sorted(r["flag"] for r in out.collect()) == ["e00", "e01", "e02", "e04", "e06", "e07", "e08", "e09", "e10", "e11"]
+    assert max(sizes) <= 30  # pairs of a setting and what it reaches are 100
+
+
+def test_levels_broadcast_nothing(spark, monkeypatch):
+    real, seen = graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda df: (seen.append(physical(df)), real(df))[1])
+    deps = spark.createDataFrame([("a", "b"), ("b", "c")], "pkg string, dep_pkg string")
+    out = graph.levels(deps, spark.createDataFrame([("a",), ("b",), ("c",)], "pkg string"))
+    assert {r["pkg"]: r["level"] for r in out.collect()} == {"c": 0, "b": 1, "a": 2}
+    assert not any("Broadcast" in p for p in seen)
