@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symbolarium.functions.ident import package_ref, version_macro, version_numbers
-from symbolarium.plans.lineage import cut
+from symbolarium.plans.lineage import Gathered, cut, shuffled
 
 COMPONENT_TYPE = "path string, package string, kind string, name string, branch string, cond string, list string, value string, pos int, error string"
 _STANZA = re.compile(r"^(library|executable|common|test-suite|benchmark|foreign-library|flag|source-repository)\b\s*(\S*)", re.IGNORECASE)
@@ -348,16 +348,22 @@ def applied_extensions(settings: DataFrame, implications: DataFrame) -> DataFram
     off all that it implies, however far; turning one off leaves what it implied. So the last
     setting that names or implies a flag decides. ``(module, flag)`` of those left on."""
     link = lambda state: implications.where(F.col("state") == state).select(F.col("flag").alias("via"), F.col("implied").alias("to"))
-    reached = fresh = cut(settings.where("state").select("flag", F.col("flag").alias("to")).distinct())
+    on = cut(link(True))
+    # What decides is the last setting alone, so a round passes on the last place at which a module turns a flag on.
+    fresh = cut(settings.where("state").groupBy("module", F.col("flag").alias("to")).agg(F.max("pos").alias("pos")))
+    known = Gathered(fresh)
     while not fresh.isEmpty():
-        step = fresh.select("flag", F.col("to").alias("via")).join(link(True), "via").select("flag", "to").distinct()
-        fresh = cut(step.join(reached, ["flag", "to"], "left_anti"))
-        reached = cut(reached.unionByName(fresh))
-    turned_off = reached.select("flag", F.col("to").alias("via")).join(link(False), "via").select("flag", "to", F.lit(False).alias("on"))
-    effects = reached.withColumn("on", F.lit(True)).unionByName(turned_off).groupBy("flag", "to").agg(F.bool_and("on").alias("on"))
-    applied = settings.where("state").join(effects, "flag").select("module", "pos", "to", "on")
-    applied = applied.unionByName(settings.where("NOT state").select("module", "pos", F.col("flag").alias("to"), F.lit(False).alias("on")))
-    return applied.groupBy("module", "to").agg(F.max_by("on", "pos").alias("on")).where("on").select("module", F.col("to").alias("flag"))
+        step = fresh.select("module", F.col("to").alias("via"), "pos").join(shuffled(on), "via").groupBy("module", "to").agg(F.max("pos").alias("pos"))
+        before = known.rows.groupBy("module", "to").agg(F.max("pos").alias("before"))
+        later = F.col("before").isNull() | (F.col("before") < F.col("pos"))
+        fresh = cut(step.join(shuffled(before), ["module", "to"], "left").where(later).select("module", "to", "pos"))
+        known.add(fresh)
+    last_on = cut(known.rows.groupBy("module", "to").agg(F.max("pos").alias("pos")))
+    off = last_on.select("module", F.col("to").alias("via"), "pos").join(shuffled(link(False)), "via").select("module", "to", "pos")
+    off = off.unionByName(settings.where("NOT state").select("module", F.col("flag").alias("to"), "pos"))
+    last_off = off.groupBy("module", "to").agg(F.max("pos").alias("off"))
+    left = last_on.join(shuffled(last_off), ["module", "to"], "left").where("off IS NULL OR pos > off")  # of one setting, off wins
+    return left.select("module", F.col("to").alias("flag"))
 
 
 def flag_kind(flag: Column, languages: list[str], extensions: list[str], ignorable: list[str]) -> Column:
