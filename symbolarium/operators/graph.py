@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolarium.plans.lineage import Gathered, cut
+from symbolarium.plans.lineage import Gathered, cut, shuffled
 
 
 def forward(deps: DataFrame, pkg, limit: int | None = None) -> DataFrame:
@@ -48,17 +48,17 @@ def levels(deps: DataFrame, subset: DataFrame) -> DataFrame:
     dependency in the subset. What a cycle keeps from ever being ready comes last, together.
     """
     own = subset.select("pkg").distinct()
-    edges = deps.select("pkg", "dep_pkg").distinct().where("pkg <> dep_pkg").join(own, "pkg", "left_semi").join(own.withColumnRenamed("pkg", "dep_pkg"), "dep_pkg", "left_semi")
+    edges = deps.select("pkg", "dep_pkg").distinct().where("pkg <> dep_pkg").join(shuffled(own), "pkg", "left_semi").join(shuffled(own.withColumnRenamed("pkg", "dep_pkg")), "dep_pkg", "left_semi")
     edges, left = cut(edges), cut(own)
     out, level = None, 0
     while True:
-        ready = cut(left.join(edges, "pkg", "left_anti").withColumn("level", F.lit(level)))
+        ready = cut(left.join(shuffled(edges), "pkg", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             rest = left.withColumn("level", F.lit(level))
             return rest if out is None else out.unionByName(rest)
         out = ready if out is None else out.unionByName(ready)
-        left = cut(left.join(ready, "pkg", "left_anti"))
-        edges = cut(edges.join(ready.select(F.col("pkg").alias("dep_pkg")), "dep_pkg", "left_anti"))
+        left = cut(left.join(shuffled(ready), "pkg", "left_anti"))
+        edges = cut(edges.join(shuffled(ready.select(F.col("pkg").alias("dep_pkg"))), "dep_pkg", "left_anti"))
         level += 1
 
 
