@@ -9,9 +9,10 @@ Steps, each a Spark job over partitioned rows:
 
 1. every text posts the prefix of its set under the hash order, longer by ``l``. In buckets
    of shingles it is counted how many of them another text of similar size posts as well.
-   A text with too few can have no partner; most texts end here. A batch tells a shingle
-   that many of its own texts post only once, so a passage in a third of all documents
-   makes one posting a batch. Equal sets are one class, under one node.
+   A text with too few can have no partner; most texts end here. A bucket answers with one
+   block of counts for each group of texts, which sums the blocks and gives a row a text. A
+   batch tells a shingle that many of its own texts post only once, so a passage in a third
+   of all documents makes one posting a batch. Equal sets are one class, under one node.
 2. what is left posts its prefix under the rarity order, rarest members first. The nodes
    that post one shingle are a list; every link lies within a list.
 3. rounds of pivots: each list takes one node, which is compared with the others, and is
@@ -81,11 +82,17 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-_POSTINGS = "bucket int, ids binary, marks binary, key binary, n binary, node binary, counts binary, single binary, several binary"
-_FACTS = "kind int, doc_id long, mark long, key long, key2 long, n long, node long, c long"
+_COUNTS = "bucket int, ids binary, marks binary, key binary, n binary, node binary, counts binary"
+_POSTINGS = f"{_COUNTS}, single binary, several binary"
+_FACTS = "doc_id long, mark long, key long, key2 long, n long, node long, c long"
 _BINARY = _POSTINGS.replace(" binary", "").split(", ")[1:]
 
 
+def _home(node: np.ndarray, buckets: int) -> np.ndarray:
+    """The group that gathers the counts of nodes: by the batch that named them."""
+    return ((node >> 43) + (node >> 21 & (1 << 22) - 1)) % buckets
+
+
 def _prefix_blocks(buckets: int, size: int, threshold: int):
     """Per chunk of texts: one row of facts, and a row of postings for each bucket."""
 
@@ -117,7 +124,7 @@ def _prefix_blocks(buckets: int, size: int, threshold: int):
             ids = pc.fill_null(chunk.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ids = np.r_[ids, known.to_numpy(zero_copy_only=False).astype(np.int64)]
             marks = chunk.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = [((part + seq) % buckets, ids, marks, keys, n, node, np.c_[node[reps], local], None, None)]
+            rows = [(int(_home(part << 43 | seq << 21, buckets)), ids, marks, keys, n, node, np.c_[node[reps], local], None, None)]
             for b in range(buckets):
                 d, v = doc[cut[b] : cut[b + 1]], several[v_cut[b] : v_cut[b + 1]]
                 if len(d) or len(v):
@@ -131,54 +138,87 @@ def _prefix_blocks(buckets: int, size: int, threshold: int):
     return run
 
 
-def _facts(kind: int, size: int = 0, **columns: np.ndarray) -> pa.Table:
-    none = pa.nulls(size, pa.int64())
-    names = [c.split()[0] for c in _FACTS.split(", ")[1:]]
-    return pa.table([pa.array(np.full(size, kind, np.int32)), *(pa.array(columns[c], pa.int64()) if c in columns else none for c in names)], names=["kind", *names])
+def _rows(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+    """The binary cells of each row that are not null, as arrays."""
+    kinds = {"single": np.uint64, "several": np.uint64}
+    for part in table.to_batches():
+        names = [c for c in part.schema.names if c != "bucket"]
+        for row in zip(*(part.column(c) for c in names), strict=True):
+            yield {c: np.frombuffer(cell.as_buffer(), kinds.get(c, np.int64)) for c, cell in zip(names, row, strict=True) if cell.is_valid}
 
 
-def _partnered(threshold: int):
-    """One bucket: how many of each text's postings another text of similar size makes as well."""
+def _partnered(threshold: int, buckets: int):
+    """One bucket: how many of each text's postings another text of similar size makes as well, in
+    a block for each group of nodes. What tells of the texts themselves is passed on to theirs."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, whole = [], {k: [] for k in _BINARY}
-        kinds = {"single": np.uint64, "several": np.uint64}
-        for part in table.to_batches():
-            for row in (dict(zip(part.schema.names, cells, strict=True)) for cells in zip(*part.columns, strict=True)):
-                view = {k: np.frombuffer(row[k].as_buffer(), kinds.get(k, np.int64)) for k in _BINARY if row[k].is_valid}
-                if "single" in view:
-                    for k, v in view.items():
-                        whole[k].append(v)
-                    continue
-                ids, known = view["ids"].reshape(2, -1)
-                keys, reps = view["key"].reshape(-1, 2), view["counts"].reshape(-1, 2)
-                out.append(_facts(0, len(ids), doc_id=pa.array(ids, mask=known == 0), mark=view["marks"], key=keys[:, 0], key2=keys[:, 1], n=view["n"], node=view["node"]))
-                reps = reps[reps[:, 1] > 0]
-                out.append(_facts(1, len(reps), node=reps[:, 0], c=reps[:, 1]))
-        if whole["single"]:
-            view = {k: np.concatenate(v) for k, v in whole.items() if v}
-            h, n, name = view["single"], view["n"], view["key"].reshape(-1, 2)[:, 0]
-            text = np.repeat(np.arange(len(n), dtype=np.int32), view["counts"])
-            order = np.lexsort((n.astype(np.int32)[text], h))
-            h, text = h[order], text[order]
-            size = n[text]
-            at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (size[1:] != size[:-1])]) if len(h) else np.zeros(0, np.int64)
-            if len(at):
-                # Runs of equal shingle and size: several sets in one, or a run of similar size beside it.
-                own = name[text]
-                hit = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
-                near = (h[at[1:]] == h[at[:-1]]) & (100 * size[at[:-1]] >= threshold * size[at[1:]])
-                hit[1:] |= near
-                hit[:-1] |= near
-                hit |= np.isin(h[at], view["several"])
-                text = text[np.repeat(hit, np.diff(np.r_[at, len(h)]))]
-                which, count = np.unique(text, return_counts=True)
-                out.append(_facts(1, len(which), node=view["node"][which], c=count))
-        return pa.concat_tables(out) if out else _facts(0)
+        columns = [c.split()[0] for c in _COUNTS.split(", ")]
+        own = table.filter(pc.is_valid(table.column("ids"))).select(columns)
+        view = {k: [] for k in _BINARY}
+        for row in _rows(table):
+            for k, v in row.items() if "single" in row else ():
+                view[k].append(v)
+        if not view["single"]:
+            return own
+        view = {k: np.concatenate(v) for k, v in view.items() if v}
+        h, n, name = view["single"], view["n"], view["key"].reshape(-1, 2)[:, 0]
+        text = np.repeat(np.arange(len(n), dtype=np.int32), view["counts"])
+        order = np.lexsort((n.astype(np.int32)[text], h))
+        h, text = h[order], text[order]
+        size = n[text]
+        at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (size[1:] != size[:-1])]) if len(h) else np.zeros(0, np.int64)
+        if not len(at):
+            return own
+        # Runs of equal shingle and size: several sets in one, or a run of similar size beside it.
+        keys = name[text]
+        hit = np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)
+        near = (h[at[1:]] == h[at[:-1]]) & (100 * size[at[:-1]] >= threshold * size[at[1:]])
+        hit[1:] |= near
+        hit[:-1] |= near
+        hit |= np.isin(h[at], view["several"])
+        which, count = np.unique(text[np.repeat(hit, np.diff(np.r_[at, len(h)]))], return_counts=True)
+        node = view["node"][which]
+        home = _home(node, buckets)
+        order = np.argsort(home, kind="stable")
+        node, count = node[order], count[order]
+        homes, cut = np.unique(home[order], return_index=True)
+        ends = np.r_[cut, len(node)][1:]
+        none = pa.nulls(len(homes), pa.binary())
+        blocks = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(cut, ends, strict=True)], pa.binary()) for x in (node, count)]
+        answers = pa.table([pa.array(homes, pa.int32()), none, none, none, none, *blocks], names=columns)
+        return pa.concat_tables([own, answers])
 
     return run
 
 
+def _counted(table: pa.Table) -> pa.Table:
+    """One group of texts: a row each, with its counts over all buckets."""
+    whole, nodes, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row in _rows(table):
+        if "ids" in row:
+            whole.append(row)
+            own = row["counts"].reshape(-1, 2)
+            nodes.append(own[:, 0])
+            counts.append(own[:, 1])
+        else:
+            nodes.append(row["node"])
+            counts.append(row["counts"])
+    node, back = np.unique(np.concatenate(nodes), return_inverse=True)
+    total = np.bincount(back, np.concatenate(counts), len(node)).astype(np.int64)
+    out = []
+    for row in whole:
+        ids, known = row["ids"].reshape(2, -1)
+        keys = row["key"].reshape(-1, 2)
+        c = np.zeros(len(ids), np.int64)
+        at = np.searchsorted(node, row["node"])
+        told = np.flatnonzero(at < len(node))
+        told = told[node[at[told]] == row["node"][told]]
+        c[told] = total[at[told]]
+        cells = (pa.array(ids, mask=known == 0), row["marks"], keys[:, 0], keys[:, 1], row["n"], row["node"], c)
+        out.append(pa.table([pa.array(x, pa.int64()) for x in cells], names=[f.split()[0] for f in _FACTS.split(", ")]))
+    return pa.concat_tables(out)
+
+
 def _as_sets(size: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -378,16 +418,16 @@ def _grouped(docs: DataFrame, threshold: int, size: int, by_id: bool) -> tuple[D
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
     buckets = text_buckets(docs, BUCKET_BYTES)
     facts = stored(
-        docs.mapInArrow(_prefix_blocks(buckets, size, threshold), _POSTINGS).groupBy("bucket").applyInArrow(_partnered(threshold), _FACTS),
+        docs.mapInArrow(_prefix_blocks(buckets, size, threshold), _POSTINGS).groupBy("bucket").applyInArrow(_partnered(threshold, buckets), _COUNTS)
+        .groupBy("bucket").applyInArrow(_counted, _FACTS),
         "facts",
     )
-    info = facts.where("kind = 0").select("doc_id", "mark", "n", "key", "key2", "node")
-    held = facts.where("kind = 1").groupBy("node").agg(F.sum("c").alias("c"))
+    info = facts.select("doc_id", "mark", "n", "key", "key2", "node")
     classes = info.where("n > 0").groupBy("key", "key2").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.count("*").alias("rows"))
     # A partner may be smaller by the threshold, and its prefix then shorter in proportion.
     least = F.greatest(F.lit(1), F.ceil(F.lit(EXTRA) * F.ceil(F.col("n") * threshold / 100)))
     alive = stored(
-        info.select("node", "key", "key2", "n").distinct().join(held, "node").where(F.col("c") >= F.least(least, F.ceil(F.col("n") * threshold / 100)))
+        facts.where("c > 0").where(F.col("c") >= F.least(least, F.ceil(F.col("n") * threshold / 100)))
         .select("key", "key2").distinct().join(classes, ["key", "key2"]).select("key", "key2", "node"),
         "alive",
     )

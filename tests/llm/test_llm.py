@@ -741,6 +741,24 @@ def test_buckets_follow_the_size_of_the_text(spark, docs, monkeypatch):
     assert sorted(tuple(r) for r in got) == components_by_loop(rows)
 
 
+def test_buckets_answer_with_a_row_a_text(spark, monkeypatch):
+    stored, rows_of = ngram_join.stored, {}
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows_of[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    rows = near_copies(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for size in (96 << 20, 1_000):
+        monkeypatch.setattr(ngram_join, "BUCKET_BYTES", size)
+        got = ngram_join.ngram_jaccard_components(docs).collect()
+        assert sorted(tuple(r) for r in got) == components_by_loop(rows)
+        assert rows_of["facts"] == len(rows)
+
+
 def test_join_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
     got = [tuple(r) for r in ngram_join.ngram_jaccard_components(odd).collect()]
