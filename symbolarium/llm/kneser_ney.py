@@ -253,7 +253,7 @@ def _arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped; none if it was never written."""
     if not os.path.exists(path):
         return {}
-    data = np.memmap(path, np.uint8, "r")
+    data = np.memmap(path, np.uint8, "r").view(np.ndarray)
     start = 8 + int(data[:8].view(np.int64)[0])
     out = {}
     for name, kind, n, at in json.loads(data[8:start].tobytes()):
@@ -282,15 +282,21 @@ def _places(held: dict[str, np.ndarray], name: str, hashes: np.ndarray) -> np.nd
     mixed, bits = mix64(hashes), (len(ends) - 1).bit_length() - 1
     bucket = (mixed >> np.uint64(64 - bits)).astype(np.int64)
     want = ((mixed << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-    at, stop = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
-    live = np.flatnonzero(at < stop)
-    while len(live):
-        have = low[at[live]]
-        hit = live[have == want[live]]
-        out[hit] = at[hit]
-        live = live[have < want[live]]
-        at[live] += 1
-        live = live[at[live] < stop[live]]
+    first, stop = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
+    some = np.flatnonzero(first < stop)
+    first, stop, want = first[some], stop[some], want[some]
+    # The 32 bits are spread evenly: they tell about where in the bucket to begin, then it is a few steps.
+    at = first + (want.astype(np.uint64) * (stop - first).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    have = low[at]
+    out[some[have == want]] = at[have == want]
+    for step, live in ((1, np.flatnonzero(have < want)), (-1, np.flatnonzero(have > want))):
+        while len(live):
+            at[live] += step
+            live = live[at[live] < stop[live] if step > 0 else at[live] >= first[live]]
+            have, own = low[at[live]], want[live]
+            hit = live[have == own]
+            out[some[hit]] = at[hit]
+            live = live[have < own if step > 0 else have > own]
     return out
 
 
@@ -399,7 +405,8 @@ def train_ngram_model(docs: DataFrame, order: int = ORDER) -> NgramModel:
             def pieces() -> Iterator[list[np.ndarray]]:
                 for chunk in chunks(batches):
                     hashes, bounds = _tokens(chunk)
-                    yield _ngrams(model, reader.ids(hashes).astype(np.uint32), bounds)
+                    ids, back = reader.ids(hashes)
+                    yield _ngrams(model, ids.astype(np.uint32)[back], bounds)
 
             yield from _gathered(pieces(), lambda c: _hashes(c)[-1], lambda c: _hashes(c[-2:])[-1], shards)
 
@@ -512,8 +519,8 @@ class _Reader:
         for k in np.flatnonzero(np.diff(cut)).tolist():
             yield k, order[cut[k] : cut[k + 1]]
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """The id of each hash; unknown ones get ``vocabulary``."""
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The id of each different hash, ``vocabulary`` for unknown ones, and which of them each is."""
         uniq, back = np.unique(hashes, return_inverse=True)
         out = np.full(len(uniq), self.model.vocabulary, np.int64)
         for k, rows in self._by_shard(_hash_shard(uniq, self.model.shards)):
@@ -522,7 +529,7 @@ class _Reader:
                 at = np.searchsorted(held, uniq[rows])
                 hit = held[np.minimum(at, len(held) - 1)] == uniq[rows]
                 out[rows[hit]] = self.model.offsets[k] + at[hit]
-        return out[back]
+        return out, back
 
     def dense(self, kind: str, name: str, ids: np.ndarray) -> np.ndarray:
         """The number that each of known ids has in an array of a kind of file."""
@@ -533,49 +540,88 @@ class _Reader:
                 out[rows] = held[ids[rows] - self.model.offsets[k]]
         return out
 
-    def counts(self, level: int, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Of n-grams, given by their hashes and those of their last two words, the counts."""
-        out = np.zeros(len(keys), np.int64)
-        for k, rows in self._by_shard(_hash_shard(pairs, self.model.shards)):
-            held = self.file("grams", k)
-            out[rows[_places(held, f"ones-{level}", keys[rows]) >= 0]] = 1
-            at = _places(held, f"many-{level}", keys[rows])
-            out[rows[at >= 0]] = held[f"times-{level}"][at[at >= 0]] if (at >= 0).any() else 0
+    def _left(self, level: int, shard: int, places: np.ndarray) -> np.ndarray:
+        """Of contexts of a level: what is left to shorter ones, and the sum of what follows."""
+        one, two, more, total = _follow_rows(self.file("follows", shard), level, places).T
+        d = self.model.discounts[level]
+        return np.stack([one * d[1] + two * d[2] + more * d[3], total], axis=1)
+
+    def word_left(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(ids), 2))
+        for k, rows in self._by_shard(self.model.home([ids])):
+            out[rows] = self._left(2, k, ids[rows] - self.model.offsets[k])
         return out
 
-    def follows(self, level: int, heads: list[np.ndarray]) -> np.ndarray:
-        """Of contexts: how many words follow once, twice, more often, and the sum of all counts."""
-        out = np.zeros((len(heads[0]), 4), np.int64)
-        keys = _hashes(heads)[-1]
-        for k, rows in self._by_shard(self.model.home(heads)):
-            places = heads[0][rows] - self.model.offsets[k] if level == 2 else _gram_places(self.file("grams", k), level - 1, keys[rows])
-            out[rows] = _follow_rows(self.file("follows", k), level, places)
+    def grams(self, columns: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By level, how often the n-grams that end at each token count, and what they leave as
+        contexts of the level above: two arrays, and which of their rows is a token's. All n-grams
+        of a token are in one shard; pairs that repeat are looked up once, and longer ones only
+        behind a pair that is there."""
+        model, size = self.model, len(columns[-1])
+        pair = _hashes(columns[-2:])[-1]
+        order, at = _grouped(pair)
+        ends = np.r_[at, size][1:]
+        pairs = pair[order[at]]
+        row = np.empty(size, np.int64)
+        row[order] = np.repeat(np.arange(len(at)), ends - at)
+        # Shards are ranges of the pairs' hashes.
+        shard = _hash_shard(pairs, model.shards)
+        own = lambda n, level: (np.zeros(n, np.int64), np.zeros((n if level < model.order else 0, 2)))
+        out = {level: (*own(len(at) if level == 2 else size, level), row if level == 2 else np.arange(size)) for level in range(2, model.order + 1)}
+        keys = {level: _hashes(columns[-level:])[-1] for level in range(3, model.order + 1)}
+        found, first = np.unique(shard, return_index=True)
+        for k, lo, hi in zip(found.tolist(), first.tolist(), np.r_[first, len(shard)][1:].tolist(), strict=True):
+            held, rows, asked = self.file("grams", k), np.arange(lo, hi), pairs[lo:hi]
+            for level in range(2, model.order + 1):
+                counts, left, _ = out[level]
+                places = _gram_places(held, level, asked)
+                there = places >= 0
+                rows, places = rows[there], places[there]
+                ones = len(held.get(f"ones-{level}.low", ()))
+                counts[rows] = 1
+                more = places >= ones
+                if more.any():
+                    counts[rows[more]] = held[f"times-{level}"][places[more] - ones]
+                if level == model.order or not len(rows):
+                    break
+                left[rows] = self._left(level + 1, k, places)
+                if level == 2:
+                    live = np.zeros(hi - lo, bool)
+                    live[rows - lo] = True
+                    rows = order[at[lo] : ends[hi - 1]][np.repeat(live, (ends - at)[lo:hi])]
+                rows = rows[columns[model.order - level - 1][rows] != model.nothing]
+                asked = keys[level + 1][rows]
         return out
 
 
 def _scores(model: NgramModel, reader: _Reader, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token: its training count, its base log10 probability, and the model's."""
     v = model.vocabulary
-    ids = reader.ids(hashes) if v else np.zeros(len(hashes), np.int64)
-    uniq, back = np.unique(ids, return_inverse=True)
-    known = uniq[uniq < v]
+    uniq, back = reader.ids(hashes) if v else (np.zeros(1, np.int64), np.zeros(len(hashes), np.int64))
+    known = np.flatnonzero(uniq < v)
     counts, low = np.zeros(len(uniq)), np.full(len(uniq), model.low_rest / (v + 1))
     if len(known):
-        counts[: len(known)] = reader.dense("words", "counts", known)
-        before = reader.dense("follows", "before", known)
-        low[: len(known)] += np.maximum(before - model.discounts[1, np.minimum(before, 3)], 0) / max(1, model.kinds)
-    p, counts = low[back], counts[back]
-    columns = _ngrams(model, ids, bounds) if v else []
-    for level in range(2, model.order + 1) if v else ():
-        at = np.flatnonzero(columns[model.order - level] != model.nothing)
-        words_ = [c[at] for c in columns[model.order - level :]]
-        follows = reader.follows(level, words_[:-1])
-        seen = follows[:, 3] > 0
-        at, follows, key = at[seen], follows[seen], _hashes([c[seen] for c in words_])[-1]
-        count = reader.counts(level, key, _hashes([c[at] for c in columns[-2:]])[-1])
-        high = np.maximum(count - model.discounts[level, np.minimum(count, 3)], 0)
-        p[at] = (high + follows[:, :3] @ model.discounts[level, 1:] * p[at]) / follows[:, 3]
-    return counts, np.log10((counts + 0.1) / (model.tokens + 0.1 * (v + 1))), np.log10(p)
+        counts[known] = reader.dense("words", "counts", uniq[known])
+        before = reader.dense("follows", "before", uniq[known])
+        low[known] += np.maximum(before - model.discounts[1, np.minimum(before, 3)], 0) / max(1, model.kinds)
+    p = low[back]
+    if v:
+        columns = _ngrams(model, uniq[back], bounds)
+        # A word's context is the token before it, or a text's start, which has the last row.
+        context = np.r_[0, back[:-1]]
+        context[bounds[:-1]] = len(uniq)
+        left = reader.word_left(np.r_[uniq, model.start])
+        grams = reader.grams(columns)
+        for level in range(2, model.order + 1):
+            number, above, row = grams[level]
+            mass, total = left[context].T
+            at = np.flatnonzero((total > 0) & (columns[model.order - level] != model.nothing))
+            count = number[row[at]]
+            high = np.maximum(count - model.discounts[level, np.minimum(count, 3)], 0)
+            p[at] = (high + mass[at] * p[at]) / total[at]
+            left, context = above, np.r_[0, row[:-1]]
+    base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (v + 1)))
+    return counts[back], base[back], np.log10(p)
 
 
 def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:

@@ -509,6 +509,18 @@ def test_kneser_ney_keeps_few_files_open(spark, docs, monkeypatch):
         assert math.isclose(total, sum(math.log10(p(tuple(line[max(0, k - 2) : k]), line[k])) for k in range(1, len(line))), rel_tol=1e-9)
 
 
+def test_kneser_ney_looks_a_repeated_pair_up_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c " * 1000), (2, "b c d")], "doc_id long, text string")
+    model = kneser_ney.train_ngram_model(docs)
+    asked, places = [], kneser_ney._places
+    monkeypatch.setattr(kneser_ney, "_places", lambda held, name, hashes: asked.append(len(hashes)) or places(held, name, hashes))
+    hashes, bounds = kneser_ney._tokens(pa.RecordBatch.from_pydict({"text": ["a b c " * 1000]}))
+    with kneser_ney._Reader.opened(model) as reader:
+        counts, _, own = kneser_ney._scores(model, reader, hashes, bounds)
+    assert counts[:2].tolist() == [1000, 1001] and np.isfinite(own).all()
+    assert sum(asked) <= 2 * len(hashes) + 20  # three-word n-grams, among those counted once and the others
+
+
 def test_sets_of_hashes_and_what_follows(monkeypatch):
     rng = np.random.default_rng(8)
     for n in (0, 1, 2, 7, 500, 40_000):
