@@ -338,6 +338,13 @@ def test_markup_parsers(spark):
     assert rows[1]["h"]["prose"] is None
 
 
+def test_markup_parsers_get_few_rows_at_a_time(spark):
+    rows = spark.range(10).select(markup.div_slice(F.lit('<div id="a">1</div>'), "a"), markup.header_fields(F.lit("Module : M")))
+    plan = rows._jdf.queryExecution().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert rows.first()[0] == "1"
+
+
 def test_plan_files(spark, tmp_path):
     plan = {
         "compiler-id": "c-1", "os": "linux", "arch": "x86_64",
