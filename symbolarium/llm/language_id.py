@@ -23,7 +23,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from symbolarium.llm.samples import fold, sampled
 from symbolarium.llm.textarrays import chunks, letters_only, lowered, text_bytes
-from symbolarium.llm.workspace import spare_name
+from symbolarium.llm.workspace import in_batches, spare_name
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 #: Labelled rows that the fit reads at most.
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*out.schema.names, *added])
 
     kinds = zip(added, (StringType(), DoubleType(), BooleanType()), strict=True)
-    return judged.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, t) for n, t in kinds)]))
+    return in_batches(judged).mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, t) for n, t in kinds)]))
 
 
 def language_id(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

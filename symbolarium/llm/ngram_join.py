@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from symbolarium.llm.components import components
 from symbolarium.llm.textarrays import chunks, mix64, shingle_sets, words
-from symbolarium.llm.workspace import spare_name, stored, text_buckets
+from symbolarium.llm.workspace import in_batches, spare_name, stored, text_buckets
 
 #: Up to this many document ids (8 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -415,7 +415,7 @@ def _grouped(docs: DataFrame, threshold: int, size: int, by_id: bool) -> tuple[D
     text's hash, and ``(key, key2, node, component, doc)`` of every class of equal sets that has
     several rows or is linked: ``doc`` is the smallest doc_id of the component, null if it has none.
     With ``by_id``, classes that hold rows of one doc_id belong together as well."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
+    docs = in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
     buckets = text_buckets(docs, BUCKET_BYTES)
     facts = stored(
         docs.mapInArrow(_prefix_blocks(buckets, size, threshold), _POSTINGS).groupBy("bucket").applyInArrow(_partnered(threshold, buckets), _COUNTS)

@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from symbolarium.llm.textarrays import chunks
-from symbolarium.llm.workspace import partitions, stored
+from symbolarium.llm.workspace import in_batches, partitions, stored
 
 #: One text to its ids, as unsigned 32-bit integers.
 Encoder = Callable[[str], np.ndarray]
 _encoders: dict[str, Encoder] = {}
+_PLACE = pa.struct([(name, pa.int64()) for name in ("rank", "first", "offset")])
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -105,7 +106,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(kinds)])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def packing_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -152,7 +153,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
             ranked[n] += count
             offset += n
         first += count
-    table = spark.createDataFrame(list(places.items()), "length long, places array<struct<rank:long,first:long,offset:long>>")
+    # As an Arrow table: from Python rows, executors would start workers to unpickle them.
+    lists = [[dict(zip(_PLACE.names, at, strict=True)) for at in own] for own in places.values()]
+    table = spark.createDataFrame(pa.table({"length": pa.array(list(places), pa.int64()), "places": pa.array(lists, pa.list_(_PLACE))}))
 
     before = F.sum("pieces").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))

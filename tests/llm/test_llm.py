@@ -23,7 +23,7 @@ from symbolarium.llm import bpe, kneser_ney, language_id, lz_fingerprint, ngram_
 from symbolarium.llm.components import components
 from symbolarium.llm.samples import sampled
 from symbolarium.llm.pieces import PieceCache, cut
-from symbolarium.llm.textarrays import shingle_sets, words
+from symbolarium.llm.textarrays import chunks, shingle_sets, words
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, rep string, score double, _mark string, _lang_pred string"
@@ -834,3 +834,31 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
     pieces = packed(spark, odd, SF).collect()
     assert collections.Counter(r["doc_id"] for r in pieces if r["start"] == 0) == collections.Counter(r["doc_id"] for r in odd.collect())
     assert all(sum(r["length"] for r in pieces if r["doc_id"] == i) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == i) for i in (1, 2, 5, 11))
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_pipeline_hands_texts_to_python_in_small_batches(spark, monkeypatch, stage):
+    key, most = workspace._BATCH_KEY, 2 * workspace.BATCH_BYTES
+
+    def small(batches):
+        for batch in batches:
+            assert batch.nbytes < most, batch.nbytes
+            yield from chunks([batch])
+
+    for module in (language_id, quality, ngram_join, packing):
+        monkeypatch.setattr(module, "chunks", small)
+    text = F.concat(F.lit("w"), F.repeat(F.concat(F.lit(" ab"), F.col("id")), 1500))
+    rows = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    path = workspace.fresh_path(spark, "texts")
+    rows.write.parquet(path)
+    spark.conf.unset(key)
+    corpus_pipeline.STAGES[stage][1](spark, spark.read.parquet(path), SF).collect()
+    spark.conf.set(key, "1m")
+    workspace.in_batches(rows)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
+def test_packing_starts_no_workers_for_its_table_of_places(spark, docs):
+    plan = packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
