@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolarium.llm.components import components
+from symbolarium.llm.components import components, with_edges
 from symbolarium.llm.textarrays import chunks, mix64, shingle_sets, words
 from symbolarium.llm.workspace import in_batches, spare_name, stored, text_buckets
 
@@ -339,9 +339,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _links(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame | None]:
-    """Links that connect what all links of ``sets(node, n, shingles, other)`` connect, and their
-    components if they are known already."""
+def _components(sets: DataFrame, threshold: int) -> DataFrame:
+    """``(node, component)`` of what the links of ``sets(node, n, shingles, other)`` connect."""
     members = sets.select("node", "n", F.explode("shingles").alias("h"))
     shared = members.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     need = F.ceil(F.col("n") * threshold / 100)
@@ -352,7 +351,7 @@ def _links(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame | None
         .select("node", "n", F.col("x.h").alias("h"), F.col("node").alias("c")),
         "prefixes",
     )
-    links = groups = None
+    groups = None
     for turn in range(ROUNDS):
         # The first pivot of a list is its smallest node; later ones come from its smallest group.
         if turn == 0:
@@ -364,18 +363,16 @@ def _links(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame | None
         similar_size = 100 * F.least("n", "p.n") >= threshold * F.greatest("n", "p.n")
         pairs = beside.where("c <> p.c").where(similar_size).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
         found = stored(_verified(pairs, sets, threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        groups = components(links, "groups")
+        groups = with_edges(groups, found, "groups")
         now = beside.select("node", "n", "h").join(groups, "node", "left").select("node", "n", "h", F.coalesce("component", "node").alias("c"))
         mixed = now.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low <> top").select("h")
         open_lists = stored(now.join(mixed, "h", "left_semi"), "open-lists")
         if open_lists.isEmpty():
-            return links, groups
+            return groups
     star = open_lists.groupBy("h").agg(F.min("node").alias("b"))
-    clusters = components(open_lists.join(star, "h").select(F.col("node").alias("a"), "b"), "clusters")
+    clusters = components(open_lists.join(star, "h").select(F.col("node").alias("a"), "b"), "clusters", open_lists.count())
     known = open_lists.groupBy("node").agg(F.first("c").alias("known"))
-    rest = _cells(sets.join(known, "node"), clusters, threshold)
-    return rest if links is None else links.unionByName(rest), None
+    return with_edges(groups, _cells(sets.join(known, "node"), clusters, threshold), "linked")
 
 
 def _cells(sets: DataFrame, clusters: DataFrame, threshold: int) -> DataFrame:
@@ -440,15 +437,13 @@ def _grouped(docs: DataFrame, threshold: int, size: int, by_id: bool) -> tuple[D
     sets = stored(
         sets.dropDuplicates(["key", "key2"]).join(alive, ["key", "key2"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles", "other"), "sets"
     )
-    links, groups = _links(sets, threshold)
+    groups = _components(sets, threshold)
     if by_id:
         several = info.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("key", "key2")).alias("low"), F.max(F.struct("key", "key2")).alias("top")).where("low <> top").select("doc_id")
         ties = stored(info.join(several, "doc_id", "left_semi").where("n > 0").select("doc_id", "key", "key2").join(classes, ["key", "key2"]).select("doc_id", "node"), "ties")
         if not ties.isEmpty():
             first = ties.groupBy("doc_id").agg(F.min("node").alias("b"))
-            links, groups = links.unionByName(ties.join(first, "doc_id").select(F.col("node").alias("a"), "b")), None
-    if groups is None:
-        groups = components(links, "linked")
+            groups = with_edges(groups, ties.join(first, "doc_id").select(F.col("node").alias("a"), "b"), "linked")
     grouped = classes.join(groups, "node", "left").where("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     least_doc = grouped.groupBy("component").agg(F.min("doc").alias("least"))
     return info, stored(grouped.join(least_doc, "component").select("key", "key2", "node", "component", F.col("least").alias("doc")), "classes")

@@ -801,6 +801,45 @@ def test_star_contraction(spark):
     assert got == {**dict.fromkeys([*range(1, 41), 100], 1), **dict.fromkeys(range(200, 230), 200)}
 
 
+def test_star_contraction_in_few_tasks(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(40, 39), (200, 100)], "a long, b long")
+    want = {**dict.fromkeys(range(1, 41), 1), 100: 100, 200: 100}
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("stars", "")
+        assert dict(tuple(r) for r in components(edges).collect()) == want
+        tracker = context.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("stars") for s in tracker.getJobInfo(job).stageIds}
+        tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks < 64 * 12, tasks  # 419; 3,036 before rounds were written by few tasks and ended by their nodes
+
+
+def test_components_take_more_edges(spark, monkeypatch):
+    from symbolarium.llm import components as module
+
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    seen, whole = [], module.components
+    monkeypatch.setattr(module, "components", lambda edges, *rest: seen.append(sorted(tuple(r) for r in edges.where("a <> b").collect())) or whole(edges, *rest))
+    groups = module.with_edges(None, table([(1, 2), (2, 3), (10, 11), (20, 21)]))
+    same = module.with_edges(groups, table([(1, 3), (11, 10), (5, 5), (None, 1)]))
+    more = module.with_edges(groups, table([(3, 11), (21, 0), (30, 31), (3, 1)]))
+    assert sorted(tuple(r) for r in same.collect()) == [(1, 1), (2, 1), (3, 1), (10, 10), (11, 10), (20, 20), (21, 20)]
+    assert sorted(tuple(r) for r in more.collect()) == [(0, 0), (1, 1), (2, 1), (3, 1), (10, 1), (11, 1), (20, 0), (21, 0), (30, 30), (31, 30)]
+    assert seen[1:] == [[], [(1, 10), (20, 0), (30, 31)]]
+    rng = random.Random(5)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)]
+    got = module.with_edges(module.with_edges(None, table(rows[:120])), table(rows[120:]))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in whole(table(rows)).collect())
+
+
 # -- pipeline -------------------------------------------------------------------------------
 
 
